@@ -78,3 +78,21 @@ def groups_for(df: DataFrame, group_bytes: int) -> int:
     if size >= 1 << 52:
         size = 2048 * df.count()
     return max(1, -(-size // group_bytes))
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver drop shuffle files of tables that have been written: they are freed when their plans are collected as garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+#: Rows of a side that is broadcast on purpose, at most; its rows are a few numbers each.
+BROADCAST_ROWS = 1_000_000
+
+
+def narrow(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """`df`, marked for broadcast if it has at most BROADCAST_ROWS rows; else it is left to a shuffled join."""
+    n = df.count() if rows is None else rows
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
