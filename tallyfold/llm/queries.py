@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfold.llm import decontaminate, line_dedup, packing, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts, toxicity
+from tallyfold.llm import decontaminate, jaccard_join, line_dedup, packing, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts, toxicity
 from tallyfold.llm.common import table
 
 
@@ -44,6 +44,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_classifier.quality_scores(docs, quality_classifier.fit_classifier(docs, table(spark, sf_dir, "labels")))
