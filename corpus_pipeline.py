@@ -1,10 +1,62 @@
-"""The corpus pipeline: quality rules, line dedup, n-gram Jaccard join, decontamination, packing."""
+"""The corpus pipeline: quality rules, line dedup, n-gram Jaccard join, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame: the documents that it
+keeps, with the columns of `documents`; the last one returns packed pieces.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyfold.llm import decontaminate, jaccard_join, line_dedup, packing, quality_rules
+from tallyfold.llm.common import cut, release, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the trees keep."""
+    return quality_rules.keep_good(docs, quality_rules.fit_rules(docs, table(spark, sf_dir, "labels")))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that another line stands for; n_chars follows the text."""
+    kept = line_dedup.dedup_lines(docs)
+    return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
+
+
+def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return jaccard_join.one_of_each(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents, in sequences."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_stage),
+    ("line_dedup", line_stage),
+    ("jaccard_join", join_stage),
+    ("decontamination", benchmark_stage),
+    ("packing", packing_stage),
+]
+
+#: SQL can express neither the fitted trees nor the union-find.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError("its stages are being built")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on `documents`; what a stage keeps is written once to the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+        release(spark)
+    return STAGES[-1][1](spark, docs, sf_dir)
