@@ -15,9 +15,9 @@ shingles in one global order: of linked sets neither has more than n // 5 shingl
 the other lacks, so both are replicated to the region of a common shingle of their
 boundaries. Shingles of very many boundaries come last in the order. In a region only
 classes of different components meet, and only those within the windows that the
-triangle inequality leaves: on the sizes, and on the counts in 64 shingle classes (the
-distances to the classes as pivots), which bound the symmetric difference from below.
-What is left is compared exactly. The components are those of all links.
+triangle inequality leaves: on the sizes, on the shingles that both boundaries hold, and
+on the counts in 256 shingle classes (the distances to the classes as pivots), which
+bound the symmetric difference from below. What is left is compared exactly. The components are those of all links.
 
 Cases: null texts and texts without words have empty sets and link with nothing;
 repeated rows are copies; a null doc_id counts as the largest; an empty table gives an
@@ -44,7 +44,9 @@ ROUNDS, ORDERS = 3, 4
 #: Fixed masks of the orders.
 MASKS = tuple(np.uint64(m) for m in (0, 0x1234567890ABCDEF, 0x5BD1E9955BD1E995, 0xA7D4EB2F165667C5))
 #: A shingle of more boundaries than this is common; and common ones are at most so many, which bounds their broadcast.
-COMMON, MOST_COMMON = 64, 1 << 20
+COMMON, MOST_COMMON = 8, 1 << 22
+#: Shingle classes whose counts bound the symmetric difference.
+CLASSES = 256
 #: Classes that one copy of a pivot is compared with; pairs of one group of comparisons; input bytes of a shard.
 PER_PIVOT, PER_GROUP, SHARD_BYTES = 200, 2000, 8 << 20
 #: Rows of a region up to which all its pairs are looked at in one vector operation.
@@ -71,13 +73,13 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _read(docs: DataFrame) -> DataFrame:
-    """Per row the size and name of its set, its first shingle in each order, and its counts in 64 classes."""
+    """Per row the size and name of its set, its first shingle in each order, and its counts in CLASSES classes."""
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sets = shingle_sets(text_bytes(batch.column("text")))
         names = [fingerprint(s) for s in sets]
         firsts = [pa.array(np.array([(s ^ m).min() if len(s) else 0 for s in sets], np.uint64).view(np.int64)) for m in MASKS]
-        counts = [np.minimum(np.bincount((mixed(s) >> _U(58)).astype(np.int64), minlength=64), 255).astype(np.uint8).tobytes() for s in sets]
+        counts = [np.minimum(np.bincount((mixed(s) >> _U(56)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8).tobytes() for s in sets]
         columns = [batch.column("ord"), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(x, pa.int64()) for x in zip(*names, strict=True)), *firsts, pa.array(counts, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _NARROW.split(", ")])
 
@@ -195,7 +197,7 @@ def region_pairs(keys: np.ndarray, n: np.ndarray, part: np.ndarray) -> Iterator[
 
 
 _ENTRIES = "shard long, keys binary, rows binary, c binary, ord binary, n binary, part binary"
-_PAIRS = "a long, ra long, na int, b long, rb long, nb int"
+_PAIRS = "a long, ra long, na int, b long, rb long, nb int, shared int"
 
 
 def _exact_pairs(texts: DataFrame, shards: int, common: np.ndarray) -> DataFrame:
@@ -231,28 +233,47 @@ def _exact_pairs(texts: DataFrame, shards: int, common: np.ndarray) -> DataFrame
         # a class may stand in several rows: one place for each
         _, lead, same = np.unique(c, return_index=True, return_inverse=True)
         rows = lead[same[rows]]
-        seen: np.ndarray = np.zeros((0, 2), np.int64)
+        seen, times = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
         waiting, held_pairs = [], 0
+
+        def gather() -> None:
+            nonlocal seen, times, waiting, held_pairs
+            every = np.concatenate([seen, *waiting])
+            weight = np.concatenate([times, np.ones(len(every) - len(seen), np.int64)])
+            seen, at = np.unique(every, axis=0, return_inverse=True)
+            times = np.bincount(at.ravel(), weight, len(seen)).astype(np.int64)
+            waiting, held_pairs = [], 0
+
         for i, j in region_pairs(keys, n[rows].astype(np.int64), part[rows]):
             waiting.append(np.sort(np.column_stack((rows[i], rows[j])), axis=1))
             held_pairs += len(i)
             if held_pairs > 1 << 21:
-                seen, waiting, held_pairs = np.unique(np.concatenate([seen, *waiting]), axis=0), [], 0
-        seen = np.unique(np.concatenate([seen, *waiting]), axis=0)
-        seen = seen[seen[:, 0] != seen[:, 1]]
-        a, b = seen[:, 0], seen[:, 1]
-        return pa.table({"a": c[a], "ra": ids[a], "na": n[a], "b": c[b], "rb": ids[b], "nb": n[b]})
+                gather()
+        gather()
+        turn = c[seen[:, 0]] > c[seen[:, 1]]  # a pair has one form in all shards
+        a, b = np.where(turn, seen[:, 1], seen[:, 0]), np.where(turn, seen[:, 0], seen[:, 1])
+        return pa.table({"a": c[a], "ra": ids[a], "na": n[a], "b": c[b], "rb": ids[b], "nb": n[b], "shared": times.astype(np.int32)})
 
     return map_arrow(texts.select("text", "c", "part", "ord"), send, _ENTRIES).groupBy("shard").applyInArrow(meet, _PAIRS)
 
 
 def _within_windows(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose counts in the 64 classes leave room for a link: 9 * (distance of the counts) <= sum of the sizes."""
+    """Pairs that may link by what their boundaries and their class counts tell.
+
+    Of sets of sizes na and nb that link, the symmetric difference D has 9 * D <= na + nb;
+    so a lacks at most ((na + nb) / 9 + na - nb) / 2 of its own shingles in b. The set
+    whose boundary ends first shares the rest of its boundary with the other's boundary.
+    And D is at least the distance of the class counts.
+    """
     counts = classes.select("c", "counts")
-    rows = pairs.distinct().join(counts.select(F.col("c").alias("a"), F.col("counts").alias("x")), "a").join(counts.select(F.col("c").alias("b"), F.col("counts").alias("y")), "b")
+    least = lambda m, k: F.floor(F.col(m) / 5) + 1 - F.floor((F.col(m) + F.col(k) + 9 * (F.col(m) - F.col(k))) / 18)
+    one = lambda x: F.min(x).alias(x)
+    pairs = pairs.groupBy("a", "b").agg(*map(one, ("ra", "na", "rb", "nb")), F.sum("shared").alias("shared"))
+    pairs = pairs.where(F.col("shared") >= F.least(least("na", "nb"), least("nb", "na")))
+    rows = pairs.join(counts.select(F.col("c").alias("a"), F.col("counts").alias("x")), "a").join(counts.select(F.col("c").alias("b"), F.col("counts").alias("y")), "b")
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, 64).astype(np.int64) for k in ("x", "y"))
+        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int64) for k in ("x", "y"))
         room = 9 * np.abs(x - y).sum(axis=1) <= batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
         yield batch.filter(pa.array(room)).select(["a", "ra", "b", "rb"])
 
