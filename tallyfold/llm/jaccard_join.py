@@ -26,6 +26,7 @@ empty result; further columns are kept by `one_of_each`.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,7 +80,7 @@ def _read(docs: DataFrame) -> DataFrame:
         sets = shingle_sets(text_bytes(batch.column("text")))
         names = [fingerprint(s) for s in sets]
         firsts = [pa.array(np.array([(s ^ m).min() if len(s) else 0 for s in sets], np.uint64).view(np.int64)) for m in MASKS]
-        counts = [np.minimum(np.bincount((mixed(s) >> _U(56)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8).tobytes() for s in sets]
+        counts = [_counts(s).tobytes() for s in sets]
         columns = [batch.column("ord"), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(x, pa.int64()) for x in zip(*names, strict=True)), *firsts, pa.array(counts, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _NARROW.split(", ")])
 
@@ -196,13 +197,56 @@ def region_pairs(keys: np.ndarray, n: np.ndarray, part: np.ndarray) -> Iterator[
                 yield order[np.full(len(j), at + i)], order[at + j]
 
 
-_ENTRIES = "shard long, keys binary, rows binary, c binary, ord binary, n binary, part binary"
+_ENTRIES = "shard long, keys binary, rows binary, c binary, ord binary, n binary, part binary, counts binary"
 _PAIRS = "a long, ra long, na int, b long, rb long, nb int, shared int"
 
 
+def _counts(s: np.ndarray) -> np.ndarray:
+    """Shingles of the set in each of CLASSES classes, at most 255."""
+    return np.minimum(np.bincount((mixed(s) >> _U(56)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8)
+
+
+def crowded_pairs(keys: np.ndarray, rows: np.ndarray, n: np.ndarray, part: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of classes of different parts that share a common shingle, with the shingles shared, within all windows.
+
+    The classes of the largest part come last and are only met, never walked; a class
+    counts its partners over its shingles' lists, so nothing is sorted or held by pair.
+    """
+    size = np.unique(part, return_inverse=True, return_counts=True)
+    order = np.lexsort((part, size[2][size[1]]))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    by_key = np.argsort(keys, kind="stable")
+    heads = np.flatnonzero(np.concatenate(([True], keys[by_key][1:] != keys[by_key][:-1])))
+    ends = np.append(heads[1:], len(keys))
+    lists = place[rows[by_key]]
+    several = np.minimum.reduceat(part[order][lists], heads) != np.maximum.reduceat(part[order][lists], heads)
+    of_key = np.repeat(np.arange(len(heads)), ends - heads)
+    by_row = np.argsort(lists, kind="stable")
+    row_at = np.searchsorted(lists[by_row], np.arange(len(order) + 1))
+    m, p, c = n[order].astype(np.int64), part[order], counts[order].astype(np.int16)
+    for i in range(len(order)):
+        if p[i] == p[-1]:
+            break
+        own = of_key[by_row[row_at[i] : row_at[i + 1]]]
+        own = own[several[own]]
+        if not len(own):
+            continue
+        shared = np.bincount(np.concatenate([lists[heads[k] : ends[k]] for k in own]), minlength=len(order))
+        j = i + 1 + np.flatnonzero(shared[i + 1 :])
+        j = j[(p[j] != p[i]) & (5 * np.minimum(m[j], m[i]) >= 4 * np.maximum(m[j], m[i]))]
+        j = j[9 * np.abs(c[j] - c[i]).sum(axis=1, dtype=np.int64) <= m[j] + m[i]]
+        if len(j):
+            yield order[np.full(len(j), i)], order[j], shared[j]
+
+
 def _exact_pairs(texts: DataFrame, shards: int, common: np.ndarray) -> DataFrame:
-    """Pairs of classes of different components that share a shingle of their boundaries."""
+    """Pairs of classes of different components that share a shingle of their boundaries.
+
+    Common shingles go to shards of their own, with the class counts of their sets.
+    """
     held = texts.sparkSession.sparkContext.broadcast(common)
+    crowded = max(1, shards // 8)
 
     def send(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sets = shingle_sets(text_bytes(batch.column("text")))
@@ -212,15 +256,18 @@ def _exact_pairs(texts: DataFrame, shards: int, common: np.ndarray) -> DataFrame
         keys = np.concatenate([np.zeros(0, np.uint64), *parts])
         rows = np.repeat(np.arange(len(sets)), [len(x) for x in parts])
         n = np.array([len(s) for s in sets], np.int32)
-        shard = (mixed(keys) % _U(shards)).astype(np.int64)
+        many = held.value
+        is_common = many[np.minimum(np.searchsorted(many, keys), len(many) - 1)] == keys if len(many) else np.zeros(len(keys), bool)
+        shard = np.where(is_common, shards + (mixed(keys) % _U(crowded)).astype(np.int64), (mixed(keys) % _U(shards)).astype(np.int64))
         order = np.argsort(shard, kind="stable")
-        at = np.searchsorted(shard[order], np.arange(shards + 1))
-        out: list[list] = [[] for _ in range(7)]
-        for s in range(shards):
+        at = np.searchsorted(shard[order], np.arange(shards + crowded + 1))
+        out: list[list] = [[] for _ in range(8)]
+        for s in range(shards + crowded):
             own = order[at[s] : at[s + 1]]
             if len(own):
                 used, local = np.unique(rows[own], return_inverse=True)
-                for column, x in zip(out, (s, keys[own].tobytes(), local.astype(np.uint16).tobytes(), *(x[used].tobytes() for x in (c, ids, n, part))), strict=True):
+                counts = zlib.compress(b"".join(_counts(sets[r]).tobytes() for r in used), 1) if s >= shards else b""
+                for column, x in zip(out, (s, keys[own].tobytes(), local.astype(np.uint16).tobytes(), *(x[used].tobytes() for x in (c, ids, n, part)), counts), strict=True):
                     column.append(x)
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(x, pa.binary()) for x in out[1:])], names=[x.split()[0] for x in _ENTRIES.split(", ")])
@@ -232,26 +279,31 @@ def _exact_pairs(texts: DataFrame, shards: int, common: np.ndarray) -> DataFrame
         keys, c, ids, n, part = (np.concatenate(col[x]) for x in ("keys", "c", "ord", "n", "part"))
         # a class may stand in several rows: one place for each
         _, lead, same = np.unique(c, return_index=True, return_inverse=True)
-        rows = lead[same[rows]]
-        seen, times = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
-        waiting, held_pairs = [], 0
-
-        def gather() -> None:
-            nonlocal seen, times, waiting, held_pairs
-            every = np.concatenate([seen, *waiting])
-            weight = np.concatenate([times, np.ones(len(every) - len(seen), np.int64)])
-            seen, at = np.unique(every, axis=0, return_inverse=True)
-            times = np.bincount(at.ravel(), weight, len(seen)).astype(np.int64)
-            waiting, held_pairs = [], 0
-
-        for i, j in region_pairs(keys, n[rows].astype(np.int64), part[rows]):
-            waiting.append(np.sort(np.column_stack((rows[i], rows[j])), axis=1))
-            held_pairs += len(i)
-            if held_pairs > 1 << 21:
-                gather()
-        gather()
-        turn = c[seen[:, 0]] > c[seen[:, 1]]  # a pair has one form in all shards
-        a, b = np.where(turn, seen[:, 1], seen[:, 0]), np.where(turn, seen[:, 0], seen[:, 1])
+        if table["shard"][0].as_py() >= shards:
+            counts = np.frombuffer(b"".join(zlib.decompress(b) for b in table["counts"].to_pylist()), np.uint8).reshape(-1, CLASSES)
+            entries = np.unique(np.column_stack((keys, same[rows].astype(np.uint64))), axis=0)
+            found = list(crowded_pairs(entries[:, 0], entries[:, 1].astype(np.int64), n[lead], part[lead], counts[lead]))
+            a, b, times = (lead[np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)])] if k < 2 else np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in range(3))
+        else:
+            rows = lead[same[rows]]
+            codes, times, waiting, total = np.zeros(0, np.int64), np.zeros(0, np.int64), [], len(c)
+
+            def gather() -> None:
+                nonlocal codes, times, waiting
+                every = np.concatenate([codes, *waiting])
+                weight = np.concatenate([times, np.ones(len(every) - len(codes), np.int64)])
+                codes, at = np.unique(every, return_inverse=True)
+                times, waiting = np.bincount(at, weight, len(codes)).astype(np.int64), []
+
+            for i, j in region_pairs(keys, n[rows].astype(np.int64), part[rows]):
+                x, y = rows[i], rows[j]
+                waiting.append(np.minimum(x, y) * total + np.maximum(x, y))
+                if sum(map(len, waiting)) > 1 << 21:
+                    gather()
+            gather()
+            a, b = codes // total, codes % total
+        turn = c[a] > c[b]  # a pair has one form in all shards
+        a, b = np.where(turn, b, a), np.where(turn, a, b)
         return pa.table({"a": c[a], "ra": ids[a], "na": n[a], "b": c[b], "rb": ids[b], "nb": n[b], "shared": times.astype(np.int32)})
 
     return map_arrow(texts.select("text", "c", "part", "ord"), send, _ENTRIES).groupBy("shard").applyInArrow(meet, _PAIRS)
