@@ -44,8 +44,8 @@ SIMILAR = 80
 ROUNDS, ORDERS = 3, 4
 #: Fixed masks of the orders.
 MASKS = tuple(np.uint64(m) for m in (0, 0x1234567890ABCDEF, 0x5BD1E9955BD1E995, 0xA7D4EB2F165667C5))
-#: A shingle of more boundaries than this is common; and common ones are at most so many, which bounds their broadcast.
-COMMON, MOST_COMMON = 8, 1 << 22
+#: A shingle of more classes than this is common; and common ones are at most so many, which bounds their broadcast.
+COMMON, MOST_COMMON = 8, 1 << 24
 #: Shingle classes whose counts bound the symmetric difference.
 CLASSES = 256
 #: Classes that one copy of a pivot is compared with; pairs of one group of comparisons; input bytes of a shard.
@@ -138,35 +138,53 @@ def _round(classes: DataFrame, k: int) -> DataFrame:
     return met.select(F.col("c").alias("a"), F.col("ord").alias("ra"), "b", "rb").distinct()
 
 
-def _boundary(s: np.ndarray, common: np.ndarray) -> np.ndarray:
+def _codes(keys: np.ndarray, shards: int) -> np.ndarray:
+    """A shingle's shard and 40 bits of its hash. Two shingles of one code are common or not together, so the order stays one order."""
+    m = mixed(keys)
+    return ((m % _U(shards)) << _U(40)) | (m >> _U(24))
+
+
+def _is_common(keys: np.ndarray, common: np.ndarray, shards: int) -> np.ndarray:
+    if not len(common) or not len(keys):
+        return np.zeros(len(keys), bool)
+    codes = _codes(keys, shards)
+    return common[np.minimum(np.searchsorted(common, codes), len(common) - 1)] == codes
+
+
+def _boundary(s: np.ndarray, common: np.ndarray, shards: int) -> np.ndarray:
     """The first n // 5 + 1 shingles; common ones come last."""
     n = len(s) // 5 + 1
-    if not len(common):
-        return s[:n]
-    is_common = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
+    is_common = _is_common(s, common, shards)
     return np.concatenate((s[~is_common], s[is_common]))[:n] if is_common.any() else s[:n]
 
 
+def _more_than(least: int):
+    def run(table: pa.Table) -> pa.Table:
+        raw = np.concatenate([np.frombuffer(b, np.uint8).reshape(-1, 5) for b in table["codes"].to_pylist()])
+        wide = np.zeros((len(raw), 8), np.uint8)
+        wide[:, :5] = raw
+        codes, n = np.unique(wide.view(np.uint64)[:, 0], return_counts=True)
+        common = codes[n > least] | (_U(table["shard"][0].as_py()) << _U(40))
+        return pa.table({"codes": pa.array([common.tobytes()], pa.binary())})
+
+    return run
+
+
 def _common_shingles(texts: DataFrame, shards: int, total: int) -> np.ndarray:
-    """Shingles of more than COMMON boundaries. At most MOST_COMMON are: `total` is the size of all boundaries."""
+    """Codes of the shingles of very many classes, in ascending order; at most MOST_COMMON: `total` is the size of all sets."""
     least = max(COMMON, total // MOST_COMMON)
 
     def send(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        sets = shingle_sets(text_bytes(batch.column("text")))
-        keys = np.concatenate([np.zeros(0, np.uint64), *(_boundary(s, np.zeros(0, np.uint64)) for s in sets)])
-        shard = mixed(keys) % _U(shards)
-        order = np.argsort(shard, kind="stable")
-        at = np.searchsorted(shard[order], np.arange(shards + 1))
-        rows = [(s, keys[order[at[s] : at[s + 1]]].tobytes()) for s in range(shards) if at[s] < at[s + 1]]
+        codes = np.sort(_codes(np.concatenate([np.zeros(0, np.uint64), *shingle_sets(text_bytes(batch.column("text")))]), shards))
+        at = np.searchsorted(codes, np.arange(shards + 1, dtype=np.uint64) << _U(40))
+        short = np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 8)[:, :5])
+        rows = [(s, short[at[s] : at[s + 1]].tobytes()) for s in range(shards) if at[s] < at[s + 1]]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["shard", "keys"])
-
-    def count(table: pa.Table) -> pa.Table:
-        keys, n = np.unique(np.concatenate([np.frombuffer(b, np.uint64) for b in table["keys"].to_pylist()]), return_counts=True)
-        return pa.table({"key": keys[n > least].view(np.int64)})
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["shard", "codes"])
 
-    found = map_arrow(texts.select("text"), send, "shard long, keys binary").groupBy("shard").applyInArrow(count, "key long").toArrow()
-    return np.sort(found["key"].to_numpy().astype(np.int64).view(np.uint64))
+    found = map_arrow(texts.select("text"), send, "shard long, codes binary").groupBy("shard").applyInArrow(_more_than(least), "codes binary").collect()
+    release(texts.sparkSession)
+    return np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["codes"], np.uint64) for r in found)]))
 
 
 def region_pairs(keys: np.ndarray, n: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -252,12 +270,11 @@ def _exact_pairs(texts: DataFrame, shards: int, common: np.ndarray) -> DataFrame
         sets = shingle_sets(text_bytes(batch.column("text")))
         c, part, ids = (batch.column(x).to_numpy() for x in ("c", "part", "ord"))
         right = np.array([fingerprint(s)[0] == x for s, x in zip(sets, c.tolist(), strict=True)], bool)
-        parts = [_boundary(s, held.value) if ok else s[:0] for s, ok in zip(sets, right, strict=True)]
+        parts = [_boundary(s, held.value, shards) if ok else s[:0] for s, ok in zip(sets, right, strict=True)]
         keys = np.concatenate([np.zeros(0, np.uint64), *parts])
         rows = np.repeat(np.arange(len(sets)), [len(x) for x in parts])
         n = np.array([len(s) for s in sets], np.int32)
-        many = held.value
-        is_common = many[np.minimum(np.searchsorted(many, keys), len(many) - 1)] == keys if len(many) else np.zeros(len(keys), bool)
+        is_common = _is_common(keys, held.value, shards)
         shard = np.where(is_common, shards + (mixed(keys) % _U(crowded)).astype(np.int64), (mixed(keys) % _U(shards)).astype(np.int64))
         order = np.argsort(shard, kind="stable")
         at = np.searchsorted(shard[order], np.arange(shards + crowded + 1))
@@ -339,7 +356,7 @@ def _parts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = cut(_read(docs))
     same = [F.first(x).alias(x) for x in (*(f"m{k}" for k in range(ORDERS)), "counts")]
     classes = cut(rows.where("n > 0").groupBy("c", "c2", "n").agg(F.min("ord").alias("ord"), F.count("*").alias("copies"), *same))
-    total = classes.agg(F.sum(F.floor(F.col("n") / 5) + 1)).first()[0] or 0
+    total = classes.agg(F.sum("n")).first()[0] or 0
     links = None
     for k in range(ROUNDS):
         found = _verify(docs, _round(_labelled(classes, links), k))
