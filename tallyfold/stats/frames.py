@@ -31,8 +31,9 @@ def frame(spark: SparkSession, rows: Sequence[Mapping[str, object]], schema: str
         names = list(rows[0])
         schema = ", ".join(f"`{n}` {_kind([r.get(n) for r in rows])}" for n in names)
         rows = [{n: float(v) if _kind([r.get(n) for r in rows]) == "double" and v is not None else v for n, v in x.items()} for x in rows]
-    names = [f.split("`")[1] if "`" in f else f.split()[0] for f in schema.split(", ")]
-    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema)
+    kinds = {(f.split("`")[1] if "`" in f else f.split()[0]): f.split()[-1] for f in schema.split(", ")}
+    fit = {"double": float, "long": int}
+    return spark.createDataFrame([tuple(fit.get(k, lambda x: x)(r[n]) if r.get(n) is not None else None for n, k in kinds.items()) for r in rows], schema)
 
 
 @dataclass(frozen=True)

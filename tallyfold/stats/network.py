@@ -48,22 +48,31 @@ def clustering(edges: DataFrame) -> DataFrame:
     return deg.join(tri, "node", "left").select("node", t.alias("triangles"), F.when(F.col("d") > 1, 2 * t / (F.col("d") * (F.col("d") - 1))).otherwise(0.0).alias("clustering"))
 
 
+def _checkpoint(df: DataFrame) -> DataFrame:
+    """Written to the folder in spark.checkpoint.dir; a temporary one where that is unset."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        import tempfile
+
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tallyfold-"))
+    return df.checkpoint()
+
+
 def eigenvector(edges: DataFrame, steps: int = 30) -> DataFrame:
-    """node and centrality by power iteration; each step is one join, and every few steps lineage is cut by a checkpoint."""
-    both = _both(edges).persist()
-    x = both.select(F.col("src").alias("node")).distinct().withColumn("x", F.lit(1.0))
-    sc = edges.sparkSession.sparkContext
+    """node and centrality by power iteration on A + I; each step is one join, and every few steps lineage is cut by a checkpoint."""
+    both = _both(edges)
+    nodes = both.select(F.col("src").alias("node")).distinct()
+    loops = nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(1.0).alias("weight"))
+    both = both.unionByName(loops).persist()
+    x = nodes.withColumn("x", F.lit(1.0))
     for i in range(steps):
-        y = both.join(x, both["dst"] == x["node"]).groupBy("src").agg(F.sum(F.col("weight") * F.col("x")).alias("x")).select(F.col("src").alias("node"), "x")
-        y = y.join(x.select("node", F.col("x").alias("before")), "node").select("node", (F.col("x") + F.col("before")).alias("x"))
-        norm = y.agg(F.sqrt(F.sum(F.col("x") ** 2)).alias("norm"))
-        x = y.crossJoin(F.broadcast(norm)).select("node", (F.col("x") / F.col("norm")).alias("x"))
-        if i % 5 == 4:
-            if sc.getCheckpointDir() is None:
-                import tempfile
-
-                sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tallyfold-"))
-            x = x.checkpoint()
+        y = both.join(x, both["dst"] == x["node"]).groupBy("src").agg(F.sum(F.col("weight") * F.col("x")).alias("x"))
+        x = y.select(F.col("src").alias("node"), "x")
+        if i % 4 == 3 or i == steps - 1:
+            x = _checkpoint(x)
+            norm = x.agg(F.sqrt(F.sum(F.col("x") ** 2))).first()[0] or 1.0
+            x = x.withColumn("x", F.col("x") / F.lit(norm))
+    both.unpersist()
     return x.withColumnRenamed("x", "centrality")
 
 
@@ -74,7 +83,7 @@ def communities(edges: DataFrame, steps: int = 5) -> DataFrame:
     for _ in range(steps):
         votes = both.join(labels, both["dst"] == labels["node"]).groupBy("src", "community").agg(F.sum("weight").alias("w"))
         best = votes.groupBy("src").agg(F.min(F.struct((-F.col("w")).alias("k"), "community")).alias("m"))
-        labels = best.select(F.col("src").alias("node"), F.col("m.community").alias("community"))
+        labels = _checkpoint(best.select(F.col("src").alias("node"), F.col("m.community").alias("community")))
     return labels
 
 
@@ -86,5 +95,6 @@ def distances(edges: DataFrame, sources: DataFrame, most: int = 6) -> DataFrame:
     for h in range(1, most + 1):
         step = front.join(both, front["node"] == both["src"]).select("source", F.col("dst").alias("node")).distinct()
         front = step.join(seen.select("source", "node"), ["source", "node"], "left_anti").withColumn("hops", F.lit(h))
-        seen = seen.unionByName(front)
+        front = _checkpoint(front)
+        seen = _checkpoint(seen.unionByName(front))
     return seen
