@@ -1,0 +1,260 @@
+"""A session: one active table, undo over immutable plans, declarations, and a command line over the operators."""
+
+from __future__ import annotations
+
+import re
+import shlex
+from collections.abc import Callable, Mapping
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyfold.functions import dsl
+from tallyfold.operators import aggregate as A
+from tallyfold.operators import joins as J
+from tallyfold.operators import sets as S
+from tallyfold.operators import text as W
+from tallyfold.operators import transform as X
+from tallyfold.sources import files, sql
+from tallyfold.stats import causal, evaluation, learning, likelihood, multivariate, network, regression, survival, timeseries
+from tallyfold.stats import tests as H
+
+ROW_ID = "_rid"
+#: Plans that undo can go back to.
+UNDO = 20
+
+
+def with_row_id(df: DataFrame) -> DataFrame:
+    """df with ROW_ID, the physical order: the row's place in its Parquet file, or an increasing number."""
+    if ROW_ID in df.columns:
+        return df
+    try:
+        return df.select("*", (F.xxhash64(F.col("_metadata.file_path")) * 0 + F.col("_metadata.row_index")).alias(ROW_ID)) if len(df.inputFiles()) == 1 else df.withColumn(ROW_ID, F.monotonically_increasing_id())
+    except Exception:  # tables without file metadata
+        return df.withColumn(ROW_ID, F.monotonically_increasing_id())
+
+
+class Session:
+    """`run` takes command lines; `df` is the active table, `result` the last report, `fit` the last model."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.df, self.result, self.fit = spark, None, None, None
+        self._undo: list[DataFrame] = []
+        self.macros: dict[str, str] = {}
+        self.settings: dict[str, Any] = {"seed": 42}
+
+    def use(self, df: DataFrame) -> DataFrame:
+        if self.df is not None:
+            self._undo = [*self._undo[-(UNDO - 1) :], self.df]
+        self.df = df
+        return df
+
+    def undo(self) -> DataFrame:
+        if not self._undo:
+            raise ValueError("nothing to undo")
+        self.df = self._undo.pop()
+        return self.df
+
+    def run(self, line: str) -> DataFrame | None:
+        """Runs one command. Tables become active, reports become `result`."""
+        for k, v in self.macros.items():
+            line = line.replace(f"`{k}'", v).replace(f"{{{k}}}", v)
+        words = line.strip().split(None, 2)
+        if not words:
+            return None
+        two = " ".join(words[:2])
+        name = two if two in COMMANDS else words[0]
+        if name not in COMMANDS:
+            raise ValueError(f"no command {name!r}; there are {', '.join(sorted(COMMANDS))}")
+        return COMMANDS[name](self, line.strip()[len(name) :].strip())
+
+    def script(self, text: str) -> None:
+        """Commands line by line; `#` begins a comment; `foreach v in a b { ... }` and `forvalues i = 1/3 { ... }` repeat."""
+        lines = [x.strip() for x in text.splitlines() if x.strip() and not x.strip().startswith("#")]
+        self._block(lines)
+
+    def _block(self, lines: list[str]) -> None:
+        i = 0
+        while i < len(lines):
+            m = re.match(r"(foreach|forvalues)\s+(\w+)\s*(?:in|=)\s*(.+?)\s*\{$", lines[i])
+            if not m:
+                self.run(lines[i])
+                i += 1
+                continue
+            depth, j = 1, i + 1
+            while j < len(lines) and depth:
+                depth += lines[j].endswith("{") - (lines[j] == "}")
+                j += 1
+            items = m[3].split() if m[1] == "foreach" else [str(k) for k in range(*(lambda a, b: (int(a), int(b) + 1))(*m[3].split("/")))]
+            for item in items:
+                self.macros[m[2]] = item
+                self._block(lines[i + 1 : j - 1])
+            self.macros.pop(m[2], None)
+            i = j
+
+    def report(self, df: DataFrame) -> DataFrame:
+        self.result = df
+        return df
+
+
+def _options(text: str) -> tuple[list[str], dict[str, str]]:
+    """Positional words, and options of the forms --k, --k=v, k=v and k(v)."""
+    found: dict[str, str] = {}
+
+    def take(m: re.Match) -> str:
+        found[m[1]] = m[2]
+        return " "
+
+    text = re.sub(r"(\w+)\(([^()]*)\)", take, text)
+    words = []
+    for w in shlex.split(text.replace(",", " ")):
+        if w.startswith("--"):
+            k, _, v = w[2:].partition("=")
+            found[k] = v or "true"
+        elif "=" in w[1:] and not w.startswith("="):
+            k, _, v = w.partition("=")
+            found[k] = v
+        else:
+            words.append(w)
+    return words, found
+
+
+COMMANDS: dict[str, Callable[[Session, str], DataFrame | None]] = {}
+
+
+def command(*names: str) -> Callable:
+    def add(f: Callable[[Session, str], DataFrame | None]) -> Callable:
+        COMMANDS.update(dict.fromkeys(names, f))
+        return f
+
+    return add
+
+
+def _table(name: str, f: Callable[..., DataFrame]) -> None:
+    COMMANDS[name] = lambda s, t: s.use(f(s, *_options(t)))
+
+
+def _report(name: str, f: Callable[..., DataFrame]) -> None:
+    COMMANDS[name] = lambda s, t: s.report(f(s, *_options(t)))
+
+
+def _by(s: Session) -> list[str]:
+    """The order columns of order-sensitive commands: the declared time, else the physical order."""
+    if "time" in s.settings:
+        return [s.settings["time"]]
+    s.df = with_row_id(s.df)
+    return [ROW_ID]
+
+
+command("load")(lambda s, t: s.use(files.load(s.spark, shlex.split(t)[0])))
+command("save")(lambda s, t: files.save(s.df.drop(ROW_ID), shlex.split(t)[0]))
+command("sqlload")(lambda s, t: s.use(files.sql_load(s.spark, *shlex.split(t)[:2])))
+command("sql")(lambda s, t: s.use(sql.run_sql(s.df.drop(ROW_ID), shlex.split(t)[0] if t[:1] in "\"'" else t)))
+command("filter", "keep")(lambda s, t: s.use(X.filter_rows(s.df, t)))
+command("derive", "generate")(lambda s, t: s.use(X.derive(s.df, t.partition("=")[0].strip(), t.partition("=")[2].strip())))
+command("undo")(lambda s, t: s.undo())
+command("set")(lambda s, t: s.settings.update([t.split(None, 1)]))
+command("tsset", "xtset", "stset")(lambda s, t: s.settings.update(time=_options(t)[0][-1], panel=_options(t)[0][0], **{k: v for k, v in _options(t)[1].items()}))
+command("local", "global")(lambda s, t: s.macros.update([t.split(None, 1)]))
+command("assert")(lambda s, t: s.report(A.assert_rule(s.df, t)))
+
+_table("select", lambda s, w, o: X.select(s.df, w))
+_table("dropna", lambda s, w, o: X.drop_null(s.df, w))
+_table("sort", lambda s, w, o: X.sort(s.df, w, "desc" in o))
+_table("rename", lambda s, w, o: X.rename(s.df, *w))
+_table("replace", lambda s, w, o: X.replace(s.df, *w))
+_table("encode", lambda s, w, o: X.encode(s.df, w[0], w[2] if len(w) > 2 else None))
+_table("recode", lambda s, w, o: X.recode(s.df, w[0], o))
+_table("fillna", lambda s, w, o: X.fill_null(s.df, w[0], "value" if "value" in o else w[1], o.get("value"), _by(s) if len(w) > 1 and w[1] in ("forward", "backward") else ()))
+_table("cast", lambda s, w, o: X.cast(s.df, dict(zip(w[::2], w[1::2], strict=True))))
+_table("bin", lambda s, w, o: X.bin_values(s.df, w[0], int(w[1]), o.get("into"), o["labels"].split() if "labels" in o else (), "equal-freq" in o))
+_table("anonymize", lambda s, w, o: X.anonymize(s.df, w, o.get("method", "mask")))
+_table("winsor", lambda s, w, o: X.winsor(s.df, w[0], float(o.get("p", 0.05)), o.get("gen")))
+_table("standardize", lambda s, w, o: X.standardize(s.df, w, o.get("gen")))
+_table("normalize", lambda s, w, o: X.normalize(s.df, w, o.get("gen")))
+_table("split", lambda s, w, o: X.split_text(s.df, w[0], o.get("sep", " "), o.get("gen")))
+_table("strtrim", lambda s, w, o: X.text_trim(s.df, w[0], o.get("gen")))
+_table("strupper", lambda s, w, o: X.text_upper(s.df, w[0], o.get("gen")))
+_table("strlower", lambda s, w, o: X.text_lower(s.df, w[0], o.get("gen")))
+_table("strreplace", lambda s, w, o: X.text_replace(s.df, *w[:3], o.get("gen")))
+_table("regex", lambda s, w, o: {"extract": X.regex_extract, "replace": X.regex_replace, "match": X.regex_match, "split": X.regex_split}[w[0]](s.df, *w[1:], **({"new": o["into"]} if "into" in o else {})))
+_table("datetime", lambda s, w, o: {"extract": X.datetime_extract, "diff": X.datetime_diff, "format": X.datetime_format, "parse": X.datetime_parse}[w[0]](s.df, *w[1:], **({"new": o["into"]} if "into" in o else {})))
+_table("decode", lambda s, w, o: X.decode(s.df, w[0], w[1], o.get("gen")))
+_table("lag", lambda s, w, o: X.lag(s.df, w[0], int(o.get("n", 1)), _by(s), o.get("into")))
+_table("lead", lambda s, w, o: X.lead(s.df, w[0], int(o.get("n", 1)), _by(s), o.get("into")))
+_table("cumulative", lambda s, w, o: X.cumulative(s.df, w[0], w[1], _by(s), o.get("into")))
+_table("rolling", lambda s, w, o: X.rolling(s.df, w[0], int(w[1]), w[2], _by(s), o.get("into"), "center" in o))
+_table("merge", lambda s, w, o: J.merge(s.df, files.load(s.spark, w[0]), w[2], o.get("how", "inner")))
+_table("antijoin", lambda s, w, o: J.anti_join(s.df, files.load(s.spark, w[0]), o["on"]))
+_table("semijoin", lambda s, w, o: J.semi_join(s.df, files.load(s.spark, w[0]), o["on"]))
+_table("fuzzyjoin", lambda s, w, o: J.fuzzy_join(s.df, files.load(s.spark, w[0]), o["on"], float(o.get("threshold", 80)), o.get("method", "ratio")))
+_table("sample stratified", lambda s, w, o: S.sample_stratified(s.df, o["by"], int(w[0]) if "." not in w[0] else None, float(w[0]) if "." in w[0] else None, int(s.settings["seed"])))
+_table("sample", lambda s, w, o: S.sample(s.df, None if w[0].endswith("%") else int(w[0]), float(w[0][:-1]) / 100 if w[0].endswith("%") else None, int(s.settings["seed"])))
+_table("append", lambda s, w, o: S.append(s.df, files.load(s.spark, w[1]), "force" in w))
+_table("pivot", lambda s, w, o: A.pivot(s.df, w[0], w[2], [w[4]] if len(w) > 4 else (), o.get("agg", "first")))
+_table("egen", lambda s, w, o: _egen(s, w, o))
+_table("collapse", lambda s, w, o: A.collapse(s.df, w[0], w[1:], o["by"].split() if "by" in o else ()))
+_table("groupby", lambda s, w, o: A.group_by(s.df, w[: w.index("agg")], [tuple(x.split(":")) for x in w[w.index("agg") + 1 :]], _by(s)))
+
+
+def _egen(s: Session, words: list[str], options: Mapping[str, str]) -> DataFrame:
+    how = next(k for k in options if k in ("mean", "sum", "min", "max", "median", "count", "rank", "group", "rowtotal", "rowmean"))
+    return A.egen(s.df, words[0].rstrip("="), how, options[how].split(), options["by"].split() if "by" in options else (), _by(s) if how == "rank" else ())
+
+
+for _n, _f in {
+    "describe": lambda s, w, o: X.describe(s.df), "head": lambda s, w, o: X.head(s.df, int(w[0]) if w else 10, _by(s)), "tail": lambda s, w, o: X.tail(s.df, int(w[0]) if w else 10, _by(s)), "count": lambda s, w, o: X.count(s.df),
+    "duplicates": lambda s, w, o: S.duplicates(s.df, w), "unique": lambda s, w, o: S.unique(s.df, w[0]), "mdpattern": lambda s, w, o: A.missing_pattern(s.df, w), "summarize": lambda s, w, o: A.summarize(s.df, w),
+    "tabulate": lambda s, w, o: A.tabulate(s.df, w[0]), "tabstat": lambda s, w, o: A.tabstat(s.df, w, o.get("stats", "mean sd min max n").split(), o.get("by")), "corr": lambda s, w, o: A.corr(s.df, w), "correlate": lambda s, w, o: A.corr(s.df, w),
+    "spearman": lambda s, w, o: A.spearman(s.df, w), "profile": lambda s, w, o: A.profile(s.df, w), "datadict": lambda s, w, o: A.data_dictionary(s.df), "crosstab": lambda s, w, o: A.crosstab(s.df, *w[:2]),
+    "textfreq": lambda s, w, o: W.text_frequency(s.df, w[0], int(o.get("top", 20)), "stopwords" in o), "lda": lambda s, w, o: W.lda(s.df, w[0], int(o.get("topics", 5))), "tfidf": lambda s, w, o: W.tfidf(s.df, w[0], _by(s)[0]),
+    "ttest": lambda s, w, o: H.ttest(s.df, w[0], w[w.index("by") + 1] if "by" in w else o.get("by"), float(o.get("mu", 0)), w[w.index("paired") + 1] if "paired" in w else None),
+    "chi2": lambda s, w, o: H.chi2(s.df, *w[:2]), "anova": lambda s, w, o: H.anova(s.df, w[0], w[2] if len(w) > 2 else o["by"]), "ranksum": lambda s, w, o: H.ranksum(s.df, w[0], o["by"]), "signrank": lambda s, w, o: H.signrank(s.df, *w[:2], mu=float(o.get("mu", 0))),
+    "kwallis": lambda s, w, o: H.kruskal(s.df, w[0], o["by"]), "posthoc": lambda s, w, o: H.posthoc(s.df, w[0], o["by"], next((m for m in ("bonferroni", "scheffe") if m in o), "tukey")), "cs": lambda s, w, o: H.cohort(s.df, *w[:2]), "cc": lambda s, w, o: H.case_control(s.df, *w[:2]),
+    "ir": lambda s, w, o: H.incidence(s.df, *w[:2]), "tost": lambda s, w, o: H.tost(s.df, w[0], o.get("by"), float(o.get("mu", 0)), float(o.get("delta", 0.5))), "meta": lambda s, w, o: H.meta(s.df, *w[:2], random="fe" not in o), "manova": lambda s, w, o: H.manova(s.df, w[:-1], w[-1]),
+    "bootstrap": lambda s, w, o: H.bootstrap(s.df, w[0], o.get("stat", "mean"), int(o.get("n", 2000))), "permtest": lambda s, w, o: H.permutation(s.df, w[0], o["by"], int(o.get("n", 2000))), "jackknife": lambda s, w, o: H.jackknife(s.df, w[0], o.get("stat", "mean")),
+    "roc": lambda s, w, o: evaluation.auc(s.df, *w[:2]), "confmatrix": lambda s, w, o: evaluation.confusion(s.df, *w[:2], float(o.get("threshold", 0.5))), "calibration": lambda s, w, o: evaluation.calibration(s.df, *w[:2], int(o.get("bins", 10))),
+    "pca": lambda s, w, o: multivariate.pca(s.df, w, int(o["n"]) if "n" in o else None), "factor": lambda s, w, o: multivariate.factor(s.df, w, int(o.get("n", 2)), o.get("method", "pc")), "mds": lambda s, w, o: multivariate.mds(s.df, w), "tsne": lambda s, w, o: multivariate.tsne(s.df, w),
+    "cluster": lambda s, w, o: (multivariate.kmeans if w[0] == "kmeans" else multivariate.hierarchical)(s.df, w[1:], int(o.get("k", 3))), "discriminant": lambda s, w, o: multivariate.discriminant(s.df, w[0], w[1:], o.get("method", "lda")), "mixture": lambda s, w, o: multivariate.mixture(s.df, w[0], int(o.get("k", 3))),
+    "irt": lambda s, w, o: multivariate.irt(s.df, w, o.get("model", "2pl")), "vif": lambda s, w, o: regression.vif(s.df, w or [t[0] for t in s.fit.formula.terms]), "ridge": lambda s, w, o: regression.ridge(s.df, w[0], w[1:], float(o.get("alpha", 1))),
+    "lasso": lambda s, w, o: regression.lasso(s.df, w[0], w[1:], float(o.get("alpha", 0.1))), "elasticnet": lambda s, w, o: regression.elasticnet(s.df, w[0], w[1:], float(o.get("alpha", 1)), float(o.get("l1ratio", 0.5))), "pls": lambda s, w, o: regression.pls(s.df, w[0], w[1:]), "pcr": lambda s, w, o: regression.pcr(s.df, w[0], w[1:]),
+    "cart": lambda s, w, o: learning.train(s.df, w[0], w[1:], "cart", o.get("task", "regression"))[1], "randomforest": lambda s, w, o: learning.train(s.df, w[0], w[1:], "rf", o.get("task", "regression"))[1], "gbm": lambda s, w, o: learning.train(s.df, w[0], w[1:], "gbm", o.get("task", "regression"))[1],
+    "svm": lambda s, w, o: learning.train(s.df, w[0], w[1:], "svm", o.get("task", "classification"))[1], "shap": lambda s, w, o: learning.shap_linear(s.df, w[0], w[1:]), "crossval": lambda s, w, o: learning.cross_validate(s.df, w[0], w[1:], int(o.get("folds", 5))), "arules": lambda s, w, o: learning.association_rules(s.df, w[0], w[1]),
+    "mediate": lambda s, w, o: regression.mediation(s.df, *w[:3]), "modmediate": lambda s, w, o: regression.mod_mediation(s.df, *w[:4]), "psmatch": lambda s, w, o: causal.psmatch(s.df, w[0], o["treatment"], [x for x in w[1:] if x not in "~+"]),
+    "iptw": lambda s, w, o: causal.iptw(s.df, w[0], o["treatment"], [x for x in w[1:] if x not in "~+"], "att" in o), "cate": lambda s, w, o: causal.cate(s.df, w[0], w[1], w[2:], o.get("method", "tlearner")), "spline": lambda s, w, o: causal.spline(s.df, w[0], w[1]),
+    "sts": lambda s, w, o: survival.logrank(s.df, s.settings["time"], s.settings["failure"], w[1]) if w[0] == "test" else survival.kaplan_meier(s.df, s.settings["time"], s.settings["failure"], o.get("by")), "competing": lambda s, w, o: survival.competing(s.df, *w[:3]),
+    "dfuller": lambda s, w, o: timeseries.dickey_fuller(s.df, w[0], _by(s)), "granger": lambda s, w, o: timeseries.granger(s.df, w[0], w[1], _by(s), int(o.get("maxlag", 4))), "johansen": lambda s, w, o: timeseries.johansen(s.df, w, _by(s))[0], "vecm": lambda s, w, o: timeseries.vecm(s.df, w, _by(s)),
+    "garch": lambda s, w, o: timeseries.garch(s.df, w[0], _by(s)), "arch": lambda s, w, o: timeseries.garch(s.df, w[0], _by(s), q=0), "stl": lambda s, w, o: timeseries.stl(s.df, w[0], _by(s), int(o.get("period", 12))), "changepoint": lambda s, w, o: timeseries.changepoints(s.df, w[0], _by(s), int(o.get("n", 5))),
+    "joinpoint": lambda s, w, o: timeseries.joinpoint(s.df, w[0], w[1]), "network": lambda s, w, o: network.degree(network.build(s.df, *w[1:3])),
+}.items():
+    _report(_n, _f)
+
+
+def _model(name: str, fit: Callable[..., regression.Fit]) -> None:
+    def run(s: Session, text: str) -> DataFrame:
+        spec, *rest = re.split(r"\s--|,", text, maxsplit=1)
+        _, o = _options("--" + rest[0] if rest else "")
+        s.fit = fit(s.df, spec.strip(), o)
+        return s.report(s.fit.tidy(s.df))
+
+    COMMANDS[name] = run
+
+
+_model("ols", lambda df, f, o: regression.ols(df, f, "robust" in o, o.get("cluster")))
+for _k in ("logit", "probit", "poisson"):
+    _model(_k, lambda df, f, o, k=_k: regression.glm(df, f, k, "robust" in o, o.get("cluster"), o.get("exposure")))
+_model("quantreg", lambda df, f, o: regression.quantreg(df, f, float(o.get("tau", 0.5))))
+_model("stepwise", lambda df, f, o: regression.stepwise(df, f, "backward" in o))
+for _k, _g in {"negbin": likelihood.negbin, "zip": likelihood.zip_model, "zinb": likelihood.zinb, "betareg": likelihood.betareg, "mlogit": likelihood.mlogit, "tobit": likelihood.tobit}.items():
+    _model(_k, lambda df, f, o, g=_g: g(df, f))
+_model("ologit", lambda df, f, o: likelihood.ordered(df, f))
+_model("oprobit", lambda df, f, o: likelihood.ordered(df, f, "probit"))
+command("predict")(lambda s, t: s.use(regression.predict(s.df, s.fit, t.strip() or "yhat")))
+command("residuals")(lambda s, t: s.use(regression.residuals(s.df, s.fit, t.strip() or "resid")))
+command("estat")(lambda s, t: s.report(regression.estat(s.df, s.fit, t.strip())))
+command("margins")(lambda s, t: s.report(regression.margins(s.df, s.fit, _options(t)[1].get("at", "means"))))
+command("xtreg")(lambda s, t: s.report(regression.xtreg(s.df, t.partition(",")[0], s.settings["panel"], next((h for h in ("re", "be") if h in t.partition(",")[2].split()), "fe")).tidy(s.df)))
+command("stcox")(lambda s, t: s.report(survival.cox(s.df, s.settings["time"], s.settings["failure"], _options(t)[0]).tidy(s.df)))
+command("mixed")(lambda s, t: s.report(causal.mixed(s.df, t.partition("||")[0], t.partition("||")[2].partition(":")[0].strip())))
+command("formula")(lambda s, t: dsl.formula(t) and None)
