@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions import dsl
 from tallyfold.functions.exprs import col, count_if, n_unique
-from tallyfold.operators.ordered import order_statistics
+from tallyfold.operators.ordered import RN, numbered, order_statistics
 from tallyfold.operators.transform import need, numeric_columns
 
 
@@ -92,9 +92,12 @@ def egen(df: DataFrame, new: str, how: str, columns: Sequence[str], by: Sequence
         return df.withColumn(new, F.when(n > 0, total / n))
     c = columns[0]
     if how == "rank":
-        w = Window.partitionBy(*map(col, by)) if by else Window.partitionBy()
-        w = w.orderBy(col(c).asc_nulls_last(), *(col(o) for o in order))
-        return df.withColumn(new, F.when(col(c).isNotNull(), F.row_number().over(w)))
+        if not by:
+            ranked = numbered(df.where(col(c).isNotNull()), [c, *order])
+            nulls = df.where(col(c).isNull()).withColumn(new, F.lit(None).cast("long"))
+            return ranked.withColumn(new, F.col(RN) + 1).drop(RN).unionByName(nulls)
+        w = Window.partitionBy(*map(col, by)).orderBy(col(c).asc_nulls_last(), *(col(o) for o in order))
+        return df.withColumn(new, F.when(col(c).isNotNull(), F.row_number().over(w)).cast("long"))
     if how == "group":
         from tallyfold.operators.transform import encode
 

@@ -127,6 +127,7 @@ register("collapse", lambda s, d: rounded(A.collapse(Tables(s, d).customer, "med
 register("collapse_global", lambda s, d: rounded(A.collapse(Tables(s, d).customer, "mean", ["c_acctbal"]), 4), "SELECT round(avg(c_acctbal), 4) AS c_acctbal FROM customer")
 register("egen_by", lambda s, d: rounded(A.egen(Tables(s, d).orders, "m", "mean", ["o_totalprice"], ["o_orderpriority"]).select("o_orderkey", "m"), 4), "SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_orderpriority), 4) AS m FROM orders")
 register("egen_rank", lambda s, d: A.egen(Tables(s, d).customer, "r", "rank", ["c_acctbal"], ["c_nationkey"], ["c_custkey"]).selectExpr("c_custkey", "cast(r as bigint) r"), "SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS r FROM customer")
+register("egen_rank_all", lambda s, d: A.egen(Tables(s, d).customer, "r", "rank", ["c_acctbal"], order=["c_custkey"]).select("c_custkey", "r"), "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS r FROM customer")
 register("egen_group", lambda s, d: A.egen(Tables(s, d).part, "g", "group", ["p_brand"]).select("p_partkey", "g"), "SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS BIGINT) AS g FROM part")
 register("egen_row", lambda s, d: rounded(A.egen(A.egen(Tables(s, d).lineitem.limit(0).unionByName(Tables(s, d).lineitem), "t", "rowtotal", ["l_quantity", "l_tax"]), "m", "rowmean", ["l_quantity", "l_tax"]).groupBy("l_returnflag").agg(F.sum("t").alias("t"), F.sum("m").alias("m")), 4), "SELECT l_returnflag, round(sum(l_quantity + l_tax), 4) AS t, round(sum((l_quantity + l_tax) / 2), 4) AS m FROM lineitem GROUP BY 1")
 register("pivot_sum", lambda s, d: rounded(A.pivot(Tables(s, d).orders, "o_totalprice", "o_orderstatus", ["o_orderpriority"], "sum"), 2), "SELECT o_orderpriority, " + ", ".join(f"round(sum(o_totalprice) FILTER (o_orderstatus = '{x}'), 2) AS \"{x}\"" for x in "FOP") + " FROM orders GROUP BY 1")
