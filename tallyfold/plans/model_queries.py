@@ -79,8 +79,8 @@ register("svy_ols", lambda s, d: rounded(R.svy_ols(_LI(s, d), "l_extendedprice ~
     "WITH m AS (SELECT sum(l_quantity) AS w, sum(l_quantity * l_discount) AS x, sum(l_quantity * l_extendedprice) AS y, sum(l_quantity * l_discount * l_extendedprice) AS xy, sum(l_quantity * l_discount ** 2) AS xx FROM lineitem), b AS (SELECT (xy - x * y / w) / (xx - x * x / w) AS b, * FROM m) SELECT 'const' AS term, round(y / w - b * x / w, 2) AS coef FROM b UNION ALL SELECT 'l_discount', round(b, 2) FROM b")
 register("estat_deff", lambda s, d: rounded(R.design_effect(_LI(s, d), "l_quantity"), 4), "SELECT round(count(*) * sum(l_quantity ** 2) / sum(l_quantity) ** 2, 4) AS deff, round(sum(l_quantity) ** 2 / sum(l_quantity ** 2), 4) AS effective_n FROM lineitem")
 register("ridge", lambda s, d: rounded(R.ridge(_LI(s, d), "l_extendedprice", ["l_quantity"], 10.0), 3), "SELECT 'const' AS term, round(avg(l_extendedprice), 3) AS coef FROM lineitem UNION ALL SELECT 'l_quantity', round(covar_pop(l_extendedprice, l_quantity) / stddev_pop(l_quantity) * count(*) / (count(*) + 10.0), 3) FROM lineitem")
-register("lasso", lambda s, d: rounded(R.lasso(_LI(s, d), "l_extendedprice", ["l_quantity"], 100.0), 3), "SELECT 'const' AS term, round(avg(l_extendedprice), 3) AS coef FROM lineitem UNION ALL SELECT 'l_quantity', round(covar_pop(l_extendedprice, l_quantity) / stddev_pop(l_quantity) - 100, 3) FROM lineitem")
-register("elasticnet", lambda s, d: rounded(R.elasticnet(_LI(s, d), "l_extendedprice", ["l_quantity"], 1.0, 0.5), 3), "SELECT 'const' AS term, round(avg(l_extendedprice), 3) AS coef FROM lineitem UNION ALL SELECT 'l_quantity', round((covar_pop(l_extendedprice, l_quantity) / stddev_pop(l_quantity) - 0.5) / 1.5, 3) FROM lineitem")
+register("lasso", lambda s, d: rounded(R.lasso(_LI(s, d), "l_extendedprice", ["l_quantity"], 100.0), 3), "SELECT 'const' AS term, round(avg(l_extendedprice), 3) AS coef FROM lineitem UNION ALL SELECT 'l_quantity', round(sign(covar_pop(l_extendedprice, l_quantity) / stddev_pop(l_quantity)) * greatest(abs(covar_pop(l_extendedprice, l_quantity) / stddev_pop(l_quantity)) - 100, 0), 3) FROM lineitem")
+register("elasticnet", lambda s, d: rounded(R.elasticnet(_LI(s, d), "l_extendedprice", ["l_quantity"], 1.0, 0.5), 3), "SELECT 'const' AS term, round(avg(l_extendedprice), 3) AS coef FROM lineitem UNION ALL SELECT 'l_quantity', round(sign(covar_pop(l_extendedprice, l_quantity) / stddev_pop(l_quantity)) * greatest(abs(covar_pop(l_extendedprice, l_quantity) / stddev_pop(l_quantity)) - 0.5, 0) / 1.5, 3) FROM lineitem")
 register("pcr", lambda s, d: rounded(R.pcr(_LI(s, d), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"]), 4))
 register("pls", lambda s, d: rounded(R.pls(_LI(s, d), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"]), 4))
 register("mediate", lambda s, d: R.mediation(_LI(s, d), "l_extendedprice", "l_quantity", "l_discount"))
