@@ -1,8 +1,7 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only.
 
-Lines are split at \\n over the whole corpus. A line's shingles are its substrings of
-SHINGLE bytes (a shorter line is its own shingle): all of them, or in lines of LONG bytes
-and more those that begin a word. Equal lines are one node. Six
+Lines are split at \\n over the whole corpus. A line's shingles are all its substrings of
+SHINGLE bytes (a shorter line is its own shingle). Equal lines are one node. Six
 min-hashes of one 64-bit shingle hash (least and greatest, under three XOR masks) are
 banded in pairs around a ring. A bucket's nodes are compared with its least node and
 with a few neighbours by the exact Jaccard similarity of their shingles; links of at
@@ -30,8 +29,6 @@ SHINGLE = 12
 SIMILAR = 80
 #: Fixed masks under which the least and the greatest hash of a line are taken.
 MASKS = (0, 0x1234567890ABCDEF, 0x5BD1E9955BD1E995)
-#: Bytes from which a line is signed by the shingles at its word beginnings.
-LONG = 128
 #: Nodes after a node in a bucket that it is compared with, and nodes of one chunk of a large bucket.
 NEIGHBOURS, CHUNK = 3, 1000
 _LAST = (1 << 63) - 1
@@ -55,21 +52,12 @@ def _starts(n: Column) -> Column:
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
-    """h, dense and the six min-hashes v0 .. v5 of every different line.
-
-    Lines of under LONG bytes, and lines with few spaces (so those of scripts without),
-    use all their shingles (dense), longer lines those at word beginnings. Similar lines
-    have lengths of a like size, so lines near LONG get both signatures.
-    """
-    n = F.octet_length("line")
-    few = (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))) * 24 < F.length("line")
-    kinds = F.array_compact(F.array(F.when(few | (n * SIMILAR < LONG * 100), F.lit(True)), F.when(~few & (n * 100 >= LONG * SIMILAR), F.lit(False))))
-    rows = lines.select("h", F.col("line").cast("binary").alias("b"), F.explode(kinds).alias("dense"))
-    places = rows.select("h", "b", "dense", F.explode(_starts(F.octet_length("b"))).alias("i"))
-    places = places.where(F.col("dense") | (F.col("i") == 1) | (F.substring("b", F.col("i") - 1, F.lit(1)) == F.lit(b" ")))
-    s = places.select("h", "dense", F.xxhash64(F.substring("b", F.col("i"), F.lit(SHINGLE))).alias("s"))
+    """h and the six min-hashes v0 .. v5 of every different line, over all its shingles."""
+    rows = lines.select("h", F.col("line").cast("binary").alias("b"))
+    places = rows.select("h", "b", F.explode(_starts(F.octet_length("b"))).alias("i"))
+    s = places.select("h", F.xxhash64(F.substring("b", F.col("i"), F.lit(SHINGLE))).alias("s"))
     masked = [F.col("s").bitwiseXOR(F.lit(m)) for m in MASKS]
-    return s.groupBy("h", "dense").agg(*(f(m).alias(f"v{2 * i + j}") for i, m in enumerate(masked) for j, f in enumerate((F.min, F.max))))
+    return s.groupBy("h").agg(*(f(m).alias(f"v{2 * i + j}") for i, m in enumerate(masked) for j, f in enumerate((F.min, F.max))))
 
 
 def _candidates(signatures: DataFrame) -> DataFrame:
@@ -79,30 +67,25 @@ def _candidates(signatures: DataFrame) -> DataFrame:
     greatest and the XOR of all. Larger ones are split into chunks of about CHUNK nodes.
     """
     n = 2 * len(MASKS)
-    bands = F.array(*(F.xxhash64(F.lit(i), "dense", F.col(f"v{i}"), F.col(f"v{(i + 1) % n}")) for i in range(n)))
-    rows = signatures.select("h", "dense", F.explode(bands).alias("band"))
-    buckets = cut(rows.groupBy("band").agg(F.first("dense").alias("dense"), F.min("h").alias("b"), F.max("h").alias("a"), F.bit_xor("h").alias("x"), F.count("*").alias("n")).where("n > 1"))
+    bands = F.array(*(F.xxhash64(F.lit(i), F.col(f"v{i}"), F.col(f"v{(i + 1) % n}")) for i in range(n)))
+    rows = signatures.select("h", F.explode(bands).alias("band"))
+    buckets = cut(rows.groupBy("band").agg(F.min("h").alias("b"), F.max("h").alias("a"), F.bit_xor("h").alias("x"), F.count("*").alias("n")).where("n > 1"))
     middle = F.col("x").bitwiseXOR(F.col("a")).bitwiseXOR(F.col("b"))
-    three = buckets.where("n = 3").select("dense", "a", "b", middle.alias("c"))
-    small = buckets.where("n < 4").select("dense", "a", "b").unionByName(three.select("dense", "a", F.col("c").alias("b"))).unionByName(three.select("dense", F.col("c").alias("a"), "b"))
+    three = buckets.where("n = 3").select("a", "b", middle.alias("c"))
+    small = buckets.where("n < 4").select("a", "b").unionByName(three.select("a", F.col("c").alias("b"))).unionByName(three.select(F.col("c").alias("a"), "b"))
     members = rows.join(narrow(buckets.where("n > 3").select("band", "b", "n")), "band")
     chunk = F.pmod(F.xxhash64(F.lit(1), "h"), F.ceil(F.col("n") / CHUNK))
     order = Window.partitionBy("band", chunk).orderBy(F.xxhash64("h", "band"), "h")
     after = F.array(F.col("b"), *(F.lead("h", k).over(order) for k in range(1, NEIGHBOURS + 1)))
-    large = members.select("h", "dense", after.alias("after")).select("dense", F.col("h").alias("a"), F.explode("after").alias("b")).where("a <> b")
+    large = members.select("h", after.alias("after")).select(F.col("h").alias("a"), F.explode("after").alias("b")).where("a <> b")
     pairs = small.unionByName(large)
-    return pairs.select("dense", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def _shingles(line: str) -> Column:
-    """The different shingles of a line, as 32-bit hashes: all of them, or if not `dense` those at word beginnings.
-
-    Two lines hold a few hundred shingles each: the chance that two of them share a hash by accident is about one in 100,000 pairs.
-    """
+    """The different shingles of a line, as 64-bit hashes."""
     b = F.col(line)
-    begins = lambda i: (i == 1) | (F.substring(b, i - 1, F.lit(1)) == F.lit(b" "))
-    starts = F.when(F.col("dense"), _starts(F.octet_length(b))).otherwise(F.filter(_starts(F.octet_length(b)), begins))
-    return F.array_distinct(F.transform(starts, lambda i: F.hash(F.substring(b, i, F.lit(SHINGLE)))))
+    return F.array_distinct(F.transform(_starts(F.octet_length(b)), lambda i: F.xxhash64(F.substring(b, i, F.lit(SHINGLE)))))
 
 
 def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -112,15 +95,16 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.select("w.h", F.get("lines", F.col("w.pos")).cast("binary").alias("line"))
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, groups: DataFrame) -> DataFrame:
+def _sets(rows: DataFrame, spots: DataFrame) -> DataFrame:
+    """h and the shingle set s of the lines at the spots (h, key, pos)."""
+    return _texts(rows, spots.select("h", "key", "pos")).dropDuplicates(["h"]).select("h", _shingles("line").alias("s"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose shingle sets have a Jaccard similarity of SIMILAR hundredths or more."""
-    ends = pairs.select("dense", F.explode(F.array("a", "b")).alias("h")).distinct()
-    wanted = cut(ends.join(groups.select("h", "key", "pos"), "h"))
-    texts = _texts(rows, wanted.select("h", "key", "pos").distinct())
-    sets = cut(texts.join(narrow(wanted.select("h", "dense")), "h").select("h", "dense", _shingles("line").alias("s")).dropDuplicates(["h", "dense"]))
-    left, right = sets.select("dense", F.col("h").alias("a"), F.col("s").alias("x")), sets.select("dense", F.col("h").alias("b"), F.col("s").alias("y"))
-    met = pairs.join(left, ["a", "dense"]).join(right, ["b", "dense"])
-    return met.where(F.exists(F.array(F.struct("x", "y")), _similar)).select("a", "b").distinct()
+    left, right = sets.select(F.col("h").alias("a"), F.col("s").alias("x")), sets.select(F.col("h").alias("b"), F.col("s").alias("y"))
+    met = pairs.join(left, "a").join(right, "b")
+    return met.where(F.exists(F.array(F.struct("x", "y")), _similar)).select("a", "b")
 
 
 def _similar(pair: Column) -> Column:
@@ -143,7 +127,8 @@ def _masks(docs: DataFrame) -> DataFrame:
     release(docs.sparkSession)
     near = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     spots = cut(places.join(narrow(near), "h").groupBy("h", "key").agg(F.min("pos").alias("pos")).join(groups.select("h", "key"), ["h", "key"]))
-    links = cut(_verified(pairs, rows, spots))
+    sets = cut(_sets(rows, spots))
+    links = cut(_verified(pairs, sets))
     release(docs.sparkSession)
     parts = components(links)
     of = groups.join(narrow(cut(parts)), F.col("h") == F.col("node"), "left").select("h", "h2", "at", "n", "component")

@@ -207,6 +207,22 @@ def test_line_dedup(spark, edge, empty):
     assert kept.where("doc_id = 4").select("text").first()[0].startswith("same line")
 
 
+def test_line_dedup_long_lines_by_all_shingles(spark):
+    r = random.Random(7)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    docs, near = [], []
+    for i in range(20):
+        short, long = [word(2) for _ in range(8)], [word(15) for _ in range(9)]
+        edited = [*short[:5], "##", *short[6:]]  # one edit: Jaccard above 0.8, but a third of the word beginnings change
+        docs += [(2 * i, " ".join(short + long)), (2 * i + 1, " ".join(edited + long))]
+        near.append(2 * i + 1)
+        far = [word(16) for _ in range(10)]  # edits past the first 12 bytes of each word: beginnings stay, Jaccard is far below 0.8
+        docs += [(1000 + 2 * i, " ".join(far)), (1001 + 2 * i, " ".join(x[:13] + "#" + x[14:] for x in far))]
+    gone = {x.doc_id for x in line_dedup.line_dedup(_frame(spark, docs)).where("n_removed > 0").collect()}
+    assert gone <= set(near)
+    assert len(gone) >= 19  # banding may miss a link
+
+
 def _links_brute(docs):
     sets = []
     for _, t in docs:
