@@ -5,10 +5,12 @@ SHINGLE bytes (a shorter line is its own shingle). Equal lines are one node. Six
 min-hashes of one 64-bit shingle hash (least and greatest, under three XOR masks) are
 banded in pairs around a ring. A bucket's nodes are compared with its least node and
 with a few neighbours by the exact Jaccard similarity of their shingles; links of at
-least 0.8 are joined by a distributed union-find. Of each component the first line, by (doc_id, place), stays.
+least 0.8 are joined by a distributed union-find. Nodes of larger buckets that are not
+one component then meet by a prefix filter, which leaves out only pairs below 0.8: so
+all nodes of a bucket are compared, in one component, or too far apart. Of each
+component the first line, by (doc_id, place), stays.
 
-Shingles are exploded, hashed and aggregated inside generated code; nothing grows with
-the square of a bucket.
+Shingles are exploded, hashed and aggregated inside generated code.
 
 Cases: a null text stays null and an empty one empty; lines of white space only are
 always kept; repeated rows are judged as one document and each get its result; equal
@@ -60,8 +62,10 @@ def _signatures(lines: DataFrame) -> DataFrame:
     return s.groupBy("h").agg(*(f(m).alias(f"v{2 * i + j}") for i, m in enumerate(masked) for j, f in enumerate((F.min, F.max))))
 
 
-def _candidates(signatures: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket's nodes: each with the least node, and each with the next NEIGHBOURS in an order that differs from band to band.
+def _candidates(signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """First pairs (a, b) of a bucket's nodes, and the nodes (band, h) of buckets of more than three.
+
+    Each node is paired with the least one, and with the next NEIGHBOURS in an order that differs from band to band.
 
     Buckets of two or three need no second look: their nodes follow from the least, the
     greatest and the XOR of all. Larger ones are split into chunks of about CHUNK nodes.
@@ -73,13 +77,13 @@ def _candidates(signatures: DataFrame) -> DataFrame:
     middle = F.col("x").bitwiseXOR(F.col("a")).bitwiseXOR(F.col("b"))
     three = buckets.where("n = 3").select("a", "b", middle.alias("c"))
     small = buckets.where("n < 4").select("a", "b").unionByName(three.select("a", F.col("c").alias("b"))).unionByName(three.select(F.col("c").alias("a"), "b"))
-    members = rows.join(narrow(buckets.where("n > 3").select("band", "b", "n")), "band")
+    members = cut(rows.join(narrow(buckets.where("n > 3").select("band", "b", "n")), "band"))
     chunk = F.pmod(F.xxhash64(F.lit(1), "h"), F.ceil(F.col("n") / CHUNK))
     order = Window.partitionBy("band", chunk).orderBy(F.xxhash64("h", "band"), "h")
     after = F.array(F.col("b"), *(F.lead("h", k).over(order) for k in range(1, NEIGHBOURS + 1)))
     large = members.select("h", after.alias("after")).select(F.col("h").alias("a"), F.explode("after").alias("b")).where("a <> b")
     pairs = small.unionByName(large)
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), members.select("band", "h")
 
 
 def _shingles(line: str) -> Column:
@@ -95,16 +99,42 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.select("w.h", F.get("lines", F.col("w.pos")).cast("binary").alias("line"))
 
 
-def _sets(rows: DataFrame, spots: DataFrame) -> DataFrame:
-    """h and the shingle set s of the lines at the spots (h, key, pos)."""
-    return _texts(rows, spots.select("h", "key", "pos")).dropDuplicates(["h"]).select("h", _shingles("line").alias("s"))
+def _found(rows: DataFrame, spots: DataFrame) -> DataFrame:
+    """h, text and number of shingles n of the lines at the spots (h, key, pos)."""
+    return _texts(rows, spots.select("h", "key", "pos")).dropDuplicates(["h"]).select("h", "line", F.size(_shingles("line")).alias("n"))
+
+
+def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose shingle sets have a Jaccard similarity of SIMILAR hundredths or more. Texts are sent: they are a small part of their sets."""
+    left, right = (found.select(F.col("h").alias(h), F.col("line").alias(line), F.col("n").alias(n)) for h, line, n in (("a", "x", "n"), ("b", "y", "m")))
+    met = pairs.join(left, "a").join(right, "b").where(100 * F.least("n", "m") >= SIMILAR * F.greatest("n", "m"))
+    return met.where(F.exists(F.array(F.struct(_shingles("x").alias("x"), _shingles("y").alias("y"))), _similar)).select("a", "b")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose shingle sets have a Jaccard similarity of SIMILAR hundredths or more."""
-    left, right = sets.select(F.col("h").alias("a"), F.col("s").alias("x")), sets.select(F.col("h").alias("b"), F.col("s").alias("y"))
-    met = pairs.join(left, "a").join(right, "b")
-    return met.where(F.exists(F.array(F.struct("x", "y")), _similar)).select("a", "b")
+def _rest(members: DataFrame, found: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs of nodes of different components that may be similar, among the nodes of buckets that hold several components.
+
+    Shingles are put in one order, those that are frequent in every eighth node last; any
+    order gives the same links, this one few pairs. Of sets of sizes n >= m with a
+    Jaccard similarity of 0.8 or more, 9 * shared >= 4 * (n + m): so they have their first
+    common shingle at places i and j with 9 * min(n - i, m - j) >= 4 * (n + m), which is
+    among the first n // 5 + 1 of the larger and the first m // 9 + 1 of the smaller.
+    """
+    of = members.join(narrow(parts), F.col("h") == F.col("node"), "left").select("band", "h", F.coalesce("component", "h").alias("part"))
+    several = of.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("band")
+    live = of.join(several, "band").select("h", "part").distinct()
+    held = cut(found.join(narrow(cut(live)), "h"))
+    shingles = lambda rows: rows.select("h", "part", "n", F.explode(_shingles("line")).alias("g"))
+    spread = cut(shingles(held.where("pmod(h, 8) = 0")).groupBy("g").agg(F.count("*").alias("f")).where("f > 1"))
+    least = (spread.agg(F.sum("f")).first()[0] or 0) >> 20
+    ordered = shingles(held.repartition("h")).join(narrow(spread.where(F.col("f") > least)), "g", "left").groupBy("h", "part", "n")
+    ordered = ordered.agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "g"))).alias("gs"))
+    prefix = ordered.select("h", "part", "n", F.posexplode(F.slice("gs", F.lit(1), F.floor(F.col("n") / 5).cast("int") + 1)).alias("i", "e"))
+    prefix = cut(prefix.select("h", "part", "n", "i", F.col("e.g").alias("g")))
+    release(found.sparkSession)
+    x, y = prefix.alias("x"), prefix.where("9 * i <= n").alias("y")
+    met = x.join(y, F.expr("x.g = y.g and x.part <> y.part and (x.n > y.n or (x.n = y.n and x.h > y.h)) and 9 * least(x.n - x.i, y.n - y.i) >= 4 * (x.n + y.n)"))
+    return met.select(F.greatest("x.h", "y.h").alias("a"), F.least("x.h", "y.h").alias("b")).distinct()
 
 
 def _similar(pair: Column) -> Column:
@@ -123,12 +153,16 @@ def _masks(docs: DataFrame) -> DataFrame:
     groups = cut(places.groupBy("h", "h2").agg(F.min("at").alias("at"), F.count("*").alias("n"), F.min("key").alias("key")))
     signatures = cut(_signatures(lines))
     release(docs.sparkSession)
-    pairs = cut(_candidates(signatures))
+    first, members = _candidates(signatures)
+    pairs = cut(first)
     release(docs.sparkSession)
     near = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     spots = cut(places.join(narrow(near), "h").groupBy("h", "key").agg(F.min("pos").alias("pos")).join(groups.select("h", "key"), ["h", "key"]))
-    sets = cut(_sets(rows, spots))
-    links = cut(_verified(pairs, sets))
+    found = cut(_found(rows, spots))
+    links = cut(_verified(pairs, found))
+    release(docs.sparkSession)
+    parts = cut(components(links))
+    links = links.unionByName(cut(_verified(cut(_rest(members, found, parts)), found)))
     release(docs.sparkSession)
     parts = components(links)
     of = groups.join(narrow(cut(parts)), F.col("h") == F.col("node"), "left").select("h", "h2", "at", "n", "component")

@@ -223,6 +223,18 @@ def test_line_dedup_long_lines_by_all_shingles(spark):
     assert len(gone) >= 19  # banding may miss a link
 
 
+def test_line_dedup_large_buckets(spark):
+    r = random.Random(8)
+    text = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)).replace("  ", "xy")
+    form, docs = text(94), []  # forms share about 0.6 of their shingles and so bands; copies have a Jaccard of about 0.95
+    for i in range(300):
+        line = form + text(26)
+        docs += [(2 * i, f"q{line}q"), (2 * i + 1, f"q{line[:-3]}###q")]
+    gone = [x.doc_id for x in line_dedup.line_dedup(_frame(spark, docs)).where("n_removed > 0").collect()]
+    assert all(x % 2 for x in gone)
+    assert len(gone) >= 295  # banding may miss a link
+
+
 def _links_brute(docs):
     sets = []
     for _, t in docs:
