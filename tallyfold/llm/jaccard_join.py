@@ -53,7 +53,7 @@ PER_PIVOT, PER_GROUP, SHARD_BYTES = 200, 2000, 8 << 20
 #: Rows of a region up to which all its pairs are looked at in one vector operation.
 SMALL_REGION = 64
 _LAST = (1 << 63) - 1
-_NARROW = "ord long, n int, c long, c2 long, " + ", ".join(f"m{k} long" for k in range(ORDERS)) + ", counts binary"
+_NARROW = "ord long, n int, c long, c2 long, " + ", ".join(f"m{k} long" for k in range(ORDERS)) + ", counts binary, t long"
 _U = np.uint64
 
 
@@ -74,17 +74,17 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _read(docs: DataFrame) -> DataFrame:
-    """Per row the size and name of its set, its first shingle in each order, and its counts in CLASSES classes."""
+    """Per row the size and name of its set, its first shingle in each order, its counts in CLASSES classes, and a hash t of its text."""
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sets = shingle_sets(text_bytes(batch.column("text")))
         names = [fingerprint(s) for s in sets]
         firsts = [pa.array(np.array([(s ^ m).min() if len(s) else 0 for s in sets], np.uint64).view(np.int64)) for m in MASKS]
         counts = [_counts(s).tobytes() for s in sets]
-        columns = [batch.column("ord"), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(x, pa.int64()) for x in zip(*names, strict=True)), *firsts, pa.array(counts, pa.binary())]
+        columns = [batch.column("ord"), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(x, pa.int64()) for x in zip(*names, strict=True)), *firsts, pa.array(counts, pa.binary()), batch.column("t")]
         yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _NARROW.split(", ")])
 
-    return map_arrow(_ordered(docs).select("ord", "text"), each, _NARROW)
+    return map_arrow(_ordered(docs).select("ord", "text", F.xxhash64("text").alias("t")), each, _NARROW)
 
 
 def _ordered(docs: DataFrame) -> DataFrame:
@@ -371,7 +371,7 @@ def _parts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = links.unionByName(_verify(docs, _within_windows(pairs, classes)))
     parts = _labelled(classes, links)
     least = parts.groupBy("part").agg(F.min("ord").alias("least"), F.sum("copies").alias("rows")).where("rows > 1")
-    return rows, cut(parts.join(least, "part").select("c", "c2", "least"))
+    return rows, cut(parts.join(least, "part").select("c", "c2", "part", "least"))
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
@@ -384,9 +384,16 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, without those that reach a smaller doc_id by links; of rows with one id and text the first stays."""
+    """The rows of docs, with all their columns, but of each component one row: the first by doc_id (null last) and a hash of the text. Rows without shingles stay."""
     rows, parts = _parts(docs)
-    gone = rows.join(narrow(parts), ["c", "c2"]).where("n > 0 and ord > least").select("ord").distinct()
-    kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("ord"))
-    kept = kept.join(narrow(cut(gone)), "ord", "left_anti")
-    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    members = rows.where("n > 0").join(narrow(parts), ["c", "c2"]).groupBy("part", "ord", "t").agg(F.count("*").alias("times"))
+    members = cut(members)
+    firsts = members.groupBy("part").agg(F.min(F.struct("ord", "t")).alias("first"))
+    fates = cut(members.join(firsts, "part").select("ord", "t", (F.struct("ord", "t") == F.col("first")).alias("stays"), "times"))
+    text = F.col("text").cast("string")
+    kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("ord"), F.xxhash64(text).alias("t"))
+    repeated = fates.where("stays and times > 1").select("ord", "t")
+    single = kept.join(narrow(fates.where("not stays or times > 1").select("ord", "t")), ["ord", "t"], "left_anti").select("row")
+    # repeated rows differ in other columns at most
+    one = kept.join(narrow(repeated), ["ord", "t"]).withColumn("i", F.row_number().over(Window.partitionBy("ord", "t").orderBy(F.to_json("row")))).where("i = 1").select("row")
+    return single.unionByName(one).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -275,6 +275,15 @@ def test_jaccard_join(spark, edge, empty):
     assert jaccard_join.one_of_each(edge).columns == edge.columns
 
 
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    r = random.Random(9)
+    a, b, c, d, e, f = (" ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(40)) for _ in range(6))
+    near = a + " end"
+    docs = [(1, a), (None, near), (None, b), (2, c), (2, d), (3, d), (4, e), (4, e), (None, f), (None, f), (0, c), (None, None), (None, None)]
+    got = collections.Counter((x.doc_id, x.text) for x in jaccard_join.one_of_each(_frame(spark, docs)).collect())
+    assert got == collections.Counter([(1, a), (None, b), (2, d), (4, e), (None, f), (0, c), (None, None), (None, None)])
+
+
 def test_decontamination(spark, empty):
     item = "the quick brown fox jumps over the lazy dog and then it runs away from the very angry farmer who owns the field"
     near = item.replace("quick", "quack").replace("angry", "angri")
