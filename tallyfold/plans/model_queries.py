@@ -126,8 +126,8 @@ register("irf", lambda s, d: Z.impulse_responses(_TS(s, d), Z.var_model(_DAY(s,
 register("forecast", lambda s, d: Z.var_forecast(_DAY(s, d), Z.var_model(_DAY(s, d), ["v", "n"], 1, ["day"]), 1, ["day"], 3))
 register("johansen", lambda s, d: Z.johansen(_DAY(s, d), ["v", "n"], ["day"])[0])
 register("vecm", lambda s, d: Z.vecm(_DAY(s, d), ["v", "n"], ["day"]))
-register("arima", lambda s, d: Z.arima(_DAY(s, d).orderBy("day").limit(300), "v", ["day"], (1, 0, 0), steps=2))
-register("garch", lambda s, d: Z.garch(_DAY(s, d).orderBy("day").limit(200).withColumn("v", F.col("v") / 1000), "v", ["day"]))
-register("stl", lambda s, d: Z.stl(_DAY(s, d).orderBy("day").limit(200), "v", ["day"], 7).agg(F.count("*").alias("n"), F.round(F.sum(F.col("observed") - F.col("trend") - F.col("seasonal") - F.col("resid")), 6).alias("gap")))
+register("arima", lambda s, d: Z.arima(_DAY(s, d), "v", ["day"], (1, 0, 0), steps=2))
+register("garch", lambda s, d: Z.garch(_DAY(s, d).withColumn("v", F.col("v") / 1000), "v", ["day"]))
+register("stl", lambda s, d: Z.stl(_DAY(s, d), "v", ["day"], 7).agg(F.count("*").alias("n"), F.round(F.sum(F.col("observed") - F.col("trend") - F.col("seasonal") - F.col("resid")), 6).alias("gap")))
 register("changepoint", lambda s, d: Z.changepoints(_DAY(s, d), "v", ["day"], 3))
 register("joinpoint", lambda s, d: Z.joinpoint(_DAY(s, d).withColumn("t", F.datediff("day", F.lit("1992-01-01")).cast("double")), "v", "t", 1))

@@ -125,3 +125,12 @@ def test_streaming_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("out").agg(F.sum("n")).first()[0] == 100
+
+
+def test_series_queries_read_every_day(spark):
+    from tallyfold.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    days = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("to_date(o_orderdate) as day").distinct().count()
+    assert catalogue.queries()["stl"](spark, sf).first()["n"] == days
+    assert all(catalogue.queries()[name](spark, sf).count() for name in ("arima", "garch"))
