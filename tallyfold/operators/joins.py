@@ -78,9 +78,8 @@ RATIOS = {"ratio": ratio, "partial_ratio": partial_ratio, "token_sort_ratio": to
 def fuzzy_join(df: DataFrame, other: DataFrame, on: str, threshold: float = 80, method: str = "ratio", most: int = 20_000) -> DataFrame:
     """The best match in `other` of each text, if its ratio is `threshold` or more: _fuzzy_match, _fuzzy_score, and other's columns as _r_*.
 
-    Candidates share a bigram or, for short texts, their first letter; a ratio of 80
-    leaves most bigrams whole. With at most `most` distinct texts in `other` all of them
-    are compared instead, from a broadcast list.
+    Every text is compared with all distinct texts in `other`: up to `most` of them from
+    one list, more by a distributed cross join. Of equal scores the least text wins.
     """
     need(df, on)
     texts = df.select(col(on).cast("string").alias("__l")).where("__l is not null").distinct()
@@ -96,17 +95,13 @@ def fuzzy_join(df: DataFrame, other: DataFrame, on: str, threshold: float = 80,
 
         top = texts.mapInPandas(best, "__l string, _fuzzy_match string, _fuzzy_score double")
     else:
-        grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c) - 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(2))))
-        pairs = texts.select("__l", F.explode(grams(F.col("__l"))).alias("g")).join(choices.select("__r", F.explode(grams(F.col("__r"))).alias("g")), "g")
-        shared = pairs.groupBy("__l", "__r").count().where("count * 2 >= least(length(__l), length(__r)) - 1")
-
         def rate(it):
             for pdf in it:
                 yield pd.DataFrame({"__l": pdf["__l"], "_fuzzy_match": pdf["__r"], "_fuzzy_score": [score(x, y) for x, y in zip(pdf["__l"], pdf["__r"], strict=True)]})
 
-        rated = shared.select("__l", "__r").mapInPandas(rate, "__l string, _fuzzy_match string, _fuzzy_score double")
-        w = Window.partitionBy("__l").orderBy(F.desc("_fuzzy_score"), "_fuzzy_match")
-        top = rated.withColumn("__i", F.row_number().over(w)).where("__i = 1").drop("__i")
+        rated = texts.crossJoin(choices).mapInPandas(rate, "__l string, _fuzzy_match string, _fuzzy_score double")
+        best = F.min(F.struct((-F.col("_fuzzy_score")).alias("s"), F.col("_fuzzy_match").alias("m"))).alias("b")
+        top = rated.groupBy("__l").agg(best).select("__l", F.col("b.m").alias("_fuzzy_match"), (-F.col("b.s")).alias("_fuzzy_score"))
     del n
     top = top.where(F.col("_fuzzy_score") >= threshold)
     right = other.select(*(col(c).alias(f"_r_{c}") for c in other.columns))

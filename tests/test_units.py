@@ -134,3 +134,12 @@ def test_series_queries_read_every_day(spark):
     days = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("to_date(o_orderdate) as day").distinct().count()
     assert catalogue.queries()["stl"](spark, sf).first()["n"] == days
     assert all(catalogue.queries()[name](spark, sf).count() for name in ("arima", "garch"))
+
+
+def test_fuzzy_join_compares_all_at_every_size(spark):
+    from tallyfold.operators import joins
+
+    left = spark.createDataFrame([("0000-0000",), ("abcdefghij",), ("zzz",)], "name string")
+    right = spark.createDataFrame([("0000-0000",), ("axcxexgxij",), ("other",)], "name string")
+    got = [{(r["name"], r["_fuzzy_match"], r["_fuzzy_score"]) for r in joins.fuzzy_join(left, right, "name", 60, most=most).collect()} for most in (10, 0)]
+    assert got[0] == got[1] == {("0000-0000", "0000-0000", 100.0), ("abcdefghij", "axcxexgxij", 60.0), ("zzz", None, None)}
