@@ -98,7 +98,7 @@ _V3 = ["l_quantity", "l_extendedprice", "l_discount"]
 register("pca_corr", lambda s, d: rounded(M.pca(_LI(s, d), ["l_quantity", "l_extendedprice"]).select("component", "eigenvalue", "share"), 5), "WITH r AS (SELECT abs(corr(l_quantity, l_extendedprice)) AS r FROM lineitem) SELECT CAST(1 AS BIGINT) AS component, round(1 + r, 5) AS eigenvalue, round((1 + r) / 2, 5) AS share FROM r UNION ALL SELECT 2, round(1 - r, 5), round((1 - r) / 2, 5) FROM r")
 register("factor", lambda s, d: rounded(M.factor(_LI(s, d), _V3, 2), 4))
 register("kmeans", lambda s, d: rounded(M.kmeans(_LI(s, d), ["l_quantity", "l_discount"], 3), 2))
-register("hierarchical", lambda s, d: M.hierarchical(Tables(s, d).supplier.where("s_suppkey <= 200"), ["s_acctbal"], 3))
+register("hierarchical", lambda s, d: M.hierarchical(Tables(s, d).supplier, ["s_acctbal"], 3))
 register("mds", lambda s, d: M.mds(Tables(s, d).nation.selectExpr("n_nationkey", "n_regionkey"), ["n_nationkey", "n_regionkey"]).agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM nation")
 register("tsne", lambda s, d: M.tsne(Tables(s, d).nation, ["n_nationkey", "n_regionkey"], steps=60).agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM nation")
 register("discriminant", lambda s, d: M.discriminant(_LI(s, d), "l_returnflag", ["l_quantity", "l_extendedprice"]).agg(F.sum("n").alias("n")), "SELECT CAST(count(*) AS BIGINT) AS n FROM lineitem")

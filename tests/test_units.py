@@ -143,3 +143,11 @@ def test_fuzzy_join_compares_all_at_every_size(spark):
     right = spark.createDataFrame([("0000-0000",), ("axcxexgxij",), ("other",)], "name string")
     got = [{(r["name"], r["_fuzzy_match"], r["_fuzzy_score"]) for r in joins.fuzzy_join(left, right, "name", 60, most=most).collect()} for most in (10, 0)]
     assert got[0] == got[1] == {("0000-0000", "0000-0000", 100.0), ("abcdefghij", "axcxexgxij", 60.0), ("zzz", None, None)}
+
+
+def test_hierarchical_query_reads_every_supplier(spark):
+    from tallyfold.plans import catalogue
+
+    sf = "/root/testdata/sf0.1"
+    whole = spark.read.parquet(f"{sf}/supplier.parquet").count()
+    assert sum(r["size"] for r in catalogue.queries()["hierarchical"](spark, sf).collect()) == whole
