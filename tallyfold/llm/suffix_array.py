@@ -1,16 +1,21 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, in numpy.
 
-Induction is done bucket by bucket: what a bucket's suffixes induce is one vector
-operation, and runs of one byte inside a bucket take one more for each byte of the
-run. The order of the leftmost S-type (LMS) substrings gives a shortened string whose
-own suffixes are sorted next; its alphabet is as large as itself, so that level sorts
-by ranks of doubled length, each round over the ranks that are still tied.
+Suffixes are classified as S or L type; the leftmost S-type (LMS) substrings are sorted
+by one induction and named, and the shortened string of names is sorted by the same
+function in turn. Induction is done bucket by bucket: what a bucket's suffixes induce is
+one vector operation, and runs of one symbol inside a bucket take one more for each
+symbol of the run. So that buckets stay few at every depth, names above DIRECT are
+written as two digits, which keeps the order of suffixes; names that occur once already
+tell their suffixes apart and stay only as ends of what precedes them.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Names up to which the shortened string has one symbol for each; above, a name is two digits.
+DIRECT = 1024
+
 
 def s_types(t: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one; the end of the text is smaller than any byte."""
@@ -18,7 +23,7 @@ def s_types(t: np.ndarray) -> np.ndarray:
     if not n:
         return np.zeros(0, bool)
     rises = np.zeros(n, np.int8)
-    rises[:-1] = np.sign(t[1:].astype(np.int16) - t[:-1])
+    rises[:-1] = np.sign(t[1:].astype(np.int32) - t[:-1])
     rises[-1] = -1
     at = np.where(rises != 0, np.arange(n), n)
     nearest = np.minimum.accumulate(at[::-1])[::-1]
@@ -27,22 +32,22 @@ def s_types(t: np.ndarray) -> np.ndarray:
 
 def words(t: np.ndarray) -> np.ndarray:
     """The 8 bytes from each place on, as one number; zeros follow the text."""
-    padded = np.concatenate((t, np.zeros(16, np.uint8)))
-    return np.lib.stride_tricks.as_strided(padded.view(np.uint8)[:8].view(np.uint64), (len(t) + 8,), (1,), writeable=False)
+    padded = np.concatenate((t, np.zeros(16, t.dtype)))
+    return np.lib.stride_tricks.as_strided(padded.view(np.uint8)[:8].view(np.uint64), (len(t) + 8,), (t.itemsize,), writeable=False)
 
 
-def equal_bytes(w: np.ndarray, n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Equal bytes from the places a and b on, up to the end of the text."""
+def equal_symbols(w: np.ndarray, n: int, a: np.ndarray, b: np.ndarray, width: int = 1) -> np.ndarray:
+    """Equal symbols of `width` bytes from the places a and b on, up to the end of the text."""
     out, live = np.zeros(len(a), np.int64), np.arange(len(a))
     most = n - np.maximum(a, b)
-    step = 0
+    step, shift = 0, 2 + width  # 8 bits in a byte, one or two bytes in a symbol
     while len(live):
         x = w[a[live] + step] ^ w[b[live] + step]
         same = x == 0
         x = x[~same]
-        out[live[~same]] = step + (np.log2((x & (~x + np.uint64(1))).astype(np.float64)).astype(np.int64) >> 3)
+        out[live[~same]] = step + (np.log2((x & (~x + np.uint64(1))).astype(np.float64)).astype(np.int64) >> shift)
         live = live[same]
-        step += 8
+        step += 8 // width
         ended = step >= most[live]
         out[live[ended]] = most[live[ended]]
         live = live[~ended]
@@ -50,14 +55,14 @@ def equal_bytes(w: np.ndarray, n: int, a: np.ndarray, b: np.ndarray) -> np.ndarr
 
 
 class _Buckets:
-    """The suffixes of one text by their first byte."""
+    """The suffixes of one text by their first symbol, which is below `size`."""
 
-    def __init__(self, t: np.ndarray) -> None:
-        self.t, self.n, self.s = t, len(t), s_types(t)
-        counts = np.bincount(t, minlength=256)
+    def __init__(self, t: np.ndarray, size: int) -> None:
+        self.t, self.n, self.size, self.s = t, len(t), size, s_types(t)
+        counts = np.bincount(t, minlength=size)
         self.ends = np.cumsum(counts)
         self.starts = self.ends - counts
-        self.bytes = np.flatnonzero(counts)
+        self.symbols = np.flatnonzero(counts)
         before = np.zeros(self.n, bool)
         before[1:] = ~self.s[:-1]
         self.lms = np.flatnonzero(self.s & before).astype(np.int32)
@@ -67,7 +72,7 @@ class _Buckets:
         first = self.t[j]
         order = np.argsort(first, kind="stable")
         first = first[order]
-        counts = np.bincount(first, minlength=256)
+        counts = np.bincount(first, minlength=self.size)
         rank = np.arange(len(j)) - (np.cumsum(counts) - counts)[first]
         sa[heads[first] + rank if way > 0 else heads[first] - 1 - rank] = j[order]
         heads += way * counts
@@ -76,12 +81,12 @@ class _Buckets:
         """All suffixes, sorted from LMS suffixes in sorted order."""
         t, s, sa = self.t, self.s, np.full(self.n, -1, np.int32)
         firsts = t[lms]
-        counts = np.bincount(firsts, minlength=256)
+        counts = np.bincount(firsts, minlength=self.size)
         lms_ends = np.cumsum(counts)
         grouped = lms[np.argsort(firsts, kind="stable")]
         heads = self.starts.copy()
         self._deal(sa, np.array([self.n - 1], np.int32), heads, 1)
-        for c in self.bytes:
+        for c in self.symbols:
             low = self.starts[c]
             while low < heads[c]:
                 low, part = heads[c], sa[low : heads[c]]
@@ -89,7 +94,7 @@ class _Buckets:
                 self._deal(sa, j[~s[j]], heads, 1)
             self._deal(sa, grouped[lms_ends[c] - counts[c] : lms_ends[c]] - 1, heads, 1)
         large_ends, heads = heads, self.ends.copy()
-        for c in self.bytes[::-1]:
+        for c in self.symbols[::-1]:
             high = self.ends[c]
             while high > heads[c]:
                 high, part = heads[c], sa[heads[c] : high][::-1]
@@ -101,42 +106,30 @@ class _Buckets:
         return sa
 
 
-def _rank_suffixes(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string over a large alphabet."""
-    m = len(names)
-    order = np.argsort(names, kind="stable")
-    rank = np.zeros(m + 1, np.int64)  # of the group's first member, from 1 on; 0 is the end
-    ranked = names[order]
-    new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
-    firsts = np.flatnonzero(new)
-    rank[order] = firsts[np.cumsum(new) - 1] + 1
-    sizes = np.diff(np.append(firsts, m))
-    tied = order[np.repeat(sizes > 1, sizes)]
-    step = 1
-    while len(tied):
-        first = rank[tied]
-        after = rank[np.minimum(tied + step, m)]
-        o = np.lexsort((after, first))
-        tied, first, after = tied[o], first[o], after[o]
-        head = np.concatenate(([True], first[1:] != first[:-1]))
-        new = head | np.concatenate(([True], after[1:] != after[:-1]))
-        at = np.arange(len(tied))
-        group = np.maximum.accumulate(np.where(head, at, 0))
-        own = np.maximum.accumulate(np.where(new, at, 0))
-        rank[tied] = first + (own - group)
-        sizes = np.diff(np.append(np.flatnonzero(new), len(tied)))
-        tied = tied[np.repeat(sizes > 1, sizes)]
-        step *= 2
-    out = np.empty(m, np.int64)
-    out[rank[:m] - 1] = np.arange(m)
-    return out
-
-
-def suffix_array(t: np.ndarray) -> np.ndarray:
-    """Places of the suffixes of the bytes t in ascending order; an end is smaller than any byte."""
+def _order_names(names: np.ndarray) -> np.ndarray:
+    """Order of the suffixes of the string of LMS names, sorted by induction in turn."""
+    tied = np.bincount(names)[names] > 1
+    kept = tied.copy()
+    kept[1:] |= tied[:-1]  # no comparison goes beyond a name that occurs once
+    places = np.flatnonzero(kept)
+    used, short = np.unique(names[places], return_inverse=True)
+    if len(used) <= DIRECT:
+        order = suffix_array(short.astype(np.uint16), len(used))
+    else:
+        base = int(np.ceil(np.sqrt(len(used))))
+        digits = np.column_stack((short // base, short % base)).astype(np.uint16).reshape(-1)
+        order = suffix_array(digits, base + 1)
+        order = order[order % 2 == 0] // 2
+    rank = np.zeros(len(names), np.int64)
+    rank[places[order]] = np.arange(len(order))
+    return np.lexsort((rank, names))
+
+
+def suffix_array(t: np.ndarray, size: int = 256) -> np.ndarray:
+    """Places of the suffixes of t, bytes or 16-bit symbols below `size`, in ascending order; an end is smaller than any symbol."""
     if len(t) < 2:
         return np.arange(len(t), dtype=np.int32)
-    b = _Buckets(t)
+    b = _Buckets(t, size)
     lms = b.lms
     if len(lms) > 1:
         is_lms = np.zeros(len(t), bool)
@@ -148,10 +141,10 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         length[lms[-1]] = len(t) + 1 - lms[-1]  # it takes in the end, as no other does
         a, c = guess[:-1].astype(np.int64), guess[1:].astype(np.int64)
         same = length[a] == length[c]
-        same[same] = equal_bytes(words(t), len(t), a[same], c[same]) >= length[a[same]]
+        same[same] = equal_symbols(words(t), len(t), a[same], c[same], t.itemsize) >= length[a[same]]
         names = np.zeros(len(t), np.int64)
         names[guess] = np.concatenate(([0], np.cumsum(~same)))
-        lms = lms[_rank_suffixes(names[lms])] if same.any() else guess
+        lms = lms[_order_names(names[lms])] if same.any() else guess
     return b.induce(lms)
 
 
@@ -176,7 +169,7 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
     if first + 1 < n:
         alone[first + 1] = True
     places = np.flatnonzero(alone)
-    found = equal_bytes(words(t), n, places, phi[places])
+    found = equal_symbols(words(t), n, places, phi[places])
     found[places == first] = 0
     last = np.maximum.accumulate(np.where(alone, np.arange(n), 0))
     value = np.zeros(n, np.int64)
