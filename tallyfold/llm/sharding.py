@@ -1,14 +1,16 @@
 """Sharding by a minimax contiguous partition, in DataFrame functions only.
 
-Groups are equal texts and stay whole. They are ordered by a 64-bit hash of the text;
-the smallest capacity with which a greedy pass needs at most `shards` shards is found
-by binary search, and the shards are cut there. The driver never sees the groups: it
-holds sizes of hash ranges, and only the ranges in which a cut can fall are divided
-further, until every such range is one group or the bounds on the capacity meet.
+Groups are equal texts and stay whole. A group larger than an equal share of what is
+left fills a shard of its own. The others are ordered by a 64-bit hash of the text; the
+smallest capacity with which a greedy pass places them in the other shards is found by
+binary search, and of the cuts that keep every shard within it each is made as near as
+possible to an equal share of what follows. The driver never sees the groups: it holds
+sizes of hash ranges, and only ranges that may hold a large group or in which a cut can
+fall are divided further.
 
 Cases: a null text is a group of its own (size 1, as an empty text); an empty table
 gives an empty result; repeated rows are rows like others and share their text's
-shard; further columns are not read; a group above total / shards fills its own shard.
+shard; further columns are not read; with fewer groups than shards some stay empty.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from tallyfold.llm.common import cut
 
 #: Bits of the hash that divide the whole table, and that divide each range further.
 FIRST_BITS, MORE_BITS = 12, 6
+#: Ranges below this part of an equal share need no division for a balanced cut.
+NEAR = 1024
 #: Rows that one window of the slot numbering may hold on average.
 ROWS_PER_WINDOW = 20_000
 
@@ -113,16 +117,68 @@ def _open_ranges(ranges: Sequence[Range], shards: int) -> list[Range]:
     return [ranges[i] for i in sorted(found) if not ranges[i].atomic]
 
 
+def balanced_ends(sizes: Sequence[int], capacity: int, shards: int) -> list[int]:
+    """The first index behind each shard: none above `capacity`, each cut the one nearest to an equal share of what is left."""
+    sums = [0]
+    for s in sizes:
+        sums.append(sums[-1] + s)
+    earliest = [len(sizes)]  # where the last k shards may begin at the earliest
+    for _ in range(shards):
+        earliest.append(bisect.bisect_left(sums, sums[earliest[-1]] - capacity))
+    ends, at = [], 0
+    for left in range(shards, 0, -1):
+        goal = sums[at] + (sums[-1] - sums[at]) / left
+        end = bisect.bisect_left(sums, goal)
+        if end > at and abs(sums[end - 1] - goal) <= abs(sums[min(end, len(sizes))] - goal):
+            end -= 1
+        low, high = max(at, earliest[left - 1]), bisect.bisect_right(sums, sums[at] + capacity) - 1
+        at = min(max(end, low), high, len(sizes))
+        ends.append(at)
+    return ends
+
+
+def _large(ranges: Sequence[Range], shards: int) -> tuple[list[Range], list[Range], int]:
+    """Ranges above an equal share of what is left, each for a shard of its own; the other ranges; the shards left for these."""
+    order, total, large = sorted(ranges, key=lambda r: (-r.size, r.low)), sum(r.size for r in ranges), []
+    for r in order:
+        left = shards - len(large)
+        if left < 2 or r.size * left <= total:
+            break
+        large.append(r)
+        total -= r.size
+    names = {r.low for r in large}
+    return large, [r for r in ranges if r.low not in names], shards - len(large)
+
+
+def _cut_ranges(ranges: Sequence[Range], shards: int) -> list[Range]:
+    """The ranges of several groups that hold an equal share at which a balanced cut is sought."""
+    sizes = [r.size for r in ranges]
+    found, at = set(), 0
+    for end in balanced_ends(sizes, smallest_capacity(sizes, shards), shards)[:-1]:
+        found.update(i for i in (end - 1, end) if at <= i < len(ranges))
+        at = end
+    share = sum(sizes) / max(1, shards)
+    return [ranges[i] for i in sorted(found) if not ranges[i].atomic and ranges[i].size * NEAR > share]
+
+
 def _ranges(rows: DataFrame, bits: int) -> list[Range]:
     prefix = F.shiftright("h", 64 - bits) if bits < 64 else F.col("h")
     found = rows.groupBy(prefix.alias("prefix")).agg(F.min("h").alias("low"), F.max("h").alias("high"), F.sum("size").alias("size"))
     return [Range(r["low"], r["high"], bits, r["size"]) for r in found.collect()]
 
 
-def _cuts(rows: DataFrame, shards: int) -> list[int]:
-    """Hashes at which the shards 1, 2, ... begin. What is collected is bounded by 2^FIRST_BITS and the ranges that stay open."""
+def _todo(ranges: Sequence[Range], shards: int) -> list[Range]:
+    """Ranges that are divided next: those that may hold a large group first, then those of the cuts."""
+    large, rest, left = _large(ranges, shards)
+    if unclear := [r for r in large if not r.atomic]:
+        return unclear
+    return _open_ranges(rest, left) or _cut_ranges(rest, left)
+
+
+def _cuts(rows: DataFrame, shards: int) -> tuple[list[int], list[int]]:
+    """Hashes of the groups with shards of their own, and those at which the other shards 1, 2, ... begin. What is collected is bounded by 2^FIRST_BITS and the ranges that are divided."""
     ranges = sorted(_ranges(rows, FIRST_BITS), key=lambda r: r.low)
-    while todo := _open_ranges(ranges, shards):
+    while todo := _todo(ranges, shards):
         bits = min(r.bits for r in todo)
         todo = [r for r in todo if r.bits == bits]
         spark = rows.sparkSession
@@ -130,9 +186,10 @@ def _cuts(rows: DataFrame, shards: int) -> list[int]:
         inside = rows.join(F.broadcast(names), F.shiftright("h", 64 - bits) == F.col("prefix"), "left_semi")
         gone = {(r.low, r.high) for r in todo}
         ranges = sorted([r for r in ranges if (r.low, r.high) not in gone] + _ranges(inside, min(64, bits + MORE_BITS)), key=lambda r: r.low)
-    sizes = [r.size for r in ranges]
-    ends = _greedy(sizes, smallest_capacity(sizes, shards), shards) if ranges else []
-    return [ranges[e].low for e in ends or [] if e < len(ranges)]
+    large, rest, left = _large(ranges, shards)
+    sizes = [r.size for r in rest]
+    ends = balanced_ends(sizes, smallest_capacity(sizes, left), left) if rest else []
+    return [r.low for r in large], [rest[e].low for e in ends[:-1] if e < len(rest)]
 
 
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
@@ -144,16 +201,20 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(F.col("text").cast("string")).alias("h"),
+            F.monotonically_increasing_id().alias("row"),  # tells repeated rows apart, so that no window holds them all
         )
     )
-    n, begins = rows.count(), _cuts(rows, shards)
+    n = rows.count()
+    large, begins = _cuts(rows, shards)
     shard = sum(((F.col("h") >= F.lit(b)).cast("int") for b in begins), F.lit(0))
+    for k, h in enumerate(large):
+        shard = F.when(F.col("h") == h, shards - 1 - k).otherwise(shard)
     windows = max(64, n // (shards * ROWS_PER_WINDOW))
-    placed = rows.select("doc_id", "size", "text_crc32", shard.alias("shard"), F.pmod(F.xxhash64("doc_id", "h"), F.lit(windows)).alias("part"))
+    placed = rows.select("doc_id", "size", "text_crc32", "row", shard.alias("shard"), F.pmod(F.xxhash64("row"), F.lit(windows)).alias("part"))
     counts = placed.groupBy("shard", "part").count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("shard", "part", before.alias("before"))
-    number = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "size", "text_crc32")) - 1
+    number = F.row_number().over(Window.partitionBy("shard", "part").orderBy("row")) - 1
     return (
         placed.withColumn("number", number)
         .join(offsets, ["shard", "part"])
