@@ -1,11 +1,15 @@
 """Toxicity: a classifier chain of linear models over words and word beginnings.
 
-The chain's categories, in order: `marked` (toxic, with a marker), `severe` (toxic, with
-SEVERE marker uses or more) and `toxic` (the label itself). Markers are terms that
-labelled toxic documents hold far more often than others; they are found in a bounded
-labelled sample, and so are the weights. Each later model also reads the logits of the
-earlier categories' probabilities: out-of-fold ones when it is fitted, the full
-models' when documents are scored.
+The labels hold one category, so the chain derives two narrower ones from it and from
+markers, which are terms that nearly only toxic documents hold: `marked` (toxic, with a
+marker), `severe` (toxic, with SEVERE marker uses or more) and `toxic` (the label
+itself), in this order. Each later model also reads the logits of the earlier
+categories' probabilities: out-of-fold ones when it is fitted, the full models' when
+documents are scored. An out-of-fold model sees nothing of its fold: its terms, its
+markers and so its targets come from the other folds alone.
+
+The sample is bounded, written once, and read twice: to count terms by fold, and to
+count the chosen terms in each document.
 
 Cases: null and empty texts have no terms and get the models' base probability;
 repeated rows score alike; without labels, or with one class only, every probability
@@ -24,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import labelled_sample, map_arrow, small_batches, text_bytes
+from tallyfold.llm.common import cut, labelled_sample, map_arrow, small_batches, text_bytes
 from tallyfold.llm.quality_rules import SAMPLE
 
 CATEGORIES = ("marked", "severe", "toxic")
 SCHEMA = "doc_id long, " + ", ".join(f"p_{c} double" for c in CATEGORIES) + ", is_toxic boolean"
 #: Terms that the models read, at most; marker uses from which a toxic document is severe.
 TERMS, SEVERE = 256, 3
+#: Share of a marker's documents that are toxic, at least.
+PRECISION = 0.9
 #: Characters of the word beginnings that are terms beside whole words.
 BEGINNINGS = (5, 6, 8)
 FOLDS = 5
@@ -47,22 +53,30 @@ def _words(raw: bytes) -> list[str]:
     return _WORD.findall(raw.decode("utf-8", "replace").lower())
 
 
-def find_terms(texts: DataFrame, bound: int = TERMS) -> list[str]:
-    """The `bound` terms that lean most to toxic documents; texts has text and y."""
+def find_terms(texts: DataFrame, bound: int = TERMS) -> list[list[str]]:
+    """For each fold the `bound` terms that lean most to toxic documents of the other folds, and last those of all; texts has text, y and fold."""
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-        for raw, y in zip(text_bytes(batch.column("text")), batch.column("y").to_pylist(), strict=True):
-            seen[y == 1].update({t for w in set(_words(raw)) for t in terms_of(w)})
-        keys = list(seen[0] | seen[1])
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([s[k] for k in keys], pa.int64()) for s in seen)], names=["term", "n0", "n1"])
-
-    share = texts.agg(F.avg(F.col("y").cast("double")).alias("y"))
-    counts = map_arrow(texts.select("text", "y"), each, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    due = (F.col("n0") + F.col("n1")) * F.col("y")
-    lean = (F.col("n1") - due) / F.sqrt(due + 1)
-    top = counts.where("n1 >= 5").crossJoin(F.broadcast(share)).select("term", lean.alias("lean")).where("lean > 2").orderBy(F.desc("lean"), "term").limit(bound)
-    return [r["term"] for r in top.collect()]
+        seen: Counter = Counter()
+        for raw, y, fold in zip(text_bytes(batch.column("text")), batch.column("y").to_pylist(), batch.column("fold").to_pylist(), strict=True):
+            seen.update((t, fold, y == 1) for t in {t for w in set(_words(raw)) for t in terms_of(w)})
+        keys = sorted({k[:2] for k in seen})
+        counts = ([seen[(*k, c)] for k in keys] for c in (False, True))
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), *(pa.array(c, pa.int64()) for c in counts)], names=["term", "fold", "n0", "n1"])
+
+    due_by = {r["fold"]: (r["n"], r["toxic"]) for r in texts.groupBy("fold").agg(F.count("*").alias("n"), F.sum((F.col("y") == 1).cast("long")).alias("toxic")).collect()}
+    counted = map_arrow(texts.select("text", "y", "fold"), each, "term string, fold long, n0 long, n1 long")
+    columns = [F.sum(F.when(F.col("fold") == k, F.col(n)).otherwise(0)).alias(f"{n}_{k}") for k in range(FOLDS) for n in ("n0", "n1")]
+    counts = cut(counted.groupBy("term").agg(*columns).where(" + ".join(f"n1_{k}" for k in range(FOLDS)) + " >= 5"))
+    found = []
+    for left_out in (*range(FOLDS), None):
+        kept = [k for k in range(FOLDS) if k != left_out]
+        n, toxic = (sum(due_by.get(k, (0, 0))[i] for k in kept) for i in range(2))
+        n0, n1 = (sum((F.col(f"{c}_{k}") for k in kept), F.lit(0)) for c in ("n0", "n1"))
+        due = (n0 + n1) * (toxic / max(n, 1))
+        lean = (n1 - due) / F.sqrt(due + 1)
+        found.append([r["term"] for r in counts.where(n1 >= 5).select("term", lean.alias("lean")).where("lean > 2").orderBy(F.desc("lean"), "term").limit(bound).collect()])
+    return found
 
 
 class Reader:
@@ -90,7 +104,6 @@ class Reader:
 @dataclass(frozen=True)
 class Chain:
     terms: list[str]
-    markers: np.ndarray
     weights: list[np.ndarray] = field(default_factory=list)
     share: float = 0.0
 
@@ -131,41 +144,58 @@ def fit_linear(x: np.ndarray, y: np.ndarray, l2: float = 0.1, steps: int = 12) -
     return w
 
 
-def fit_chain(terms: list[str], x: np.ndarray, y: np.ndarray) -> Chain:
-    """Models of the categories in order; x: counts of `terms`, y: the label."""
+def _targets(x: np.ndarray, y: np.ndarray, columns: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+    """The categories of `rows`, by the markers that they themselves show among the term columns."""
+    x, y = x[np.ix_(rows, columns)], y[rows]
     held = x > 0
-    precise = (held[y == 1].sum(axis=0) >= 0.9 * np.maximum(held.sum(axis=0), 1)) if len(y) else np.zeros(len(terms), bool)
+    markers = held[y == 1].sum(axis=0) >= PRECISION * np.maximum(held.sum(axis=0), 1)
+    uses = x[:, markers].sum(axis=1)
+    return [((y == 1) & (uses >= least)).astype(float) for least in (1, SEVERE, 0)]
+
+
+def fit_chain(terms: list[list[str]], x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> Chain:
+    """Models of the categories in order; terms: of each fold's models and last of all; x: counts of `every_term(terms)`; y: the label."""
     share = float(y.mean()) if len(y) else 0.0
     if not 0 < y.sum() < len(y):
-        return Chain(terms, precise, [], share)
-    uses = x[:, precise].sum(axis=1)
-    targets = [(y == 1) & (uses > 0), (y == 1) & (uses >= SEVERE), y == 1]
-    fold, earlier, weights = np.arange(len(y)) % FOLDS, np.zeros((len(y), 0)), []
-    for target in targets:
-        t, z = target.astype(float), np.column_stack((x, _logits(earlier)))
-        weights.append(fit_linear(z, t))
-        out = np.zeros(len(y))
-        for k in range(FOLDS):
-            out[fold == k] = _apply(fit_linear(z[fold != k], t[fold != k]), z[fold == k])
+        return Chain(terms[-1], [], share)
+    place = {t: i for i, t in enumerate(every_term(terms))}
+    columns = [np.array([place[t] for t in ts], np.int64) for ts in terms]
+    every = np.arange(len(y))
+    parts = [(c, every[fold != k], every[fold == k]) for k, c in enumerate(columns[:-1])]
+    full, by_fold = _targets(x, y, columns[-1], every), [_targets(x, y, c, rows) for c, rows, _ in parts]
+    earlier, weights = np.zeros((len(y), 0)), []
+    for j in range(len(CATEGORIES)):
+        logits, out = _logits(earlier), np.full(len(y), share)
+        weights.append(fit_linear(np.column_stack((x[:, columns[-1]], logits)), full[j]))
+        for targets, (c, rows, rest) in zip(by_fold, parts, strict=True):
+            if len(rows) and len(rest):
+                w = fit_linear(np.column_stack((x[np.ix_(rows, c)], logits[rows])), targets[j])
+                out[rest] = _apply(w, np.column_stack((x[np.ix_(rest, c)], logits[rest])))
         earlier = np.column_stack((earlier, out))
-    return Chain(terms, precise, weights, share)
+    return Chain(terms[-1], weights, share)
+
+
+def every_term(terms: list[list[str]]) -> list[str]:
+    return sorted({t for ts in terms for t in ts})
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     """Learns `labels.toxic` from at most `sample` labelled documents, whose ids are broadcast."""
     small_batches(docs.sparkSession)
     ids = labelled_sample(labels, "toxic", sample)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y")
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).alias("fold")
+    texts = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y", fold))
     terms = find_terms(texts)
-    reader = Reader(terms)
+    reader = Reader(every_term(terms))
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         x = reader.counts(text_bytes(batch.column("text"))).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "y", "x"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "y", "fold")), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "y", "fold", "x"])
 
-    rows = sorted(map_arrow(texts, each, "doc_id long, y int, x binary").collect(), key=lambda r: (r["doc_id"], r["y"], bytes(r["x"])))
-    x = np.array([np.frombuffer(r["x"], np.uint8) for r in rows], float).reshape(len(rows), len(terms))
-    return fit_chain(terms, x, np.array([r["y"] for r in rows], float))
+    # documents that share a labelled id add rows; the bound holds all the same
+    rows = map_arrow(texts, each, "doc_id long, y int, fold long, x binary").orderBy(F.xxhash64("doc_id"), "doc_id", "y", "x").limit(sample).collect()
+    x = np.array([np.frombuffer(r["x"], np.uint8) for r in rows], float).reshape(len(rows), len(reader.index))
+    return fit_chain(terms, x, np.array([r["y"] == 1 for r in rows], float), np.array([r["fold"] for r in rows], np.int64))
 
 
 def toxicity_scores(docs: DataFrame, chain: Chain, least: float = 0.5) -> DataFrame:
