@@ -30,7 +30,7 @@ SAMPLE = 20_000
 LEAST_SCORE = 0.5
 
 BASE = COLUMNS[:5]
-SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, score double, kept boolean"
+SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, kept boolean, score double"
 
 
 def base_failed(m: np.ndarray) -> np.ndarray:
@@ -49,7 +49,9 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, column: str, bound:
         m = measure(text_bytes(batch.column("text")))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), *(pa.array(m[:, i]) for i in range(len(COLUMNS)))], names=["doc_id", "y", *COLUMNS])
 
-    pdf = map_arrow(rows.select("doc_id", "text", "y"), each, "doc_id long, y int, " + ", ".join(f"{c} long" for c in COLUMNS)).toPandas()
+    found = map_arrow(rows.select("doc_id", "text", "y"), each, "doc_id long, y int, " + ", ".join(f"{c} long" for c in COLUMNS))
+    # documents that share a labelled id add rows; the bound holds all the same
+    pdf = found.orderBy(F.xxhash64("doc_id"), "doc_id", "y", *COLUMNS).limit(bound).toPandas()
     pdf = pdf.sort_values(["doc_id", "y", *COLUMNS]).reset_index(drop=True)
     return pdf[list(COLUMNS)].to_numpy(np.int64).reshape(-1, len(COLUMNS)), pdf["y"].to_numpy(float)
 
@@ -61,15 +63,15 @@ def fit_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> boost
 
 
 def quality_rules(docs: DataFrame, forest: boosting.Forest, least: float = LEAST_SCORE) -> DataFrame:
-    """Per document the base counts, base_failed, the trees' score and kept."""
+    """Per document the base counts, base_failed, kept and the trees' score."""
     small_batches(docs.sparkSession)
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         m = measure(text_bytes(batch.column("text")))
         failed, score = base_failed(m), forest.score(ratios(m))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), *(pa.array(m[:, i]) for i in range(len(BASE))), pa.array(failed), pa.array(score), pa.array(~failed & (score >= least))],
-            names=["doc_id", *BASE, "base_failed", "score", "kept"],
+            [batch.column("doc_id").cast(pa.int64()), *(pa.array(m[:, i]) for i in range(len(BASE))), pa.array(failed), pa.array(~failed & (score >= least)), pa.array(score)],
+            names=["doc_id", *BASE, "base_failed", "kept", "score"],
         )
 
     return map_arrow(docs.select("doc_id", "text"), each, SCHEMA)
