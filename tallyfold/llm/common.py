@@ -7,8 +7,9 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows that go to Python at once: texts may be long, so batches stay small.
 ROWS_PER_BATCH = 256
@@ -25,10 +26,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests), a temporary one is set."""
+    """The folder named in spark.checkpoint.dir; where that is unset, a temporary one on a local master, and an error on a cluster, whose nodes share none."""
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallyfold-"))
         found = sc.getCheckpointDir()
     return found
@@ -88,11 +91,25 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-#: Rows of a side that is broadcast on purpose, at most; its rows are a few numbers each.
-BROADCAST_ROWS = 1_000_000
+#: Measured bytes of a side that is broadcast on purpose, at most.
+BROADCAST_BYTES = 16 << 20
 
 
-def narrow(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """`df`, marked for broadcast if it has at most BROADCAST_ROWS rows; else it is left to a shuffled join."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+def _width(kind: T.DataType, c: Column) -> Column:
+    """Bytes that a value takes in memory, about."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.StructType):
+        return sum((_width(f.dataType, c.getField(f.name)) for f in kind.fields), F.lit(8))
+    if isinstance(kind, T.ArrayType):
+        fixed = isinstance(kind.elementType, (T.StructType, T.NumericType, T.BooleanType))
+        one = 16 * len(kind.elementType.fields) if isinstance(kind.elementType, T.StructType) else 8
+        return F.coalesce(F.size(c), F.lit(0)) * one + 16 if fixed else F.octet_length(F.to_json(F.struct(c))) + 16
+    return F.lit(8)
+
+
+def narrow(df: DataFrame) -> DataFrame:
+    """`df`, marked for broadcast if its rows are measured to take at most BROADCAST_BYTES; else it is left to a shuffled join."""
+    row = sum((_width(f.dataType, F.col(f"`{f.name}`")) for f in df.schema.fields), F.lit(16)).cast("long")
+    size = df.agg(F.sum(row)).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df

@@ -1,23 +1,23 @@
 """N-gram Jaccard join in the metric space of shingle sets, exactly.
 
 Two documents link when 100 * intersection >= 80 * union of their sets of five-word
-shingles: a Jaccard distance of at most 0.2, which is a metric.
-
-Equal sets are one class. Drawn at random, pivots would be at distance 1 from nearly
-every document and split nothing, so pivots are seeded by shingles: a region holds the
-classes whose first shingle, in one of four random orders, is the same; its pivot is
-one of them, to which the distance of all others is computed (the links found here
-gather whole groups of near copies with a number of comparisons linear in them).
-Regions whose classes are not yet one component join again around other pivots.
-
-The last join makes the result exact. Let a set's boundary be its first n // 5 + 1
-shingles in one global order: of linked sets neither has more than n // 5 shingles that
-the other lacks, so both are replicated to the region of a common shingle of their
-boundaries. Shingles of very many boundaries come last in the order. In a region only
-classes of different components meet, and only those within the windows that the
-triangle inequality leaves: on the sizes, on the shingles that both boundaries hold, and
-on the counts in 256 shingle classes (the distances to the classes as pivots), which
-bound the symmetric difference from below. What is left is compared exactly. The components are those of all links.
+shingles: a Jaccard distance of at most 0.2, which is a metric. Equal sets are one class.
+
+Pivots create Voronoi regions (`voronoi.py`): a class goes to the region of its nearest
+pivot, or to the outer region, and is replicated into all others that the triangle
+inequality does not exclude. Links with pivots are found on the way, which gathers whole
+groups of near copies with a number of comparisons linear in them. Regions that stay
+large and hold crowds of several components are divided again around pivots of their own.
+
+Each region then joins by itself and exactly. Let a set's boundary be its first
+n // 5 + 1 shingles in one global order: of linked sets neither has more than n // 5
+shingles that the other lacks, so both hold a common shingle in their boundaries.
+Shingles of very many boundaries come last in the order. Classes of one region meet
+under such a shingle if they are of different components and within the windows of the
+triangle inequality: on their distances from the region's pivot, on the sizes, on the
+shingles that both boundaries hold, and on the counts in 256 shingle classes, which
+bound the symmetric difference from below. What is left is compared exactly. The
+components are those of all links.
 
 Cases: null texts and texts without words have empty sets and link with nothing;
 repeated rows are copies; a null doc_id counts as the largest; an empty table gives an
@@ -31,17 +31,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.llm import voronoi
 from tallyfold.llm.common import cut, groups_for, map_arrow, narrow, release, small_batches, text_bytes
 from tallyfold.llm.components import components
 from tallyfold.llm.shingles import mixed, shingle_sets
 
 #: Least similarity in hundredths.
 SIMILAR = 80
-#: Rounds of pivots, and orders of the shingles in each.
-ROUNDS, ORDERS = 3, 4
+#: Orders of the shingles under which pivots are sought.
+ORDERS = 4
 #: Fixed masks of the orders.
 MASKS = tuple(np.uint64(m) for m in (0, 0x1234567890ABCDEF, 0x5BD1E9955BD1E995, 0xA7D4EB2F165667C5))
 #: A shingle of more classes than this is common; and common ones are at most so many, which bounds their broadcast.
@@ -50,10 +51,14 @@ COMMON, MOST_COMMON = 8, 1 << 24
 CLASSES = 256
 #: Classes that one copy of a pivot is compared with; pairs of one group of comparisons; input bytes of a shard.
 PER_PIVOT, PER_GROUP, SHARD_BYTES = 200, 2000, 8 << 20
-#: Rows of a region up to which all its pairs are looked at in one vector operation.
+#: Classes under one shingle up to which all their pairs are looked at in one vector operation.
 SMALL_REGION = 64
+#: How far the distances of linked sets from one pivot differ at most, with room for rounding.
+WINDOW = voronoi.REACH + 1e-5
+#: 64-bit names that several classes may share; random names of 10^10 classes share about three.
+CLASHES = 10_000
 _LAST = (1 << 63) - 1
-_NARROW = "ord long, n int, c long, c2 long, " + ", ".join(f"m{k} long" for k in range(ORDERS)) + ", counts binary, t long"
+_NARROW = "ord long, n int, c long, c2 long, " + ", ".join(f"m{k} long" for k in range(ORDERS)) + ", counts binary, t long, t2 long"
 _U = np.uint64
 
 
@@ -64,6 +69,12 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(x) for x in np.array([np.add.reduce(mixed(s + _U(1))), np.bitwise_xor.reduce(mixed(s ^ _U(0x5851F42D4C957F2D)))]).view(np.int64))
 
 
+def names_of(sets: list[np.ndarray], clashes: frozenset[int]) -> list[int]:
+    """The 64-bit name of each set's class; of names that several classes share both halves of the long name."""
+    long = [fingerprint(x) for x in sets]
+    return [c ^ c2 if c in clashes else c for c, c2 in long]
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two ascending sets are similar enough."""
     if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)) or not len(a):
@@ -81,18 +92,20 @@ def _read(docs: DataFrame) -> DataFrame:
         names = [fingerprint(s) for s in sets]
         firsts = [pa.array(np.array([(s ^ m).min() if len(s) else 0 for s in sets], np.uint64).view(np.int64)) for m in MASKS]
         counts = [_counts(s).tobytes() for s in sets]
-        columns = [batch.column("ord"), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(x, pa.int64()) for x in zip(*names, strict=True)), *firsts, pa.array(counts, pa.binary()), batch.column("t")]
+        columns = [batch.column("ord"), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(x, pa.int64()) for x in zip(*names, strict=True)), *firsts, pa.array(counts, pa.binary()), batch.column("t"), batch.column("t2")]
         yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _NARROW.split(", ")])
 
-    return map_arrow(_ordered(docs).select("ord", "text", F.xxhash64("text").alias("t")), each, _NARROW)
+    return map_arrow(_ordered(docs), each, _NARROW)
 
 
-def _ordered(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("ord"), F.col("text").cast("string").alias("text"))
+def _ordered(docs: DataFrame, *columns: str) -> DataFrame:
+    """ord (the id, null last), the text and its two hashes: together they name a row, but for repeated ones."""
+    text = F.col("text").cast("string")
+    return docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("ord"), text.alias("text"), F.xxhash64(text).alias("t"), F.xxhash64(F.lit(1), text).alias("t2"))
 
 
-def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes, with their rows' ids ra and rb, whose sets link. Many a may share one b."""
+def _verify(docs: DataFrame, pairs: DataFrame, labels: DataFrame, clashes: frozenset[int]) -> DataFrame:
+    """The pairs (a, b) of classes whose sets link. Many a may share one b."""
     pairs = cut(pairs)
     n = pairs.count()
     if not n:
@@ -101,14 +114,15 @@ def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     groups = max(8, n // PER_GROUP)
     dealt = pairs.join(narrow(heavy), "b", "left").withColumn("part", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))))
     dealt = dealt.withColumn("group", F.pmod(F.xxhash64("b", "part"), F.lit(groups)))
-    roles = dealt.select("group", F.col("ra").alias("ord"), F.col("a").alias("c"), "b").unionByName(dealt.select("group", F.col("rb").alias("ord"), F.col("b").alias("c"), "b").distinct())
-    texts = _ordered(docs).join(narrow(roles, 2 * n), "ord")
+    roles = dealt.select("group", F.col("a").alias("c"), "b").unionByName(dealt.select("group", F.col("b").alias("c"), "b").distinct())
+    roles = cut(roles.join(labels.select("c", "ord", "t"), "c"))
+    texts = _ordered(docs).join(narrow(roles), ["ord", "t"]).select("group", "c", "b", "text")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("b", "ascending"), ("c", "ascending")])
-        sets = [np.zeros(0, np.uint64)] * table.num_rows
         names, pivots, found = table["c"].to_pylist(), table["b"].to_pylist(), set()
-        sets = [s if fingerprint(s)[0] == c else None for s, c in zip(shingle_sets(text_bytes(table["text"])), names, strict=True)]
+        sets = shingle_sets(text_bytes(table["text"]))
+        sets = [s if own == c else None for s, own, c in zip(sets, names_of(sets, clashes), names, strict=True)]
         own = {b: s for b, c, s in zip(pivots, names, sets, strict=True) if b == c and s is not None}
         for b, c, s in zip(pivots, names, sets, strict=True):
             if c != b and s is not None and b in own and linked(s, own[b]):
@@ -121,21 +135,56 @@ def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _labelled(classes: DataFrame, links: DataFrame | None) -> DataFrame:
     """The classes with the component of each under the links so far."""
+    classes = classes.drop("part")
     if links is None:
         return classes.withColumn("part", F.col("c"))
     parts = cut(components(links))
     return classes.join(narrow(parts), F.col("c") == F.col("node"), "left").withColumn("part", F.coalesce("component", "c")).drop("node", "component")
 
 
-def _round(classes: DataFrame, k: int) -> DataFrame:
-    """Pairs of classes with the pivots of their regions, where these are of several components."""
-    orders = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"m{i}").alias("m")) for i in range(ORDERS)))).alias("region")
-    members = classes.select("c", "ord", "n", "part", orders)
-    first = F.struct((F.col("ord") if k == 0 else F.xxhash64(F.lit(k), "c")).alias("rank"), "c", "ord", "n", "part")
-    pivots = members.groupBy("region").agg(F.min(first).alias("p"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
-    pivots = cut(pivots.select("region", F.col("p.c").alias("b"), F.col("p.ord").alias("rb"), F.col("p.n").alias("nb"), F.col("p.part").alias("pb")))
-    met = members.join(narrow(pivots), "region").where("part <> pb and 5 * least(n, nb) >= 4 * greatest(n, nb)")
-    return met.select(F.col("c").alias("a"), F.col("ord").alias("ra"), "b", "rb").distinct()
+def _texts(docs: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
+    """A text of each class, with columns of its label."""
+    return _ordered(docs).join(narrow(labels.select("ord", "t", "c", *columns)), ["ord", "t"]).select("text", "c", *columns)
+
+
+def _pivots(docs: DataFrame, members: DataFrame, seed: int, clashes: frozenset[int]) -> voronoi.Pivots | None:
+    """Pivots of the regions that are divided next, or None. What comes to the driver is bounded by voronoi.PIVOTS and PIVOT_SHINGLES."""
+    chosen = voronoi.candidates(members, ORDERS, seed)
+    if not chosen:
+        return None
+    spark = docs.sparkSession
+    names = spark.createDataFrame([(c,) for c in dict.fromkeys(c for c, _ in chosen)], "c long")
+    wanted = cut(members.join(F.broadcast(names), "c").select("c", "ord", "t"))
+
+    def send(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sets = shingle_sets(text_bytes(batch.column("text")))
+        right = [own == c for own, c in zip(names_of(sets, clashes), batch.column("c").to_pylist(), strict=True)]
+        out = pa.RecordBatch.from_arrays([batch.column("c"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["c", "keys"])
+        yield out.filter(pa.array(right))
+
+    found = map_arrow(_texts(docs, wanted), send, "c long, keys binary").dropDuplicates(["c"]).collect()
+    sets = {r["c"]: np.frombuffer(r["keys"], np.uint64) for r in found}
+    chosen = [x for x in chosen if x[0] in sets]
+    if not chosen:
+        return None
+    kept = voronoi.thin([c for c, _ in chosen], [r for _, r in chosen], [sets[c] for c, _ in chosen])
+    return voronoi.Pivots([chosen[i][0] for i in kept], [chosen[i][1] for i in kept], [sets[chosen[i][0]] for i in kept])
+
+
+def _divided(docs: DataFrame, labels: DataFrame, pivots: voronoi.Pivots, clashes: frozenset[int]) -> tuple[DataFrame, DataFrame]:
+    """The labels with the regions of the classes after a division, and the links (a, b) with pivots."""
+    held = docs.sparkSession.sparkContext.broadcast(pivots)
+
+    def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sets = shingle_sets(text_bytes(batch.column("text")))
+        right = np.array([own == c for own, c in zip(names_of(sets, clashes), batch.column("c").to_pylist(), strict=True)], bool)
+        regions, links = held.value.divide(sets, list(voronoi.read_regions(batch.column("regions"))))
+        out = pa.RecordBatch.from_arrays([batch.column("c"), voronoi.region_column(regions), pa.array(links, pa.list_(pa.int64()))], names=["c", "regions", "near"])
+        yield out.filter(pa.array(right))
+
+    found = cut(map_arrow(_texts(docs, labels, "regions"), each, f"c long, regions {voronoi.REGIONS}, near array<long>").dropDuplicates(["c"]))
+    links = found.select(F.col("c").alias("a"), F.explode("near").alias("b")).where("a <> b")
+    return cut(labels.drop("regions").join(found.select("c", "regions"), "c")), cut(links)
 
 
 def _codes(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -187,10 +236,10 @@ def _common_shingles(texts: DataFrame, shards: int, total: int) -> np.ndarray:
     return np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["codes"], np.uint64) for r in found)]))
 
 
-def region_pairs(keys: np.ndarray, n: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of places with equal keys, different parts and sizes within the window."""
+def region_pairs(keys: np.ndarray, n: np.ndarray, part: np.ndarray, d: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places with equal keys, different parts, and sizes and distances d from the pivot within their windows."""
     order = np.lexsort((n, keys))
-    k, m, p = keys[order], n[order], part[order]
+    k, m, p, d = keys[order], n[order], part[order], d[order]
     heads = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(heads, len(k)))
     several = np.minimum.reduceat(p, heads) != np.maximum.reduceat(p, heads) if len(heads) else np.zeros(0, bool)
@@ -199,24 +248,24 @@ def region_pairs(keys: np.ndarray, n: np.ndarray, part: np.ndarray) -> Iterator[
     while len(live):
         live = live[live + step < len(k)]
         live = live[(k[live] == k[live + step]) & (5 * m[live] >= 4 * m[live + step])]
-        met = live[p[live] != p[live + step]]
+        met = live[(p[live] != p[live + step]) & (np.abs(d[live] - d[live + step]) <= WINDOW)]
         if len(met):
             yield order[met], order[met + step]
         step += 1
     for at, size in zip(heads[several & (sizes > SMALL_REGION)], sizes[several & (sizes > SMALL_REGION)], strict=True):
-        q, mm = p[at : at + size], m[at : at + size]
+        q, mm, dd = (x[at : at + size] for x in (p, m, d))
         values, counts = np.unique(q, return_counts=True)
         main = values[counts.argmax()]
         for i in np.flatnonzero(q != main).tolist():  # each meets the main component, and the others behind it
             low, high = np.searchsorted(mm, [-(-4 * mm[i] // 5), 5 * mm[i] // 4 + 1])
             j = np.arange(low, high)
-            j = j[(q[j] == main) | ((q[j] != q[i]) & (j > i))]
+            j = j[((q[j] == main) | ((q[j] != q[i]) & (j > i))) & (np.abs(dd[j] - dd[i]) <= WINDOW)]
             if len(j):
                 yield order[np.full(len(j), at + i)], order[at + j]
 
 
-_ENTRIES = "shard long, keys binary, rows binary, c binary, ord binary, n binary, part binary, counts binary"
-_PAIRS = "a long, ra long, na int, b long, rb long, nb int, shared int"
+_ENTRIES = "shard long, keys binary, rows binary, c binary, region binary, d binary, n binary, part binary, counts binary"
+_PAIRS = "a long, na int, b long, nb int, region long, shared int"
 
 
 def _counts(s: np.ndarray) -> np.ndarray:
@@ -224,7 +273,7 @@ def _counts(s: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((mixed(s) >> _U(56)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8)
 
 
-def crowded_pairs(keys: np.ndarray, rows: np.ndarray, n: np.ndarray, part: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def crowded_pairs(keys: np.ndarray, rows: np.ndarray, n: np.ndarray, part: np.ndarray, counts: np.ndarray, d: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs of classes of different parts that share a common shingle, with the shingles shared, within all windows.
 
     The classes of the largest part come last and are only met, never walked; a class
@@ -242,7 +291,7 @@ def crowded_pairs(keys: np.ndarray, rows: np.ndarray, n: np.ndarray, part: np.nd
     of_key = np.repeat(np.arange(len(heads)), ends - heads)
     by_row = np.argsort(lists, kind="stable")
     row_at = np.searchsorted(lists[by_row], np.arange(len(order) + 1))
-    m, p, c = n[order].astype(np.int64), part[order], counts[order].astype(np.int16)
+    m, p, c, d = n[order].astype(np.int64), part[order], counts[order].astype(np.int16), d[order]
     for i in range(len(order)):
         if p[i] == p[-1]:
             break
@@ -252,14 +301,25 @@ def crowded_pairs(keys: np.ndarray, rows: np.ndarray, n: np.ndarray, part: np.nd
             continue
         shared = np.bincount(np.concatenate([lists[heads[k] : ends[k]] for k in own]), minlength=len(order))
         j = i + 1 + np.flatnonzero(shared[i + 1 :])
-        j = j[(p[j] != p[i]) & (5 * np.minimum(m[j], m[i]) >= 4 * np.maximum(m[j], m[i]))]
+        j = j[(p[j] != p[i]) & (np.abs(d[j] - d[i]) <= WINDOW) & (5 * np.minimum(m[j], m[i]) >= 4 * np.maximum(m[j], m[i]))]
         j = j[9 * np.abs(c[j] - c[i]).sum(axis=1, dtype=np.int64) <= m[j] + m[i]]
         if len(j):
             yield order[np.full(len(j), i)], order[j], shared[j]
 
 
-def _exact_pairs(texts: DataFrame, shards: int, common: np.ndarray) -> DataFrame:
-    """Pairs of classes of different components that share a shingle of their boundaries.
+def _entries(sets: list[np.ndarray], parts: list[np.ndarray], regions: list[list[tuple[int, float]]]) -> tuple[np.ndarray, ...]:
+    """For each set in each of its regions, an entry: the set's place, the region, the distance; and for each boundary shingle its entry, itself, and its key in the region."""
+    places = np.array([i for i, x in enumerate(regions) for _ in x], np.int64)
+    names = np.array([r for x in regions for r, _ in x], np.int64)
+    distances = np.array([d for x in regions for _, d in x], np.float32)
+    salt = np.where(names == voronoi.ROOT, _U(0), mixed(names.view(_U) + _U(1)))
+    rows = np.repeat(np.arange(len(places)), [len(parts[i]) for i in places])
+    raw = np.concatenate([np.zeros(0, _U), *(parts[i] for i in places)])
+    return places, names, distances, rows, raw, mixed(raw ^ salt[rows])
+
+
+def _exact_pairs(texts: DataFrame, shards: int, common: np.ndarray, clashes: frozenset[int]) -> DataFrame:
+    """Pairs of classes of one region and different components that share a shingle of their boundaries.
 
     Common shingles go to shards of their own, with the class counts of their sets.
     """
@@ -268,38 +328,39 @@ def _exact_pairs(texts: DataFrame, shards: int, common: np.ndarray) -> DataFrame
 
     def send(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sets = shingle_sets(text_bytes(batch.column("text")))
-        c, part, ids = (batch.column(x).to_numpy() for x in ("c", "part", "ord"))
-        right = np.array([fingerprint(s)[0] == x for s, x in zip(sets, c.tolist(), strict=True)], bool)
+        c, part = (batch.column(x).to_numpy() for x in ("c", "part"))
+        right = [own == x for own, x in zip(names_of(sets, clashes), c.tolist(), strict=True)]
         parts = [_boundary(s, held.value, shards) if ok else s[:0] for s, ok in zip(sets, right, strict=True)]
-        keys = np.concatenate([np.zeros(0, np.uint64), *parts])
-        rows = np.repeat(np.arange(len(sets)), [len(x) for x in parts])
+        place, region, d, rows, raw, keys = _entries(sets, parts, list(voronoi.read_regions(batch.column("regions"))))
         n = np.array([len(s) for s in sets], np.int32)
-        is_common = _is_common(keys, held.value, shards)
-        shard = np.where(is_common, shards + (mixed(keys) % _U(crowded)).astype(np.int64), (mixed(keys) % _U(shards)).astype(np.int64))
+        is_common = _is_common(raw, held.value, shards)
+        shard = np.where(is_common, shards + (keys % _U(crowded)).astype(np.int64), (keys % _U(shards)).astype(np.int64))
         order = np.argsort(shard, kind="stable")
         at = np.searchsorted(shard[order], np.arange(shards + crowded + 1))
-        out: list[list] = [[] for _ in range(8)]
-        for s in range(shards + crowded):
+        out: list[list] = [[] for _ in range(9)]
+        for s in np.flatnonzero(np.diff(at)).tolist():
             own = order[at[s] : at[s + 1]]
-            if len(own):
-                used, local = np.unique(rows[own], return_inverse=True)
-                counts = zlib.compress(b"".join(_counts(sets[r]).tobytes() for r in used), 1) if s >= shards else b""
-                for column, x in zip(out, (s, keys[own].tobytes(), local.astype(np.uint16).tobytes(), *(x[used].tobytes() for x in (c, ids, n, part)), counts), strict=True):
-                    column.append(x)
+            used, local = np.unique(rows[own], return_inverse=True)
+            mine = place[used]
+            counts = zlib.compress(b"".join(_counts(sets[r]).tobytes() for r in mine), 1) if s >= shards else b""
+            held_by = (c[mine], region[used], d[used], n[mine], part[mine])
+            for column, x in zip(out, (s, keys[own].tobytes(), local.astype(np.uint32).tobytes(), *(x.tobytes() for x in held_by), counts), strict=True):
+                column.append(x)
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(x, pa.binary()) for x in out[1:])], names=[x.split()[0] for x in _ENTRIES.split(", ")])
 
     def meet(table: pa.Table) -> pa.Table:
-        col = {x: [np.frombuffer(b, k) for b in table[x].to_pylist()] for x, k in (("keys", np.uint64), ("rows", np.uint16), ("c", np.int64), ("ord", np.int64), ("n", np.int32), ("part", np.int64))}
+        kinds = (("keys", np.uint64), ("rows", np.uint32), ("c", np.int64), ("region", np.int64), ("d", np.float32), ("n", np.int32), ("part", np.int64))
+        col = {x: [np.frombuffer(b, k) for b in table[x].to_pylist()] for x, k in kinds}
         shift = np.cumsum([0, *(len(x) for x in col["c"][:-1])])
         rows = np.concatenate([r.astype(np.int64) + s for r, s in zip(col["rows"], shift, strict=True)])
-        keys, c, ids, n, part = (np.concatenate(col[x]) for x in ("keys", "c", "ord", "n", "part"))
-        # a class may stand in several rows: one place for each
-        _, lead, same = np.unique(c, return_index=True, return_inverse=True)
+        keys, c, region, d, n, part = (np.concatenate(col[x]) for x in ("keys", "c", "region", "d", "n", "part"))
+        # a class may stand in several rows: one place for each of its regions
+        _, lead, same = np.unique(c.view(_U) ^ mixed(region.view(_U)), return_index=True, return_inverse=True)
         if table["shard"][0].as_py() >= shards:
             counts = np.frombuffer(b"".join(zlib.decompress(b) for b in table["counts"].to_pylist()), np.uint8).reshape(-1, CLASSES)
             entries = np.unique(np.column_stack((keys, same[rows].astype(np.uint64))), axis=0)
-            found = list(crowded_pairs(entries[:, 0], entries[:, 1].astype(np.int64), n[lead], part[lead], counts[lead]))
+            found = list(crowded_pairs(entries[:, 0], entries[:, 1].astype(np.int64), n[lead], part[lead], counts[lead], d[lead]))
             a, b, times = (lead[np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)])] if k < 2 else np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in range(3))
         else:
             rows = lead[same[rows]]
@@ -312,7 +373,7 @@ def _exact_pairs(texts: DataFrame, shards: int, common: np.ndarray) -> DataFrame
                 codes, at = np.unique(every, return_inverse=True)
                 times, waiting = np.bincount(at, weight, len(codes)).astype(np.int64), []
 
-            for i, j in region_pairs(keys, n[rows].astype(np.int64), part[rows]):
+            for i, j in region_pairs(keys, n[rows].astype(np.int64), part[rows], d[rows]):
                 x, y = rows[i], rows[j]
                 waiting.append(np.minimum(x, y) * total + np.maximum(x, y))
                 if sum(map(len, waiting)) > 1 << 21:
@@ -321,9 +382,9 @@ def _exact_pairs(texts: DataFrame, shards: int, common: np.ndarray) -> DataFrame
             a, b = codes // total, codes % total
         turn = c[a] > c[b]  # a pair has one form in all shards
         a, b = np.where(turn, b, a), np.where(turn, a, b)
-        return pa.table({"a": c[a], "ra": ids[a], "na": n[a], "b": c[b], "rb": ids[b], "nb": n[b], "shared": times.astype(np.int32)})
+        return pa.table({"a": c[a], "na": n[a], "b": c[b], "nb": n[b], "region": region[a], "shared": times.astype(np.int32)})
 
-    return map_arrow(texts.select("text", "c", "part", "ord"), send, _ENTRIES).groupBy("shard").applyInArrow(meet, _PAIRS)
+    return map_arrow(texts.select("text", "c", "part", "regions"), send, _ENTRIES).groupBy("shard").applyInArrow(meet, _PAIRS)
 
 
 def _within_windows(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -337,16 +398,16 @@ def _within_windows(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     counts = classes.select("c", "counts")
     least = lambda m, k: F.floor(F.col(m) / 5) + 1 - F.floor((F.col(m) + F.col(k) + 9 * (F.col(m) - F.col(k))) / 18)
     one = lambda x: F.min(x).alias(x)
-    pairs = pairs.groupBy("a", "b").agg(*map(one, ("ra", "na", "rb", "nb")), F.sum("shared").alias("shared"))
-    pairs = pairs.where(F.col("shared") >= F.least(least("na", "nb"), least("nb", "na")))
+    pairs = pairs.groupBy("a", "b", "region").agg(*map(one, ("na", "nb")), F.sum("shared").alias("shared"))
+    pairs = pairs.where(F.col("shared") >= F.least(least("na", "nb"), least("nb", "na"))).select("a", "b", "na", "nb").distinct()
     rows = pairs.join(counts.select(F.col("c").alias("a"), F.col("counts").alias("x")), "a").join(counts.select(F.col("c").alias("b"), F.col("counts").alias("y")), "b")
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int64) for k in ("x", "y"))
         room = 9 * np.abs(x - y).sum(axis=1) <= batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
-        yield batch.filter(pa.array(room)).select(["a", "ra", "b", "rb"])
+        yield batch.filter(pa.array(room)).select(["a", "b"])
 
-    return map_arrow(rows.select("a", "ra", "na", "x", "b", "rb", "nb", "y"), each, "a long, ra long, b long, rb long")
+    return map_arrow(rows.select("a", "na", "x", "b", "nb", "y"), each, "a long, b long")
 
 
 def _parts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -355,21 +416,31 @@ def _parts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     small_batches(spark)
     rows = cut(_read(docs))
     same = [F.first(x).alias(x) for x in (*(f"m{k}" for k in range(ORDERS)), "counts")]
-    classes = cut(rows.where("n > 0").groupBy("c", "c2", "n").agg(F.min("ord").alias("ord"), F.count("*").alias("copies"), *same))
+    classes = cut(rows.where("n > 0").groupBy("c", "c2", "n").agg(F.min("ord").alias("ord"), F.min_by("t", "ord").alias("t"), F.count("*").alias("copies"), *same))
+    clashes = frozenset(r["c"] for r in classes.groupBy("c").count().where("count > 1").limit(CLASHES + 1).collect())
+    if len(clashes) > CLASHES:
+        raise ValueError("too many sets share a hash")
+    if clashes:
+        name = F.when(F.col("c").isin(list(clashes)), F.col("c").bitwiseXOR(F.col("c2"))).otherwise(F.col("c"))
+        rows, classes = rows.withColumn("c", name), classes.withColumn("c", name)
     total = classes.agg(F.sum("n")).first()[0] or 0
-    links = None
-    for k in range(ROUNDS):
-        found = _verify(docs, _round(_labelled(classes, links), k))
+    whole = F.array(F.struct(F.lit(voronoi.ROOT).cast("long").alias("r"), F.lit(0.0).cast("float").alias("d")))
+    labels, links = classes.select("c", "n", "ord", "t", *(f"m{k}" for k in range(ORDERS)), whole.alias("regions")), None
+    for k in range(voronoi.DEPTH):
+        pivots = _pivots(docs, _labelled(labels, links), k, clashes)
+        if pivots is None:
+            break
+        labels, found = _divided(docs, labels, pivots, clashes)
         links = found if links is None else links.unionByName(found)
         release(spark)
-    labels = cut(_labelled(classes, links).select("c", "part", "ord", "n"))
-    texts = _ordered(docs).join(narrow(labels), "ord")
+    labels = cut(_labelled(labels, links).select("c", "part", "ord", "t", "n", "regions"))
+    texts = _texts(docs, labels, "part", "regions")
     shards = groups_for(docs, SHARD_BYTES)
     common = _common_shingles(texts, shards, total)
-    pairs = cut(_exact_pairs(texts, shards, common))
+    pairs = cut(_exact_pairs(texts, shards, common, clashes))
     release(spark)
-    links = links.unionByName(_verify(docs, _within_windows(pairs, classes)))
-    parts = _labelled(classes, links)
+    found = _verify(docs, _within_windows(pairs, classes), labels, clashes)
+    parts = _labelled(classes, found if links is None else links.unionByName(found))
     least = parts.groupBy("part").agg(F.min("ord").alias("least"), F.sum("copies").alias("rows")).where("rows > 1")
     return rows, cut(parts.join(least, "part").select("c", "c2", "part", "least"))
 
@@ -386,14 +457,16 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, but of each component one row: the first by doc_id (null last) and a hash of the text. Rows without shingles stay."""
     rows, parts = _parts(docs)
-    members = rows.where("n > 0").join(narrow(parts), ["c", "c2"]).groupBy("part", "ord", "t").agg(F.count("*").alias("times"))
-    members = cut(members)
-    firsts = members.groupBy("part").agg(F.min(F.struct("ord", "t")).alias("first"))
-    fates = cut(members.join(firsts, "part").select("ord", "t", (F.struct("ord", "t") == F.col("first")).alias("stays"), "times"))
-    text = F.col("text").cast("string")
-    kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("ord"), F.xxhash64(text).alias("t"))
-    repeated = fates.where("stays and times > 1").select("ord", "t")
-    single = kept.join(narrow(fates.where("not stays or times > 1").select("ord", "t")), ["ord", "t"], "left_anti").select("row")
-    # repeated rows differ in other columns at most
-    one = kept.join(narrow(repeated), ["ord", "t"]).withColumn("i", F.row_number().over(Window.partitionBy("ord", "t").orderBy(F.to_json("row")))).where("i = 1").select("row")
+    row = ["ord", "t", "t2"]
+    members = cut(rows.where("n > 0").join(narrow(parts), ["c", "c2"]).groupBy("part", *row).agg(F.count("*").alias("times")))
+    firsts = members.groupBy("part").agg(F.min(F.struct("ord", "t", "t2")).alias("first"))
+    fates = cut(members.join(firsts, "part").select(*row, (F.struct(*row) == F.col("first")).alias("stays"), "times"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text")
+    kept = _ordered(whole, "row").drop("text")
+    repeated = fates.where("stays and times > 1").select(*row)
+    single = kept.join(narrow(fates.where("not stays or times > 1").select(*row)), row, "left_anti").select("row")
+    # repeated rows differ in other columns at most: the first that is written stays
+    one = cut(kept.join(narrow(repeated), row).withColumn("i", F.monotonically_increasing_id()))
+    first = cut(one.groupBy(*row).agg(F.min("i").alias("i")))
+    one = one.join(narrow(first), [*row, "i"]).select("row")
     return single.unionByName(one).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
