@@ -15,6 +15,10 @@ from pyspark.sql import types as T
 DRIVER_ROWS = 1_000_000
 
 
+#: Bytes that may come through the driver from a URL.
+URL_BYTES = 256 << 20
+
+
 def _suffix(path: str) -> str:
     return path.rstrip("/").rpartition(".")[2].lower()
 
@@ -89,6 +93,44 @@ def web_json(spark: SparkSession, url: str, method: str = "GET", params: Mapping
     return _wide(spark.read.json(spark.sparkContext.parallelize([json.dumps(x) for x in rows])))
 
 
+def load_text(spark: SparkSession, text: str, sep: str | None = None) -> DataFrame:
+    """Delimited text with a header; without `sep` a tab, if the header holds one, else a comma."""
+    lines = [x for x in text.splitlines() if x.strip()]
+    sep = {r"\t": "\t", "tab": "\t"}.get(sep, sep) if sep else "\t" if lines and "\t" in lines[0] else ","
+    return _wide(spark.read.csv(spark.sparkContext.parallelize(lines, 1), header=True, inferSchema=True, sep=sep))
+
+
+def load_url(spark: SparkSession, url: str, kind: str | None = None, sep: str = ",") -> DataFrame:
+    """A CSV, JSON or Parquet file behind a URL, of at most URL_BYTES: it passes through the driver."""
+    kind = kind or _suffix(urllib.parse.urlparse(url).path)
+    with urllib.request.urlopen(url, timeout=60) as r:
+        data = r.read(URL_BYTES + 1)
+    if len(data) > URL_BYTES:
+        raise ValueError(f"more than {URL_BYTES} bytes; put the file where executors can read it, and load it there")
+    if kind == "parquet":
+        import io
+
+        import pyarrow.parquet as pq
+
+        return _wide(spark.createDataFrame(pq.read_table(io.BytesIO(data))))
+    if kind in ("json", "jsonl"):
+        text = data.decode()
+        rows = [json.loads(x) for x in text.splitlines() if x.strip()] if kind == "jsonl" else json_rows(json.loads(text))
+        return _wide(spark.read.json(spark.sparkContext.parallelize([json.dumps(x) for x in rows])))
+    return load_text(spark, data.decode(), sep)
+
+
+def clipboard() -> str:
+    """The text on the clipboard, by the first program of the system that tells it."""
+    import shutil
+    import subprocess
+
+    for program in (["wl-paste"], ["xclip", "-selection", "clipboard", "-o"], ["xsel", "-ob"], ["pbpaste"]):
+        if shutil.which(program[0]):
+            return subprocess.run(program, capture_output=True, text=True, timeout=10, check=True).stdout
+    raise ValueError("no program that reads the clipboard is installed")
+
+
 def value_labels(df: DataFrame, column: str, labels: Mapping[object, str]) -> DataFrame:
     """df with value labels in the column's metadata."""
     meta = dict(df.schema[column].metadata) | {"labels": {str(k): v for k, v in labels.items()}}

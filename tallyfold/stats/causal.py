@@ -159,6 +159,70 @@ def mixed(df: DataFrame, spec: str, group: str, steps: int = 60) -> DataFrame:
     return frame(df.sparkSession, out, "term string, coef double, se double")
 
 
+def mixed_slopes(df: DataFrame, spec: str, group: str, slopes: Sequence[str], steps: int = 120) -> DataFrame:
+    """Random intercepts and slopes by REML, with an unrestricted covariance.
+
+    A group enters the likelihood through the products of its random columns with all
+    columns. They are aggregated once; each step sums a small matrix over all groups.
+    """
+    import numpy as np
+
+    from tallyfold.functions.dsl import formula
+    from tallyfold.stats.frames import moments
+    from tallyfold.stats.regression import Y, _inverse, regressors
+    from tallyfold.stats.timeseries import _simplex
+
+    f = formula(spec)
+    x = regressors(f)
+    wide = {**x, Y: col(f.y)}
+    random = [F.lit(1.0), *(col(c).cast("double") for c in slopes)]
+    rows = complete(df, {**wide, **{f"z{c}": col(c) for c in slopes}}).where(col(group).isNotNull())
+    every = [F.lit(1.0), *(c.cast("double") for c in wide.values())]
+    q, k = len(random), len(every) - 1
+    sums = [F.sum(a * b) for a in random for b in (*random, *every)]
+    held = rows.groupBy(col(group).alias("__g")).agg(*(c.alias(f"s{i}") for i, c in enumerate(sums))).select(F.array(*(f"s{i}" for i in range(len(sums)))).alias("s")).persist()
+    m = moments(rows, wide)
+    size = k + 1
+
+    def total(d: np.ndarray) -> tuple[np.ndarray, float]:
+        def add(it):
+            import pandas as pd
+
+            for pdf in it:
+                a = np.stack(pdf["s"].to_numpy()).reshape(len(pdf), q, q + size)
+                zz, zx = a[:, :, :q], a[:, :, q:]
+                inner = np.eye(q) + d @ zz  # V^-1 = I - Z (I + D Z'Z)^-1 D Z'
+                gone = np.einsum("gqa,gqb->ab", zx, np.linalg.solve(inner, d @ zx))
+                yield pd.DataFrame({"p": [gone.reshape(-1).tolist()], "l": [float(np.linalg.slogdet(inner)[1].sum())]})
+
+        parts = held.mapInPandas(add, "p array<double>, l double").collect()
+        return sum((np.array(r["p"]).reshape(size, size) for r in parts), np.zeros((size, size))), sum(r["l"] for r in parts)
+
+    lower = np.tril_indices(q)
+
+    def at(v: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, float, np.ndarray]:
+        root = np.zeros((q, q))
+        root[lower] = v
+        d = root @ root.T
+        gone, logs = total(d)
+        xx = m.xx - gone
+        inv = _inverse(xx[:k, :k])
+        b = inv @ xx[:k, k]
+        rss, n = float(xx[k, k] - b @ xx[:k, k]), m.n - k
+        return -0.5 * (n * math.log(max(rss, 1e-300) / n) + logs + np.linalg.slogdet(xx[:k, :k])[1]), b, inv, rss / n, d
+
+    start = np.zeros(len(lower[0]))
+    start[[i for i, (a, b) in enumerate(zip(*lower, strict=True)) if a == b]] = 0.5
+    _, b, inv, s2, d = at(_simplex(lambda v: -at(v)[0], start, steps))
+    held.unpersist()
+    names = ["const", *slopes]
+    out = [{"term": n, "coef": b[i], "se": math.sqrt(inv[i, i] * s2)} for i, n in enumerate(["const", *x])]
+    out += [{"term": f"var_{n}", "coef": d[i, i] * s2, "se": None} for i, n in enumerate(names)]
+    out += [{"term": f"cov_{names[j]}_{names[i]}", "coef": d[i, j] * s2, "se": None} for i in range(q) for j in range(i)]
+    out += [{"term": "var_residual", "coef": s2, "se": None}, {"term": "icc", "coef": d[0, 0] / (1 + d[0, 0]), "se": None}]
+    return frame(df.sparkSession, out, "term string, coef double, se double")
+
+
 def spline(df: DataFrame, y: str, x: str, knots: int = 4) -> DataFrame:
     """term, coef and se of a natural cubic spline; the knots are quantiles and the basis is made of Column expressions."""
     from tallyfold.operators.ordered import order_statistics

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.functions.exprs import col, count_if
-from tallyfold.operators.ordered import framed, running
+from tallyfold.operators.ordered import running_all
 from tallyfold.operators.transform import need
 
 
@@ -15,16 +15,23 @@ def roc(df: DataFrame, outcome: str, score: str) -> DataFrame:
     need(df, outcome, score)
     y, s = col(outcome).cast("int"), col(score).cast("double")
     counts = df.where(y.isNotNull() & s.isNotNull()).groupBy((-s).alias("k")).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("n"))
+    return _curve(counts).select((-F.col("k")).alias("threshold"), (F.col("cp") / F.col("tp")).alias("tpr"), (F.col("cn") / F.col("tn")).alias("fpr"))
+
+
+def _curve(counts: DataFrame) -> DataFrame:
+    """Counts of positives p and negatives n at each k with their running sums cp, cn and totals tp, tn."""
     total = counts.agg(F.sum("p").alias("tp"), F.sum("n").alias("tn"))
-    runs = running(running(counts, ["k"], "p", "sum").withColumnRenamed("__run", "cp"), ["k"], "n", "sum").withColumnRenamed("__run", "cn")
-    return runs.crossJoin(F.broadcast(total)).select((-F.col("k")).alias("threshold"), (F.col("cp") / F.col("tp")).alias("tpr"), (F.col("cn") / F.col("tn")).alias("fpr"))
+    return running_all(counts, ["k"], {"cp": ("p", "sum"), "cn": ("n", "sum")}).crossJoin(F.broadcast(total))
 
 
 def auc(df: DataFrame, outcome: str, score: str) -> DataFrame:
     """The area under the curve by trapezia, and Youden's threshold."""
-    pts = roc(df, outcome, score).withColumn("k", -F.col("threshold"))
-    pts = framed(pts, ["k"], 1, 0, lambda w: {"t0": F.coalesce(F.lag("tpr").over(w), F.lit(0.0)), "f0": F.coalesce(F.lag("fpr").over(w), F.lit(0.0))})
-    return pts.agg(F.sum((F.col("fpr") - F.col("f0")) * (F.col("tpr") + F.col("t0")) / 2).alias("auc"), F.max_by("threshold", F.struct(F.col("tpr") - F.col("fpr"), F.col("threshold"))).alias("youden"))
+    need(df, outcome, score)
+    y, s = col(outcome).cast("int"), col(score).cast("double")
+    counts = df.where(y.isNotNull() & s.isNotNull()).groupBy((-s).alias("k")).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("n"))
+    area = F.col("n") / F.col("tn") * (F.col("cp") - F.col("p") / 2) / F.col("tp")  # a trapezium between two thresholds
+    gain = F.struct((F.col("cp") / F.col("tp") - F.col("cn") / F.col("tn")).alias("g"), (-F.col("k")).alias("t"))
+    return _curve(counts).agg(F.sum(area).alias("auc"), F.max_by(-F.col("k"), gain).alias("youden"))
 
 
 def confusion(df: DataFrame, outcome: str, predicted: str, threshold: float = 0.5) -> DataFrame:

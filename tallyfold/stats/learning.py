@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.functions.exprs import col
-from tallyfold.stats.frames import CONST, complete, frame, moments
+from tallyfold.stats.frames import CONST, complete, cross_products, frame
 from tallyfold.stats.regression import Y, _inverse
 
 
@@ -64,24 +64,32 @@ def train(df: DataFrame, y: str, columns: Sequence[str], kind: str = "rf", task:
     return model, frame(df.sparkSession, [*({"variable": c, "importance": w} for c, w in ranked), {"variable": "score", "importance": score}], "variable string, importance double")
 
 
-def cross_validate(df: DataFrame, y: str, columns: Sequence[str], folds: int = 5, key: Sequence[str] = (), seed: int = 42) -> DataFrame:
-    """fold, n, r2 and rmse of least squares: one pass sums the products of every fold, and each is left out by subtraction."""
-    x = {c: col(c) for c in columns}
-    cols = {**x, Y: col(y)}
-    rows = complete(df, cols)
-    fold = F.pmod(F.xxhash64(F.lit(seed), *(col(c) for c in key or df.columns)), F.lit(folds))
-    parts = [moments(rows.where(fold == k), cols) for k in range(folds)]
-    names, out = [CONST, *columns], []
-    total = sum(p.xx for p in parts)
-    for k, p in enumerate(parts):
-        i = [p.names.index(n) for n in names]
-        j = p.names.index(Y)
-        rest = total - p.xx
-        b = _inverse(rest[np.ix_(i, i)]) @ rest[i, j]
-        rss = p.xx[j, j] - 2 * b @ p.xx[i, j] + b @ p.xx[np.ix_(i, i)] @ b
-        tss = p.xx[j, j] - p.xx[0, j] ** 2 / p.n
-        out.append({"fold": k, "n": p.n, "r2": 1 - rss / tss, "rmse": float(np.sqrt(max(rss, 0) / p.n))})
-    return frame(df.sparkSession, out)
+def cross_validate(df: DataFrame, y: str, columns: Sequence[str], folds: int = 5, key: Sequence[str] = (), seed: int = 42, fold: str | None = None) -> DataFrame:
+    """fold, n, r2 and rmse of least squares: one pass sums the products of every fold, and each is left out by subtraction.
+
+    Rows are dealt by a hash of `key`, or by the whole number `fold` modulo `folds`.
+    """
+    cols = {CONST: F.lit(1.0), **{c: col(c).cast("double") for c in columns}, Y: col(y).cast("double")}
+    rows = complete(df, {c: x for c, x in cols.items() if c != CONST})
+    part = F.pmod(col(fold).cast("long") if fold else F.xxhash64(F.lit(seed), *(col(c) for c in key or df.columns)), F.lit(folds)).alias("__fold")
+    names = list(cols)
+    means = rows.agg(*(F.avg(x) for x in cols.values())).first()
+    shift = {c: 0.0 if c == CONST else m for c, m in zip(names, means, strict=True)}
+    got = {r["__fold"]: r for r in rows.groupBy(part).agg(F.count("*").alias("n"), *cross_products(cols, None, shift)).collect()}
+    k = len(names)
+    parts = {}
+    for f, r in got.items():
+        m = np.zeros((k, k))
+        m[np.triu_indices(k)] = r[2:]
+        parts[f] = (r["n"], m + np.triu(m, 1).T)
+    total, out = sum(m for _, m in parts.values()), []
+    for f, (n, m) in sorted(parts.items()):
+        rest = total - m  # products of columns less their means: the constant takes the shift
+        b = _inverse(rest[:-1, :-1]) @ rest[:-1, -1]
+        rss = m[-1, -1] - 2 * b @ m[:-1, -1] + b @ m[:-1, :-1] @ b
+        tss = m[-1, -1] - m[0, -1] ** 2 / n
+        out.append({"fold": f, "n": n, "r2": 1 - rss / tss, "rmse": float(np.sqrt(max(rss, 0) / n))})
+    return frame(df.sparkSession, out, "fold long, n long, r2 double, rmse double")
 
 
 def hyperopt(df: DataFrame, y: str, columns: Sequence[str], kind: str = "rf", task: str = "regression", folds: int = 3, draws: int = 6, seed: int = 42) -> DataFrame:

@@ -178,6 +178,40 @@ def tsne(df: DataFrame, columns: Sequence[str], n: int = 2, perplexity: float =
     return frame(df.sparkSession, [{"row": i, **{f"dim{k + 1}": r[k] for k in range(n)}} for i, r in enumerate(z)])
 
 
+def umap(df: DataFrame, columns: Sequence[str], n: int = 2, neighbours: int = 15, spread: float = 0.1, steps: int = 200, seed: int = 42) -> DataFrame:
+    """Coordinates by UMAP: a fuzzy graph of nearest neighbours, laid out by attraction along it and repulsion elsewhere; a bounded number of rows."""
+    x = _gather(df, columns)
+    m = len(x)
+    k = min(neighbours, m - 1)
+    d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(axis=2), 0))
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1, kind="stable")[:, :k]
+    held = np.take_along_axis(d, near, axis=1)
+    first, goal = held[:, :1], math.log2(max(k, 2))
+    low, high = np.zeros((m, 1)), np.full((m, 1), 1e3)
+    for _ in range(60):  # the width at which the memberships add up to log2 k
+        mid = (low + high) / 2
+        over = np.exp(-np.maximum(held - first, 0) / np.maximum(mid, 1e-12)).sum(axis=1, keepdims=True) > goal
+        low, high = np.where(over, low, mid), np.where(over, mid, high)
+    p = np.zeros((m, m))
+    np.put_along_axis(p, near, np.exp(-np.maximum(held - first, 0) / np.maximum(mid, 1e-12)), axis=1)
+    p = p + p.T - p * p.T
+    # layout: eigenvectors of the normalised graph, then gradient steps on the cross-entropy with 1 / (1 + a r^(2b))
+    root = 1 / np.sqrt(np.maximum(p.sum(axis=1), 1e-12))
+    z = np.linalg.eigh(np.eye(m) - root[:, None] * p * root[None])[1][:, 1 : n + 1]
+    z = 10 * z / max(np.abs(z).max(), 1e-12) + np.random.default_rng(seed).normal(0, 1e-4, (m, n))
+    a, b = 1 / (1 + spread), 1.0
+    for it in range(steps):
+        gap = z[:, None] - z[None]
+        r = (gap**2).sum(axis=2)
+        pull = -2 * a * b * p / (1 + a * r)
+        push = 2 * b * (1 - p) / ((0.1 + r) * (1 + a * r))
+        np.fill_diagonal(push, 0)
+        move = ((pull + push * k / m)[:, :, None] * gap).sum(axis=1)
+        z = z + (1 - it / steps) * np.clip(move / k, -1, 1)
+    return frame(df.sparkSession, [{"row": i, **{f"dim{j + 1}": v[j] for j in range(n)}} for i, v in enumerate(z)])
+
+
 def discriminant(df: DataFrame, by: str, columns: Sequence[str], method: str = "lda") -> DataFrame:
     """group, predicted and n of a linear or quadratic discriminant on its own rows; scores are Column expressions."""
     groups, ns, means, within = group_outer(df, columns, by)

@@ -49,12 +49,15 @@ def clustering(edges: DataFrame) -> DataFrame:
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
-    """Written to the folder in spark.checkpoint.dir; a temporary one where that is unset."""
+    """Written to the folder in spark.checkpoint.dir; where that is unset, to a temporary one on a local master only."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         import tempfile
 
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tallyfold-"))
+        found = sc.getConf().get("spark.checkpoint.dir")
+        if not found and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="tallyfold-"))
     return df.checkpoint()
 
 
@@ -98,3 +101,65 @@ def distances(edges: DataFrame, sources: DataFrame, most: int = 6) -> DataFrame:
         front = _checkpoint(front)
         seen = _checkpoint(seen.unionByName(front))
     return seen
+
+
+#: Nodes of a graph whose shortest paths are all made, at most.
+MOST_NODES = 2_000
+
+
+def _hops(edges: DataFrame) -> DataFrame:
+    """source, node and hops between all pairs that are connected; a bounded number of nodes."""
+    nodes = _both(edges).select(F.col("src").alias("node")).distinct()
+    n = nodes.count()
+    if n > MOST_NODES:
+        raise ValueError(f"all shortest paths are made of {MOST_NODES} nodes at most, here are {n}; use distances from chosen nodes")
+    return distances(edges, nodes, n).where("hops > 0")
+
+
+def closeness(edges: DataFrame) -> DataFrame:
+    """node and closeness: reached nodes over the sum of their hops, times the share of nodes reached."""
+    hops = _hops(edges)
+    n = hops.select("source").distinct().agg(F.count("*").alias("__n"))
+    per = hops.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("r"), F.sum("hops").alias("s"))
+    return per.crossJoin(F.broadcast(n)).select("node", (F.col("r") / F.col("s") * F.col("r") / (F.col("__n") - 1)).alias("closeness"))
+
+
+def betweenness(edges: DataFrame) -> DataFrame:
+    """node and the share of shortest paths between other nodes that pass it (Brandes), from a graph of a bounded number of nodes."""
+    import numpy as np
+
+    from tallyfold.stats.frames import frame
+
+    pairs = _both(edges).select("src", "dst").distinct().limit(MOST_NODES * MOST_NODES).collect()
+    names = sorted({r["src"] for r in pairs})
+    if len(names) > MOST_NODES:
+        raise ValueError(f"betweenness takes {MOST_NODES} nodes at most, here are {len(names)}")
+    at = {v: i for i, v in enumerate(names)}
+    near: list[list[int]] = [[] for _ in names]
+    for r in pairs:
+        near[at[r["src"]]].append(at[r["dst"]])
+    n, score = len(names), np.zeros(len(names))
+    for source in range(n):
+        level, paths, front, layers = {source: 0}, np.zeros(n), [source], [[source]]
+        paths[source] = 1
+        while front:
+            after: list[int] = []
+            for u in front:
+                for v in near[u]:
+                    if v not in level:
+                        level[v] = level[u] + 1
+                        after.append(v)
+                    if level[v] == level[u] + 1:
+                        paths[v] += paths[u]
+            layers.append(after)
+            front = after
+        due = np.zeros(n)
+        for layer in reversed(layers):
+            for v in layer:
+                for u in near[v]:
+                    if level[u] == level[v] - 1:
+                        due[u] += paths[u] / paths[v] * (1 + due[v])
+                if v != source:
+                    score[v] += due[v]
+    scale = (n - 1) * (n - 2) or 1
+    return frame(edges.sparkSession, [{"node": v, "betweenness": float(score[i] / scale)} for i, v in enumerate(names)], "node string, betweenness double")

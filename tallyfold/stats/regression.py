@@ -399,7 +399,8 @@ def estat(df: DataFrame, fit: Fit, test: str) -> DataFrame:
     mean, sd = rows.agg(F.avg("__f"), F.stddev_samp("__f")).first()
     rows = rows.withColumn("__z", (F.col("__f") - mean) / (sd or 1.0))
     if test == "linktest":
-        link = ols(rows.withColumn("hat", F.col("__f")).withColumn("hatsq", F.col("__f") ** 2), f"{f.y} ~ hat + hatsq")
+        # the square's test is the same for fitted values in standard units, which keep it apart from the values themselves
+        link = ols(rows.withColumn("hat", F.col("__z")).withColumn("hatsq", F.col("__z") ** 2), f"{f.y} ~ hat + hatsq")
         r = link.rows()[2]
         return frame(spark, [{"test": test, "statistic": r["statistic"], "df": link.df_resid, "p": r["p"]}])
     wide = ols(rows.withColumn("__z2", F.col("__z") ** 2).withColumn("__z3", F.col("__z") ** 3), Formula(f.y, (*f.terms, ("__z2",), ("__z3",))))
@@ -509,6 +510,20 @@ def svy_summary(df: DataFrame, columns: Sequence[str], weight: str) -> DataFrame
     return frame(df.sparkSession, parts)
 
 
+def survey_meat(rows: DataFrame, score: Column, cols: Mapping[str, Column], strata: str | None, psu: str | None) -> np.ndarray:
+    """Sum over strata of the spread of the primary units' score sums, each with n / (n - 1)."""
+    keys = [(col(strata) if strata else F.lit(0)).alias("__s"), (col(psu) if psu else F.monotonically_increasing_id()).alias("__p")]
+    x = list(cols.values())
+    sums = rows.groupBy(*keys).agg(*(F.sum(score * c).alias(f"s{i}") for i, c in enumerate(x)))
+    k = len(x)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    per = sums.groupBy("__s").agg(F.count("*").alias("n"), *(F.covar_samp(f"s{i}", f"s{j}").alias(f"c{i}_{j}") for i, j in pairs))
+    got = per.agg(*(F.sum(F.when(F.col("n") > 1, F.col("n") * F.col(f"c{i}_{j}"))) for i, j in pairs)).first()
+    meat = np.zeros((k, k))
+    meat[np.triu_indices(k)] = [v or 0.0 for v in got]
+    return meat + np.triu(meat, 1).T
+
+
 def svy_ols(df: DataFrame, spec: str | Formula, weight: str, strata: str | None = None, psu: str | None = None) -> Fit:
     """Weighted least squares; errors from score sums of the primary units within strata."""
     f = parse(spec)
@@ -518,16 +533,7 @@ def svy_ols(df: DataFrame, spec: str | Formula, weight: str, strata: str | None
     bread = _inverse(m.block([CONST, *x], [CONST, *x]))
     rows = complete(df, {**x, Y: col(f.y), "w": col(weight)})
     e = col(weight).cast("double") * (col(f.y).cast("double") - fit.linear())
-    keys = [(col(strata) if strata else F.lit(0)).alias("__s"), (col(psu) if psu else F.monotonically_increasing_id()).alias("__p")]
-    cols = list(design(x).values())
-    sums = rows.groupBy(*keys).agg(*(F.sum(e * c).alias(f"s{i}") for i, c in enumerate(cols)))
-    k = len(cols)
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    per = sums.groupBy("__s").agg(F.count("*").alias("n"), *(F.covar_samp(f"s{i}", f"s{j}").alias(f"c{i}_{j}") for i, j in pairs))
-    got = per.agg(*(F.sum(F.when(F.col("n") > 1, F.col("n") * F.col(f"c{i}_{j}"))) for i, j in pairs)).first()
-    meat = np.zeros((k, k))
-    meat[np.triu_indices(k)] = got
-    fit.cov = bread @ (meat + np.triu(meat, 1).T) @ bread
+    fit.cov = bread @ survey_meat(rows, e, design(x), strata, psu) @ bread
     fit.kind = "svy_ols"
     return fit
 

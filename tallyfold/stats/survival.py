@@ -98,6 +98,31 @@ def cox(df: DataFrame, time: str, event: str, columns: Sequence[str], steps: int
     return Fit("cox", list(columns), b, cov, n, n - k, {"ll": ll, "events": float(seen[-1])}, normal=True)
 
 
+def proportional(df: DataFrame, time: str, event: str, fit: Fit) -> DataFrame:
+    """term, rho, chi2 and p: the correlation of the Schoenfeld residuals with the time of the events."""
+    x = {c: col(c).cast("double") for c in fit.names}
+    t, e = col(time).cast("double"), col(event).cast("int")
+    rows = complete(df, {**x, "t": t, "e": e}).select(t.alias("t"), e.alias("e"), *(c.alias(f"x{i}") for i, c in enumerate(x.values())))
+    k = len(x)
+    risk = F.exp(sum((F.lit(float(b)) * F.col(f"x{i}") for i, b in enumerate(fit.params)), F.lit(0.0)))
+    d = F.col("e") == 1
+    per = rows.groupBy("t").agg(F.sum(risk).alias("s0"), *(F.sum(risk * F.col(f"x{i}")).alias(f"s{i + 1}") for i in range(k)), F.sum(d.cast("int")).alias("d"), *(F.sum(F.when(d, F.col(f"x{i}"))).alias(f"e{i}") for i in range(k)))
+    w = Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
+    sums = per.select("t", "d", *(f"e{i}" for i in range(k)), *(F.sum(f"s{i}").over(w).alias(f"s{i}") for i in range(k + 1))).where("d > 0")
+    # the residuals of tied events are averaged, with their number as weight
+    means = sums.select("t", "d", *((F.col(f"e{i}") / F.col("d") - F.col(f"s{i + 1}") / F.col("s0")).alias(f"r{i}") for i in range(k)))
+    sd = F.col("d").cast("double")
+    got = means.agg(F.sum(sd), F.sum(sd * F.col("t")), F.sum(sd * F.col("t") ** 2), *(F.sum(sd * v) for i in range(k) for v in (F.col(f"r{i}"), F.col(f"r{i}") ** 2, F.col(f"r{i}") * F.col("t")))).first()
+    n, st, stt = got[:3]
+    out = []
+    for i, c in enumerate(fit.names):
+        sr, srr, srt = got[3 + 3 * i : 6 + 3 * i]
+        spread = (srr - sr * sr / n) * (stt - st * st / n)
+        rho = (srt - sr * st / n) / math.sqrt(spread) if spread > 0 else 0.0
+        out.append({"term": c, "rho": rho, "chi2": n * rho * rho, "p": dist.chi2_sf(n * rho * rho, 1)})
+    return frame(df.sparkSession, out, "term string, rho double, chi2 double, p double")
+
+
 def competing(df: DataFrame, time: str, event: str, cause: str) -> DataFrame:
     """Aalen-Johansen cumulative incidence: cause, time, cif."""
     t, e = col(time).cast("double"), col(event).cast("int")

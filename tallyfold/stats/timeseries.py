@@ -352,7 +352,9 @@ def changepoints(df: DataFrame, column: str, order: Sequence[str], n: int = 5, p
 
 def joinpoint(df: DataFrame, y: str, x: str, most: int = 3) -> DataFrame:
     """Piecewise linear trend: segments with slope; joints by BIC over a grid of the distinct x, after averaging y at each x."""
-    pts = df.where(col(y).isNotNull() & col(x).isNotNull()).groupBy(col(x).cast("double").alias("x")).agg(F.avg(col(y)).alias("y"), F.count("*").alias("n")).orderBy("x").limit(MOST_VALUES).toPandas()
+    pts = df.where(col(y).isNotNull() & col(x).isNotNull()).groupBy(col(x).cast("double").alias("x")).agg(F.avg(col(y)).alias("y"), F.count("*").alias("n")).limit(MOST_VALUES + 1).toPandas().sort_values("x")
+    if len(pts) > MOST_VALUES:
+        raise ValueError(f"joinpoint takes {MOST_VALUES} different values of {x} at most")
     xs, ys, w = pts.x.to_numpy(), pts.y.to_numpy(), np.sqrt(pts.n.to_numpy())
     inner = xs[2:-2] if len(xs) > 6 else xs[1:-1]
     grid = inner[np.unique(np.linspace(0, len(inner) - 1, min(30, len(inner))).astype(int))] if len(inner) else inner
