@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions import dsl
 from tallyfold.functions.exprs import col, count_if, n_unique
-from tallyfold.operators.ordered import RN, numbered, order_statistics
+from tallyfold.operators.ordered import RN, numbered, quantiles
 from tallyfold.operators.transform import need, numeric_columns
 
 
@@ -152,13 +152,12 @@ def summarize(df: DataFrame, columns: Sequence[str] = (), method: str = "nearest
     """n, mean, sd, min, quartiles and max of each numeric column; nulls are left out."""
     columns = list(columns) or numeric_columns(df)
     need(df, *columns)
-    parts = []
-    for c in columns:
-        base = df.agg(F.lit(c).alias("variable"), F.count(col(c)).alias("n"), F.avg(col(c)).alias("mean"), F.stddev_samp(col(c)).alias("sd"), F.min(col(c)).cast("double").alias("min"), F.max(col(c)).cast("double").alias("max"))
-        q = order_statistics(df, c, [0.25, 0.5, 0.75], method)
-        q = q.agg(*(F.max(F.when(F.col("q") == p, F.col("value"))).alias(n) for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))))
-        parts.append(base.crossJoin(F.broadcast(q)))
-    return _union(parts)
+    moments = {"n": F.count, "mean": F.avg, "sd": F.stddev_samp, "min": lambda c: F.min(c).cast("double"), "max": lambda c: F.max(c).cast("double")}
+    wide = df.agg(*(f(col(c)).alias(f"{k}_{i}") for i, c in enumerate(columns) for k, f in moments.items()))
+    base = wide.select(F.inline(F.array(*(F.struct(F.lit(c).alias("variable"), *(F.col(f"{k}_{i}").alias(k) for k in moments)) for i, c in enumerate(columns)))))
+    parts = (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))
+    q = quantiles(df, columns, [p for _, p in parts], method).groupBy("variable").agg(*(F.max(F.when(F.col("q") == p, F.col("value"))).alias(n) for n, p in parts))
+    return base.join(F.broadcast(q), "variable", "left")
 
 
 def tabulate(df: DataFrame, column: str, limit: int = 50) -> DataFrame:
@@ -191,12 +190,20 @@ def average_rank(df: DataFrame, column: str, new: str) -> DataFrame:
 def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """var1, var2, n and rho of each pair, over the rows where both have a value."""
     need(df, *columns)
+    rows = df.select(*(col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)))
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    holes = rows.agg(*(count_if(F.col(c).isNull()).alias(c) for c in rows.columns)).first()
+    if not any(holes):  # the ranks of a column are the same in all pairs
+        for i in range(len(columns)):
+            rows = average_rank(rows, f"v{i}", f"r{i}")
+        wide = rows.agg(F.count("*").alias("n"), *(F.corr(f"r{i}", f"r{j}").alias(f"p{i}_{j}") for i, j in pairs))
+        cells = [F.struct(F.lit(columns[i]).alias("var1"), F.lit(columns[j]).alias("var2"), F.col("n"), F.col(f"p{i}_{j}").alias("rho")) for i, j in pairs]
+        return wide.select(F.inline(F.array(*cells)))
     parts = []
-    for i, a in enumerate(columns):
-        for b in columns[i + 1 :]:
-            rows = df.select(col(a).cast("double").alias("a"), col(b).cast("double").alias("b")).where("a is not null and b is not null")
-            ranked = average_rank(average_rank(rows, "a", "ra"), "b", "rb")
-            parts.append(ranked.agg(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.count("*").alias("n"), F.corr("ra", "rb").alias("rho")))
+    for i, j in pairs:
+        both = rows.select(F.col(f"v{i}").alias("a"), F.col(f"v{j}").alias("b")).where("a is not null and b is not null")
+        ranked = average_rank(average_rank(both, "a", "ra"), "b", "rb")
+        parts.append(ranked.agg(F.lit(columns[i]).alias("var1"), F.lit(columns[j]).alias("var2"), F.count("*").alias("n"), F.corr("ra", "rb").alias("rho")))
     return _union(parts)
 
 

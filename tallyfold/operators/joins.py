@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,19 +14,21 @@ from tallyfold.operators.transform import need
 _HOW = {"inner": "inner", "left": "left", "right": "right", "outer": "full", "full": "full"}
 
 
-def merge(df: DataFrame, other: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """Equi-join on one column. Null keys never match; clashing columns of `other` get the suffix _right; a full join keeps both keys."""
+def merge(df: DataFrame, other: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on one column or several. Null keys never match; clashing columns of `other` get the suffix _right; a full join keeps both keys."""
     if how == "cross":
         return df.crossJoin(other.select(*(col(c).alias(f"{c}_right" if c in df.columns else c) for c in other.columns)))
-    need(df, on)
-    need(other, on)
-    renamed = other.select(*(col(c).alias("__key" if c == on else f"{c}_right" if c in df.columns else c) for c in other.columns))
-    out = df.join(renamed, col(on) == F.col("__key"), _HOW[how])
+    keys = [on] if isinstance(on, str) else list(on)
+    need(df, *keys)
+    need(other, *keys)
+    own = {k: f"__key{i}" for i, k in enumerate(keys)}
+    renamed = other.select(*(col(c).alias(own.get(c) or (f"{c}_right" if c in df.columns else c)) for c in other.columns))
+    out = df.join(renamed, [col(k) == F.col(own[k]) for k in keys], _HOW[how])
     if how in ("outer", "full"):
-        return out.withColumnRenamed("__key", f"{on}_right")
+        return out.withColumnsRenamed({own[k]: f"{k}_right" for k in keys})
     if how == "right":
-        out = out.withColumn(on, F.col("__key"))
-    return out.drop("__key")
+        out = out.withColumns({k: F.col(own[k]) for k in keys})
+    return out.drop(*own.values())
 
 
 def anti_join(df: DataFrame, other: DataFrame, on: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Operations in a global row order without a single-task window.
 
-Rows are dealt to ranges of the first order column (cut at approximate quantiles), each
-range is numbered by a window of its own, and the ranges' counts give the offsets. A
+Rows are dealt to ranges of the whole order key (cut at the quantiles of a bounded
+sample), each range is numbered by a window of its own, and the ranges' counts give the
+offsets. There are as many ranges as the rows ask for; only rows whose keys are equal in
+every order column are never parted. A
 frame of a few rows is then evaluated in blocks of consecutive rows, with copies of the
 neighbouring rows that a block's frames reach into.
 """
@@ -12,7 +14,6 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyfold.functions.exprs import col
 
@@ -21,25 +22,34 @@ RN, BUCKET = "__rn", "__bucket"
 BLOCK = 50_000
 
 
-def _key(df: DataFrame, column: str) -> Column | None:
-    t = df.schema[column].dataType
-    if isinstance(t, T.NumericType):
-        return col(column).cast("double")
-    if isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return col(column).cast("timestamp").cast("double")
-    return None
+#: Rows of the sample whose quantiles cut the ranges; ranges at most.
+SAMPLE, MOST_BUCKETS = 10_000, 2_000
+
+
+def _pick(key: Column, cuts: Sequence[Column], low: int, high: int) -> Column:
+    """How many of cuts[low:high] are below the key, plus low: a tree of comparisons."""
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(key > cuts[middle], _pick(key, cuts, middle + 1, high)).otherwise(_pick(key, cuts, low, middle))
 
 
 def bucketed(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """df with BUCKET, an int that does not fall in the row order. Nulls come first, as in `sort`."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = _key(df, order[0])
-    if key is None or n < 2:  # text: its first two characters
-        first = F.coalesce(F.ascii(col(order[0]).cast("string")) + 1, F.lit(0))
-        return df.withColumn(BUCKET, first.cast("int"))
-    cuts = df.select(F.percentile_approx(key, [i / n for i in range(1, n)], 1000)).first()[0] or []
-    place = sum(((key > F.lit(c)).cast("int") for c in sorted(set(cuts))), F.lit(1))
-    return df.withColumn(BUCKET, F.when(col(order[0]).isNull(), 0).otherwise(place))
+    spark = df.sparkSession
+    keys = df.select(*(col(c).alias(f"k{i}") for i, c in enumerate(order)))
+    rows = keys.count()
+    n = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BLOCK)), MOST_BUCKETS, max(1, rows // 1000))
+    if n < 2:
+        return df.withColumn(BUCKET, F.lit(0))
+    drawn = keys.orderBy(F.xxhash64(*keys.columns)).limit(SAMPLE).select(F.struct(*keys.columns).alias("k"))
+    place = F.row_number().over(Window.orderBy("k")) - 1  # a bounded sample
+    wanted = sorted({i * min(rows, SAMPLE) // n for i in range(1, n)})
+    cuts = [r["k"] for r in drawn.withColumn("i", place).where(F.col("i").isin(wanted)).select("k").distinct().orderBy("k").collect()]
+    kinds = keys.schema
+    literal = lambda r: F.struct(*(F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in kinds.fields))
+    key = F.struct(*(col(c).alias(f"k{i}") for i, c in enumerate(order)))
+    return df.withColumn(BUCKET, _pick(key, [literal(r) for r in cuts], 0, len(cuts)).cast("int"))
 
 
 def _order(order: Sequence[str]) -> list[Column]:
@@ -77,39 +87,52 @@ def framed(df: DataFrame, order: Sequence[str], before: int, after: int, make: C
     return rows.where(F.col("__block") == block).drop("__block", RN)
 
 
-def running(df: DataFrame, order: Sequence[str], column: str, how: str) -> DataFrame:
-    """df with __run, the running sum, product, max, min, count or last non-null value of a column in the global order."""
+def running_all(df: DataFrame, order: Sequence[str], wanted: dict[str, tuple[str, str]]) -> DataFrame:
+    """df with, for each new name, the running sum, prod, max, min, count or last non-null value of a column, given as (column, how), in the global order."""
     last = lambda c: F.last(c, ignorenulls=True)
-    whole = {"sum": F.sum, "prod": F.product, "max": F.max, "min": F.min, "count": F.count, "last": None}[how]
-    merge = {"sum": F.sum, "prod": F.product, "max": F.max, "min": F.min, "count": F.sum, "last": last}[how]
+    whole = {"sum": F.sum, "prod": F.product, "max": F.max, "min": F.min, "count": F.count, "last": last}
+    merge = whole | {"count": F.sum}
     rows = bucketed(df, order)
-    c = col(column)
-    if how == "last":
-        totals = rows.where(c.isNotNull()).groupBy(BUCKET).agg(F.max_by(c, F.struct(*(col(o).isNotNull().alias(f"{i}n") for i, o in enumerate(order)), *(col(o).alias(f"{i}v") for i, o in enumerate(order)))).alias("__total"))
-        totals = rows.select(BUCKET).distinct().join(totals, BUCKET, "left")
-    else:
-        totals = rows.groupBy(BUCKET).agg(whole(c).alias("__total"))
+    rank = F.struct(*(x for i, o in enumerate(order) for x in (col(o).isNotNull().alias(f"{i}n"), col(o).alias(f"{i}v"))))
+    items = list(wanted.items())
+    total = lambda c, how: F.max_by(c, F.when(c.isNotNull(), rank)) if how == "last" else whole[how](c)
+    totals = rows.groupBy(BUCKET).agg(*(total(col(c), how).alias(f"__total{i}") for i, (_, (c, how)) in enumerate(items)))
     earlier = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(BUCKET, merge(F.col("__total")).over(earlier).alias("__earlier"))  # a row for each bucket
+    offsets = totals.select(BUCKET, *(merge[how](F.col(f"__total{i}")).over(earlier).alias(f"__earlier{i}") for i, (_, (_, how)) in enumerate(items)))  # a row for each bucket
     upto = Window.partitionBy(BUCKET).orderBy(*_order(order)).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("__local", (last if how == "last" else whole)(c).over(upto)).join(F.broadcast(offsets), BUCKET)
-    a, b = F.col("__local"), F.col("__earlier")
-    both = {"sum": a + b, "prod": a * b, "max": F.greatest(a, b), "min": F.least(a, b), "count": a + b, "last": a}[how]
-    return rows.withColumn("__run", F.when(a.isNull(), b).when(b.isNull(), a).otherwise(both)).drop("__local", "__earlier", BUCKET)
+    rows = rows.withColumns({f"__local{i}": whole[how](col(c)).over(upto) for i, (_, (c, how)) in enumerate(items)}).join(F.broadcast(offsets), BUCKET)
+    out = {}
+    for i, (name, (_, how)) in enumerate(items):
+        a, b = F.col(f"__local{i}"), F.col(f"__earlier{i}")
+        both = {"sum": a + b, "prod": a * b, "max": F.greatest(a, b), "min": F.least(a, b), "count": a + b, "last": a}[how]
+        out[name] = F.when(a.isNull(), b).when(b.isNull(), a).otherwise(both)
+    return rows.withColumns(out).drop(BUCKET, *(f"__{x}{i}" for i in range(len(items)) for x in ("local", "earlier")))
 
 
-def order_statistics(df: DataFrame, column: str, quantiles: Sequence[float], method: str = "nearest") -> DataFrame:
+def running(df: DataFrame, order: Sequence[str], column: str, how: str) -> DataFrame:
+    """df with __run, one running value of `running_all`."""
+    return running_all(df, order, {"__run": (column, how)})
+
+
+def quantiles(df: DataFrame, columns: Sequence[str], at: Sequence[float], method: str = "nearest") -> DataFrame:
+    """(variable, q, value): exact quantiles of several columns from one count of their distinct values."""
+    spark = df.sparkSession
+    long = df.select(*(col(c).cast("double").alias(c) for c in columns)).unpivot([], [F.col(f"`{c}`") for c in columns], "variable", "v").where("v is not null")
+    counts = long.groupBy("variable", "v").agg(F.count("*").alias("n"))
+    totals = {r["variable"]: r["n"] for r in counts.groupBy("variable").agg(F.sum("n").alias("n")).collect()}  # a row for each column
+    asked, before = [], 0
+    for c in sorted(totals):
+        for q in at:
+            k = q * (totals[c] - 1)
+            low = round(k) if method == "nearest" else int(k // 1)
+            parts = [(low, 1.0)] if method == "nearest" else [(low, 1 - (k - low)), (min(low + 1, totals[c] - 1), k - low)]
+            asked += [(c, float(q), before + i, w) for i, w in parts]
+        before += totals[c]
+    upto = running(counts, ["variable", "v"], "n", "sum").select("v", (F.col("__run") - F.col("n")).alias("first"), (F.col("__run") - 1).alias("last"))
+    table = spark.createDataFrame(asked, "variable string, q double, k long, w double")
+    return upto.join(F.broadcast(table), (F.col("k") >= F.col("first")) & (F.col("k") <= F.col("last"))).groupBy("variable", "q").agg(F.sum(F.col("v") * F.col("w")).alias("value"))
+
+
+def order_statistics(df: DataFrame, column: str, at: Sequence[float], method: str = "nearest") -> DataFrame:
     """(q, value): exact quantiles without holding the values in one task. `nearest` takes a value, `linear` interpolates."""
-    c = col(column)
-    counts = df.where(c.isNotNull()).groupBy(c.cast("double").alias("v")).agg(F.count("*").alias("n"))
-    upto = running(counts, ["v"], "n", "sum").select("v", (F.col("__run") - F.col("n")).alias("first"), (F.col("__run") - 1).alias("last"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    asked = df.sparkSession.createDataFrame([(float(q),) for q in quantiles], "q double").crossJoin(F.broadcast(total))
-    at = F.col("q") * (F.col("total") - 1)
-    if method == "nearest":
-        asked = asked.select("q", F.array(F.struct(F.bround(at).cast("long").alias("k"), F.lit(1.0).alias("w"))).alias("ks"))
-    else:
-        low = F.floor(at)
-        asked = asked.select("q", F.array(F.struct(low.cast("long").alias("k"), (1 - (at - low)).alias("w")), F.struct(F.ceil(at).cast("long").alias("k"), (at - low).alias("w"))).alias("ks"))
-    asked = asked.select("q", F.explode("ks").alias("r")).select("q", "r.k", "r.w")
-    return upto.join(F.broadcast(asked), (F.col("k") >= F.col("first")) & (F.col("k") <= F.col("last"))).groupBy("q").agg(F.sum(F.col("v") * F.col("w")).alias("value"))
+    return quantiles(df.select(col(column).alias("v0")), ["v0"], at, method).select("q", "value")

@@ -35,7 +35,7 @@ def tfidf(df: DataFrame, column: str, key: str, top: int = 20, max_features: int
     need(df, column, key)
     docs = df.where(col(column).isNotNull())
     n = docs.agg(F.count("*").alias("__n"))
-    tokens = docs.select(col(key).alias("__k"), F.explode(F.regexp_extract_all(F.lower(col(column)), F.lit(r"\b\w\w+\b"), F.lit(0))).alias("term"))
+    tokens = docs.select(col(key).alias("__k"), F.explode(F.regexp_extract_all(F.lower(col(column)), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))).alias("term"))
     if stopwords:
         tokens = tokens.where(~F.col("term").isin(STOPWORDS))
     counts = tokens.groupBy("__k", "term").agg(F.count("*").alias("tf"))

@@ -96,8 +96,16 @@ register("strlower", lambda s, d: X.text_lower(Tables(s, d).part, "p_brand").sel
 register("strreplace", lambda s, d: X.text_replace(Tables(s, d).part, "p_brand", "[aeiou]", "_").select("p_partkey", "p_brand"), "SELECT p_partkey, regexp_replace(p_brand, '[aeiou]', '_', 'g') AS p_brand FROM part")
 
 # joins
-_OC = lambda s, d: (Tables(s, d).orders.where("o_orderkey % 3 = 0").withColumnRenamed("o_custkey", "k").select("k", "o_orderkey"), Tables(s, d).customer.where("c_custkey % 2 = 0").withColumnRenamed("c_custkey", "k").select("k", "c_name"))
-_OS, _CS = "(SELECT o_custkey AS k, o_orderkey FROM orders WHERE o_orderkey % 3 = 0)", "(SELECT c_custkey AS k, c_name FROM customer WHERE c_custkey % 2 = 0)"
+#: Rows beside the whole tables that meet no partner: a null key, and keys of one side only.
+_LEFT_ONLY, _RIGHT_ONLY = [(None, -1), (-5, -2)], [(None, "none"), (-7, "other")]
+
+
+def _OC(s, d):
+    left = Tables(s, d).orders.selectExpr("o_custkey as k", "o_orderkey").unionByName(s.createDataFrame(_LEFT_ONLY, "k long, o_orderkey long"))
+    return left, Tables(s, d).customer.selectExpr("c_custkey as k", "c_name").unionByName(s.createDataFrame(_RIGHT_ONLY, "k long, c_name string"))
+
+
+_OS, _CS = "(SELECT o_custkey AS k, o_orderkey FROM orders UNION ALL VALUES (NULL, -1), (-5, -2))", "(SELECT c_custkey AS k, c_name FROM customer UNION ALL VALUES (NULL, 'none'), (-7, 'other'))"
 register("merge_inner", lambda s, d: J.merge(*_OC(s, d), "k"), f"SELECT o.k, o_orderkey, c_name FROM {_OS} o JOIN {_CS} c USING (k)")
 register("merge_left", lambda s, d: J.merge(*_OC(s, d), "k", "left"), f"SELECT o.k, o_orderkey, c_name FROM {_OS} o LEFT JOIN {_CS} c USING (k)")
 register("merge_right", lambda s, d: J.merge(*_OC(s, d), "k", "right"), f"SELECT c.k, o_orderkey, c_name FROM {_OS} o RIGHT JOIN {_CS} c ON o.k = c.k")
@@ -117,6 +125,9 @@ register("duplicates_drop", lambda s, d: S.drop_duplicates(Tables(s, d).orders,
 register("unique", lambda s, d: S.unique(Tables(s, d).part, "p_brand"), "SELECT DISTINCT p_brand FROM part")
 register("sample_n", lambda s, d: S.sample(Tables(s, d).orders, 100).agg(F.count("*").alias("n")), "SELECT least(100, count(*)) AS n FROM orders")
 register("sample_fraction", lambda s, d: S.sample(Tables(s, d).orders, fraction=0.1).agg(F.count("*").alias("n")), "SELECT greatest(1, CAST(floor(count(*) * 0.1) AS BIGINT)) AS n FROM orders")
+register("sample_rows", lambda s, d: S.sample(Tables(s, d).orders, 100).join(Tables(s, d).orders.select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("p")), F.col("o_orderkey") == F.col("k")).agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("keys"), F.max(F.abs(F.col("o_totalprice") - F.col("p"))).alias("gap")), "SELECT least(100, count(*)) AS n, least(100, count(*)) AS keys, 0.0::DOUBLE AS gap FROM orders")
+register("merge_two_keys", lambda s, d: J.merge(Tables(s, d).lineitem.select("l_orderkey", "l_linenumber", "l_quantity"), Tables(s, d).lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")), ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "l_quantity", "n"),
+    "SELECT l_orderkey, l_linenumber, l_quantity, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n FROM lineitem")
 register("sample_stratified", lambda s, d: S.sample_stratified(Tables(s, d).customer, "c_mktsegment", 20, order=["c_custkey"]).groupBy("c_mktsegment").agg(F.count("*").alias("n")), "SELECT c_mktsegment, least(20, count(*)) AS n FROM customer GROUP BY 1")
 
 # aggregation and windows
@@ -132,9 +143,12 @@ register("egen_group", lambda s, d: A.egen(Tables(s, d).part, "g", "group", ["p_
 register("egen_row", lambda s, d: rounded(A.egen(A.egen(Tables(s, d).lineitem.limit(0).unionByName(Tables(s, d).lineitem), "t", "rowtotal", ["l_quantity", "l_tax"]), "m", "rowmean", ["l_quantity", "l_tax"]).groupBy("l_returnflag").agg(F.sum("t").alias("t"), F.sum("m").alias("m")), 4), "SELECT l_returnflag, round(sum(l_quantity + l_tax), 4) AS t, round(sum((l_quantity + l_tax) / 2), 4) AS m FROM lineitem GROUP BY 1")
 register("pivot_sum", lambda s, d: rounded(A.pivot(Tables(s, d).orders, "o_totalprice", "o_orderstatus", ["o_orderpriority"], "sum"), 2), "SELECT o_orderpriority, " + ", ".join(f"round(sum(o_totalprice) FILTER (o_orderstatus = '{x}'), 2) AS \"{x}\"" for x in "FOP") + " FROM orders GROUP BY 1")
 register("pivot_count", lambda s, d: A.pivot(Tables(s, d).orders, "o_totalprice", "o_orderstatus", ["o_orderpriority"], "count"), "SELECT o_orderpriority, " + ", ".join(f"nullif(count(*) FILTER (o_orderstatus = '{x}'), 0) AS \"{x}\"" for x in "FOP") + " FROM orders GROUP BY 1")
-register("melt", lambda s, d: A.melt(Tables(s, d).lineitem.where("l_orderkey % 50 = 0"), ["l_orderkey"], ["l_discount", "l_tax"]).groupBy("variable").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("v")), "SELECT 'l_discount' AS variable, count(*) AS n, round(sum(l_discount), 4) AS v FROM lineitem WHERE l_orderkey % 50 = 0 UNION ALL SELECT 'l_tax', count(*), round(sum(l_tax), 4) FROM lineitem WHERE l_orderkey % 50 = 0")
+register("melt", lambda s, d: A.melt(Tables(s, d).lineitem, ["l_orderkey", "l_linenumber"], ["l_discount", "l_tax"]).selectExpr("l_orderkey", "l_linenumber", "variable", "value + 0.0 as value"),
+    "SELECT l_orderkey, l_linenumber, 'l_discount' AS variable, l_discount + 0.0 AS value FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'l_tax', l_tax + 0.0 FROM lineitem")
 register("reshape_long", lambda s, d: A.reshape_long(Tables(s, d).part.selectExpr("p_partkey", "p_size as v1", "p_size * 2 as v2"), "v", ["p_partkey"], "j").selectExpr("p_partkey", "j", "cast(v as bigint) v"), "SELECT p_partkey, '1' AS j, CAST(p_size AS BIGINT) AS v FROM part UNION ALL SELECT p_partkey, '2', CAST(p_size * 2 AS BIGINT) FROM part")
-register("reshape_wide", lambda s, d: rounded(A.reshape_wide(Tables(s, d).events.groupBy("user_id", "event_type").agg(F.max("value").alias("v")), ["v"], ["user_id"], "event_type"), 6), None)
+_KINDS = ("click", "error", "purchase", "signup", "view")
+register("reshape_wide", lambda s, d: rounded(A.reshape_wide(Tables(s, d).events.groupBy("user_id", "event_type").agg(F.max("value").alias("v")), ["v"], ["user_id"], "event_type"), 6),
+    "SELECT user_id, " + ", ".join(f"round(max(value) FILTER (event_type = '{k}'), 6) AS v{k}" for k in _KINDS) + " FROM events GROUP BY 1")
 register("lag", lambda s, d: rounded(X.lag(Tables(s, d).events, "value", 2, ["event_id"], "x").select("event_id", "x")), "SELECT event_id, round(lag(value, 2) OVER (ORDER BY event_id), 6) AS x FROM events")
 register("lead", lambda s, d: rounded(X.lead(Tables(s, d).events, "value", 1, ["event_id"], "x").select("event_id", "x")), "SELECT event_id, round(lead(value, 1) OVER (ORDER BY event_id), 6) AS x FROM events")
 register("lag_by", lambda s, d: rounded(X.lag(Tables(s, d).events, "value", 1, ["event_id"], "x", ["user_id"]).select("event_id", "x")), "SELECT event_id, round(lag(value) OVER (PARTITION BY user_id ORDER BY event_id), 6) AS x FROM events")
@@ -146,8 +160,8 @@ for _f, _sql in (("mean", "avg"), ("sum", "sum"), ("min", "min"), ("max", "max")
         f"SELECT event_id, CASE WHEN count(value) OVER w >= 2 THEN round({_sql}(value) OVER w, 4) + 0.0 END AS x FROM {_H} WINDOW w AS (ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
 register("rolling_center", lambda s, d: rounded(X.rolling(Tables(s, d).events, "value", 5, "mean", ["event_id"], "x", center=True).select("event_id", "x"), 4), "SELECT event_id, round(avg(value) OVER (ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 4) AS x FROM events")
 register("tssmooth_ma", lambda s, d: rounded(A.smooth_ma(Tables(s, d).events, "value", 3, ["event_id"], "x").select("event_id", "x"), 4), "SELECT event_id, round(avg(value) OVER (ORDER BY event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 4) AS x FROM events")
-register("tssmooth_exp", lambda s, d: rounded(A.smooth_exp(Tables(s, d).events.where("user_id < 20"), "value", 0.3, ["event_id"], ["user_id"], "x").select("event_id", "x"), 4),
-    """WITH RECURSIVE e AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE user_id < 20),
+register("tssmooth_exp", lambda s, d: rounded(A.smooth_exp(Tables(s, d).events, "value", 0.3, ["event_id"], ["user_id"], "x").select("event_id", "x"), 4),
+    """WITH RECURSIVE e AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
   r AS (SELECT event_id, user_id, k, value AS x FROM e WHERE k = 1 UNION ALL SELECT e.event_id, e.user_id, e.k, 0.3 * e.value + 0.7 * r.x FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1) SELECT event_id, round(x, 4) AS x FROM r""")
 register("sql_cte_window", lambda s, d: _sql_on(s, Tables(s, d).orders, "WITH t AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM data) SELECT o_custkey, o_orderkey FROM t WHERE r = 1"), "WITH t AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) SELECT o_custkey, o_orderkey FROM t WHERE r = 1")
 register("sql_rollup", lambda s, d: rounded(_sql_on(s, Tables(s, d).orders, "SELECT o_orderpriority, o_orderstatus, count(*) AS n, sum(o_totalprice) AS v FROM data GROUP BY ROLLUP (o_orderpriority, o_orderstatus)"), 2), "SELECT o_orderpriority, o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY ROLLUP (o_orderpriority, o_orderstatus)")
@@ -159,3 +173,12 @@ def _sql_on(spark, df, text):
     from tallyfold.sources.sql import run_sql
 
     return run_sql(df, text)
+
+
+register("sql_cube", lambda s, d: rounded(_sql_on(s, Tables(s, d).orders, "SELECT o_orderpriority, o_orderstatus, count(*) AS n, sum(o_totalprice) AS v FROM data GROUP BY CUBE (o_orderpriority, o_orderstatus)"), 2), "SELECT o_orderpriority, o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY CUBE (o_orderpriority, o_orderstatus)")
+register("sql_range_frame", lambda s, d: rounded(_sql_on(s, Tables(s, d).events, "SELECT event_id, sum(value) OVER (PARTITION BY user_id ORDER BY event_id RANGE BETWEEN 500 PRECEDING AND CURRENT ROW) AS v FROM data"), 4), "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id RANGE BETWEEN 500 PRECEDING AND CURRENT ROW), 4) AS v FROM events")
+register("sql_arrays", lambda s, d: _sql_on(s, Tables(s, d).events, "SELECT user_id, array_join(array_sort(collect_set(event_type)), ',') AS kinds, cast(size(map_from_entries(collect_set(struct(event_type, 1)))) AS bigint) AS n FROM data GROUP BY user_id"), "SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds, count(DISTINCT event_type) AS n FROM events GROUP BY 1")
+register("sql_union", lambda s, d: _sql_on(s, Tables(s, d).orders, "SELECT o_custkey FROM data WHERE o_orderstatus = 'F' UNION SELECT o_custkey FROM data WHERE o_orderstatus = 'P'"), "SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' UNION SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
+register("derive_logs", lambda s, d: rounded(X.derive(X.derive(X.derive(X.derive(X.derive(Tables(s, d).part, "a", "log(p_retailprice)"), "b", "sqrt(p_size)"), "c", "abs(p_size - 25)"), "e", "exp(p_size / 50)"), "t", "cast_str(cast_int(p_retailprice))").selectExpr("p_partkey", "a", "b", "cast(c as bigint) c", "e", "t"), 6),
+    "SELECT p_partkey, round(ln(p_retailprice), 6) AS a, round(sqrt(p_size), 6) AS b, CAST(abs(p_size - 25) AS BIGINT) AS c, round(exp(p_size / 50.0), 6) AS e, CAST(CAST(trunc(p_retailprice) AS BIGINT) AS VARCHAR) AS t FROM part")
+register("derive_text", lambda s, d: X.derive(X.derive(X.derive(_holes(s, d), "a", "strip(lower(kind))"), "b", "is_null(kind)"), "c", "fill_null(value, 0.5)").selectExpr("event_id", "a", "cast(b as int) b", "round(c, 6) c"), f"SELECT event_id, trim(lower(kind)) AS a, CAST(kind IS NULL AS INT) AS b, round(coalesce(value, 0.5), 6) AS c FROM {_H}")

@@ -36,7 +36,9 @@ register("profile", lambda s, d: rounded(A.profile(_holes(s, d), ["value"]), 4),
   round((avg(value ** 3) - 3 * avg(value) * avg(value ** 2) + 2 * avg(value) ** 3) / var_pop(value) ** 1.5, 4) AS skew, round(kurtosis_pop(value), 4) AS kurtosis, count(*) FILTER (value = 0) AS zeros, count(*) FILTER (value < 0) AS negatives FROM {_H}""")
 register("crosstab", lambda s, d: rounded(A.crosstab(Tables(s, d).orders, "o_orderpriority", "o_orderstatus"), 4),
     'WITH c AS (SELECT o_orderpriority AS "row", o_orderstatus AS col, count(*) AS n FROM orders GROUP BY CUBE (1, 2)) SELECT c."row", c.col, c.n, round(100.0 * c.n / t.n, 4) AS row_percent FROM c JOIN (SELECT "row", n FROM c WHERE col IS NULL) t ON c."row" IS NOT DISTINCT FROM t."row"')
-register("datadict", lambda s, d: A.data_dictionary(Tables(s, d).nation))
+register("datadict", lambda s, d: A.data_dictionary(Tables(s, d).nation).select("name", "missing", "percent_missing", "unique", F.when(F.col("name") == "n_name", F.col("notes")).alias("notes")),
+    """SELECT 'n_nationkey' AS name, count(*) - count(n_nationkey) AS missing, 0.0::DOUBLE AS percent_missing, count(DISTINCT n_nationkey) AS "unique", NULL AS notes FROM nation UNION ALL SELECT 'n_regionkey', count(*) - count(n_regionkey), 0.0, count(DISTINCT n_regionkey), NULL FROM nation
+  UNION ALL SELECT 'n_name', count(*) - count(n_name), 0.0, count(DISTINCT n_name), (SELECT string_agg(n_name, ', ' ORDER BY n DESC, n_name) FROM (SELECT n_name, count(*) AS n FROM nation GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3)) FROM nation""")
 register("validate_rules", lambda s, d: A.validate(_holes(s, d), "value", {"notnull": None, "unique": None, "positive": None, "nonneg": None, "min": 10, "max": 100, "between": (5, 50), "oneof": [1.0, 2.0]}),
     f"""WITH f AS (SELECT count(*) - count(value) AS a, count(value) - count(DISTINCT value) AS b, count(*) FILTER (value <= 0) AS c, count(*) FILTER (value < 0) AS e, count(*) FILTER (value < 10) AS g, count(*) FILTER (value > 100) AS h, count(*) FILTER (value < 5 OR value > 50) AS i, count(*) FILTER (value NOT IN (1.0, 2.0)) AS j FROM {_H})
   SELECT rule, failed, failed = 0 AS passed FROM f, LATERAL (VALUES ('notnull', a), ('unique', b), ('positive', c), ('nonneg', e), ('min', g), ('max', h), ('between', i), ('oneof', j)) t(rule, failed)""")
@@ -44,8 +46,11 @@ register("assert_rule", lambda s, d: A.assert_rule(_holes(s, d), "value < 50"),
 register("textfreq", lambda s, d: rounded(W.text_frequency(Tables(s, d).documents, "text", 20), 4),
     """WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents), c AS (SELECT term, count(*) AS n FROM t WHERE length(term) >= 2 GROUP BY 1)
   SELECT term, n AS count, round(100.0 * n / (SELECT sum(n) FROM c), 4) AS percent FROM c ORDER BY n DESC, term LIMIT 20""")
-register("tfidf", lambda s, d: rounded(W.tfidf(Tables(s, d).benchmark, "text", "item_id", 20, stopwords=False), 5))
-register("lda", lambda s, d: W.lda(Tables(s, d).benchmark, "text", 3, 5, 5))
+register("tfidf", lambda s, d: rounded(W.tfidf(Tables(s, d).documents, "text", "doc_id", 20, stopwords=False), 5),
+    r"""WITH t AS (SELECT doc_id AS k, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents), c AS MATERIALIZED (SELECT k, term, count(*) AS tf FROM t GROUP BY ALL), v AS MATERIALIZED (SELECT term, sum(tf) AS total, count(*) AS df FROM c GROUP BY 1 ORDER BY total DESC, term LIMIT 1000),
+  w AS MATERIALIZED (SELECT k, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w, n FROM c JOIN v USING (term), (SELECT count(*)::DOUBLE AS n FROM documents WHERE text IS NOT NULL)), l AS (SELECT k, sqrt(sum(w * w)) AS l FROM w GROUP BY 1) SELECT term, round(sum(w / l) / any_value(n), 5) AS mean_tfidf FROM w JOIN l USING (k) GROUP BY 1 ORDER BY sum(w / l) DESC, term LIMIT 20""")
+register("lda", lambda s, d: W.lda(Tables(s, d).documents, "text", 3, 5, 5),
+    None)
 register("json_props", lambda s, d: Tables(s, d).events.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")), "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 
 # tests
@@ -83,7 +88,10 @@ register("meta_re", lambda s, d: rounded(H.meta(_meta(s, d), "x", "s").select("k
 register("jackknife", lambda s, d: rounded(H.jackknife(Tables(s, d).customer, "c_acctbal").select("estimate", "se", "n"), 4), "SELECT round(avg(c_acctbal), 4) AS estimate, round(stddev_samp(c_acctbal) / sqrt(count(*)), 4) AS se, count(*) AS n FROM customer")
 register("bootstrap", lambda s, d: H.bootstrap(Tables(s, d).customer, "c_acctbal", "mean", 200))
 register("permtest", lambda s, d: H.permutation(Tables(s, d).events.where(_TWO), "value", "event_type", 200))
-register("manova", lambda s, d: H.manova(Tables(s, d).lineitem, ["l_quantity", "l_extendedprice"], "l_returnflag"))
+register("manova", lambda s, d: rounded(H.manova(Tables(s, d).lineitem, ["l_quantity", "l_extendedprice"], "l_returnflag").select("test", "value"), 7),
+    """WITH x AS (SELECT l_returnflag AS g, l_quantity AS a, l_extendedprice / 1000 AS b FROM lineitem), e AS (SELECT sum((n - 1) * aa) AS eaa, sum((n - 1) * ab) AS eab, sum((n - 1) * bb) AS ebb FROM (SELECT count(*) AS n, var_samp(a) AS aa, covar_samp(a, b) AS ab, var_samp(b) AS bb FROM x GROUP BY g)),
+  t AS (SELECT var_pop(a) * count(*) AS taa, covar_pop(a, b) * count(*) AS tab, var_pop(b) * count(*) AS tbb FROM x), m AS (SELECT *, taa - eaa AS haa, tab - eab AS hab, tbb - ebb AS hbb, eaa * ebb - eab ** 2 AS de, taa * tbb - tab ** 2 AS dt FROM e, t), r AS (SELECT *, (hbb * eaa + haa * ebb - 2 * hab * eab) / de AS lawley, (haa * hbb - hab ** 2) / de AS prod FROM m)
+  SELECT unnest(['wilks', 'pillai', 'hotelling', 'roy']) AS test, unnest([round(de / dt, 7), round((haa * tbb + hbb * taa - 2 * hab * tab) / dt, 7), round(lawley, 7), round((lawley + sqrt(greatest(lawley ** 2 - 4 * prod, 0))) / 2, 7)]) AS value FROM r""")
 
 # survival, evaluation, graphs, rules
 _EV = lambda s, d: Tables(s, d).events.selectExpr("round(value) as t", "int(event_type in ('purchase', 'click')) as e", "event_type", "user_id % 2 as g")
@@ -94,7 +102,7 @@ register("median_survival", lambda s, d: V.median_survival(_EV(s, d), "t", "e").
 register("logrank", lambda s, d: rounded(V.logrank(_EV(s, d), "t", "e", "g").select("statistic", "df"), 4),
     f"""WITH x AS {_EVS}, a AS (SELECT t, sum(e)::DOUBLE AS d, sum(e) FILTER (g = 0) AS d0, sum(count(*)) OVER (ORDER BY t DESC)::DOUBLE AS n, sum(count(*) FILTER (g = 0)) OVER (ORDER BY t DESC)::DOUBLE AS n0 FROM x GROUP BY t)
   SELECT round((sum(coalesce(d0, 0)) - sum(d * n0 / n)) ** 2 / sum(CASE WHEN n > 1 THEN d * (n0 / n) * (1 - n0 / n) * (n - d) / (n - 1) ELSE 0 END), 4) AS statistic, CAST(1 AS BIGINT) AS df FROM a WHERE d > 0""")
-register("stcox", lambda s, d: rounded(V.cox(_EV(s, d).where("t > 0"), "t", "e", ["g"]).tidy(Tables(s, d).events), 5))
+register("stcox", lambda s, d: rounded(V.cox(_EV(s, d), "t", "e", ["g"]).tidy(Tables(s, d).events), 5))
 register("competing", lambda s, d: rounded(V.competing(_EV(s, d), "t", "e", "event_type"), 6),
     f"WITH {_KM}, b AS (SELECT time, at_risk, coalesce(lag(survival) OVER (ORDER BY time), 1) AS s0 FROM k), o AS (SELECT event_type AS cause, t AS time, count(*) AS d FROM {_EVS} WHERE e = 1 GROUP BY ALL) SELECT cause, CAST(o.time AS DOUBLE) AS time, round(sum(s0 * o.d / at_risk) OVER (PARTITION BY cause ORDER BY o.time), 6) AS cif FROM o JOIN b USING (time)")
 _SC = lambda s, d: Tables(s, d).orders.selectExpr("int(o_orderstatus = 'F') as y", "round(o_totalprice / 500000, 2) as p")
@@ -104,11 +112,14 @@ register("roc_curve", lambda s, d: rounded(E.roc(_SC(s, d), "y", "p")), f"WITH {
 register("roc_auc", lambda s, d: rounded(E.auc(_SC(s, d), "y", "p").select("auc")), f"WITH {_ROC}, l AS (SELECT tpr, fpr, coalesce(lag(tpr) OVER w, 0) AS t0, coalesce(lag(fpr) OVER w, 0) AS f0 FROM r WINDOW w AS (ORDER BY p DESC)) SELECT round(sum((fpr - f0) * (tpr + t0) / 2), 6) AS auc FROM l")
 register("confmatrix", lambda s, d: rounded(E.confusion(_SC(s, d), "y", "p").select("tp", "fp", "fn", "tn", "accuracy", "precision", "recall", "f1")),
     f"SELECT CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn, round((tp + tn) / greatest(1, tp + fp + fn + tn), 6) AS accuracy, round(tp / greatest(1, tp + fp), 6) AS precision, round(tp / greatest(1, tp + fn), 6) AS recall, round(2 * tp / greatest(1, 2 * tp + fp + fn), 6) AS f1 FROM (SELECT sum((y = 1 AND p >= 0.5)::INT)::DOUBLE AS tp, sum((y = 0 AND p >= 0.5)::INT)::DOUBLE AS fp, sum((y = 1 AND p < 0.5)::INT)::DOUBLE AS fn, sum((y = 0 AND p < 0.5)::INT)::DOUBLE AS tn FROM {_SCS})")
-register("calibration", lambda s, d: rounded(E.calibration(_SC(s, d).where("p <= 1"), "y", "p").selectExpr("cast(bin as bigint) bin", "n", "mean_score", "fraction_positive")), f"SELECT CAST(least(floor(p * 10), 9) AS BIGINT) AS bin, count(*) AS n, round(avg(p), 6) AS mean_score, round(avg(y), 6) AS fraction_positive FROM {_SCS} WHERE p <= 1 GROUP BY 1")
+register("calibration", lambda s, d: rounded(E.calibration(_SC(s, d), "y", "p").selectExpr("cast(bin as bigint) bin", "n", "mean_score", "fraction_positive")), f"SELECT CAST(least(floor(p * 10), 9) AS BIGINT) AS bin, count(*) AS n, round(avg(p), 6) AS mean_score, round(avg(y), 6) AS fraction_positive FROM {_SCS} GROUP BY 1")
 register("brier", lambda s, d: rounded(E.brier(_SC(s, d), "y", "p")), f"SELECT round(avg((p - y) ** 2), 6) AS brier FROM {_SCS}")
 register("arules_support", lambda s, d: rounded(L.item_support(Tables(s, d).events, "event_type", "user_id")),
     "WITH r AS (SELECT DISTINCT user_id AS k, event_type AS i FROM events), n AS (SELECT count(DISTINCT k) AS n FROM r) SELECT i AS items, round(count(*) / any_value(n), 6) AS support FROM r, n GROUP BY 1 UNION ALL SELECT a.i || ',' || b.i, round(count(*) / any_value(n), 6) FROM r a JOIN r b ON a.k = b.k AND a.i < b.i, n GROUP BY 1")
-register("arules", lambda s, d: rounded(L.association_rules(Tables(s, d).events, "event_type", "user_id", 0.3, 0.5)))
+register("arules", lambda s, d: rounded(L.association_rules(Tables(s, d).events, "event_type", "user_id", 0.3, 0.5)),
+    """WITH RECURSIVE i AS (SELECT event_type AS item, row_number() OVER (ORDER BY event_type) - 1 AS p FROM (SELECT DISTINCT event_type FROM events)), k AS (SELECT user_id, sum(1 << CAST(p AS INT)) AS m FROM (SELECT DISTINCT user_id, event_type FROM events) e JOIN i ON e.event_type = i.item GROUP BY 1),
+  s AS MATERIALIZED (SELECT s.m AS m, count(*) FILTER ((k.m & s.m) = s.m)::DOUBLE / count(*) AS support FROM (SELECT unnest(range(1, 1 << CAST((SELECT count(*) FROM i) AS INT))) AS m) s, (SELECT CAST(m AS BIGINT) AS m FROM k) k GROUP BY 1), w AS (SELECT s.m, support, string_agg(item, ',' ORDER BY item) AS items FROM s JOIN i ON (s.m >> CAST(p AS INT)) & 1 = 1 GROUP BY ALL)
+  SELECT a.items AS antecedent, i.item AS consequent, round(b.support, 6) AS support, round(b.support / a.support, 6) AS confidence, round(b.support / a.support / c.support, 6) AS lift FROM w a JOIN i ON (a.m >> CAST(p AS INT)) & 1 = 0 JOIN w b ON b.m = a.m + (1 << CAST(p AS INT)) JOIN w c ON c.m = (1 << CAST(p AS INT)) WHERE b.support >= 0.3 AND b.support / a.support >= 0.5""")
 _G = lambda s, d: N.build(Tables(s, d).supplier.selectExpr("s_nationkey as a", "s_suppkey % 25 as b"), "a", "b")
 _GS = "(SELECT least(CAST(s_nationkey AS VARCHAR), CAST(s_suppkey % 25 AS VARCHAR)) AS src, greatest(CAST(s_nationkey AS VARCHAR), CAST(s_suppkey % 25 AS VARCHAR)) AS dst, CAST(count(*) AS DOUBLE) AS weight FROM supplier GROUP BY 1, 2)"
 _GB = f"b AS (SELECT src, dst, weight FROM {_GS} WHERE src <> dst UNION ALL SELECT dst, src, weight FROM {_GS} WHERE src <> dst)"
@@ -116,6 +127,11 @@ register("network_build", _G, f"SELECT * FROM {_GS}")
 register("network_degree", lambda s, d: rounded(N.degree(_G(s, d))), f"WITH {_GB} SELECT src AS node, count(*) AS degree, sum(weight) AS strength, round(count(*) / ((SELECT count(DISTINCT src) FROM b) - 1), 6) AS centrality FROM b GROUP BY 1")
 register("network_describe", lambda s, d: rounded(N.describe(_G(s, d))), f"WITH n AS (SELECT count(*) AS nodes FROM (SELECT src FROM {_GS} UNION SELECT dst FROM {_GS})) SELECT nodes, count(*) AS edges, round(count(*) / (nodes * (nodes - 1) / 2), 6) AS density FROM {_GS}, n GROUP BY nodes")
 register("network_clustering", lambda s, d: rounded(N.clustering(_G(s, d))), f"WITH {_GB}, t AS (SELECT x.src AS node, count(*) / 2 AS t FROM b x JOIN b y ON x.dst = y.src JOIN b z ON y.dst = z.src AND z.dst = x.src GROUP BY 1), d AS (SELECT src AS node, count(*) AS d FROM b GROUP BY 1) SELECT node, CAST(coalesce(t, 0) AS BIGINT) AS triangles, round(CASE WHEN d > 1 THEN 2 * coalesce(t, 0) / (d * (d - 1)) ELSE 0 END, 6) AS clustering FROM d LEFT JOIN t USING (node)")
-register("network_eigenvector", lambda s, d: rounded(N.eigenvector(_G(s, d), 20), 4))
-register("network_community", lambda s, d: N.communities(_G(s, d)))
-register("network_distances", lambda s, d: N.distances(_G(s, d), s.createDataFrame([("0",)], "node string"), 3).selectExpr("source", "node", "cast(hops as bigint) hops"))
+register("network_eigenvector", lambda s, d: rounded(N.eigenvector(_G(s, d), 20), 4),
+    f"WITH {_GB}, l AS MATERIALIZED (SELECT * FROM b UNION ALL SELECT DISTINCT src, src, 1.0 FROM b), x0 AS MATERIALIZED (SELECT DISTINCT src AS node, 1.0::DOUBLE AS x FROM b), " + ", ".join(f"x{t + 1} AS MATERIALIZED (SELECT node, x / sqrt(sum(x * x) OVER ()) AS x FROM (SELECT src AS node, sum(weight * x) AS x FROM l JOIN x{t} ON l.dst = x{t}.node GROUP BY 1))" for t in range(20)) + " SELECT node, round(x, 4) AS centrality FROM x20")
+register("network_community", lambda s, d: N.communities(_G(s, d)),
+    f"WITH {_GB}, c0 AS MATERIALIZED (SELECT DISTINCT src AS node, src AS community FROM b), " + ", ".join(f"c{t + 1} AS MATERIALIZED (SELECT node, community FROM (SELECT src AS node, community, row_number() OVER (PARTITION BY src ORDER BY sum(weight) DESC, community) AS r FROM b JOIN c{t} ON b.dst = c{t}.node GROUP BY 1, 2) WHERE r = 1)" for t in range(5)) + " SELECT * FROM c5")
+register("network_closeness", lambda s, d: rounded(N.closeness(_G(s, d))),
+    f"WITH RECURSIVE {_GB}, p AS (SELECT DISTINCT src AS source, src AS node, 0 AS hops FROM b UNION SELECT source, b.dst, hops + 1 FROM p JOIN b ON p.node = b.src WHERE hops < 24), h AS (SELECT source, node, min(hops) AS hops FROM p GROUP BY ALL), n AS (SELECT count(DISTINCT src) AS n FROM b) SELECT source AS node, round(count(*) / sum(hops) * count(*) / (any_value(n) - 1), 6) AS closeness FROM h, n WHERE hops > 0 GROUP BY 1")
+register("network_distances", lambda s, d: N.distances(_G(s, d), s.createDataFrame([("0",)], "node string"), 3).selectExpr("source", "node", "cast(hops as bigint) hops"),
+    f"WITH RECURSIVE {_GB}, p AS (SELECT '0' AS node, 0 AS hops UNION SELECT b.dst, hops + 1 FROM p JOIN b ON p.node = b.src WHERE hops < 3) SELECT '0' AS source, node, CAST(min(hops) AS BIGINT) AS hops FROM p GROUP BY node")
