@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.functions.exprs import col, count_if
@@ -237,72 +237,134 @@ def jackknife(df: DataFrame, value: str, stat: str = "mean") -> DataFrame:
     return frame(df.sparkSession, [{"estimate": theta, "bias": (n - 1) * (m - theta), "se": math.sqrt((n - 1) * ss), "n": n}], "estimate double, bias double, se double, n long")
 
 
+def _uniform(x: np.ndarray, draw: int, seed: int) -> np.ndarray:
+    """A number in (0, 1) for each value, from a hash of its bits, the draw and the seed: the same wherever a task runs."""
+    u = np.uint64
+    with np.errstate(over="ignore"):
+        h = x.astype(np.float64).view(u) ^ u((draw * 0x9E3779B97F4A7C15 + seed * 0xD6E8FEB86659FD93) & (2**64 - 1))
+        for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # fixed values: SplitMix64
+            h = (h ^ (h >> u(shift))) * u(odd)
+        h = h ^ (h >> u(31))
+    return ((h >> u(11)).astype(np.float64) + 0.5) / 2.0**53
+
+
+#: Rows of one value from which on a draw of their number is rounded from the normal distribution.
+MANY = 50
+
+
+def _counts_drawn(k: np.ndarray, u: np.ndarray, p: float | None = None) -> np.ndarray:
+    """Poisson(k) numbers, or with p binomial ones of k trials, at the probabilities u."""
+    mean, var = (k.astype(float), k.astype(float)) if p is None else (k * p, k * p * (1 - p))
+    out = np.zeros(len(k))
+    few = k < MANY
+    if few.any():
+        kk, uu, n = k[few].astype(float), u[few], np.zeros(few.sum())
+        mass = np.exp(-kk) if p is None else (1 - p) ** kk
+        total, i, live = mass.copy(), 0, np.ones(len(kk), bool)
+        while (live := live & (total < uu)).any() and i < 8 * MANY:
+            mass = mass * (kk / (i + 1) if p is None else np.maximum(kk - i, 0) / (i + 1) * p / (1 - p))
+            i += 1
+            n[live] = i
+            total = total + mass
+        out[few] = n
+    if (~few).any():
+        z = np.array([dist.norm_ppf(v) for v in u[~few]])
+        out[~few] = np.clip(np.round(mean[~few] + z * np.sqrt(var[~few])), 0, None if p is None else k[~few])
+    return out
+
+
 def bootstrap(df: DataFrame, value: str, stat: str = "mean", n: int = 2000, ci: float = 0.95, seed: int = 42) -> DataFrame:
     """Percentile limits, error and bias from n resamples.
 
-    Every row has a Poisson(1) weight in each resample, drawn from a hash of the row and
-    the resample, so one distributed pass makes all of them; median, min and max take
-    weighted order statistics of the distinct values' counts.
+    The rows of each distinct value have a Poisson number in each resample, drawn from a
+    hash of the value and the resample, so that one distributed pass makes all of them.
+    The median of a resample takes a second pass: the ranges' weights tell in which range
+    of the values it lies.
     """
+    from tallyfold.operators.ordered import BUCKET, bucketed
+
     x = col(value).cast("double")
     counts = df.where(x.isNotNull()).groupBy(x.alias("x")).agg(F.count("*").alias("k"))
     spark = df.sparkSession
+    if stat == "median":
+        values = _medians(bucketed(counts, ["x"]).withColumnRenamed(BUCKET, "bucket"), n, seed)
+        theta = df.agg(F.median(x)).first()[0]
+    else:
 
-    def draw(it):
+        def draw(it):
+            import pandas as pd
+
+            for pdf in it:
+                xs, ks = pdf["x"].to_numpy(), pdf["k"].to_numpy()
+                out = []
+                for b in range(n):
+                    w = _counts_drawn(ks, _uniform(xs, b, seed))
+                    hit = xs[w > 0]
+                    out.append((b, float(w.sum()), float(w @ xs), float(w @ (xs * xs)), float(hit.min()) if len(hit) else None, float(hit.max()) if len(hit) else None))
+                yield pd.DataFrame(out, columns=["b", "w", "wx", "wxx", "low", "high"])
+
+        parts = counts.mapInPandas(draw, "b int, w double, wx double, wxx double, low double, high double")
+        sums = parts.groupBy("b").agg(F.sum("w").alias("w"), F.sum("wx").alias("wx"), F.sum("wxx").alias("wxx"), F.min("low").alias("low"), F.max("high").alias("high")).orderBy("b").toPandas()
+        mean = sums.wx / sums.w
+        var = (sums.wxx - sums.w * mean**2) / (sums.w - 1)
+        values = {"mean": mean, "var": var, "std": var.pow(0.5), "min": sums.low, "max": sums.high}[stat].to_numpy()
+        theta = df.agg({"mean": F.avg, "min": F.min, "max": F.max, "var": F.var_samp, "std": F.stddev_samp}[stat](x)).first()[0]
+    low, high = np.nanquantile(values, [(1 - ci) / 2, (1 + ci) / 2])
+    return frame(spark, [{"estimate": theta, "se": float(np.nanstd(values, ddof=1)), "bias": float(np.nanmean(values) - theta), "low": low, "high": high, "resamples": n}])
+
+
+def _medians(counts: DataFrame, n: int, seed: int) -> np.ndarray:
+    """The (lower) median of each resample; counts: x, k and the bucket, which does not fall in x."""
+
+    def weigh(it):
         import pandas as pd
 
         for pdf in it:
             xs, ks = pdf["x"].to_numpy(), pdf["k"].to_numpy()
-            rng = [np.random.default_rng([seed, b, abs(hash(xs[0])) % (1 << 32), len(xs)]) for b in range(n)]
-            out = []
-            for b in range(n):
-                w = rng[b].poisson(ks)
-                hit = xs[w > 0]
-                out.append((b, float(w.sum()), float(w @ xs), float(w @ (xs * xs)), float(hit.min()) if len(hit) else math.nan, float(hit.max()) if len(hit) else math.nan))
-            yield pd.DataFrame(out, columns=["b", "w", "wx", "wxx", "low", "high"])
-
-    parts = counts.mapInPandas(draw, "b int, w double, wx double, wxx double, low double, high double")
-    sums = parts.groupBy("b").agg(F.sum("w").alias("w"), F.sum("wx").alias("wx"), F.sum("wxx").alias("wxx"), F.min("low").alias("low"), F.max("high").alias("high")).orderBy("b").toPandas()
-    mean = sums.wx / sums.w
-    var = (sums.wxx - sums.w * mean**2) / (sums.w - 1)
-    if stat == "median":
-        m, sd, k = counts.agg(F.sum(F.col("x") * F.col("k")) / F.sum("k"), F.sqrt(F.sum(F.col("k") * F.col("x") * F.col("x")) / F.sum("k")), F.sum("k")).first()
-        del m, sd
-        from tallyfold.operators.ordered import order_statistics
+            buckets, of = np.unique(pdf["bucket"].to_numpy(), return_inverse=True)
+            rows = [(int(g), b, float(w)) for b in range(n) for g, w in zip(buckets, np.bincount(of, _counts_drawn(ks, _uniform(xs, b, seed)), len(buckets)), strict=True)]
+            yield pd.DataFrame(rows, columns=["bucket", "b", "w"])
 
-        qs = [dist.norm_ppf((i + 0.5) / n) / (2 * math.sqrt(k)) + 0.5 for i in range(n)]  # the rank of the median of a resample is nearly normal
-        got = order_statistics(df, value, sorted({min(1.0, max(0.0, round(q, 6))) for q in qs}), "linear").orderBy("q").toPandas()["value"].to_numpy()
-        values, theta = got, float(np.median(got))
-    else:
-        values = {"mean": mean, "var": var, "std": var.pow(0.5), "min": sums.low, "max": sums.high}[stat].to_numpy()
-        theta = counts.agg({"mean": F.sum(F.col("x") * F.col("k")) / F.sum("k"), "min": F.min("x"), "max": F.max("x")}.get(stat, F.lit(None).cast("double"))).first()[0]
-        if theta is None:
-            theta = df.agg({"var": F.var_samp(x), "std": F.stddev_samp(x)}[stat]).first()[0]
-    low, high = np.nanquantile(values, [(1 - ci) / 2, (1 + ci) / 2])
-    return frame(spark, [{"estimate": theta, "se": float(np.nanstd(values, ddof=1)), "bias": float(np.nanmean(values) - theta), "low": low, "high": high, "resamples": n}])
+    sums = counts.mapInPandas(weigh, "bucket int, b int, w double").groupBy("b", "bucket").agg(F.sum("w").alias("w"))
+    upto = Window.partitionBy("b").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    placed = sums.select("b", "bucket", "w", F.sum("w").over(upto).alias("upto"), F.sum("w").over(Window.partitionBy("b")).alias("total"))
+    goal = F.floor((F.col("total") + 1) / 2)
+    wanted = placed.where((F.col("upto") >= goal) & (F.col("upto") - F.col("w") < goal)).select("bucket", "b", (goal - (F.col("upto") - F.col("w"))).alias("rank"))
+
+    def find(own, asked):
+        import pandas as pd
+
+        own = own.sort_values("x")
+        xs, ks = own["x"].to_numpy(), own["k"].to_numpy()
+        rows = [(int(b), float(xs[np.searchsorted(np.cumsum(_counts_drawn(ks, _uniform(xs, int(b), seed))), rank)])) for b, rank in zip(asked["b"], asked["rank"], strict=True)]
+        return pd.DataFrame(rows, columns=["b", "median"])
+
+    found = counts.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInPandas(find, "b int, median double")
+    return found.orderBy("b").toPandas()["median"].to_numpy()
 
 
 def permutation(df: DataFrame, value: str, by: str, n: int = 2000, seed: int = 42, alternative: str = "two-sided") -> DataFrame:
     """Difference of two groups' means against n random labellings.
 
-    A labelling keeps each row's chance, drawn from a hash of row and labelling; sums of
-    all labellings come from one pass.
+    Each row keeps the first group's share as its chance. The rows of a distinct value are
+    drawn as one number from a hash of the value and the labelling; sums of all labellings
+    come from one pass.
     """
     a, b = _groups(df, value, by, two=True)
-    rows = df.where(col(value).isNotNull() & col(by).isNotNull()).select(col(value).cast("double").alias("x"))
+    counts = df.where(col(value).isNotNull() & col(by).isNotNull()).groupBy(col(value).cast("double").alias("x")).agg(F.count("*").alias("k"))
     share = a["n"] / (a["n"] + b["n"])
 
     def draw(it):
         import pandas as pd
 
-        for i, pdf in enumerate(it):
-            xs = pdf["x"].to_numpy()
-            rng = np.random.default_rng([seed, i, len(xs), abs(hash(float(xs.sum()))) % (1 << 32)])
-            out = [(k, int(m.sum()), float(xs[m].sum())) for k in range(n) for m in (rng.random(len(xs)) < share,)]
+        for pdf in it:
+            xs, ks = pdf["x"].to_numpy(), pdf["k"].to_numpy()
+            out = [(k, float(w.sum()), float(w @ xs)) for k in range(n) for w in (_counts_drawn(ks, _uniform(xs, k, seed), share),)]
             yield pd.DataFrame(out, columns=["k", "n", "s"])
 
     total = a["n"] * a["mean"] + b["n"] * b["mean"]
-    sums = rows.mapInPandas(draw, "k int, n long, s double").groupBy("k").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).toPandas()
+    sums = counts.mapInPandas(draw, "k int, n double, s double").groupBy("k").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).toPandas()
+    sums = sums[(sums.n > 0) & (sums.n < a["n"] + b["n"])]
     diffs = sums.s / sums.n - (total - sums.s) / (a["n"] + b["n"] - sums.n)
     diff = a["mean"] - b["mean"]
     hits = {"two-sided": (diffs.abs() >= abs(diff)).sum(), "greater": (diffs >= diff).sum(), "less": (diffs <= diff).sum()}[alternative]
