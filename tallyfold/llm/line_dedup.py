@@ -3,72 +3,100 @@
 Lines are split at \\n over the whole corpus. A line's shingles are all its substrings of
 SHINGLE bytes (a shorter line is its own shingle). Equal lines are one node. Six
 min-hashes of one 64-bit shingle hash (least and greatest, under three XOR masks) are
-banded in pairs around a ring. A bucket's nodes are compared with its least node and
-with a few neighbours by the exact Jaccard similarity of their shingles; links of at
-least 0.8 are joined by a distributed union-find. Nodes of larger buckets that are not
-one component then meet by a prefix filter, which leaves out only pairs below 0.8: so
-all nodes of a bucket are compared, in one component, or too far apart. Of each
-component the first line, by (doc_id, place), stays.
+banded in pairs around a ring: a pair is a candidate if it shares a band and AGREE
+min-hashes. At a Jaccard similarity of 0.8 that are 97 % of the pairs, at 0.9 over 99 %.
+A bucket's nodes are first compared with its least node by the exact Jaccard similarity
+of their shingles; links of at least 0.8 are joined by a distributed union-find. Nodes
+of larger buckets that are not one component then meet by a prefix filter, which leaves
+out only pairs below 0.8: so all candidates are compared, in one component, or too far
+apart. Of each component the first line, by (doc_id, text, place), stays.
 
-Shingles are exploded, hashed and aggregated inside generated code.
+Shingles are hashed inside generated code, STEP to a row, so that a line's row meets the
+aggregation once for STEP shingles.
 
 Cases: a null text stays null and an empty one empty; lines of white space only are
-always kept; repeated rows are judged as one document and each get its result; equal
-lines at one place of rows with one doc_id count as one; a null doc_id comes last; an empty table gives an empty result; further columns are kept by
-`dedup_lines`.
+always kept; of repeated rows (one id and text) one is judged and the others lose all
+lines with content; rows that share an id are documents of their own, and those without
+an id come last; lines of any length are read whole; an empty table gives an empty
+result; further columns are kept by `dedup_lines`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm.common import cut, narrow, release
 from tallyfold.llm.components import components
 
 SHINGLE = 12
+#: Shingles hashed in one row.
+STEP = 8
 #: Least similarity in hundredths.
 SIMILAR = 80
 #: Fixed masks under which the least and the greatest hash of a line are taken.
 MASKS = (0, 0x1234567890ABCDEF, 0x5BD1E9955BD1E995)
-#: Nodes after a node in a bucket that it is compared with, and nodes of one chunk of a large bucket.
-NEIGHBOURS, CHUNK = 3, 1000
+#: Min-hashes of six that a candidate pair has in common.
+AGREE = 3
+#: 64-bit names that several of the different lines may share; random names of 10^10 lines share about three.
+CLASHES = 10_000
 _LAST = (1 << 63) - 1
+_KEY = ["key", "key2"]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """One row for each different (doc_id, text): key, ord (the id, null last) and text."""
+def _key() -> list[Column]:
+    """The 128-bit name of a row's (doc_id, text)."""
     text = F.col("text").cast("string")
-    return docs.select(F.xxhash64("doc_id", text).alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("ord"), text.alias("text"))
+    return [F.xxhash64("doc_id", text).alias("key"), F.xxhash64(F.lit(1), "doc_id", text).alias("key2")]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The name, ord (the id, null last) and text of every row that has a text."""
+    rows = docs.select(*_key(), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("ord"), F.col("text").cast("string").alias("text"))
+    return rows.where("text is not null")
+
+
+def _lines(rows: DataFrame, clashes: list[int] = ()) -> DataFrame:
+    """Every line that is not only white space, with its place and a 128-bit name (h, h2); `clashes`: values of h that several lines have."""
+    lines = rows.select(*_KEY, "ord", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.col("line").rlike(r"\S"))
+    return _renamed(lines.select("*", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2")), clashes)
+
+
+def _renamed(lines: DataFrame, clashes: list[int]) -> DataFrame:
+    """Lines whose h also names another line get a name made of both halves; h alone tells lines apart then."""
+    return lines.withColumn("h", F.when(F.col("h").isin(list(clashes)), F.xxhash64("h", "h2")).otherwise(F.col("h"))) if clashes else lines
 
 
-def _lines(rows: DataFrame) -> DataFrame:
-    """Every line that is not only white space, with its place and a 128-bit name (h, h2)."""
-    lines = rows.where("text is not null").select("key", "ord", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.where(F.col("line").rlike(r"\S"))
-    return lines.select("*", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"))
+def _at() -> Column:
+    """A line's place in the corpus: by ord, then half the text's name, then pos; an integer below 2^126."""
+    tail = F.shiftrightunsigned("key", 32) * F.lit(1 << 31) + F.col("pos")
+    return (F.col("ord").cast("decimal(19,0)") * F.lit(Decimal(1 << 63)).cast("decimal(19,0)") + tail.cast("decimal(19,0)")).cast("decimal(38,0)")
 
 
-def _starts(n: Column) -> Column:
-    return F.sequence(F.lit(1), F.greatest(n - SHINGLE + 1, F.lit(1)))
+def _last_start(b: Column) -> Column:
+    return F.greatest(F.octet_length(b) - (SHINGLE - 1), F.lit(1))
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
     """h and the six min-hashes v0 .. v5 of every different line, over all its shingles."""
-    rows = lines.select("h", F.col("line").cast("binary").alias("b"))
-    places = rows.select("h", "b", F.explode(_starts(F.octet_length("b"))).alias("i"))
-    s = places.select("h", F.xxhash64(F.substring("b", F.col("i"), F.lit(SHINGLE))).alias("s"))
-    masked = [F.col("s").bitwiseXOR(F.lit(m)) for m in MASKS]
-    return s.groupBy("h").agg(*(f(m).alias(f"v{2 * i + j}") for i, m in enumerate(masked) for j, f in enumerate((F.min, F.max))))
+    rows = lines.select("h", F.col("line").cast("binary").alias("b")).withColumn("last", _last_start(F.col("b")))
+    steps = rows.select("h", "b", "last", F.explode(F.sequence(F.lit(1), "last", F.lit(STEP))).alias("i"))
+    # a line's last step repeats its last shingle
+    hashes = [F.xxhash64(F.substring("b", F.least(F.col("i") + k, F.col("last")), F.lit(SHINGLE))).alias(f"s{k}") for k in range(STEP)]
+    found = []
+    for i, mask in enumerate(MASKS):
+        masked = [F.col(f"s{k}").bitwiseXOR(F.lit(mask)) for k in range(STEP)]
+        found += [F.min(F.least(*masked)).alias(f"v{2 * i}"), F.max(F.greatest(*masked)).alias(f"v{2 * i + 1}")]
+    return steps.select("h", *hashes).groupBy("h").agg(*found)
 
 
 def _candidates(signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
     """First pairs (a, b) of a bucket's nodes, and the nodes (band, h) of buckets of more than three.
 
-    Each node is paired with the least one, and with the next NEIGHBOURS in an order that differs from band to band.
-
-    Buckets of two or three need no second look: their nodes follow from the least, the
-    greatest and the XOR of all. Larger ones are split into chunks of about CHUNK nodes.
+    Each node is paired with the least one. Buckets of two or three need no second look:
+    all their nodes are paired; they follow from the least, the greatest and the XOR of all.
     """
     n = 2 * len(MASKS)
     bands = F.array(*(F.xxhash64(F.lit(i), F.col(f"v{i}"), F.col(f"v{(i + 1) % n}")) for i in range(n)))
@@ -77,38 +105,39 @@ def _candidates(signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
     middle = F.col("x").bitwiseXOR(F.col("a")).bitwiseXOR(F.col("b"))
     three = buckets.where("n = 3").select("a", "b", middle.alias("c"))
     small = buckets.where("n < 4").select("a", "b").unionByName(three.select("a", F.col("c").alias("b"))).unionByName(three.select(F.col("c").alias("a"), "b"))
-    members = cut(rows.join(narrow(buckets.where("n > 3").select("band", "b", "n")), "band"))
-    chunk = F.pmod(F.xxhash64(F.lit(1), "h"), F.ceil(F.col("n") / CHUNK))
-    order = Window.partitionBy("band", chunk).orderBy(F.xxhash64("h", "band"), "h")
-    after = F.array(F.col("b"), *(F.lead("h", k).over(order) for k in range(1, NEIGHBOURS + 1)))
-    large = members.select("h", after.alias("after")).select(F.col("h").alias("a"), F.explode("after").alias("b")).where("a <> b")
-    pairs = small.unionByName(large)
+    members = cut(rows.join(narrow(buckets.where("n > 3").select("band", "b")), "band"))
+    pairs = small.unionByName(members.select(F.col("h").alias("a"), "b").where("a <> b"))
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), members.select("band", "h")
 
 
-def _shingles(line: str) -> Column:
-    """The different shingles of a line, as 64-bit hashes."""
-    b = F.col(line)
-    return F.array_distinct(F.transform(_starts(F.octet_length(b)), lambda i: F.xxhash64(F.substring(b, i, F.lit(SHINGLE)))))
+def _agreeing(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """The pairs (a, b) with AGREE min-hashes in common."""
+    n = 2 * len(MASKS)
+    x, y = (signatures.select(F.col("h").alias(h), *(F.col(f"v{i}").alias(f"{h}{i}") for i in range(n))) for h in "ab")
+    same = sum(((F.col(f"a{i}") == F.col(f"b{i}")).cast("int") for i in range(n)), F.lit(0))
+    return pairs.join(x, "a").join(y, "b").where(same >= AGREE).select("a", "b")
 
 
-def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """h and line of the wanted (h, key, pos): only texts that hold one are split."""
-    by_text = wanted.groupBy("key").agg(F.collect_list(F.struct("h", "pos")).alias("wanted"))
-    found = rows.join(narrow(by_text), "key").select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
-    return found.select("w.h", F.get("lines", F.col("w.pos")).cast("binary").alias("line"))
+def _shingles(line: str) -> Column:
+    """The shingles of a line, as 64-bit hashes; repeats stay. The outer lambda holds the line: a column would be copied for each shingle."""
+    held = F.transform(F.array(line), lambda b: F.transform(F.sequence(F.lit(1), _last_start(b)), lambda i: F.xxhash64(F.substring(b, i, F.lit(SHINGLE)))))
+    return F.element_at(held, 1)
 
 
-def _found(rows: DataFrame, spots: DataFrame) -> DataFrame:
-    """h, text and number of shingles n of the lines at the spots (h, key, pos)."""
-    return _texts(rows, spots.select("h", "key", "pos")).dropDuplicates(["h"]).select("h", "line", F.size(_shingles("line")).alias("n"))
+def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """h and line of the wanted (h, key, key2, pos): only texts that hold one are split."""
+    by_text = cut(wanted.groupBy(*_KEY).agg(F.collect_list(F.struct("h", "pos")).alias("wanted")))
+    found = rows.join(narrow(by_text), _KEY).select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
+    return found.select("w.h", F.get("lines", F.col("w.pos")).cast("binary").alias("line")).dropDuplicates(["h"])
 
 
 def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """The pairs whose shingle sets have a Jaccard similarity of SIMILAR hundredths or more. Texts are sent: they are a small part of their sets."""
-    left, right = (found.select(F.col("h").alias(h), F.col("line").alias(line), F.col("n").alias(n)) for h, line, n in (("a", "x", "n"), ("b", "y", "m")))
-    met = pairs.join(left, "a").join(right, "b").where(100 * F.least("n", "m") >= SIMILAR * F.greatest("n", "m"))
-    return met.where(F.exists(F.array(F.struct(_shingles("x").alias("x"), _shingles("y").alias("y"))), _similar)).select("a", "b")
+    left, right = (found.select(F.col("h").alias(h), F.col("line").alias(line)) for h, line in (("a", "x"), ("b", "y")))
+    met = pairs.join(left, "a").join(right, "b")
+    sets = met.select("a", "b", F.inline(F.array(F.struct(_shingles("x").alias("x"), _shingles("y").alias("y")))))
+    sizes = F.struct(F.size(F.array_intersect("x", "y")).alias("both"), F.size(F.array_union("x", "y")).alias("either"))
+    return sets.select("a", "b", F.inline(F.array(sizes))).where(f"100 * both >= {SIMILAR} * either").select("a", "b")
 
 
 def _rest(members: DataFrame, found: DataFrame, parts: DataFrame) -> DataFrame:
@@ -122,13 +151,12 @@ def _rest(members: DataFrame, found: DataFrame, parts: DataFrame) -> DataFrame:
     """
     of = members.join(narrow(parts), F.col("h") == F.col("node"), "left").select("band", "h", F.coalesce("component", "h").alias("part"))
     several = of.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("band")
-    live = of.join(several, "band").select("h", "part").distinct()
-    held = cut(found.join(narrow(cut(live)), "h"))
-    shingles = lambda rows: rows.select("h", "part", "n", F.explode(_shingles("line")).alias("g"))
-    spread = cut(shingles(held.where("pmod(h, 8) = 0")).groupBy("g").agg(F.count("*").alias("f")).where("f > 1"))
+    live = cut(of.join(several, "band").select("h", "part").distinct())
+    held = cut(found.join(narrow(live), "h").select("h", "part", F.array_distinct(_shingles("line")).alias("gs")))
+    spread = cut(held.where("pmod(h, 8) = 0").select(F.explode("gs").alias("g")).groupBy("g").agg(F.count("*").alias("f")).where("f > 1"))
     least = (spread.agg(F.sum("f")).first()[0] or 0) >> 20
-    ordered = shingles(held.repartition("h")).join(narrow(spread.where(F.col("f") > least)), "g", "left").groupBy("h", "part", "n")
-    ordered = ordered.agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "g"))).alias("gs"))
+    places = held.select("h", "part", F.size("gs").alias("n"), F.explode("gs").alias("g")).join(narrow(spread.where(F.col("f") > least)), "g", "left")
+    ordered = places.groupBy("h", "part", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "g"))).alias("gs"))
     prefix = ordered.select("h", "part", "n", F.posexplode(F.slice("gs", F.lit(1), F.floor(F.col("n") / 5).cast("int") + 1)).alias("i", "e"))
     prefix = cut(prefix.select("h", "part", "n", "i", F.col("e.g").alias("g")))
     release(found.sparkSession)
@@ -137,54 +165,67 @@ def _rest(members: DataFrame, found: DataFrame, parts: DataFrame) -> DataFrame:
     return met.select(F.greatest("x.h", "y.h").alias("a"), F.least("x.h", "y.h").alias("b")).distinct()
 
 
-def _similar(pair: Column) -> Column:
-    x, y = pair["x"], pair["y"]
-    close = 100 * F.least(F.size(x), F.size(y)) >= SIMILAR * F.greatest(F.size(x), F.size(y))
-    return close & F.exists(F.array(F.size(F.array_intersect(x, y))), lambda k: 100 * k >= SIMILAR * (F.size(x) + F.size(y) - k))
+def _joined(parts: DataFrame, more: DataFrame) -> DataFrame:
+    """The components (node, component) after further links between their nodes."""
+    name = lambda c: F.coalesce(F.col(f"of_{c}.component"), F.col(c)).alias(c)
+    side = lambda c: narrow(parts).alias(f"of_{c}")
+    met = more.join(side("a"), F.col("a") == F.col("of_a.node"), "left").join(side("b"), F.col("b") == F.col("of_b.node"), "left")
+    wider = cut(components(met.select(name("a"), name("b")))).select(F.col("node").alias("part"), F.col("component").alias("wider"))
+    old = parts.join(narrow(wider), F.col("component") == F.col("part"), "left").select("node", F.coalesce("wider", "component").alias("component"))
+    new = wider.join(parts, F.col("part") == F.col("node"), "left_anti").select(F.col("part").alias("node"), F.col("wider").alias("component"))
+    return old.unionByName(new)
 
 
 def _masks(docs: DataFrame) -> DataFrame:
-    """key, and of every line of its text that is not white space the place and whether it stays, for texts that lose lines."""
+    """key, key2, of every line of its text that is not white space the place and whether it stays, and whether rows repeat; for texts that lose lines."""
     rows = _keyed(docs)
-    lines = _lines(rows)
-    at = F.col("ord").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("pos")
-    places = cut(lines.select("key", "pos", at.cast("decimal(38,0)").alias("at"), "h", "h2"))
-    # the first place of each different line; a line's own text is fetched from any row that holds it there
-    groups = cut(places.groupBy("h", "h2").agg(F.min("at").alias("at"), F.count("*").alias("n"), F.min("key").alias("key")))
-    signatures = cut(_signatures(lines))
+    places = cut(_lines(rows).select(*_KEY, "pos", _at().alias("at"), "h", "h2"))
+    # the first place of each different line, from which its text is fetched
+    groups = cut(places.groupBy("h", "h2").agg(F.min("at").alias("at"), F.count("*").alias("n")))
+    clashes = [r["h"] for r in groups.groupBy("h").count().where("count > 1").limit(CLASHES + 1).collect()]
+    if len(clashes) > CLASHES:
+        raise ValueError("too many lines share a hash")
+    places, groups = _renamed(places, clashes), _renamed(groups, clashes)
+    signatures = cut(_signatures(_lines(rows, clashes)))
     release(docs.sparkSession)
-    first, members = _candidates(signatures)
-    pairs = cut(first)
+    wanted, members = _candidates(signatures)
+    pairs = cut(_agreeing(cut(wanted), signatures))
     release(docs.sparkSession)
-    near = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    spots = cut(places.join(narrow(near), "h").groupBy("h", "key").agg(F.min("pos").alias("pos")).join(groups.select("h", "key"), ["h", "key"]))
-    found = cut(_found(rows, spots))
-    links = cut(_verified(pairs, found))
+    near = cut(pairs.select(F.explode(F.array("a", "b")).alias("h")).unionByName(members.select("h")).distinct())
+    spots = places.join(narrow(near), "h").join(groups.select("h", F.col("at").alias("first")), "h").where("at = first").select("h", *_KEY, "pos")
+    found = cut(_texts(rows, spots))
+    parts = cut(components(cut(_verified(pairs, found))))
     release(docs.sparkSession)
-    parts = cut(components(links))
-    links = links.unionByName(cut(_verified(cut(_rest(members, found, parts)), found)))
+    more = cut(_verified(cut(_agreeing(cut(_rest(members, found, parts)), signatures)), found))
     release(docs.sparkSession)
-    parts = components(links)
-    of = groups.join(narrow(cut(parts)), F.col("h") == F.col("node"), "left").select("h", "h2", "at", "n", "component")
+    parts = cut(_joined(parts, more))
+    of = groups.join(narrow(parts), F.col("h") == F.col("node"), "left").select("h", "at", "n", "component")
     several = of.where("component is not null")
     firsts = several.groupBy("component").agg(F.min("at").alias("keep"))
-    fates = cut(several.join(firsts, "component").select("h", "h2", "keep").unionByName(of.where("component is null and n > 1").select("h", "h2", F.col("at").alias("keep"))))
-    told = places.join(narrow(fates), ["h", "h2"], "left").select("key", "pos", (F.col("keep").isNull() | (F.col("keep") == F.col("at"))).alias("stays"))
-    masks = told.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("pos", "stays"))).alias("mask"), F.min("stays").alias("whole"))
-    return masks.where("not whole").select("key", "mask")
+    fates = cut(several.join(firsts, "component").select("h", "keep").unionByName(of.where("component is null and n > 1").select("h", F.col("at").alias("keep"))))
+    told = places.join(narrow(fates), "h", "left").select(*_KEY, "pos", (F.col("keep").isNull() | (F.col("keep") == F.col("at"))).alias("stays"))
+    masks = told.groupBy(*_KEY).agg(F.array_sort(F.collect_set(F.struct("pos", "stays"))).alias("mask"), F.min("stays").alias("whole"), F.count("*").alias("n"))
+    return masks.select(*_KEY, "mask", (F.col("n") > F.size("mask")).alias("repeats"), "whole").where("repeats or not whole").drop("whole")
 
 
 def _apply(docs: DataFrame) -> DataFrame:
     """The rows of docs (as the struct `row`) with text (kept lines), n_lines and n_removed."""
     masks = cut(_masks(docs))
     release(docs.sparkSession)
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64("doc_id", F.col("text").cast("string")).alias("key"))
-    rows = rows.join(masks, "key", "left")
-    lines = F.split(F.col("row.text").cast("string"), "\n")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *_key()).join(masks, _KEY, "left")
     gone = F.transform(F.filter("mask", lambda m: ~m["stays"]), lambda m: m["pos"])
-    kept = F.zip_with(lines, _flags(gone, F.size(lines)), lambda line, flag: F.when(flag == "1", line))
-    text = F.when(F.col("mask").isNull(), F.col("row.text").cast("string")).otherwise(F.array_join(kept, "\n"))
-    return rows.select("row", text.alias("text"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"))
+    if masks.where("repeats").limit(1).count():
+        # of rows with one id and text the first that is written is judged; the others lose what it holds
+        repeated = cut(rows.where("repeats").withColumn("i", F.monotonically_increasing_id()))
+        firsts = cut(repeated.groupBy(*_KEY).agg(F.min("i").alias("first")))
+        told = repeated.join(narrow(firsts), _KEY).select("row", F.when(F.col("i") == F.col("first"), gone).otherwise(F.transform("mask", lambda m: m["pos"])).alias("gone"))
+        rows = rows.where("repeats is null or not repeats").select("row", gone.alias("gone")).unionByName(told)
+    else:
+        rows = rows.select("row", gone.alias("gone"))
+    lines = F.split(F.col("row.text").cast("string"), "\n")
+    kept = F.zip_with(lines, _flags(F.col("gone"), F.size(lines)), lambda line, flag: F.when(flag == "1", line))
+    text = F.when(F.col("gone").isNull(), F.col("row.text").cast("string")).otherwise(F.array_join(kept, "\n"))
+    return rows.select("row", text.alias("text"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def _flags(gone: Column, n: Column) -> Column:
