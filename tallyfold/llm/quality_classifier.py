@@ -54,7 +54,7 @@ class Discriminant:
             return np.full(len(x), self.share)
         z = (x - self.centre) / self.scale
         logs = [o - 0.5 * (((z - mean) @ f.T) ** 2).sum(axis=1) for mean, f, o in zip(self.means, self.factors, self.offsets, strict=True)]
-        return 1 / (1 + np.exp(-np.clip((logs[1] - logs[0]) / np.sqrt(x.shape[1]), -50, 50)))
+        return 1 / (1 + np.exp(-np.clip(logs[1] - logs[0], -50, 50)))
 
 
 def fit(x: np.ndarray, y: np.ndarray, to_pooled: float = 0.1, to_identity: float = 0.02) -> Discriminant:
