@@ -10,7 +10,7 @@ at most SLICE_BYTES, each with a scan of its own.
 
 Cases: null and empty texts match nothing; items that are null, or empty after
 normalisation, are left out; equal items and repeated documents are reported each
-(one row for a pair of ids); empty tables give an empty result; further columns of the
+(a row for each row of the documents and item id); long texts are searched whole; empty tables give an empty result; further columns of the
 documents are kept by `drop_contaminated`.
 """
 
@@ -30,6 +30,8 @@ from tallyfold.llm.common import map_arrow, small_batches, text_bytes
 SHARE, LEAST_PIECE = 0.05, 8
 #: Benchmark bytes of one broadcast automaton.
 SLICE_BYTES = 16 << 20
+#: Bytes of windows whose distances a worker remembers, about.
+CACHE_BYTES = 32 << 20
 SCHEMA = "doc_id long, item_id long, distance long, start long, end long"
 
 
@@ -82,13 +84,22 @@ class Searcher:
             self.automaton.add_word(piece, (len(piece), tuple(found)))
         if places:
             self.automaton.make_automaton()
-        self.cache: dict[tuple[int, bytes], tuple[int, int]] = {}
+        self.cache: dict[tuple[int, bytes], tuple[int, int, int]] = {}
+        self.cached = 0
 
-    def _distance(self, n: int, window: bytes) -> tuple[int, int]:
-        if len(self.cache) > 20_000:
-            self.cache.clear()
+    def _match(self, n: int, window: bytes) -> tuple[int, int, int]:
+        """Least distance, and where the first substring of the window that has it begins and ends."""
         if (found := self.cache.get((n, window))) is None:
-            found = self.cache[n, window] = myers(self.items[n][1], window)
+            if self.cached > CACHE_BYTES:
+                self.cache.clear()
+                self.cached = 0
+            item = self.items[n][1]
+            distance, end = myers(item, window)
+            start = 0
+            if distance <= budget(len(item), self.share):  # no such substring ends earlier, so read backwards it begins here
+                start = end - myers(item[::-1], window[:end][::-1])[1]
+            found = self.cache[n, window] = (distance, start, end)
+            self.cached += len(window) + 200
         return found
 
     def find(self, raw: bytes) -> list[tuple[int, int, int, int]]:
@@ -111,9 +122,9 @@ class Searcher:
         for n, spans in windows.items():
             item_id, item = self.items[n]
             for low, high in spans:
-                distance, end = self._distance(n, text[low:high])
+                distance, start, end = self._match(n, text[low:high])
                 if distance <= budget(len(item), self.share):
-                    got = (distance, max(0, low + end - len(item)), low + end)
+                    got = (distance, low + start, low + end)
                     best[item_id] = min(best.get(item_id, got), got)
         return [(k, *v) for k, v in sorted(best.items())]
 

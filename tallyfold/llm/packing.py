@@ -2,12 +2,13 @@
 
 Documents are cut into full sequences and one tail each. Tails are packed by first-fit
 decreasing; a tournament tree over the bins' free capacities finds the first bin that
-fits in a logarithm of the bins. Groups are drawn by a hash of the document, so they
-are alike in size and lengths and are packed independently. Only lengths and checksums
+fits in a logarithm of the bins. Groups are drawn by a hash of the piece, so they are
+alike in size and lengths and are packed independently. Only lengths and checksums
 are shuffled, no text and no token.
 
 Cases: a null or empty text is the closing id alone; repeated rows are packed as rows
-of their own; an empty table gives an empty result; further columns are not read.
+of their own, in any groups; texts of any length are encoded whole; an empty table
+gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -110,7 +111,9 @@ def pieces(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def pack(docs: DataFrame, length: int = LENGTH, seed: int = 42) -> DataFrame:
     """A row for each piece with its sequence and its place there."""
     groups = groups_for(docs, GROUP_BYTES)
-    dealt = pieces(docs, length).withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32"), F.lit(groups)))
+    # the row number parts repeated rows, which would else fill one group
+    salt = F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32", F.monotonically_increasing_id())
+    dealt = pieces(docs, length).withColumn("group", F.pmod(salt, F.lit(groups)))
 
     def run(part: pa.Table) -> pa.Table:
         part = part.sort_by([(c, "ascending") for c in ("doc_id", "start", "ids_crc32", "doc_tokens")])

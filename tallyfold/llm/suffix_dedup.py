@@ -7,7 +7,8 @@ a string meet in one shard. There a suffix array of the distinct segments is ind
 neighbours with a permuted common prefix of LENGTH bytes hold the same string, and each
 such class has a smallest doc_id.
 
-Documents are dealt to blocks by a hash of their id. Three exchanges of numpy arrays
+Documents are dealt to blocks by a hash of their id and text, so that rows without an id
+spread. Three exchanges of numpy arrays
 go between blocks and shards, the first of anchors only: a segment whose anchor one
 document alone holds is never sent. A block sends equal segments once, with their
 smallest doc_id, whatever number of its documents hold them.
@@ -330,7 +331,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     """Per document its bytes, those that are removed, their maximal runs, and the hash of what is left."""
     blocks = groups_for(docs, BLOCK_BYTES)
     shards = 2 * blocks
-    rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     anchors = rows.groupBy("block").applyInArrow(_send_anchors(shards), _ANCHORS)
     shared = anchors.groupBy("shard").applyInArrow(_find_shared, _SHARED)
     segments = rows.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_send_segments(shards), _SEGMENTS)

@@ -1,6 +1,6 @@
-"""Token counts: lengths only, from batches balanced by bytes.
+"""Token counts: lengths only, from batches balanced by bytes, whatever number of rows they hold.
 
-Cases: null and empty texts have 0 tokens; repeated rows each get their count; an
+Cases: null and empty texts have 0 tokens; long texts are counted whole, in pieces; repeated rows each get their count; an
 empty table gives an empty result; further columns of the input are not read.
 """
 
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tallyfold.llm.common import map_arrow, small_batches, text_bytes
+from tallyfold.llm.common import small_batches, text_bytes
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 #: Bytes that are encoded in one call of the library.
@@ -67,12 +67,13 @@ def count_tokens(texts: list[str], path: str) -> list[int]:
 
     for i, text in enumerate(texts):
         for piece in split_text(text) if may_split else (text,):
-            if batch and held + len(piece) > BATCH_BYTES:
+            size = len(piece.encode())
+            if batch and held + size > BATCH_BYTES:
                 flush()
                 held = 0
             owners.append(i)
             batch.append(piece)
-            held += len(piece)
+            held += size
     flush()
     return out
 
@@ -84,15 +85,26 @@ def token_counts(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int
     """
     small_batches(docs.sparkSession)
 
-    def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
         path = model if "/" in model else public_tokenizers.path(model)
-        raw = text_bytes(batch.column("text"))
-        counts = count_tokens([b.decode("utf-8", "replace") for b in raw], path)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), pa.array([len(b) for b in raw], pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())],
-            names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
-        )
-
-    return map_arrow(docs.select("doc_id", "text"), each, SCHEMA)
+
+        def counted(ids: list[int | None], raw: list[bytes]) -> pa.RecordBatch:
+            counts = count_tokens([b.decode("utf-8", "replace") for b in raw], path)
+            columns = [pa.array(ids, pa.int64()), pa.array([len(b) for b in raw], pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+
+        ids, raw, held = [], [], 0
+        for batch in batches:  # rows gather until they hold the bytes of a call
+            own = text_bytes(batch.column("text"))
+            ids += batch.column("doc_id").cast(pa.int64()).to_pylist()
+            raw += own
+            held += sum(map(len, own))
+            if held >= BATCH_BYTES:
+                yield counted(ids, raw)
+                ids, raw, held = [], [], 0
+        if ids:
+            yield counted(ids, raw)
+
+    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
