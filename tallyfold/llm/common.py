@@ -41,7 +41,7 @@ def cut(df: DataFrame) -> DataFrame:
     """`df` written once to the shared folder and read again: lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tallyfold/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

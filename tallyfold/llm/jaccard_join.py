@@ -3,10 +3,11 @@
 Two documents link when 100 * intersection >= 80 * union of their sets of five-word
 shingles: a Jaccard distance of at most 0.2, which is a metric. Equal sets are one class.
 
-Pivots create Voronoi regions (`voronoi.py`): a class goes to the region of its nearest
+First every crowd of classes that share the smallest shingle of an order is compared with
+one of its members, which gathers whole groups of near copies in one component with a
+number of comparisons linear in them. Then pivots create Voronoi regions (`voronoi.py`): a class goes to the region of its nearest
 pivot, or to the outer region, and is replicated into all others that the triangle
-inequality does not exclude. Links with pivots are found on the way, which gathers whole
-groups of near copies with a number of comparisons linear in them. Regions that stay
+inequality does not exclude; links with pivots are found on the way. Regions that stay
 large and hold crowds of several components are divided again around pivots of their own.
 
 Each region then joins by itself and exactly. Let a set's boundary be its first
@@ -41,8 +42,8 @@ from tallyfold.llm.shingles import mixed, shingle_sets
 
 #: Least similarity in hundredths.
 SIMILAR = 80
-#: Orders of the shingles under which pivots are sought.
-ORDERS = 4
+#: Orders of the shingles under which crowds are sought, and rounds in which they are compared with one member.
+ORDERS, ROUNDS = 4, 3
 #: Fixed masks of the orders.
 MASKS = tuple(np.uint64(m) for m in (0, 0x1234567890ABCDEF, 0x5BD1E9955BD1E995, 0xA7D4EB2F165667C5))
 #: A shingle of more classes than this is common; and common ones are at most so many, which bounds their broadcast.
@@ -69,12 +70,6 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(x) for x in np.array([np.add.reduce(mixed(s + _U(1))), np.bitwise_xor.reduce(mixed(s ^ _U(0x5851F42D4C957F2D)))]).view(np.int64))
 
 
-def names_of(sets: list[np.ndarray], clashes: frozenset[int]) -> list[int]:
-    """The 64-bit name of each set's class; of names that several classes share both halves of the long name."""
-    long = [fingerprint(x) for x in sets]
-    return [c ^ c2 if c in clashes else c for c, c2 in long]
-
-
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two ascending sets are similar enough."""
     if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)) or not len(a):
@@ -104,8 +99,8 @@ def _ordered(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("ord"), text.alias("text"), F.xxhash64(text).alias("t"), F.xxhash64(F.lit(1), text).alias("t2"))
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, labels: DataFrame, clashes: frozenset[int]) -> DataFrame:
-    """The pairs (a, b) of classes whose sets link. Many a may share one b."""
+def _verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose sets link; texts: c and text of every class. Many a may share one b."""
     pairs = cut(pairs)
     n = pairs.count()
     if not n:
@@ -115,22 +110,20 @@ def _verify(docs: DataFrame, pairs: DataFrame, labels: DataFrame, clashes: froze
     dealt = pairs.join(narrow(heavy), "b", "left").withColumn("part", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))))
     dealt = dealt.withColumn("group", F.pmod(F.xxhash64("b", "part"), F.lit(groups)))
     roles = dealt.select("group", F.col("a").alias("c"), "b").unionByName(dealt.select("group", F.col("b").alias("c"), "b").distinct())
-    roles = cut(roles.join(labels.select("c", "ord", "t"), "c"))
-    texts = _ordered(docs).join(narrow(roles), ["ord", "t"]).select("group", "c", "b", "text")
+    met = texts.join(narrow(cut(roles)), "c").select("group", "c", "b", "text")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("b", "ascending"), ("c", "ascending")])
         names, pivots, found = table["c"].to_pylist(), table["b"].to_pylist(), set()
         sets = shingle_sets(text_bytes(table["text"]))
-        sets = [s if own == c else None for s, own, c in zip(sets, names_of(sets, clashes), names, strict=True)]
-        own = {b: s for b, c, s in zip(pivots, names, sets, strict=True) if b == c and s is not None}
+        own = {b: s for b, c, s in zip(pivots, names, sets, strict=True) if b == c}
         for b, c, s in zip(pivots, names, sets, strict=True):
-            if c != b and s is not None and b in own and linked(s, own[b]):
+            if c != b and b in own and linked(s, own[b]):
                 found.add((c, b))
         rows = sorted(found)
         return pa.table({"a": pa.array([x for x, _ in rows], pa.int64()), "b": pa.array([x for _, x in rows], pa.int64())})
 
-    return cut(texts.groupBy("group").applyInArrow(run, "a long, b long"))
+    return cut(met.groupBy("group").applyInArrow(run, "a long, b long"))
 
 
 def _labelled(classes: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -142,49 +135,44 @@ def _labelled(classes: DataFrame, links: DataFrame | None) -> DataFrame:
     return classes.join(narrow(parts), F.col("c") == F.col("node"), "left").withColumn("part", F.coalesce("component", "c")).drop("node", "component")
 
 
-def _texts(docs: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
-    """A text of each class, with columns of its label."""
-    return _ordered(docs).join(narrow(labels.select("ord", "t", "c", *columns)), ["ord", "t"]).select("text", "c", *columns)
+def _crowds(classes: DataFrame, k: int) -> DataFrame:
+    """Pairs (a, b) of classes with one member of each of their crowds, where a crowd is of several components."""
+    orders = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"m{i}").alias("m")) for i in range(ORDERS)))).alias("crowd")
+    members = classes.select("c", "n", "part", orders)
+    first = F.struct(F.xxhash64(F.lit(k), "c").alias("rank"), "c", "n", "part")
+    heads = members.groupBy("crowd").agg(F.min(first).alias("p"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
+    heads = cut(heads.select("crowd", F.col("p.c").alias("b"), F.col("p.n").alias("nb"), F.col("p.part").alias("pb")))
+    met = members.join(narrow(heads), "crowd").where("part <> pb and 5 * least(n, nb) >= 4 * greatest(n, nb)")
+    return met.select(F.col("c").alias("a"), "b").distinct()
 
 
-def _pivots(docs: DataFrame, members: DataFrame, seed: int, clashes: frozenset[int]) -> voronoi.Pivots | None:
+def _pivots(texts: DataFrame, members: DataFrame, seed: int) -> voronoi.Pivots | None:
     """Pivots of the regions that are divided next, or None. What comes to the driver is bounded by voronoi.PIVOTS and PIVOT_SHINGLES."""
     chosen = voronoi.candidates(members, ORDERS, seed)
     if not chosen:
         return None
-    spark = docs.sparkSession
-    names = spark.createDataFrame([(c,) for c in dict.fromkeys(c for c, _ in chosen)], "c long")
-    wanted = cut(members.join(F.broadcast(names), "c").select("c", "ord", "t"))
+    names = texts.sparkSession.createDataFrame([(c,) for c in dict.fromkeys(c for c, _ in chosen)], "c long")
 
     def send(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sets = shingle_sets(text_bytes(batch.column("text")))
-        right = [own == c for own, c in zip(names_of(sets, clashes), batch.column("c").to_pylist(), strict=True)]
-        out = pa.RecordBatch.from_arrays([batch.column("c"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["c", "keys"])
-        yield out.filter(pa.array(right))
+        yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["c", "keys"])
 
-    found = map_arrow(_texts(docs, wanted), send, "c long, keys binary").dropDuplicates(["c"]).collect()
+    found = map_arrow(texts.join(F.broadcast(names), "c").select("text", "c"), send, "c long, keys binary").dropDuplicates(["c"]).collect()
     sets = {r["c"]: np.frombuffer(r["keys"], np.uint64) for r in found}
-    chosen = [x for x in chosen if x[0] in sets]
-    if not chosen:
-        return None
     kept = voronoi.thin([c for c, _ in chosen], [r for _, r in chosen], [sets[c] for c, _ in chosen])
     return voronoi.Pivots([chosen[i][0] for i in kept], [chosen[i][1] for i in kept], [sets[chosen[i][0]] for i in kept])
 
 
-def _divided(docs: DataFrame, labels: DataFrame, pivots: voronoi.Pivots, clashes: frozenset[int]) -> tuple[DataFrame, DataFrame]:
-    """The labels with the regions of the classes after a division, and the links (a, b) with pivots."""
-    held = docs.sparkSession.sparkContext.broadcast(pivots)
+def _divided(texts: DataFrame, rounds: list[voronoi.Pivots]) -> tuple[DataFrame, DataFrame]:
+    """The regions of all classes, and the links (a, b) with the pivots of the last round."""
+    held = texts.sparkSession.sparkContext.broadcast(rounds)
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        sets = shingle_sets(text_bytes(batch.column("text")))
-        right = np.array([own == c for own, c in zip(names_of(sets, clashes), batch.column("c").to_pylist(), strict=True)], bool)
-        regions, links = held.value.divide(sets, list(voronoi.read_regions(batch.column("regions"))))
-        out = pa.RecordBatch.from_arrays([batch.column("c"), voronoi.region_column(regions), pa.array(links, pa.list_(pa.int64()))], names=["c", "regions", "near"])
-        yield out.filter(pa.array(right))
+        regions, links = voronoi.regions_of(shingle_sets(text_bytes(batch.column("text"))), held.value)
+        yield pa.RecordBatch.from_arrays([batch.column("c"), voronoi.region_column(regions), pa.array(links, pa.list_(pa.int64()))], names=["c", "regions", "near"])
 
-    found = cut(map_arrow(_texts(docs, labels, "regions"), each, f"c long, regions {voronoi.REGIONS}, near array<long>").dropDuplicates(["c"]))
-    links = found.select(F.col("c").alias("a"), F.explode("near").alias("b")).where("a <> b")
-    return cut(labels.drop("regions").join(found.select("c", "regions"), "c")), cut(links)
+    found = cut(map_arrow(texts.select("text", "c"), each, f"c long, regions {voronoi.REGIONS}, near array<long>"))
+    return found.select("c", "regions").dropDuplicates(["c"]), cut(found.select(F.col("c").alias("a"), F.explode("near").alias("b")).where("a <> b"))
 
 
 def _codes(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -236,10 +224,14 @@ def _common_shingles(texts: DataFrame, shards: int, total: int) -> np.ndarray:
     return np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["codes"], np.uint64) for r in found)]))
 
 
-def region_pairs(keys: np.ndarray, n: np.ndarray, part: np.ndarray, d: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of places with equal keys, different parts, and sizes and distances d from the pivot within their windows."""
+def region_pairs(keys: np.ndarray, n: np.ndarray, part: np.ndarray, d: np.ndarray, away: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places with equal keys, different parts, and sizes and distances d from the pivot within their windows.
+
+    away: 0 for a class in its own region, else the name of that region; two classes away
+    from one region of their own meet there and not here.
+    """
     order = np.lexsort((n, keys))
-    k, m, p, d = keys[order], n[order], part[order], d[order]
+    k, m, p, d, w = keys[order], n[order], part[order], d[order], away[order]
     heads = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(heads, len(k)))
     several = np.minimum.reduceat(p, heads) != np.maximum.reduceat(p, heads) if len(heads) else np.zeros(0, bool)
@@ -248,23 +240,23 @@ def region_pairs(keys: np.ndarray, n: np.ndarray, part: np.ndarray, d: np.ndarra
     while len(live):
         live = live[live + step < len(k)]
         live = live[(k[live] == k[live + step]) & (5 * m[live] >= 4 * m[live + step])]
-        met = live[(p[live] != p[live + step]) & (np.abs(d[live] - d[live + step]) <= WINDOW)]
+        met = live[(p[live] != p[live + step]) & (np.abs(d[live] - d[live + step]) <= WINDOW) & ((w[live] == 0) | (w[live] != w[live + step]))]
         if len(met):
             yield order[met], order[met + step]
         step += 1
     for at, size in zip(heads[several & (sizes > SMALL_REGION)], sizes[several & (sizes > SMALL_REGION)], strict=True):
-        q, mm, dd = (x[at : at + size] for x in (p, m, d))
+        q, mm, dd, ww = (x[at : at + size] for x in (p, m, d, w))
         values, counts = np.unique(q, return_counts=True)
         main = values[counts.argmax()]
         for i in np.flatnonzero(q != main).tolist():  # each meets the main component, and the others behind it
             low, high = np.searchsorted(mm, [-(-4 * mm[i] // 5), 5 * mm[i] // 4 + 1])
             j = np.arange(low, high)
-            j = j[((q[j] == main) | ((q[j] != q[i]) & (j > i))) & (np.abs(dd[j] - dd[i]) <= WINDOW)]
+            j = j[((q[j] == main) | ((q[j] != q[i]) & (j > i))) & (np.abs(dd[j] - dd[i]) <= WINDOW) & ((ww[i] == 0) | (ww[j] != ww[i]))]
             if len(j):
                 yield order[np.full(len(j), at + i)], order[at + j]
 
 
-_ENTRIES = "shard long, keys binary, rows binary, c binary, region binary, d binary, n binary, part binary, counts binary"
+_ENTRIES = "shard long, keys binary, rows binary, c binary, region binary, away binary, d binary, n binary, part binary, counts binary"
 _PAIRS = "a long, na int, b long, nb int, region long, shared int"
 
 
@@ -273,7 +265,7 @@ def _counts(s: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((mixed(s) >> _U(56)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8)
 
 
-def crowded_pairs(keys: np.ndarray, rows: np.ndarray, n: np.ndarray, part: np.ndarray, counts: np.ndarray, d: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def crowded_pairs(keys: np.ndarray, rows: np.ndarray, n: np.ndarray, part: np.ndarray, counts: np.ndarray, d: np.ndarray, away: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs of classes of different parts that share a common shingle, with the shingles shared, within all windows.
 
     The classes of the largest part come last and are only met, never walked; a class
@@ -291,7 +283,7 @@ def crowded_pairs(keys: np.ndarray, rows: np.ndarray, n: np.ndarray, part: np.nd
     of_key = np.repeat(np.arange(len(heads)), ends - heads)
     by_row = np.argsort(lists, kind="stable")
     row_at = np.searchsorted(lists[by_row], np.arange(len(order) + 1))
-    m, p, c, d = n[order].astype(np.int64), part[order], counts[order].astype(np.int16), d[order]
+    m, p, c, d, w = n[order].astype(np.int64), part[order], counts[order].astype(np.int16), d[order], away[order]
     for i in range(len(order)):
         if p[i] == p[-1]:
             break
@@ -301,66 +293,67 @@ def crowded_pairs(keys: np.ndarray, rows: np.ndarray, n: np.ndarray, part: np.nd
             continue
         shared = np.bincount(np.concatenate([lists[heads[k] : ends[k]] for k in own]), minlength=len(order))
         j = i + 1 + np.flatnonzero(shared[i + 1 :])
-        j = j[(p[j] != p[i]) & (np.abs(d[j] - d[i]) <= WINDOW) & (5 * np.minimum(m[j], m[i]) >= 4 * np.maximum(m[j], m[i]))]
+        j = j[(p[j] != p[i]) & (np.abs(d[j] - d[i]) <= WINDOW) & ((w[i] == 0) | (w[j] != w[i])) & (5 * np.minimum(m[j], m[i]) >= 4 * np.maximum(m[j], m[i]))]
         j = j[9 * np.abs(c[j] - c[i]).sum(axis=1, dtype=np.int64) <= m[j] + m[i]]
         if len(j):
             yield order[np.full(len(j), i)], order[j], shared[j]
 
 
 def _entries(sets: list[np.ndarray], parts: list[np.ndarray], regions: list[list[tuple[int, float]]]) -> tuple[np.ndarray, ...]:
-    """For each set in each of its regions, an entry: the set's place, the region, the distance; and for each boundary shingle its entry, itself, and its key in the region."""
+    """For each set in each of its regions, an entry: the set's place, the region, its own region if that is another (else 0), the distance; and for each boundary shingle its entry, itself, and its key in the region."""
     places = np.array([i for i, x in enumerate(regions) for _ in x], np.int64)
     names = np.array([r for x in regions for r, _ in x], np.int64)
+    away = np.array([0 if r == x[0][0] else x[0][0] for x in regions for r, _ in x], np.int64)
     distances = np.array([d for x in regions for _, d in x], np.float32)
     salt = np.where(names == voronoi.ROOT, _U(0), mixed(names.view(_U) + _U(1)))
     rows = np.repeat(np.arange(len(places)), [len(parts[i]) for i in places])
     raw = np.concatenate([np.zeros(0, _U), *(parts[i] for i in places)])
-    return places, names, distances, rows, raw, mixed(raw ^ salt[rows])
+    return places, names, away, distances, rows, raw, mixed(raw ^ salt[rows])
 
 
-def _exact_pairs(texts: DataFrame, shards: int, common: np.ndarray, clashes: frozenset[int]) -> DataFrame:
+def _exact_pairs(texts: DataFrame, shards: int, common: np.ndarray, rounds: list[voronoi.Pivots]) -> DataFrame:
     """Pairs of classes of one region and different components that share a shingle of their boundaries.
 
     Common shingles go to shards of their own, with the class counts of their sets.
     """
-    held = texts.sparkSession.sparkContext.broadcast(common)
+    held = texts.sparkSession.sparkContext.broadcast((common, rounds))
     crowded = max(1, shards // 8)
 
     def send(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sets = shingle_sets(text_bytes(batch.column("text")))
         c, part = (batch.column(x).to_numpy() for x in ("c", "part"))
-        right = [own == x for own, x in zip(names_of(sets, clashes), c.tolist(), strict=True)]
-        parts = [_boundary(s, held.value, shards) if ok else s[:0] for s, ok in zip(sets, right, strict=True)]
-        place, region, d, rows, raw, keys = _entries(sets, parts, list(voronoi.read_regions(batch.column("regions"))))
+        common, rounds = held.value
+        parts = [_boundary(s, common, shards) for s in sets]
+        place, region, away, d, rows, raw, keys = _entries(sets, parts, voronoi.regions_of(sets, rounds)[0])
         n = np.array([len(s) for s in sets], np.int32)
-        is_common = _is_common(raw, held.value, shards)
+        is_common = _is_common(raw, common, shards)
         shard = np.where(is_common, shards + (keys % _U(crowded)).astype(np.int64), (keys % _U(shards)).astype(np.int64))
         order = np.argsort(shard, kind="stable")
         at = np.searchsorted(shard[order], np.arange(shards + crowded + 1))
-        out: list[list] = [[] for _ in range(9)]
+        out: list[list] = [[] for _ in range(10)]
         for s in np.flatnonzero(np.diff(at)).tolist():
             own = order[at[s] : at[s + 1]]
             used, local = np.unique(rows[own], return_inverse=True)
             mine = place[used]
             counts = zlib.compress(b"".join(_counts(sets[r]).tobytes() for r in mine), 1) if s >= shards else b""
-            held_by = (c[mine], region[used], d[used], n[mine], part[mine])
+            held_by = (c[mine], region[used], away[used], d[used], n[mine], part[mine])
             for column, x in zip(out, (s, keys[own].tobytes(), local.astype(np.uint32).tobytes(), *(x.tobytes() for x in held_by), counts), strict=True):
                 column.append(x)
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(x, pa.binary()) for x in out[1:])], names=[x.split()[0] for x in _ENTRIES.split(", ")])
 
     def meet(table: pa.Table) -> pa.Table:
-        kinds = (("keys", np.uint64), ("rows", np.uint32), ("c", np.int64), ("region", np.int64), ("d", np.float32), ("n", np.int32), ("part", np.int64))
+        kinds = (("keys", np.uint64), ("rows", np.uint32), ("c", np.int64), ("region", np.int64), ("away", np.int64), ("d", np.float32), ("n", np.int32), ("part", np.int64))
         col = {x: [np.frombuffer(b, k) for b in table[x].to_pylist()] for x, k in kinds}
         shift = np.cumsum([0, *(len(x) for x in col["c"][:-1])])
         rows = np.concatenate([r.astype(np.int64) + s for r, s in zip(col["rows"], shift, strict=True)])
-        keys, c, region, d, n, part = (np.concatenate(col[x]) for x in ("keys", "c", "region", "d", "n", "part"))
+        keys, c, region, away, d, n, part = (np.concatenate(col[x]) for x in ("keys", "c", "region", "away", "d", "n", "part"))
         # a class may stand in several rows: one place for each of its regions
         _, lead, same = np.unique(c.view(_U) ^ mixed(region.view(_U)), return_index=True, return_inverse=True)
         if table["shard"][0].as_py() >= shards:
             counts = np.frombuffer(b"".join(zlib.decompress(b) for b in table["counts"].to_pylist()), np.uint8).reshape(-1, CLASSES)
             entries = np.unique(np.column_stack((keys, same[rows].astype(np.uint64))), axis=0)
-            found = list(crowded_pairs(entries[:, 0], entries[:, 1].astype(np.int64), n[lead], part[lead], counts[lead], d[lead]))
+            found = list(crowded_pairs(entries[:, 0], entries[:, 1].astype(np.int64), n[lead], part[lead], counts[lead], d[lead], away[lead]))
             a, b, times = (lead[np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)])] if k < 2 else np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in range(3))
         else:
             rows = lead[same[rows]]
@@ -373,7 +366,7 @@ def _exact_pairs(texts: DataFrame, shards: int, common: np.ndarray, clashes: fro
                 codes, at = np.unique(every, return_inverse=True)
                 times, waiting = np.bincount(at, weight, len(codes)).astype(np.int64), []
 
-            for i, j in region_pairs(keys, n[rows].astype(np.int64), part[rows], d[rows]):
+            for i, j in region_pairs(keys, n[rows].astype(np.int64), part[rows], d[rows], away[rows]):
                 x, y = rows[i], rows[j]
                 waiting.append(np.minimum(x, y) * total + np.maximum(x, y))
                 if sum(map(len, waiting)) > 1 << 21:
@@ -384,7 +377,7 @@ def _exact_pairs(texts: DataFrame, shards: int, common: np.ndarray, clashes: fro
         a, b = np.where(turn, b, a), np.where(turn, a, b)
         return pa.table({"a": c[a], "na": n[a], "b": c[b], "nb": n[b], "region": region[a], "shared": times.astype(np.int32)})
 
-    return map_arrow(texts.select("text", "c", "part", "regions"), send, _ENTRIES).groupBy("shard").applyInArrow(meet, _PAIRS)
+    return map_arrow(texts.select("text", "c", "part"), send, _ENTRIES).groupBy("shard").applyInArrow(meet, _PAIRS)
 
 
 def _within_windows(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -416,31 +409,41 @@ def _parts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     small_batches(spark)
     rows = cut(_read(docs))
     same = [F.first(x).alias(x) for x in (*(f"m{k}" for k in range(ORDERS)), "counts")]
-    classes = cut(rows.where("n > 0").groupBy("c", "c2", "n").agg(F.min("ord").alias("ord"), F.min_by("t", "ord").alias("t"), F.count("*").alias("copies"), *same))
+    classes = cut(rows.where("n > 0").groupBy("c", "c2", "n").agg(F.min("ord").alias("ord"), F.min_by(F.struct("t", "t2"), "ord").alias("name"), F.count("*").alias("copies"), *same))
     clashes = frozenset(r["c"] for r in classes.groupBy("c").count().where("count > 1").limit(CLASHES + 1).collect())
     if len(clashes) > CLASHES:
         raise ValueError("too many sets share a hash")
+    classes = classes.select("*", "name.t", "name.t2").drop("name")
     if clashes:
         name = F.when(F.col("c").isin(list(clashes)), F.col("c").bitwiseXOR(F.col("c2"))).otherwise(F.col("c"))
         rows, classes = rows.withColumn("c", name), classes.withColumn("c", name)
     total = classes.agg(F.sum("n")).first()[0] or 0
+    # one row's text of each class, written once: all passes read it as it is
+    texts = cut(_ordered(docs).join(narrow(classes.select("c", "ord", "t", "t2")), ["ord", "t", "t2"]).select("c", "text"))
+    release(spark)
     whole = F.array(F.struct(F.lit(voronoi.ROOT).cast("long").alias("r"), F.lit(0.0).cast("float").alias("d")))
-    labels, links = classes.select("c", "n", "ord", "t", *(f"m{k}" for k in range(ORDERS)), whole.alias("regions")), None
+    members, rounds, links = classes.select("c", "n", *(f"m{k}" for k in range(ORDERS)), whole.alias("regions")), [], None
+    for k in range(ROUNDS):
+        found = _verify(texts, _crowds(_labelled(members, links), k))
+        links = found if links is None else links.unionByName(found)
+        release(spark)
     for k in range(voronoi.DEPTH):
-        pivots = _pivots(docs, _labelled(labels, links), k, clashes)
+        pivots = _pivots(texts, _labelled(members, links), k)
         if pivots is None:
             break
-        labels, found = _divided(docs, labels, pivots, clashes)
-        links = found if links is None else links.unionByName(found)
+        rounds.append(pivots)
+        regions, found = _divided(texts, rounds)
+        members = members.drop("regions").join(regions, "c")
+        links = links.unionByName(found)
         release(spark)
-    labels = cut(_labelled(labels, links).select("c", "part", "ord", "t", "n", "regions"))
-    texts = _texts(docs, labels, "part", "regions")
     shards = groups_for(docs, SHARD_BYTES)
     common = _common_shingles(texts, shards, total)
-    pairs = cut(_exact_pairs(texts, shards, common, clashes))
+    parts = cut(components(links))
+    parted = texts.join(narrow(parts), F.col("c") == F.col("node"), "left").select("c", "text", F.coalesce("component", "c").alias("part"))
+    pairs = cut(_exact_pairs(parted, shards, common, rounds))
     release(spark)
-    found = _verify(docs, _within_windows(pairs, classes), labels, clashes)
-    parts = _labelled(classes, found if links is None else links.unionByName(found))
+    found = _verify(texts, _within_windows(pairs, classes))
+    parts = _labelled(classes, links.unionByName(found))
     least = parts.groupBy("part").agg(F.min("ord").alias("least"), F.sum("copies").alias("rows")).where("rows > 1")
     return rows, cut(parts.join(least, "part").select("c", "c2", "part", "least"))
 

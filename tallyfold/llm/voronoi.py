@@ -16,7 +16,7 @@ Their number and the sum of their sizes are bounded, which bounds their broadcas
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +28,9 @@ from tallyfold.llm.shingles import mixed
 #: Largest distance of a link, and of a set from the pivot of its region.
 REACH, RADIUS = 0.2, 0.5
 #: Pivots of one round at most, and their shingles in sum; how far pivots of a region are apart.
-PIVOTS, PIVOT_SHINGLES, APART = 2048, 1 << 20, 0.5
+PIVOTS, PIVOT_SHINGLES, APART = 2048, 1 << 20, 0.9
 #: Classes that share the smallest shingle from which on one becomes a pivot; classes of a region that is divided again; rounds.
-CROWD, REGION, DEPTH = 8, 1000, 3
+CROWD, REGION, DEPTH = 8, 1000, 2
 #: The region of all sets.
 ROOT = 0
 #: Bits of the table that tells quickly that a shingle is in no pivot.
@@ -75,7 +75,7 @@ class Pivots:
         return pairs // max(1, len(self.sizes)), pairs % max(1, len(self.sizes)), both
 
     def divide(self, sets: Sequence[np.ndarray], regions: Sequence[Sequence[tuple[int, float]]]) -> tuple[list[list[tuple[int, float]]], list[list[int]]]:
-        """For each set its regions (with the distance from the pivot) after the division, and the names of pivots that it links with."""
+        """For each set its regions (with the distance from the pivot) after the division, its own one first, and the names of pivots that it links with."""
         rows, pivots, both = self.shared(sets)
         size = np.array([len(s) for s in sets], np.int64)
         either = self.sizes[pivots] + size[rows] - both
@@ -92,8 +92,9 @@ class Pivots:
                     out[region] = old
                     continue
                 mine = [(x, p) for x, p in near if self.regions[p] == region]
-                home = min(mine)[0] if mine else 1.0
+                home, nearest = min(mine) if mine else (1.0, 0)
                 if home <= RADIUS:
+                    out.setdefault(part_of(region, self.names[nearest]), home)
                     out.update((part_of(region, self.names[p]), x) for x, p in mine if x <= home + 2 * REACH + _SLACK)
                 if home > RADIUS - REACH - _SLACK:
                     out[part_of(region, 0)] = 0.0
@@ -138,11 +139,15 @@ def candidates(members: DataFrame, orders: int, seed: int) -> list[tuple[int, in
 REGIONS = "array<struct<r: long, d: float>>"
 
 
+def regions_of(sets: Sequence[np.ndarray], rounds: Sequence[Pivots]) -> tuple[list[list[tuple[int, float]]], list[list[int]]]:
+    """The regions of each set after all rounds, and the pivots of the last round that it links with. They follow from the set and the pivots alone, so they are never sent along with a text."""
+    regions: list[list[tuple[int, float]]] = [[(ROOT, 0.0)] for _ in sets]
+    links: list[list[int]] = [[] for _ in sets]
+    for pivots in rounds:
+        regions, links = pivots.divide(sets, regions)
+    return regions, links
+
+
 def region_column(found: Sequence[Sequence[tuple[int, float]]]) -> pa.Array:
     kind = pa.list_(pa.struct([("r", pa.int64()), ("d", pa.float32())]))
     return pa.array([[{"r": r, "d": d} for r, d in x] for x in found], kind)
-
-
-def read_regions(column: pa.Array) -> Iterator[list[tuple[int, float]]]:
-    for x in column.to_pylist():
-        yield [(y["r"], y["d"]) for y in x]
