@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import cut, release
+from tallyfold.llm.common import cut, discard, narrow, release
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -34,10 +34,26 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
     state = _state(edges)
     while state[0]:
-        edges = cut(_star(edges))
+        old, edges = edges, cut(_star(edges))
         before, state = state, _state(edges)
+        discard(old)
         if before == state:
             break
         release(edges.sparkSession)
     roots = edges.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+
+
+def joined(parts: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components (node, component) after further links (a, b) between nodes; only components that these links touch are looked at again."""
+    if parts is None:
+        return cut(components(links))
+    name = lambda c: F.coalesce(F.col(f"of_{c}.component"), F.col(c)).alias(c)
+    side = lambda c: narrow(parts).alias(f"of_{c}")
+    met = links.join(side("a"), F.col("a") == F.col("of_a.node"), "left").join(side("b"), F.col("b") == F.col("of_b.node"), "left")
+    wider = cut(components(met.select(name("a"), name("b")))).select(F.col("node").alias("part"), F.col("component").alias("wider"))
+    old = parts.join(narrow(wider), F.col("component") == F.col("part"), "left").select("node", F.coalesce("wider", "component").alias("component"))
+    new = wider.join(parts, F.col("part") == F.col("node"), "left_anti").select(F.col("part").alias("node"), F.col("wider").alias("component"))
+    out = cut(old.unionByName(new))
+    discard(parts)
+    return out

@@ -36,8 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm import voronoi
-from tallyfold.llm.common import cut, groups_for, map_arrow, narrow, release, small_batches, text_bytes
-from tallyfold.llm.components import components
+from tallyfold.llm.common import cut, discard, groups_for, map_arrow, narrow, release, small_batches, text_bytes
+from tallyfold.llm.components import joined
 from tallyfold.llm.shingles import mixed, shingle_sets
 
 #: Least similarity in hundredths.
@@ -123,15 +123,16 @@ def _verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
         rows = sorted(found)
         return pa.table({"a": pa.array([x for x, _ in rows], pa.int64()), "b": pa.array([x for _, x in rows], pa.int64())})
 
-    return cut(met.groupBy("group").applyInArrow(run, "a long, b long"))
+    out = cut(met.groupBy("group").applyInArrow(run, "a long, b long"))
+    discard(pairs)
+    return out
 
 
-def _labelled(classes: DataFrame, links: DataFrame | None) -> DataFrame:
+def _labelled(classes: DataFrame, parts: DataFrame | None) -> DataFrame:
     """The classes with the component of each under the links so far."""
     classes = classes.drop("part")
-    if links is None:
+    if parts is None:
         return classes.withColumn("part", F.col("c"))
-    parts = cut(components(links))
     return classes.join(narrow(parts), F.col("c") == F.col("node"), "left").withColumn("part", F.coalesce("component", "c")).drop("node", "component")
 
 
@@ -422,28 +423,30 @@ def _parts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = cut(_ordered(docs).join(narrow(classes.select("c", "ord", "t", "t2")), ["ord", "t", "t2"]).select("c", "text"))
     release(spark)
     whole = F.array(F.struct(F.lit(voronoi.ROOT).cast("long").alias("r"), F.lit(0.0).cast("float").alias("d")))
-    members, rounds, links = classes.select("c", "n", *(f"m{k}" for k in range(ORDERS)), whole.alias("regions")), [], None
+    members, rounds, parts = classes.select("c", "n", *(f"m{k}" for k in range(ORDERS)), whole.alias("regions")), [], None
     for k in range(ROUNDS):
-        found = _verify(texts, _crowds(_labelled(members, links), k))
-        links = found if links is None else links.unionByName(found)
+        parts = joined(parts, _verify(texts, _crowds(_labelled(members, parts), k)))
         release(spark)
     for k in range(voronoi.DEPTH):
-        pivots = _pivots(texts, _labelled(members, links), k)
+        pivots = _pivots(texts, _labelled(members, parts), k)
         if pivots is None:
             break
         rounds.append(pivots)
         regions, found = _divided(texts, rounds)
         members = members.drop("regions").join(regions, "c")
-        links = links.unionByName(found)
+        parts = joined(parts, found)
         release(spark)
     shards = groups_for(docs, SHARD_BYTES)
     common = _common_shingles(texts, shards, total)
-    parts = cut(components(links))
     parted = texts.join(narrow(parts), F.col("c") == F.col("node"), "left").select("c", "text", F.coalesce("component", "c").alias("part"))
     pairs = cut(_exact_pairs(parted, shards, common, rounds))
     release(spark)
-    found = _verify(texts, _within_windows(pairs, classes))
-    parts = _labelled(classes, links.unionByName(found))
+    within = cut(_within_windows(pairs, classes))
+    discard(pairs)
+    release(spark)
+    parts = joined(parts, _verify(texts, within))
+    discard(texts, within)
+    parts = _labelled(classes, parts)
     least = parts.groupBy("part").agg(F.min("ord").alias("least"), F.sum("copies").alias("rows")).where("rows > 1")
     return rows, cut(parts.join(least, "part").select("c", "c2", "part", "least"))
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm.common import cut, narrow, release
-from tallyfold.llm.components import components
+from tallyfold.llm.components import joined
 
 SHINGLE = 12
 #: Shingles hashed in one row.
@@ -165,17 +165,6 @@ def _rest(members: DataFrame, found: DataFrame, parts: DataFrame) -> DataFrame:
     return met.select(F.greatest("x.h", "y.h").alias("a"), F.least("x.h", "y.h").alias("b")).distinct()
 
 
-def _joined(parts: DataFrame, more: DataFrame) -> DataFrame:
-    """The components (node, component) after further links between their nodes."""
-    name = lambda c: F.coalesce(F.col(f"of_{c}.component"), F.col(c)).alias(c)
-    side = lambda c: narrow(parts).alias(f"of_{c}")
-    met = more.join(side("a"), F.col("a") == F.col("of_a.node"), "left").join(side("b"), F.col("b") == F.col("of_b.node"), "left")
-    wider = cut(components(met.select(name("a"), name("b")))).select(F.col("node").alias("part"), F.col("component").alias("wider"))
-    old = parts.join(narrow(wider), F.col("component") == F.col("part"), "left").select("node", F.coalesce("wider", "component").alias("component"))
-    new = wider.join(parts, F.col("part") == F.col("node"), "left_anti").select(F.col("part").alias("node"), F.col("wider").alias("component"))
-    return old.unionByName(new)
-
-
 def _masks(docs: DataFrame) -> DataFrame:
     """key, key2, of every line of its text that is not white space the place and whether it stays, and whether rows repeat; for texts that lose lines."""
     rows = _keyed(docs)
@@ -194,11 +183,11 @@ def _masks(docs: DataFrame) -> DataFrame:
     near = cut(pairs.select(F.explode(F.array("a", "b")).alias("h")).unionByName(members.select("h")).distinct())
     spots = places.join(narrow(near), "h").join(groups.select("h", F.col("at").alias("first")), "h").where("at = first").select("h", *_KEY, "pos")
     found = cut(_texts(rows, spots))
-    parts = cut(components(cut(_verified(pairs, found))))
+    parts = joined(None, cut(_verified(pairs, found)))
     release(docs.sparkSession)
     more = cut(_verified(cut(_agreeing(cut(_rest(members, found, parts)), signatures)), found))
     release(docs.sparkSession)
-    parts = cut(_joined(parts, more))
+    parts = joined(parts, more)
     of = groups.join(narrow(parts), F.col("h") == F.col("node"), "left").select("h", "at", "n", "component")
     several = of.where("component is not null")
     firsts = several.groupBy("component").agg(F.min("at").alias("keep"))
