@@ -112,21 +112,28 @@ def _order_names(names: np.ndarray) -> np.ndarray:
     kept = tied.copy()
     kept[1:] |= tied[:-1]  # no comparison goes beyond a name that occurs once
     places = np.flatnonzero(kept)
-    used, short = np.unique(names[places], return_inverse=True)
-    if len(used) <= DIRECT:
-        order = suffix_array(short.astype(np.uint16), len(used))
+    used = np.zeros(names.max() + 1, bool)
+    used[names[places]] = True
+    number = np.cumsum(used) - 1
+    short, count = number[names[places]], int(number[-1]) + 1
+    if count <= DIRECT:
+        order = suffix_array(short.astype(np.uint16), count)
     else:
-        base = int(np.ceil(np.sqrt(len(used))))
+        base = int(np.ceil(np.sqrt(count)))
         digits = np.column_stack((short // base, short % base)).astype(np.uint16).reshape(-1)
         order = suffix_array(digits, base + 1)
         order = order[order % 2 == 0] // 2
     rank = np.zeros(len(names), np.int64)
     rank[places[order]] = np.arange(len(order))
-    return np.lexsort((rank, names))
+    return np.argsort(names * len(names) + rank)
 
 
-def suffix_array(t: np.ndarray, size: int = 256) -> np.ndarray:
-    """Places of the suffixes of t, bytes or 16-bit symbols below `size`, in ascending order; an end is smaller than any symbol."""
+def suffix_array(t: np.ndarray, size: int = 256, joined: bool = False) -> np.ndarray:
+    """Places of the suffixes of t, bytes or 16-bit symbols below `size`, in ascending order; an end is smaller than any symbol.
+
+    joined: t holds texts with a 0 behind each, and what follows a 0 does not count:
+    suffixes that are equal up to their 0 come in any order.
+    """
     if len(t) < 2:
         return np.arange(len(t), dtype=np.int32)
     b = _Buckets(t, size)
@@ -141,6 +148,10 @@ def suffix_array(t: np.ndarray, size: int = 256) -> np.ndarray:
         length[lms[-1]] = len(t) + 1 - lms[-1]  # it takes in the end, as no other does
         a, c = guess[:-1].astype(np.int64), guess[1:].astype(np.int64)
         same = length[a] == length[c]
+        if joined:  # an LMS substring that takes in a 0 (each 0 is an LMS place) needs no further order
+            last = np.zeros(len(t), bool)
+            last[lms] = (t[lms] == 0) | (t[np.append(lms[1:], len(t) - 1)] == 0)
+            same &= ~last[a]
         same[same] = equal_symbols(words(t), len(t), a[same], c[same], t.itemsize) >= length[a[same]]
         names = np.zeros(len(t), np.int64)
         names[guess] = np.concatenate(([0], np.cumsum(~same)))

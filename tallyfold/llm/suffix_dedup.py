@@ -239,7 +239,7 @@ def smallest_holders(text: np.ndarray, length: np.ndarray, smallest: np.ndarray)
     The segments lie one after another with a 0 byte behind each; `smallest` is each
     segment's own id. Places too near a segment's end have no string.
     """
-    sa = suffix_array(text)
+    sa = suffix_array(text, joined=True)
     lcp = permuted_lcp(text, sa)
     rest = np.repeat(np.cumsum(length + 1), length + 1) - 1 - np.arange(len(text))
     own = np.where(rest >= LENGTH, np.repeat(smallest, length + 1), _LAST)
