@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyfold.commands import views as P
 from tallyfold.operators import aggregate as A
 from tallyfold.operators import text as W
 from tallyfold.plans.catalogue import Tables, query, register, rounded
@@ -135,3 +136,15 @@ register("network_closeness", lambda s, d: rounded(N.closeness(_G(s, d))),
     f"WITH RECURSIVE {_GB}, p AS (SELECT DISTINCT src AS source, src AS node, 0 AS hops FROM b UNION SELECT source, b.dst, hops + 1 FROM p JOIN b ON p.node = b.src WHERE hops < 24), h AS (SELECT source, node, min(hops) AS hops FROM p GROUP BY ALL), n AS (SELECT count(DISTINCT src) AS n FROM b) SELECT source AS node, round(count(*) / sum(hops) * count(*) / (any_value(n) - 1), 6) AS closeness FROM h, n WHERE hops > 0 GROUP BY 1")
 register("network_distances", lambda s, d: N.distances(_G(s, d), s.createDataFrame([("0",)], "node string"), 3).selectExpr("source", "node", "cast(hops as bigint) hops"),
     f"WITH RECURSIVE {_GB}, p AS (SELECT '0' AS node, 0 AS hops UNION SELECT b.dst, hops + 1 FROM p JOIN b ON p.node = b.src WHERE hops < 3) SELECT '0' AS source, node, CAST(min(hops) AS BIGINT) AS hops FROM p GROUP BY node")
+
+# frames of the views
+register("plot_hist", lambda s, d: rounded(P.histogram(Tables(s, d).customer, "c_acctbal", 10), 4),
+    "WITH r AS (SELECT min(c_acctbal) AS a, (max(c_acctbal) - min(c_acctbal)) / 10 AS w FROM customer) SELECT round(a + b * w, 4) AS low, round(a + (b + 1) * w, 4) AS high, n FROM (SELECT least(floor((c_acctbal - a) / w), 9) AS b, count(*) AS n FROM customer, r GROUP BY 1), r")
+register("plot_box", lambda s, d: rounded(P.box(Tables(s, d).customer, "c_acctbal", "c_mktsegment"), 4),
+    """WITH q AS (SELECT c_mktsegment AS "group", count(*) AS n, min(c_acctbal) AS low, quantile_cont(c_acctbal, 0.25) AS q1, median(c_acctbal) AS median, quantile_cont(c_acctbal, 0.75) AS q3, max(c_acctbal) AS high FROM customer GROUP BY 1)
+  SELECT "group", n, round(low, 4) AS low, round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3, round(high, 4) AS high, round(greatest(low, q1 - 1.5 * (q3 - q1)), 4) AS whisker_low, round(least(high, q3 + 1.5 * (q3 - q1)), 4) AS whisker_high FROM q""")
+register("plot_bar", lambda s, d: P.bars(Tables(s, d).part, "p_brand"), "SELECT p_brand AS label, count(*)::DOUBLE AS value FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+register("plot_bar_by", lambda s, d: rounded(P.bars(Tables(s, d).orders, "o_totalprice", "o_orderpriority"), 3), "SELECT o_orderpriority AS label, round(avg(o_totalprice), 3) AS value FROM orders GROUP BY 1")
+register("plot_acf", lambda s, d: rounded(P.autocorrelation(Tables(s, d).events, "value", ["event_id"], 5).selectExpr("cast(lag as bigint) lag", "value"), 6),
+    "WITH x AS (SELECT event_id, value - (SELECT avg(value) FROM events) AS v FROM events), l AS (SELECT v, " + ", ".join(f"lag(v, {k}) OVER (ORDER BY event_id) AS v{k}" for k in range(1, 6)) + " FROM x) SELECT CAST(unnest([0, 1, 2, 3, 4, 5]) AS BIGINT) AS lag, round(unnest([1.0::DOUBLE, " + ", ".join(f"sum(v * v{k}) / sum(v * v)" for k in range(1, 6)) + "]), 6) + 0.0 AS value FROM l")
+register("plot_missing", lambda s, d: rounded(P.missing(_holes(s, d), ["value", "kind"], 1).selectExpr("cast(part as bigint) part", "value", "kind"), 6), f"SELECT CAST(0 AS BIGINT) AS part, round(avg((value IS NULL)::INT), 6) AS value, round(avg((kind IS NULL)::INT), 6) AS kind FROM {_H}")
