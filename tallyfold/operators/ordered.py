@@ -34,18 +34,21 @@ def _pick(key: Column, cuts: Sequence[Column], low: int, high: int) -> Column:
     return F.when(key > cuts[middle], _pick(key, cuts, middle + 1, high)).otherwise(_pick(key, cuts, low, middle))
 
 
+def _rank(x: object) -> tuple:
+    """A value's place among others as Spark orders them: null first, NaN last."""
+    return (0, 0) if x is None else (2, 0) if x != x else (1, x)
+
+
 def bucketed(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """df with BUCKET, an int that does not fall in the row order. Nulls come first, as in `sort`."""
     spark = df.sparkSession
     keys = df.select(*(col(c).alias(f"k{i}") for i, c in enumerate(order)))
-    rows = keys.count()
+    drawn = sorted(keys.orderBy(F.xxhash64(*keys.columns)).limit(SAMPLE).collect(), key=lambda r: tuple(map(_rank, r)))
+    rows = len(drawn) if len(drawn) < SAMPLE else keys.count()
     n = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BLOCK)), MOST_BUCKETS, max(1, rows // 1000))
     if n < 2:
         return df.withColumn(BUCKET, F.lit(0))
-    drawn = keys.orderBy(F.xxhash64(*keys.columns)).limit(SAMPLE).select(F.struct(*keys.columns).alias("k"))
-    place = F.row_number().over(Window.orderBy("k")) - 1  # a bounded sample
-    wanted = sorted({i * min(rows, SAMPLE) // n for i in range(1, n)})
-    cuts = [r["k"] for r in drawn.withColumn("i", place).where(F.col("i").isin(wanted)).select("k").distinct().orderBy("k").collect()]
+    cuts = list(dict.fromkeys(drawn[i * len(drawn) // n] for i in range(1, n)))
     kinds = keys.schema
     literal = lambda r: F.struct(*(F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in kinds.fields))
     key = F.struct(*(col(c).alias(f"k{i}") for i, c in enumerate(order)))
