@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfold.llm import decontaminate, jaccard_join, line_dedup, packing, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts, toxicity
+from tallyfold.llm import decontaminate, divergence, fill_middle, jaccard_join, line_dedup, packing, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, token_counts, toxicity
 from tallyfold.llm.common import table
 
 
@@ -53,9 +53,22 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_scores(docs, quality_classifier.fit_classifier(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_in_middle_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the operators that need neither a fitted model nor a union-find nor a tokenizer."""
+    return {"op11_fill_in_middle": fill_middle.ORACLE, "op13_source_divergence_audit": divergence.ORACLE}
