@@ -7,7 +7,7 @@ alike in size and lengths and are packed independently. Only lengths and checksu
 are shuffled, no text and no token.
 
 Cases: a null or empty text is the closing id alone; repeated rows are packed as rows
-of their own, in any groups; texts of any length are encoded whole; an empty table
+of their own, in any groups; texts of any length, runs of blanks too, are encoded whole; an empty table
 gives an empty result; further columns are not read.
 """
 
@@ -82,12 +82,30 @@ def _encoder(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": 50256})
 
 
-def encode(texts: list[str], name: str = "byte_bpe_50k.tiktoken") -> list[list[int]]:
-    """Ids of each text; the special token's own string stands for its id, as `tokenizers` reads it."""
+@functools.cache
+def _slow_encoder(path: str):
+    import tokenizers
+
+    return tokenizers.Tokenizer.from_file(path)
+
+
+def encode(texts: list[str], name: str = "byte_bpe_50k") -> list[list[int]]:
+    """Ids of each text; the special token's own string stands for its id, as `tokenizers` reads it.
+
+    `name` is a vocabulary of `public_tokenizers`, or a path of its own, that ends in .json
+    and .tiktoken. Where a run of blanks is too long for the pattern's backtracking in
+    tiktoken, `tokenizers` itself gives the ids.
+    """
     import public_tokenizers
 
-    own = _encoder(name if "/" in name else public_tokenizers.path(name))
-    return [own.encode(t, allowed_special="all") for t in texts]
+    path = (lambda end: f"{name}{end}") if "/" in name else lambda end: public_tokenizers.path(f"{name}{end}")
+    own, out = _encoder(path(".tiktoken")), []
+    for text in texts:
+        try:
+            out.append(own.encode(text, allowed_special="all"))
+        except ValueError:
+            out.append(_slow_encoder(path(".json")).encode(text, add_special_tokens=False).ids)
+    return out
 
 
 def pieces(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -131,8 +131,8 @@ def _order_names(names: np.ndarray) -> np.ndarray:
 def suffix_array(t: np.ndarray, size: int = 256, joined: bool = False) -> np.ndarray:
     """Places of the suffixes of t, bytes or 16-bit symbols below `size`, in ascending order; an end is smaller than any symbol.
 
-    joined: t holds texts with a 0 behind each, and what follows a 0 does not count:
-    suffixes that are equal up to their 0 come in any order.
+    joined: t holds texts with a 0 behind each and none inside, and what follows a 0 does
+    not count: suffixes that are equal up to their 0 come in any order.
     """
     if len(t) < 2:
         return np.arange(len(t), dtype=np.int32)
@@ -160,9 +160,9 @@ def suffix_array(t: np.ndarray, size: int = 256, joined: bool = False) -> np.nda
 
 
 def permuted_lcp(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
-    """For each place the bytes its suffix shares with the one before it in the array.
+    """For each place the symbols its suffix shares with the one before it in the array.
 
-    A place whose left neighbour also matches its partner's has one byte less than that
+    A place whose left neighbour also matches its partner's has one symbol less than that
     neighbour; only the others are compared.
     """
     n = len(t)
@@ -180,7 +180,7 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
     if first + 1 < n:
         alone[first + 1] = True
     places = np.flatnonzero(alone)
-    found = equal_symbols(words(t), n, places, phi[places])
+    found = equal_symbols(words(t), n, places, phi[places], t.itemsize)
     found[places == first] = 0
     last = np.maximum.accumulate(np.where(alone, np.arange(n), 0))
     value = np.zeros(n, np.int64)

@@ -15,7 +15,8 @@ smallest doc_id, whatever number of its documents hold them.
 
 Cases: null and empty texts, and texts under LENGTH bytes, lose nothing; a null doc_id
 counts as the largest; rows with one id do not take from each other; repeated rows are
-judged alike; an empty table gives an empty result; further columns are not read.
+judged alike; every byte counts as it is, NUL too; texts of any length are read whole, as
+places of their block; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -236,10 +237,11 @@ def _send_segments(shards: int):
 def smallest_holders(text: np.ndarray, length: np.ndarray, smallest: np.ndarray) -> np.ndarray:
     """For the string at each place of the joined segments the smallest id of all segments that hold it.
 
-    The segments lie one after another with a 0 byte behind each; `smallest` is each
-    segment's own id. Places too near a segment's end have no string.
+    The segments lie one after another, each byte plus 1, with a 0 behind each, which is
+    therefore no byte of theirs; `smallest` is each segment's own id. Places too near a
+    segment's end have no string.
     """
-    sa = suffix_array(text, joined=True)
+    sa = suffix_array(text, 257, joined=True)
     lcp = permuted_lcp(text, sa)
     rest = np.repeat(np.cumsum(length + 1), length + 1) - 1 - np.arange(len(text))
     own = np.where(rest >= LENGTH, np.repeat(smallest, length + 1), _LAST)
@@ -274,9 +276,11 @@ def _find_classes(table: pa.Table) -> pa.Table:
         if not len(own):
             continue
         n = length[lead[own]]
-        text = np.zeros(int(n.sum()) + len(own), np.uint8)
+        symbols = data[_flat(begin[lead[own]], n)]
+        # UTF-8 has no byte 255; where a text holds one nevertheless, symbols take 16 bits
+        text = np.zeros(len(symbols) + len(own), np.uint16 if symbols.max() == 255 else np.uint8)
         starts = np.cumsum(n + 1) - (n + 1)
-        text[_flat(starts, n)] = data[_flat(begin[lead[own]], n)]
+        text[_flat(starts, n)] = symbols.astype(text.dtype) + 1
         found = smallest_holders(text, n, low[own])
         holders[_flat(place[own], strings[own])] = found[_flat(starts, strings[own])]
     new = np.zeros(len(holders), bool)

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyfold.llm import boosting, decontaminate, line_dedup, quality_classifier, quality_rules, queries, sharding, suffix_dedup, toxicity, voronoi
+from tallyfold.llm import boosting, decontaminate, line_dedup, packing, quality_classifier, quality_rules, queries, sharding, suffix_dedup, toxicity, voronoi
 from tallyfold.llm.docstats import COLUMNS, RATIOS, measure, ratios
 
 SF = "/root/testdata/sf0.001"
@@ -302,5 +302,87 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert all(tokens[x.doc_id] == x.doc_tokens for x in pieces)
 
 
+# every byte, every length
+
+
+def _holders(segments, smallest):
+    of = {}
+    for b, i in zip(segments, smallest, strict=True):
+        for p in range(len(b) - suffix_dedup.LENGTH + 1):
+            x = b[p : p + suffix_dedup.LENGTH]
+            of[x] = min(of.get(x, i), i)
+    return of
+
+
+@pytest.mark.parametrize("letters", [b"\x00a", b"\x00\x01", b"\x00\xff\xfe", b"ab"])
+def test_smallest_holders_count_every_byte(letters):
+    r = random.Random(len(letters) + letters[-1])
+    for _ in range(40):
+        base = [bytes(r.choice(letters) if r.random() < 0.5 else letters[0] for _ in range(r.randint(40, 90))) for _ in range(3)]
+        segments = list({(b"\x00" * r.choice([0, 0, 1, 2, 60]) + r.choice(base) + r.choice(base)[: r.randint(0, 9)])[:84] for _ in range(12)})
+        segments = [b for b in segments if len(b) >= suffix_dedup.LENGTH]
+        smallest = np.array([r.randrange(50) for _ in segments], np.int64)
+        data = [np.frombuffer(b, np.uint8).astype(np.uint16) + 1 for b in segments]
+        text = np.concatenate([np.append(x, 0) for x in data]).astype(np.uint16 if 255 in letters else np.uint8)
+        got = suffix_dedup.smallest_holders(text, np.array([len(b) for b in segments]), smallest)
+        of, at = _holders(segments, smallest.tolist()), 0
+        for b in segments:
+            for p in range(len(b) - suffix_dedup.LENGTH + 1):
+                assert got[at + p] == of[b[p : p + suffix_dedup.LENGTH]]
+            at += len(b) + 1
+
+
+@pytest.mark.parametrize("letters", ["\x00ab", "\x00", "\x00\x01é"])
+def test_suffix_dedup_with_nul(spark, monkeypatch, letters):
+    from test_llm import _cut_brute
+
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 60_000)
+    r = random.Random(len(letters))
+    base = ["".join(r.choice(letters) if r.random() < 0.7 else "\x00" for _ in range(r.randint(40, 160))) for _ in range(8)]
+    rows = [(i, "".join(r.choice(base)[r.randint(0, 20) :] + "\x00" * r.choice([0, 1, 60]) for _ in range(r.randint(0, 4)))) for i in range(60)]
+    rows += [(70, "x" * 200_000 + base[0]), (71, "y" + "x" * 300 + base[0])]  # a long run of one letter
+    assert collections.Counter(tuple(x) for x in suffix_dedup.suffix_dedup(_frame(spark, rows, *CLASH)).collect()) == _cut_brute(rows)
+
+
+BLANKS = {"spaces": "a" + " " * 2_000_000 + "b", "tabs": "\t" * 1_200_000, "mixed": " \n\t" * 500_000 + "word " * 1000}
+
+
+def test_packing_of_long_blanks(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = [(i, t) for i, t in enumerate(BLANKS.values())] + [(9, "short one")]
+    rows = packing.pack(_frame(spark, docs, *CLASH)).collect()
+    for i, t in docs:
+        ids = np.array([*own.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        parts = sorted((x.start, x.length, x.ids_crc32, x.doc_tokens) for x in rows if x.doc_id == i)
+        assert sum(n for _, n, _, _ in parts) == len(ids) == parts[0][3]
+        assert all(zlib.crc32(ids[a : a + n].tobytes()) == c for a, n, c, _ in parts)
+
+
+def test_pipeline_with_long_blanks_repeated_rows_and_further_columns(spark, tmp_path):
+    _pipeline_tables(spark, str(tmp_path))
+    r = random.Random(12)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    long = _words(r, 80) + " " * 1_200_000 + _words(r, 80)
+    more = spark.createDataFrame([(80, long, "en", "web", len(long)), (None, _words(r, 90), None, None, None)], docs.schema)
+    clash = docs.unionByName(more).unionByName(docs.where("doc_id = 5")).select("*", *(F.lit(1).alias(c) for c in CLASH))
+    clash.write.parquet(f"{tmp_path}/wide/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{t}.parquet").write.parquet(f"{tmp_path}/wide/{t}.parquet")
+    pieces = corpus_pipeline.run(spark, f"{tmp_path}/wide").collect()
+    assert {80, None, 5} <= {x.doc_id for x in pieces}
+    assert sum(x.start == 0 for x in pieces if x.doc_id == 5) == 1
+
+
+def test_pipeline_over_an_empty_table(spark, tmp_path):
+    _pipeline_tables(spark, str(tmp_path))
+    spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{t}.parquet").write.parquet(f"{tmp_path}/none/{t}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_every_query_is_registered():
     assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 14)]
