@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from tallyfold.operators import aggregate as A
 from tallyfold.operators import sets as S
 from tallyfold.registry import command, options, report, table
-from tallyfold.stats import causal, designs, learning, likelihood, multivariate, network, regression, timeseries
+from tallyfold.stats import causal, designs, explain, imputation, learning, likelihood, multivariate, network, regression, timeseries
 from tallyfold.stats import tests as H
 from tallyfold.stats.frames import frame
 from tallyfold.stats.regression import Fit
@@ -122,15 +122,39 @@ def _hausman(s, _: str) -> DataFrame:
 
 @command("mi")
 def _mi(s, text: str) -> DataFrame:
+    """impute [chained] [(regress|logit|pmm)] x1 x2 ..., add(m) knn(k) rounds(r); a method holds for the columns behind it. estimate: ols y ~ x. describe [x ...]."""
     what, _, rest = text.strip().partition(" ")
     words, o = options(rest.lstrip(": "))
     if what == "impute":
-        return s.use(causal.mice(s.df, [w for w in words if w not in ("regress", "pmm", "logit")], int(o.get("m", 5)), int(o.get("rounds", 10)), int(s.settings["seed"])))
+        how, methods = "regress", {}
+        for w in words:
+            name = w.strip("()")
+            if name in imputation.METHODS:
+                how = name
+            elif name != "chained":
+                methods[name] = how
+        return s.use(imputation.impute(s.df, methods, int(o.get("add", o.get("m", 5))), int(o.get("rounds", 10)), int(o.get("knn", 5)), int(s.settings["seed"])))
     if what.rstrip(":") == "estimate":
         return s.report(causal.rubin(s.df, _sums(words[1:] if words[0] == "ols" else words)))
     return s.report(A.missing_pattern(s.df, words))
 
 
+report("psmatch", lambda s, w, o: causal.psmatch(s.df, w[0], o["treatment"], _plain(w)[1:], float(o["caliper"]) if "caliper" in o else None, int(o.get("nn", 1))))
+
+
+@command("shap")
+def _shap(s, text: str) -> DataFrame:
+    """shap y x1 x2 --model=rf|gb|linear [--n=100] [--depth=d]: mean attributions over all rows."""
+    w, o = options(text)
+    kind = {"gb": "gbm", "tree": "cart"}.get(o.get("model", "rf"), o.get("model", "rf"))
+    if kind == "linear":
+        return s.report(learning.shap_linear(s.df, w[0], w[1:]))
+    if kind not in ("rf", "gbm", "cart"):
+        raise ValueError("shap --model=rf, gb, tree or linear")
+    more = {"n": int(o.get("n", 100))} | ({"depth": int(o["depth"])} if "depth" in o else {})
+    return s.report(explain.shap_trees(s.df, w[0], w[1:], kind, seed=int(s.settings["seed"]), **more))
+
+
 # survey designs
 
 

@@ -23,7 +23,7 @@ BLOCK = 50_000
 
 
 #: Rows of the sample whose quantiles cut the ranges; ranges at most.
-SAMPLE, MOST_BUCKETS = 10_000, 2_000
+SAMPLE, MOST_BUCKETS, SEED = 10_000, 2_000, 42
 
 
 def _pick(key: Column, cuts: Sequence[Column], low: int, high: int) -> Column:
@@ -43,7 +43,8 @@ def bucketed(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """df with BUCKET, an int that does not fall in the row order. Nulls come first, as in `sort`."""
     spark = df.sparkSession
     keys = df.select(*(col(c).alias(f"k{i}") for i, c in enumerate(order)))
-    drawn = sorted(keys.orderBy(F.xxhash64(*keys.columns)).limit(SAMPLE).collect(), key=lambda r: tuple(map(_rank, r)))
+    # rows are drawn, not keys: a key that many rows share is drawn as often; results do not hang on the draw
+    drawn = sorted(keys.orderBy(F.rand(SEED)).limit(SAMPLE).collect(), key=lambda r: tuple(map(_rank, r)))
     rows = len(drawn) if len(drawn) < SAMPLE else keys.count()
     n = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BLOCK)), MOST_BUCKETS, max(1, rows // 1000))
     if n < 2:

@@ -10,6 +10,8 @@ from tallyfold.plans import closed_forms as CF
 from tallyfold.plans.catalogue import Tables, register, rounded
 from tallyfold.stats import causal as C
 from tallyfold.stats import designs as D
+from tallyfold.stats import explain as E
+from tallyfold.stats import imputation as I
 from tallyfold.stats import learning as L
 from tallyfold.stats import likelihood as K
 from tallyfold.stats import multivariate as M
@@ -123,11 +125,47 @@ _SCORE = f"{_BS}, {CF.newton('m', 'd', 'y', ['z'], 'logit', 'ln(avg(y) / (1 - av
 register("iptw", lambda s, d: rounded(C.iptw(_B(s, d), "x", "y", ["z"]).select("estimate", "ess_control", "ess_treated"), 3),
     f"WITH {_SCORE}, w AS (SELECT x, y, CASE WHEN y = 1 THEN 1 / least(greatest(p, 0.01), 0.99) ELSE 1 / (1 - least(greatest(p, 0.01), 0.99)) END AS w FROM p) SELECT round(sum(w * x) FILTER (y = 1) / sum(w) FILTER (y = 1) - sum(w * x) FILTER (y = 0) / sum(w) FILTER (y = 0), 3) AS estimate, round(sum(w) FILTER (y = 0) ** 2 / sum(w * w) FILTER (y = 0), 3) AS ess_control, round(sum(w) FILTER (y = 1) ** 2 / sum(w * w) FILTER (y = 1), 3) AS ess_treated FROM w")
 register("balance", lambda s, d: rounded(C.balance(_B(s, d), "y", ["z"]), 5), "WITH b AS (SELECT CAST(o_orderstatus = 'F' AS INT) AS y, o_custkey / 1000 AS z FROM orders) SELECT 'z' AS variable, round((avg(z) FILTER (y = 1) - avg(z) FILTER (y = 0)) / sqrt((var_pop(z) FILTER (y = 1) + var_pop(z) FILTER (y = 0)) / 2), 5) + 0.0 AS smd FROM b")
-register("psmatch", lambda s, d: C.psmatch(_B(s, d), "x", "y", ["z"]))
+_O = lambda s, d: Tables(s, d).orders.selectExpr("int(o_orderstatus = 'F') as t", "ln(o_totalprice) as x", "cast(o_custkey as double) as y")
+_PS = f"o AS (SELECT CAST(o_orderstatus = 'F' AS INT)::DOUBLE AS t, ln(o_totalprice) AS x, o_custkey::DOUBLE AS y FROM orders), {CF.newton('m', 'o', 't', ['x'], 'logit', 'ln(avg(t) / (1 - avg(t)))')}, s AS MATERIALIZED (SELECT t, y, 1 / (1 + exp(-(b_0 + b_1 * x))) AS p FROM o, m)"
+
+
+def _matched_sql(nn: int, caliper: str) -> str:
+    """Controls by rank of their score, the ranks within nn of a treated row's, and of these the nn nearest."""
+    return f"""WITH {_PS}, c AS (SELECT *, row_number() OVER (ORDER BY p) AS rk FROM (SELECT p, count(*) AS n, avg(y) AS y FROM s WHERE t = 0 GROUP BY p)),
+  q AS (SELECT p, count(*) AS n, sum(y) AS y, sum(y * y) AS y2 FROM s WHERE t = 1 GROUP BY p),
+  a AS (SELECT q.*, coalesce(c.rk, 0) AS rk FROM q ASOF LEFT JOIN c ON q.p >= c.p), b AS (SELECT {caliper} AS caliper FROM s),
+  w AS (SELECT a.p, a.n, a.y, a.y2, abs(c.p - a.p) AS gap, c.n AS cn, c.y AS cy, row_number() OVER (PARTITION BY a.p ORDER BY abs(c.p - a.p), c.rk) AS near FROM a JOIN c ON c.rk BETWEEN a.rk - {nn} + 1 AND a.rk + {nn}),
+  v AS (SELECT w.*, greatest(least(cn, {nn} - coalesce(sum(cn) OVER (PARTITION BY p ORDER BY near ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)), 0) AS k FROM w, b WHERE near <= {nn} AND gap <= caliper),
+  e AS (SELECT p, any_value(n) AS n, any_value(y) AS y, any_value(y2) AS y2, sum(k * cy) / sum(k) AS c FROM v GROUP BY p),
+  f AS (SELECT sum(n) AS n, sum(y - n * c) / sum(n) AS att, sum(y2 - 2 * c * y + n * c * c) AS ss FROM e)
+  SELECT round(att, 4) AS att, round(sqrt((ss - n * att * att) / (n - 1) / n), 4) AS se, CAST(n AS BIGINT) AS matched FROM f"""
+
+
+register("psmatch", lambda s, d: rounded(C.psmatch(_O(s, d), "y", "t", ["x"]), 4), _matched_sql(1, "0.2 * stddev_pop(p)"))
+register("psmatch_3_nearest", lambda s, d: rounded(C.psmatch(_O(s, d), "y", "t", ["x"], nn=3), 4), _matched_sql(3, "0.2 * stddev_pop(p)"))
+register("psmatch_caliper", lambda s, d: rounded(C.psmatch(_O(s, d), "y", "t", ["x"], 1e-6, 2), 4), _matched_sql(2, "max(1e-6)"))
+_GAP = lambda s, d: Tables(s, d).orders.selectExpr("o_orderkey", "case when o_orderkey % 7 <> 0 then o_custkey end as x", "ln(o_totalprice) as y")
+register("mi_pmm_nearest", lambda s, d: I.impute(_GAP(s, d), {"x": "pmm", "y": "regress"}, 1, 1, 1, draw=False).where("o_orderkey % 7 = 0").selectExpr("o_orderkey", "cast(x as bigint) as x"),
+    """WITH c AS (SELECT o_custkey AS x, ln(o_totalprice) AS y, row_number() OVER (ORDER BY ln(o_totalprice)) AS rk FROM orders WHERE o_orderkey % 7 <> 0), q AS (SELECT o_orderkey, ln(o_totalprice) AS y FROM orders WHERE o_orderkey % 7 = 0),
+  a AS (SELECT q.*, coalesce(c.rk, 0) AS rk FROM q ASOF LEFT JOIN c ON q.y >= c.y) SELECT a.o_orderkey, CAST(arg_min(c.x, abs(c.y - a.y)) AS BIGINT) AS x FROM a JOIN c ON c.rk BETWEEN a.rk AND a.rk + 1 GROUP BY 1""")
+register("mi_pmm", lambda s, d: (lambda g: I.impute(g, {"x": "pmm", "y": "regress"}, 3, 2).alias("f").join(g.where("x is not null").select(F.col("x").cast("double").alias("x"), F.lit(1).alias("held")).distinct(), "x", "left").groupBy("_mi").agg(F.count("*").alias("n"), F.count("x").alias("filled"), F.count("held").alias("observed")).withColumn("_mi", F.col("_mi").cast("long")))(_GAP(s, d)),
+    "SELECT CAST(m AS BIGINT) AS _mi, count(*) AS n, count(*) AS filled, count(*) AS observed FROM orders, (SELECT unnest([1, 2, 3]) AS m) GROUP BY 1")
+_CELLS = """r AS (SELECT l_extendedprice AS y, (l_quantity > 25)::INT AS a, (l_discount > 0.05)::INT AS b FROM lineitem), c AS (SELECT a, b, count(*)::DOUBLE AS n, avg(y) AS m FROM r GROUP BY ALL), g AS (SELECT sum(n) AS n, sum(n * m) / sum(n) AS m FROM c),
+  ma AS (SELECT a, sum(n) AS n, sum(n * m) / sum(n) AS m FROM c GROUP BY 1), mb AS (SELECT b, sum(n) AS n, sum(n * m) / sum(n) AS m FROM c GROUP BY 1),
+  first AS (SELECT (SELECT sum(ma.n * (ma.m - g.m) ** 2) FROM ma, g) >= (SELECT sum(mb.n * (mb.m - g.m) ** 2) FROM mb, g) AS a_first),
+  xa AS (SELECT c.a, sum(mb.n * c.m) / sum(mb.n) AS m FROM c JOIN mb USING (b) GROUP BY 1), xb AS (SELECT c.b, sum(ma.n * c.m) / sum(ma.n) AS m FROM c JOIN ma USING (a) GROUP BY 1),
+  v AS (SELECT c.n, c.m AS both_known, g.m AS none, CASE WHEN a_first THEN ma.m ELSE xa.m END AS va, CASE WHEN a_first THEN xb.m ELSE mb.m END AS vb FROM c JOIN ma USING (a) JOIN mb USING (b) JOIN xa USING (a) JOIN xb USING (b), g, first)"""
+_AB = lambda s, d: _LI(s, d).selectExpr("l_extendedprice as y", "int(l_quantity > 25) as a", "int(l_discount > 0.05) as b", "l_quantity as q", "l_tax as t")
+register("shap_tree", lambda s, d: rounded(E.shap_trees(_AB(s, d), "y", ["a", "b"], "cart", depth=2, least=1), 4),
+    f"""WITH {_CELLS} SELECT 'a' AS variable, round(sum(n * abs((va - none) + (both_known - vb)) / 2) / sum(n), 4) AS shap FROM v UNION ALL SELECT 'b', round(sum(n * abs((vb - none) + (both_known - va)) / 2) / sum(n), 4) FROM v
+  UNION ALL SELECT unnest(['base', 'prediction']), round(avg(l_extendedprice), 4) FROM lineitem""")
+_additive = lambda s, d, kind: (lambda t: E.attribute(_AB(s, d), ["q", "t", "b"], t).agg(F.count("*").alias("n"), F.max(F.abs(F.aggregate("shap", F.lit(t.base), lambda a, x: a + x) - F.col("prediction"))).alias("gap")).select("n", (F.col("gap") < 1e-6).alias("additive")))(E.fit_trees(_AB(s, d), "y", ["q", "t", "b"], kind, n=20, depth=4))
+for _k in ("rf", "gbm"):
+    register(f"shap_{_k}_additive", lambda s, d, k=_k: _additive(s, d, k), "SELECT count(*) AS n, true AS additive FROM lineitem")
 register("cate", lambda s, d: rounded(C.cate(_B(s, d), "x", "y", ["z"], "drlearner").select("ate", "att", "atc"), 4),
     f"WITH {_SCORE}, r AS (SELECT regr_slope(x, z) FILTER (y = 1) AS b1, regr_intercept(x, z) FILTER (y = 1) AS a1, regr_slope(x, z) FILTER (y = 0) AS b0, regr_intercept(x, z) FILTER (y = 0) AS a0 FROM p), e AS (SELECT y, a1 + b1 * z - a0 - b0 * z + CASE WHEN y = 1 THEN (x - a1 - b1 * z) / least(greatest(p, 0.01), 0.99) ELSE -(x - a0 - b0 * z) / (1 - least(greatest(p, 0.01), 0.99)) END AS e FROM p, r) SELECT round(avg(e), 4) AS ate, round(avg(e) FILTER (y = 1), 4) AS att, round(avg(e) FILTER (y = 0), 4) AS atc FROM e")
-register("mi_impute", lambda s, d: C.mice(_LI(s, d).selectExpr("l_extendedprice as y", "case when l_orderkey % 9 = 0 then null else l_quantity end as x"), ["y", "x"], 2, 2).groupBy("_mi").agg(F.count("*").alias("n"), F.count("x").alias("filled")).selectExpr("cast(_mi as bigint) mi", "n", "filled"), "SELECT CAST(m AS BIGINT) AS mi, count(*) AS n, count(*) AS filled FROM lineitem, (VALUES (1), (2)) t(m) GROUP BY 1")
-register("mi_estimate", lambda s, d: C.rubin(C.mice(_LI(s, d).selectExpr("l_extendedprice as y", "case when l_orderkey % 9 = 0 then null else l_quantity end as x"), ["y", "x"], 2, 1), "y ~ x"))
+register("mi_impute", lambda s, d: I.mice(_LI(s, d).selectExpr("l_extendedprice as y", "case when l_orderkey % 9 = 0 then null else l_quantity end as x"), ["y", "x"], 2, 2).groupBy("_mi").agg(F.count("*").alias("n"), F.count("x").alias("filled")).selectExpr("cast(_mi as bigint) mi", "n", "filled"), "SELECT CAST(m AS BIGINT) AS mi, count(*) AS n, count(*) AS filled FROM lineitem, (VALUES (1), (2)) t(m) GROUP BY 1")
+register("mi_estimate", lambda s, d: C.rubin(I.mice(_LI(s, d).selectExpr("l_extendedprice as y", "case when l_orderkey % 9 = 0 then null else l_quantity end as x"), ["y", "x"], 2, 1), "y ~ x"))
 register("spline", lambda s, d: rounded(C.spline(_LI(s, d), "l_extendedprice", "l_quantity"), 4))
 
 # multivariate and learning

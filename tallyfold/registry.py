@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import shlex
-from collections.abc import Callable
+from collections.abc import Callable, ItemsView, Iterator
 from importlib.metadata import entry_points
 from typing import Any
 
@@ -18,9 +18,47 @@ PLUGINS = "tallyfold.commands"
 CLAUSES = ("by", "on", "over", "using", "as")
 
 
-def options(text: str) -> tuple[list[str], dict[str, str]]:
+class Options(dict):
+    """The options of a line, which knows the ones that a command has looked at; clauses stay positional words and need no look."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.seen: set[str] = set()
+
+    def __contains__(self, key: object) -> bool:
+        self.seen.add(str(key))
+        return super().__contains__(key)
+
+    def __getitem__(self, key: str) -> str:
+        self.seen.add(key)
+        return super().__getitem__(key)
+
+    def get(self, key: str, default: Any = None) -> Any:
+        self.seen.add(key)
+        return super().get(key, default)
+
+    def pop(self, key: str, *default: Any) -> Any:
+        self.seen.add(key)
+        return super().pop(key, *default)
+
+    def __iter__(self) -> Iterator[str]:
+        self.seen.update(super().keys())
+        return super().__iter__()
+
+    def items(self) -> ItemsView:
+        self.seen.update(super().keys())
+        return super().items()
+
+    def check(self) -> None:
+        """Raises on options that the command did not look at."""
+        left = [k for k in super().keys() if k not in self.seen and k not in CLAUSES]
+        if left:
+            raise ValueError(f"option not known here: {', '.join(left)}")
+
+
+def options(text: str) -> tuple[list[str], Options]:
     """Positional words, and options of the forms --k, --k=v, k=v, k(v), and of clauses (`on id`), whose words stay positional too."""
-    found: dict[str, str] = {}
+    found = Options()
 
     def take(m: re.Match) -> str:
         found[m[1]] = m[2]
@@ -38,7 +76,7 @@ def options(text: str) -> tuple[list[str], dict[str, str]]:
         else:
             words.append(w)
     for i, w in enumerate(words[:-1]):
-        if i and w in CLAUSES and w not in found:
+        if i and w in CLAUSES and not dict.__contains__(found, w):
             rest = words[i + 1 :]
             found[w] = " ".join(rest[: next((j for j, x in enumerate(rest) if x in CLAUSES), len(rest))])
     return words, found
@@ -54,14 +92,21 @@ def command(*names: str) -> Callable[[Command], Command]:
     return add
 
 
+def _checked(f: Callable[..., DataFrame], s: Any, text: str) -> DataFrame:
+    words, found = options(text)
+    out = f(s, words, found)
+    found.check()
+    return out
+
+
 def table(name: str, f: Callable[..., DataFrame]) -> None:
-    """A command whose table becomes the active one; f takes the session, words and options."""
-    COMMANDS[name] = lambda s, t: s.use(f(s, *options(t)))
+    """A command whose table becomes the active one; f takes the session, words and options, and must look at every option that it knows."""
+    COMMANDS[name] = lambda s, t: s.use(_checked(f, s, t))
 
 
 def report(name: str, f: Callable[..., DataFrame]) -> None:
-    """A command whose table becomes the session's result."""
-    COMMANDS[name] = lambda s, t: s.report(f(s, *options(t)))
+    """A command whose table becomes the session's result; options as for `table`."""
+    COMMANDS[name] = lambda s, t: s.report(_checked(f, s, t))
 
 
 def register_op(name: str, f: Command) -> None:

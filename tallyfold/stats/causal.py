@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.functions.dsl import Formula
@@ -40,24 +40,36 @@ def balance(df: DataFrame, treatment: str, covariates: Sequence[str]) -> DataFra
     return frame(df.sparkSession, out)
 
 
-def psmatch(df: DataFrame, outcome: str, treatment: str, covariates: Sequence[str], caliper: float = 0.2) -> DataFrame:
-    """Effect on the treated: each treated row against the control with the nearest score, with replacement, within caliper * sd.
+def matched(df: DataFrame, outcome: str, treatment: str, covariates: Sequence[str], nn: int = 1, caliper: float | None = None) -> DataFrame:
+    """pscore, rows, outcome sums (y, y2) and the matched controls' mean of each treated score.
 
-    The nearest scores come from running last and next values over score buckets; no pairs are made.
+    A treated row is held against the `nn` controls with the nearest scores, with
+    replacement, as far as they are within `caliper` (a distance of scores, 0.2 standard
+    deviations of the score if not given). Controls with one score stand in by their mean,
+    as many as they are: they share the places that are left. Of equal distances the lower
+    score is nearer. Treated rows without a control in reach are left out.
     """
-    from tallyfold.operators.ordered import running
-
-    rows = propensity(df, treatment, covariates).where(col(outcome).isNotNull()).select(F.col("pscore").alias("p"), col(treatment).cast("int").alias("t"), col(outcome).cast("double").alias("y"))
-    sd = rows.agg(F.stddev_samp("p")).first()[0]
-    controls = rows.where("t = 0").groupBy("p").agg(F.avg("y").alias("yc"))
-    points = rows.groupBy("p").agg(F.sum("t").alias("n1"), F.sum(F.when(F.col("t") == 1, F.col("y"))).alias("s1"), F.sum(F.when(F.col("t") == 1, F.col("y") ** 2)).alias("q1")).join(controls, "p", "left")
-    points = points.withColumn("held", F.when(F.col("yc").isNotNull(), F.struct("p", "yc"))).withColumn("minus", -F.col("p"))
-    near = running(running(points, ["p"], "held", "last").withColumnRenamed("__run", "below"), ["minus"], "held", "last").withColumnRenamed("__run", "above")
-    down, up = F.col("p") - F.col("below.p"), F.col("above.p") - F.col("p")
-    best = F.when(up.isNull() | (down <= up), F.struct(down.alias("d"), F.col("below.yc").alias("y"))).otherwise(F.struct(up.alias("d"), F.col("above.yc").alias("y")))
-    pairs = near.where("n1 > 0").select("n1", "s1", "q1", best.alias("m")).where(F.col("m.d") <= caliper * (sd or 0.0))
-    n, diff, ss = pairs.agg(F.sum("n1"), F.sum(F.col("s1") - F.col("n1") * F.col("m.y")), F.sum(F.col("q1") - 2 * F.col("m.y") * F.col("s1") + F.col("n1") * F.col("m.y") ** 2)).first()
-    att = diff / n if n else math.nan
+    from tallyfold.operators.nearest import nearest
+
+    rows = propensity(df, treatment, covariates).where(col(outcome).isNotNull()).select("pscore", col(treatment).cast("int").alias("t"), col(outcome).cast("double").alias("y"))
+    if caliper is None:
+        caliper = 0.2 * (rows.agg(F.stddev_pop("pscore")).first()[0] or 0.0)
+    controls = rows.where("t = 0").groupBy("pscore").agg(F.count("*").alias("n"), F.avg("y").alias("mean"))
+    treated = rows.where("t = 1").groupBy("pscore").agg(F.count("*").alias("rows"), F.sum("y").alias("y"), F.sum(F.col("y") ** 2).alias("y2"))
+    pairs = nearest(treated, controls, "pscore", nn).where(F.col("distance") <= caliper)
+    earlier = Window.partitionBy("pscore").orderBy("near").rowsBetween(Window.unboundedPreceding, -1)
+    left = nn - F.coalesce(F.sum("donor.n").over(earlier), F.lit(0))
+    pairs = pairs.withColumn("w", F.greatest(F.least(F.col("donor.n"), left), F.lit(0)))
+    return pairs.groupBy("pscore", "rows", "y", "y2").agg((F.sum(F.col("w") * F.col("donor.mean")) / F.sum("w")).alias("control"))
+
+
+def psmatch(df: DataFrame, outcome: str, treatment: str, covariates: Sequence[str], caliper: float | None = None, nn: int = 1) -> DataFrame:
+    """Effect on the treated by `matched` scores: att, its error and the treated rows with a match."""
+    pairs = matched(df, outcome, treatment, covariates, nn, caliper)
+    diff = F.col("y") - F.col("rows") * F.col("control")
+    square = F.col("y2") - 2 * F.col("control") * F.col("y") + F.col("rows") * F.col("control") ** 2
+    n, total, ss = pairs.agg(F.sum("rows"), F.sum(diff), F.sum(square)).first()
+    att = total / n if n else math.nan
     return frame(df.sparkSession, [{"att": att, "se": math.sqrt(max((ss - n * att**2) / (n - 1) / n, 0.0)) if n and n > 1 else math.nan, "matched": n or 0}], "att double, se double, matched long")
 
 
@@ -79,24 +91,6 @@ def cate(df: DataFrame, outcome: str, treatment: str, covariates: Sequence[str],
     return rows.withColumn("__e", effect).agg(F.avg("__e").alias("ate"), F.avg(F.when(t, F.col("__e"))).alias("att"), F.avg(F.when(~t, F.col("__e"))).alias("atc"), (F.stddev_samp("__e") / F.sqrt(F.count("__e"))).alias("se"))
 
 
-def mice(df: DataFrame, columns: Sequence[str], m: int = 5, rounds: int = 5, seed: int = 42) -> DataFrame:
-    """m completed copies under `_mi`: each incomplete column in turn is drawn from its regression on the others."""
-    base = df.withColumn("__id", F.monotonically_increasing_id())
-    flags = {c: f"__na{i}" for i, c in enumerate(columns)}
-    rows = base.withColumns({f: col(c).isNull() | F.isnan(col(c).cast("double")) for c, f in flags.items()})
-    means = rows.agg(*(F.avg(F.when(~F.col(f), col(c).cast("double"))) for c, f in flags.items())).first()
-    out = rows.withColumns({c: F.when(F.col(flags[c]), F.lit(v)).otherwise(col(c).cast("double")) for c, v in zip(columns, means, strict=True)})
-    out = out.crossJoin(df.sparkSession.range(1, m + 1).select(F.col("id").cast("int").alias("_mi")))
-    missing = [c for c in columns if rows.where(F.col(flags[c])).limit(1).count()]
-    for r in range(rounds):
-        for i, c in enumerate(missing):
-            fit = ols(out.where(~F.col(flags[c])), Formula(c, tuple((x,) for x in columns if x != c)))
-            u1, u2 = (F.pmod(F.xxhash64("__id", "_mi", F.lit(seed + 1000 * r + 10 * i + k)), F.lit(1 << 30)) / float(1 << 30) + 1e-10 for k in (0, 1))
-            noise = F.sqrt(-2 * F.log(u1)) * F.cos(2 * math.pi * u2) * fit.stats["rmse"]  # Box-Muller on hashes: a row's draw is the same wherever it runs
-            out = out.withColumn(c, F.when(F.col(flags[c]), fit.linear() + noise).otherwise(col(c)))
-    return out.drop("__id", *flags.values())
-
-
 def rubin(df: DataFrame, spec: str) -> DataFrame:
     """Pooled coefficients over `_mi` with Rubin's errors."""
     copies = [r[0] for r in df.select("_mi").distinct().orderBy("_mi").collect()]
