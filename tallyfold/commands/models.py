@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from tallyfold.operators import aggregate as A
 from tallyfold.operators import sets as S
 from tallyfold.registry import command, options, report, table
-from tallyfold.stats import causal, designs, explain, imputation, learning, likelihood, multivariate, network, regression, timeseries
+from tallyfold.stats import causal, designs, explain, imputation, learning, likelihood, multivariate, network, regression, structural, timeseries
 from tallyfold.stats import tests as H
 from tallyfold.stats.frames import frame
 from tallyfold.stats.regression import Fit
@@ -316,8 +316,18 @@ report("umap", lambda s, w, o: multivariate.umap(s.df, w, int(o.get("n", 2)), in
 report("screeplot", lambda s, w, o: multivariate.pca(s.df, w))
 
 
-@command("sem", "cfa")
+@command("sem")
 def _sem(s, text: str) -> DataFrame:
+    """`f =~ x1 + x2 + x3; y ~ f + z; x1 ~~ x2`, lines ended by ; or a line break. --method=ml|gls|uls|wls."""
+    body, *rest = re.split(r"\s--", text, maxsplit=1)
+    _, o = options("--" + rest[0] if rest else "")
+    out = structural.sem(s.df, body, o.get("method", "ml"))
+    o.check()
+    return s.report(out)
+
+
+@command("cfa")
+def _cfa(s, text: str) -> DataFrame:
     """Factors with their indicators: `f =~ x1 + x2 + x3`, several joined by ; or by a + before the next factor."""
     body = re.split(r"\s--", text)[0].strip().strip('"')
     found = re.findall(r"(\w+)\s*=~\s*((?:\w+\s*\+?\s*)+?)(?=;|\n|\+?\s*\w+\s*=~|$)", body)

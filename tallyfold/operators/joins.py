@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.functions.exprs import col
+from tallyfold.operators.fuzzy import partial_ratio, ratio, similar, token_sort_ratio  # noqa: F401
 from tallyfold.operators.transform import need
 
 _HOW = {"inner": "inner", "left": "left", "right": "right", "outer": "full", "full": "full"}
@@ -42,72 +42,17 @@ def semi_join(df: DataFrame, other: DataFrame, on: str) -> DataFrame:
     return df.join(other.select(col(on).alias("__key")), col(on) == F.col("__key"), "left_semi")
 
 
-def _lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence, by one big integer for each row."""
-    if not a or not b:
-        return 0
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    mask = (1 << len(a)) - 1
-    s = mask
-    for c in b:
-        u = s & places.get(c, 0)
-        s = ((s + u) | (s - u)) & mask
-    return len(a) - s.bit_count()
-
-
-def ratio(a: str, b: str) -> float:
-    """100 * (1 - edits without substitution / both lengths)."""
-    return 100.0 if not a and not b else 200.0 * _lcs(a, b) / (len(a) + len(b))
-
-
-def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter text to a part of the longer."""
-    short, long = sorted((a, b), key=len)
-    if not short:
-        return 100.0 if not long else 0.0
-    m = len(short)
-    parts = {long[max(0, i) : i + m] for i in range(1 - m, len(long))}
-    return max(ratio(short, p) for p in parts)
-
-
-def token_sort_ratio(a: str, b: str) -> float:
-    return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
-
-
-RATIOS = {"ratio": ratio, "partial_ratio": partial_ratio, "token_sort_ratio": token_sort_ratio}
-
-
-def fuzzy_join(df: DataFrame, other: DataFrame, on: str, threshold: float = 80, method: str = "ratio", most: int = 20_000) -> DataFrame:
+def fuzzy_join(df: DataFrame, other: DataFrame, on: str, threshold: float = 80, method: str = "ratio") -> DataFrame:
     """The best match in `other` of each text, if its ratio is `threshold` or more: _fuzzy_match, _fuzzy_score, and other's columns as _r_*.
 
-    Every text is compared with all distinct texts in `other`: up to `most` of them from
-    one list, more by a distributed cross join. Of equal scores the least text wins.
+    Of equal scores the least text wins. All pairs that can reach the threshold are
+    compared, found by the index in operators/fuzzy.py; null texts match nothing.
     """
     need(df, on)
-    texts = df.select(col(on).cast("string").alias("__l")).where("__l is not null").distinct()
-    choices = other.select(col(on).cast("string").alias("__r")).where("__r is not null").distinct()
-    score = RATIOS[method]
-    if (n := choices.count()) <= most:
-        held = sorted(r["__r"] for r in choices.collect())
-
-        def best(it):
-            for pdf in it:
-                got = [max(((score(x, y), y) for y in held), key=lambda p: p[0], default=(0.0, None)) for x in pdf["__l"]]
-                yield pd.DataFrame({"__l": pdf["__l"], "_fuzzy_match": [m for _, m in got], "_fuzzy_score": [s for s, _ in got]})
-
-        top = texts.mapInPandas(best, "__l string, _fuzzy_match string, _fuzzy_score double")
-    else:
-        def rate(it):
-            for pdf in it:
-                yield pd.DataFrame({"__l": pdf["__l"], "_fuzzy_match": pdf["__r"], "_fuzzy_score": [score(x, y) for x, y in zip(pdf["__l"], pdf["__r"], strict=True)]})
-
-        rated = texts.crossJoin(choices).mapInPandas(rate, "__l string, _fuzzy_match string, _fuzzy_score double")
-        best = F.min(F.struct((-F.col("_fuzzy_score")).alias("s"), F.col("_fuzzy_match").alias("m"))).alias("b")
-        top = rated.groupBy("__l").agg(best).select("__l", F.col("b.m").alias("_fuzzy_match"), (-F.col("b.s")).alias("_fuzzy_score"))
-    del n
-    top = top.where(F.col("_fuzzy_score") >= threshold)
+    need(other, on)
+    pairs = similar(df.select(col(on).alias("text")), other.select(col(on).alias("text")), threshold, method)
+    best = pairs.groupBy(F.col("a").alias("__l")).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("b").alias("m"))).alias("__b"))
+    top = best.select("__l", F.col("__b.m").alias("_fuzzy_match"), (-F.col("__b.s")).alias("_fuzzy_score"))
     right = other.select(*(col(c).alias(f"_r_{c}") for c in other.columns))
     out = df.join(top, col(on).cast("string") == F.col("__l"), "left").drop("__l")
     return out.join(right, F.col("_fuzzy_match") == F.col(f"_r_{on}").cast("string"), "left")

@@ -16,6 +16,7 @@ from tallyfold.stats import learning as L
 from tallyfold.stats import likelihood as K
 from tallyfold.stats import multivariate as M
 from tallyfold.stats import regression as R
+from tallyfold.stats import structural as SE
 from tallyfold.stats import timeseries as Z
 
 _LI = lambda s, d: Tables(s, d).lineitem
@@ -234,3 +235,13 @@ register("svy_logit", lambda s, d: rounded(D.svy_logit(_B(s, d), "y ~ z", "x", "
     f"WITH {_BS}, {CF.newton('m', 'd', 'y', ['z'], 'logit', 'ln(avg(y) / (1 - avg(y)))', weight='x')} {CF.terms('m', ['const', 'z'], 5)}")
 register("anova2", lambda s, d: rounded(D.anova2(Tables(s, d).orders.withColumn("v", F.col("o_totalprice") / 1e5), "v", "o_orderpriority", "o_orderstatus", interaction=False).select("source", "ss", "df", "f"), 4),
     f"WITH {CF.least_squares('w', 'orders', 'o_totalprice / 1e5', _LEVELS_A + _LEVELS_B)}, {CF.least_squares('a', 'orders', 'o_totalprice / 1e5', _LEVELS_B)}, {CF.least_squares('b', 'orders', 'o_totalprice / 1e5', _LEVELS_A)} SELECT 'o_orderpriority' AS source, round(a_rss.rss - w_rss.rss, 4) AS ss, CAST(4 AS BIGINT) AS df, round((a_rss.rss - w_rss.rss) / 4 / (w_rss.rss / (w.n - 7)), 4) AS f FROM w, w_rss, a_rss UNION ALL SELECT 'o_orderstatus', round(b_rss.rss - w_rss.rss, 4), CAST(2 AS BIGINT), round((b_rss.rss - w_rss.rss) / 2 / (w_rss.rss / (w.n - 7)), 4) FROM w, w_rss, b_rss UNION ALL SELECT 'residual', round(rss, 4), CAST(n - 7 AS BIGINT), NULL FROM w, w_rss")
+_SEM = lambda s, d: _LI(s, d).selectExpr("l_extendedprice / 1000 as y", "l_quantity as q", "100 * l_discount as d", "100 * l_tax as t", "l_quantity + 100 * l_discount as x1", "2 * l_quantity + 100 * l_tax as x2", "l_quantity + l_extendedprice / 5000 as x3")
+_PATHS = "li AS (SELECT l_extendedprice / 1000 AS y, l_quantity AS q, 100 * l_discount AS d, 100 * l_tax AS t FROM lineitem)"
+register("sem_paths", lambda s, d: rounded(SE.sem(_SEM(s, d), "y ~ q + d; t ~ y + q").where("op = '~'").select("lhs", "rhs", "estimate", "se"), 6),
+    f"""WITH {_PATHS}, {CF.least_squares('m', 'li', 'y', ['q', 'd'])}, {CF.least_squares('w', 'li', 't', ['y', 'q'])}
+  SELECT 'y' AS lhs, unnest(['q', 'd']) AS rhs, unnest([round(b_1, 6) + 0.0, round(b_2, 6) + 0.0]) AS estimate, unnest([round(sqrt(v_1_1 * rss / n), 6), round(sqrt(v_2_2 * rss / n), 6)]) AS se FROM m, m_rss
+  UNION ALL SELECT 't', unnest(['y', 'q']), unnest([round(b_1, 6) + 0.0, round(b_2, 6) + 0.0]), unnest([round(sqrt(v_1_1 * rss / n), 6), round(sqrt(v_2_2 * rss / n), 6)]) FROM w, w_rss""")
+register("sem_factor", lambda s, d: rounded(SE.sem(_SEM(s, d), "f =~ x1 + x2 + x3").where("op <> 'fit'").select("lhs", "op", "rhs", "estimate"), 4),
+    """WITH c AS (SELECT covar_pop(x1, x2) AS c12, covar_pop(x1, x3) AS c13, covar_pop(x2, x3) AS c23, var_pop(x1) AS v1, var_pop(x2) AS v2, var_pop(x3) AS v3 FROM (SELECT l_quantity + 100 * l_discount AS x1, 2 * l_quantity + 100 * l_tax AS x2, l_quantity + l_extendedprice / 5000 AS x3 FROM lineitem))
+  SELECT 'f' AS lhs, unnest(['=~', '=~', '=~', '~~']) AS op, unnest(['x1', 'x2', 'x3', 'f']) AS rhs, unnest([1.0::DOUBLE, round(c23 / c13, 4), round(c23 / c12, 4), round(c12 * c13 / c23, 4)]) AS estimate FROM c
+  UNION ALL SELECT unnest(['x1', 'x2', 'x3']), '~~', unnest(['x1', 'x2', 'x3']), unnest([round(v1 - c12 * c13 / c23, 4), round(v2 - c12 * c23 / c13, 4), round(v3 - c13 * c23 / c12, 4)]) FROM c""")

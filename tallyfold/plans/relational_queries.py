@@ -113,7 +113,9 @@ register("merge_full", lambda s, d: J.merge(*_OC(s, d), "k", "outer"), f"SELECT
 register("merge_cross", lambda s, d: J.merge(Tables(s, d).nation.select("n_name"), Tables(s, d).region.select("r_name"), "", "cross"), "SELECT n_name, r_name FROM nation, region")
 register("antijoin", lambda s, d: J.anti_join(*_OC(s, d), "k"), f"SELECT * FROM {_OS} o WHERE NOT EXISTS (SELECT 1 FROM {_CS} c WHERE c.k = o.k)")
 register("semijoin", lambda s, d: J.semi_join(*_OC(s, d), "k"), f"SELECT * FROM {_OS} o WHERE EXISTS (SELECT 1 FROM {_CS} c WHERE c.k = o.k)")
-register("fuzzyjoin", lambda s, d: J.fuzzy_join(Tables(s, d).nation.selectExpr("n_nationkey", "concat(lower(n_name), 'x') as name"), Tables(s, d).nation.selectExpr("lower(n_name) as name"), "name", 60))
+_NAMES = "concat(p_name, ' ', p_brand, ' ', p_type) as name"
+register("fuzzyjoin", lambda s, d: rounded(J.fuzzy_join(Tables(s, d).part.selectExpr("p_partkey", "concat(p_name, ' ', p_brand, ' ', p_type, 'x') as name"), Tables(s, d).part.selectExpr(_NAMES).distinct(), "name", 95)),
+    "SELECT p_partkey, concat(name, 'x') AS name, name AS _fuzzy_match, round(200.0 * length(name) / (2 * length(name) + 1), 6) AS _fuzzy_score, name AS _r_name FROM (SELECT p_partkey, concat(p_name, ' ', p_brand, ' ', p_type) AS name FROM part)")
 register("asof_join", lambda s, d: rounded(J.asof_join(Tables(s, d).events.where("event_type = 'purchase'").select("event_id", "ts", "user_id"), Tables(s, d).events.where("event_type <> 'purchase'").select("ts", "user_id", "value"), "ts", "user_id", "value").select("event_id", "value_asof")),
     """SELECT event_id, round(value, 6) AS value_asof FROM (SELECT event_id, ts, user_id FROM events WHERE event_type = 'purchase') a
   LEFT JOIN (SELECT ts, user_id, max_by(value, event_id) AS value FROM events WHERE event_type <> 'purchase' GROUP BY ts, user_id) b ON a.user_id = b.user_id AND b.ts = (SELECT max(ts) FROM events e WHERE e.event_type <> 'purchase' AND e.user_id = a.user_id AND e.ts <= a.ts)""")
