@@ -348,9 +348,21 @@ def _network(s, text: str) -> DataFrame:
         raise ValueError("network build comes first")
     kind = rest[0] if rest else ""
     known = {
-        "describe": lambda: network.describe(s.network), "clustering": lambda: network.clustering(s.network), "community": lambda: network.communities(s.network), "distances": lambda: network.distances(s.network, s.spark.createDataFrame([(kind,)], "node string")),
+        "describe": lambda: network.describe(s.network), "clustering": lambda: network.clustering(s.network), "community": lambda: _communities(s, o), "distances": lambda: network.distances(s.network, s.spark.createDataFrame([(kind,)], "node string")),
         "centrality": lambda: {"eigenvector": network.eigenvector, "closeness": network.closeness, "betweenness": network.betweenness}.get(kind, network.degree)(s.network), "plot": lambda: s.network,
     }
+    if what != "community":
+        o.check()
     if what not in known:
         raise ValueError(f"network {what}: there are build, {', '.join(known)}")
     return s.report(known[what]())
+
+
+def _communities(s, o) -> DataFrame:
+    """By greatest modularity (--louvain, --greedy, or no word), or by --labels."""
+    by_labels = "labels" in o
+    named = [k for k in ("louvain", "greedy") if k in o]
+    o.check()
+    if by_labels and named:
+        raise ValueError("choose --labels or --louvain")
+    return network.communities(s.network) if by_labels else network.louvain(s.network, int(s.settings["seed"]))

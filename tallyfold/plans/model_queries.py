@@ -12,6 +12,7 @@ from tallyfold.stats import causal as C
 from tallyfold.stats import designs as D
 from tallyfold.stats import explain as E
 from tallyfold.stats import imputation as I
+from tallyfold.stats import kernel as KM
 from tallyfold.stats import learning as L
 from tallyfold.stats import likelihood as K
 from tallyfold.stats import multivariate as M
@@ -245,3 +246,6 @@ register("sem_factor", lambda s, d: rounded(SE.sem(_SEM(s, d), "f =~ x1 + x2 + x
     """WITH c AS (SELECT covar_pop(x1, x2) AS c12, covar_pop(x1, x3) AS c13, covar_pop(x2, x3) AS c23, var_pop(x1) AS v1, var_pop(x2) AS v2, var_pop(x3) AS v3 FROM (SELECT l_quantity + 100 * l_discount AS x1, 2 * l_quantity + 100 * l_tax AS x2, l_quantity + l_extendedprice / 5000 AS x3 FROM lineitem))
   SELECT 'f' AS lhs, unnest(['=~', '=~', '=~', '~~']) AS op, unnest(['x1', 'x2', 'x3', 'f']) AS rhs, unnest([1.0::DOUBLE, round(c23 / c13, 4), round(c23 / c12, 4), round(c12 * c13 / c23, 4)]) AS estimate FROM c
   UNION ALL SELECT unnest(['x1', 'x2', 'x3']), '~~', unnest(['x1', 'x2', 'x3']), unnest([round(v1 - c12 * c13 / c23, 4), round(v2 - c12 * c23 / c13, 4), round(v3 - c13 * c23 / c12, 4)]) FROM c""")
+_RING = lambda s, d: _LI(s, d).selectExpr("(l_quantity - 25.5) / 12 as a", "l_discount * 40 - 2 as b").selectExpr("a", "b", "case when a * a + b * b < 1 then 'inner' else 'outer' end as ring")
+register("svm_kernel", lambda s, d: (lambda g, k: KM.svm(g, "ring", ["a", "b"], "rbf", c=10.0, size=64).where("measure in ('n', 'accuracy')").selectExpr("measure", "case when measure = 'n' then value else double(value > 0.97) end as value").unionByName(KM.svm(g, "ring", ["a", "b"], "linear").where("measure = 'accuracy'").selectExpr("'linear' as measure", "double(value < 0.9) as value")))(_RING(s, d), None),
+    "SELECT 'n' AS measure, count(*)::DOUBLE AS value FROM lineitem UNION ALL SELECT unnest(['accuracy', 'linear']), 1.0")

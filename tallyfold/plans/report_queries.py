@@ -106,6 +106,26 @@ register("logrank", lambda s, d: rounded(V.logrank(_EV(s, d), "t", "e", "g").sel
 register("stcox", lambda s, d: rounded(V.cox(_EV(s, d), "t", "e", ["g"]).tidy(Tables(s, d).events), 5))
 register("competing", lambda s, d: rounded(V.competing(_EV(s, d), "t", "e", "event_type"), 6),
     f"WITH {_KM}, b AS (SELECT time, at_risk, coalesce(lag(survival) OVER (ORDER BY time), 1) AS s0 FROM k), o AS (SELECT event_type AS cause, t AS time, count(*) AS d FROM {_EVS} WHERE e = 1 GROUP BY ALL) SELECT cause, CAST(o.time AS DOUBLE) AS time, round(sum(s0 * o.d / at_risk) OVER (PARTITION BY cause ORDER BY o.time), 6) AS cif FROM o JOIN b USING (time)")
+
+
+def _fine_gray_sql(steps: int) -> str:
+    """Newton's steps of one covariate g for the cause 'purchase', with Efron's ties; a competing event stays at risk with the weight G(t-) / G(T-)."""
+    parts = [f"x AS MATERIALIZED (SELECT t::DOUBLE AS t, g::DOUBLE AS g, (e = 1 AND event_type = 'purchase') AS own, (e = 1 AND event_type <> 'purchase') AS other, e <> 1 AS cens FROM {_EVS})"]
+    parts.append("k AS (SELECT t, sum(cens::INT)::DOUBLE AS c, sum(count(*)) OVER (ORDER BY t DESC)::DOUBLE AS n FROM x GROUP BY t)")
+    parts.append("u AS MATERIALIZED (SELECT t, exp(coalesce(sum(CASE WHEN c < n THEN ln(1 - c / n) ELSE 0 END) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS gt FROM k)")
+    parts.append("m AS (SELECT avg(g) AS mg FROM x), y AS MATERIALIZED (SELECT x.t, x.g - mg AS g, own, other, gt FROM x JOIN u USING (t), m), b0 AS (SELECT 0.0::DOUBLE AS b, 1.0::DOUBLE AS v)")
+    for i in range(steps):
+        sums = ", ".join(f"sum(exp(b * g) * g ** {p}) AS s{p}, sum(CASE WHEN other THEN exp(b * g) * g ** {p} / gt ELSE 0 END) AS q{p}, sum(CASE WHEN own THEN exp(b * g) * g ** {p} ELSE 0 END) AS d{p}" for p in range(3))
+        parts.append(f"p{i} AS (SELECT t, any_value(gt) AS gt, sum(own::INT) AS d, sum(CASE WHEN own THEN g ELSE 0 END) AS ex, any_value(b) AS b, {sums} FROM y, b{i} GROUP BY t)")
+        run = ", ".join(f"sum(s{p}) OVER (ORDER BY t DESC) + gt * coalesce(sum(q{p}) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS r{p}" for p in range(3))
+        parts.append(f"r{i} AS (SELECT t, d, ex, b, d0, d1, d2, {run} FROM p{i})")
+        parts.append(f"l{i} AS (SELECT *, unnest(range(CAST(d AS BIGINT))) / d AS l FROM r{i} WHERE d > 0)")
+        parts.append(f"z{i} AS (SELECT any_value(b) AS b, sum(CASE WHEN l = 0 THEN ex ELSE 0 END) - sum((r1 - l * d1) / (r0 - l * d0)) AS grad, sum((r2 - l * d2) / (r0 - l * d0) - ((r1 - l * d1) / (r0 - l * d0)) ** 2) AS info FROM l{i})")
+        parts.append(f"b{i + 1} AS MATERIALIZED (SELECT b + grad / info AS b, 1 / info AS v FROM z{i})")
+    return "WITH " + ", ".join(parts) + f" SELECT 'g' AS term, round(b, 5) AS coef, round(sqrt(v), 5) AS se FROM b{steps}"
+
+
+register("competing_fine_gray", lambda s, d: rounded(V.fine_gray(_EV(s, d), "t", "e", "event_type", "purchase", ["g"]).tidy(Tables(s, d).events).select("term", "coef", "se"), 5), _fine_gray_sql(7))
 _SC = lambda s, d: Tables(s, d).orders.selectExpr("int(o_orderstatus = 'F') as y", "round(o_totalprice / 500000, 2) as p")
 _SCS = "(SELECT CAST(o_orderstatus = 'F' AS INT) AS y, round(o_totalprice / 500000, 2) AS p FROM orders)"
 _ROC = f"c AS (SELECT p, sum(y)::DOUBLE AS a, sum(1 - y)::DOUBLE AS b FROM {_SCS} GROUP BY 1), r AS (SELECT p, sum(a) OVER w / sum(a) OVER () AS tpr, sum(b) OVER w / sum(b) OVER () AS fpr FROM c WINDOW w AS (ORDER BY p DESC ROWS UNBOUNDED PRECEDING))"
@@ -132,6 +152,13 @@ register("network_eigenvector", lambda s, d: rounded(N.eigenvector(_G(s, d), 20)
     f"WITH {_GB}, l AS MATERIALIZED (SELECT * FROM b UNION ALL SELECT DISTINCT src, src, 1.0 FROM b), x0 AS MATERIALIZED (SELECT DISTINCT src AS node, 1.0::DOUBLE AS x FROM b), " + ", ".join(f"x{t + 1} AS MATERIALIZED (SELECT node, x / sqrt(sum(x * x) OVER ()) AS x FROM (SELECT src AS node, sum(weight * x) AS x FROM l JOIN x{t} ON l.dst = x{t}.node GROUP BY 1))" for t in range(20)) + " SELECT node, round(x, 4) AS centrality FROM x20")
 register("network_community", lambda s, d: N.communities(_G(s, d)),
     f"WITH {_GB}, c0 AS MATERIALIZED (SELECT DISTINCT src AS node, src AS community FROM b), " + ", ".join(f"c{t + 1} AS MATERIALIZED (SELECT node, community FROM (SELECT src AS node, community, row_number() OVER (PARTITION BY src ORDER BY sum(weight) DESC, community) AS r FROM b JOIN c{t} ON b.dst = c{t}.node GROUP BY 1, 2) WHERE r = 1)" for t in range(5)) + " SELECT * FROM c5")
+_LABELS = f"{_GB}, c0 AS MATERIALIZED (SELECT DISTINCT src AS node, src AS community FROM b), " + ", ".join(f"c{t + 1} AS MATERIALIZED (SELECT node, community FROM (SELECT src AS node, community, row_number() OVER (PARTITION BY src ORDER BY sum(weight) DESC, community) AS r FROM b JOIN c{t} ON b.dst = c{t}.node GROUP BY 1, 2) WHERE r = 1)" for t in range(5))
+_MODULARITY = f"{_LABELS}, e AS (SELECT src, dst, weight FROM {_GS}), f AS (SELECT x.community AS a, y.community AS b, weight FROM e JOIN c5 x ON e.src = x.node JOIN c5 y ON e.dst = y.node), h AS (SELECT a AS c, weight, CASE WHEN a = b THEN 2 * weight ELSE 0 END AS i FROM f UNION ALL SELECT b, weight, 0 FROM f), p AS (SELECT c, sum(weight) AS k, sum(i) AS i FROM h GROUP BY 1), w AS (SELECT sum(k) AS m2 FROM p), q AS (SELECT sum(i / m2 - (k / m2) ** 2) AS q FROM p, w)"
+register("network_modularity", lambda s, d: rounded(N.modularity(_G(s, d), N.communities(_G(s, d)))), f"WITH {_MODULARITY} SELECT round(q, 6) + 0.0 AS modularity FROM q")
+#: Suppliers and parts of all lines; suppliers of one remainder by 4 share their parts, which makes four communities.
+_NW = lambda s, d: N.build(Tables(s, d).lineitem.selectExpr("concat('s', l_suppkey) as a", "concat('p', l_partkey % 200, '.', l_suppkey % 4) as b"), "a", "b")
+register("network_louvain", lambda s, d: (lambda g: (lambda c: N.modularity(g, c).crossJoin(N.modularity(g, N.communities(g)).withColumnRenamed("modularity", "labels")).crossJoin(c.agg(F.count("*").alias("nodes"))).select("nodes", (F.col("modularity") >= F.col("labels")).alias("not_below_labels"), (F.col("modularity") > 0.3).alias("found")))(N.louvain(g)))(_NW(s, d)),
+    "SELECT count(*) AS nodes, true AS not_below_labels, true AS found FROM (SELECT 's' || l_suppkey AS n FROM lineitem UNION SELECT 'p' || (l_partkey % 200) || '.' || (l_suppkey % 4) FROM lineitem)")
 register("network_closeness", lambda s, d: rounded(N.closeness(_G(s, d))),
     f"WITH RECURSIVE {_GB}, p AS (SELECT DISTINCT src AS source, src AS node, 0 AS hops FROM b UNION SELECT source, b.dst, hops + 1 FROM p JOIN b ON p.node = b.src WHERE hops < 24), h AS (SELECT source, node, min(hops) AS hops FROM p GROUP BY ALL), n AS (SELECT count(DISTINCT src) AS n FROM b) SELECT source AS node, round(count(*) / sum(hops) * count(*) / (any_value(n) - 1), 6) AS closeness FROM h, n WHERE hops > 0 GROUP BY 1")
 register("network_distances", lambda s, d: N.distances(_G(s, d), s.createDataFrame([("0",)], "node string"), 3).selectExpr("source", "node", "cast(hops as bigint) hops"),

@@ -19,7 +19,7 @@ from tallyfold.operators import text as W
 from tallyfold.operators import transform as X
 from tallyfold.registry import COMMANDS, command, options as _options, report as _report, table as _table
 from tallyfold.sources import files, sql
-from tallyfold.stats import causal, evaluation, learning, likelihood, multivariate, regression, survival, timeseries
+from tallyfold.stats import causal, evaluation, kernel, learning, likelihood, multivariate, regression, survival, timeseries
 from tallyfold.stats import tests as H
 
 ROW_ID = "_rid"
@@ -266,10 +266,10 @@ for _n, _f in {
     "irt": lambda s, w, o: multivariate.irt(s.df, w, o.get("model", "2pl")), "vif": lambda s, w, o: regression.vif(s.df, w or [t[0] for t in s.fit.formula.terms]), "ridge": lambda s, w, o: regression.ridge(s.df, w[0], w[1:], float(o.get("alpha", 1))),
     "lasso": lambda s, w, o: regression.lasso(s.df, w[0], w[1:], float(o.get("alpha", 0.1))), "elasticnet": lambda s, w, o: regression.elasticnet(s.df, w[0], w[1:], float(o.get("alpha", 1)), float(o.get("l1ratio", 0.5))), "pls": lambda s, w, o: regression.pls(s.df, w[0], w[1:]), "pcr": lambda s, w, o: regression.pcr(s.df, w[0], w[1:]),
     "cart": lambda s, w, o: learning.train(s.df, w[0], w[1:], "cart", o.get("task", "regression"))[1], "randomforest": lambda s, w, o: learning.train(s.df, w[0], w[1:], "rf", o.get("task", "regression"))[1], "gbm": lambda s, w, o: learning.train(s.df, w[0], w[1:], "gbm", o.get("task", "regression"))[1],
-    "svm": lambda s, w, o: learning.train(s.df, w[0], w[1:], "svm", o.get("task", "classification"))[1], "crossval": lambda s, w, o: learning.cross_validate(s.df, w[0], w[1:], int(o.get("folds", 5))), "arules": lambda s, w, o: learning.association_rules(s.df, w[0], w[1]),
+    "svm": lambda s, w, o: kernel.svm(s.df, w[0], w[1:], o.get("kernel", "rbf"), o.get("task", "classification"), c=float(o.get("C", 1)), gamma=o["gamma"] if o.get("gamma", "scale") in ("scale", "auto") and "gamma" in o else float(o["gamma"]) if "gamma" in o else "scale", degree=int(o.get("degree", 3)), size=int(o.get("features", kernel.FEATURES)), seed=int(s.settings["seed"])), "crossval": lambda s, w, o: learning.cross_validate(s.df, w[0], w[1:], int(o.get("folds", 5))), "arules": lambda s, w, o: learning.association_rules(s.df, w[0], w[1]),
     "mediate": lambda s, w, o: regression.mediation(s.df, *w[:3]), "modmediate": lambda s, w, o: regression.mod_mediation(s.df, *w[:4]),
     "iptw": lambda s, w, o: causal.iptw(s.df, w[0], o["treatment"], [x for x in w[1:] if x not in "~+"], "att" in o), "cate": lambda s, w, o: causal.cate(s.df, w[0], w[1], w[2:], o.get("method", "tlearner")), "spline": lambda s, w, o: causal.spline(s.df, w[0], w[1]),
-    "sts": lambda s, w, o: survival.logrank(s.df, s.settings["time"], s.settings["failure"], w[1]) if w[0] == "test" else survival.kaplan_meier(s.df, s.settings["time"], s.settings["failure"], o.get("by")), "competing": lambda s, w, o: survival.competing(s.df, *w[:3]),
+    "sts": lambda s, w, o: survival.logrank(s.df, s.settings["time"], s.settings["failure"], w[1]) if w[0] == "test" else survival.kaplan_meier(s.df, s.settings["time"], s.settings["failure"], o.get("by")), "competing": lambda s, w, o: survival.subdistributions(s.df, *w[:3], w[3:]) if w[3:] else survival.competing(s.df, *w[:3]),
     "dfuller": lambda s, w, o: timeseries.dickey_fuller(s.df, w[0], _by(s)), "granger": lambda s, w, o: timeseries.granger(s.df, w[0], w[1], _by(s), int(o.get("maxlag", 4))), "johansen": lambda s, w, o: timeseries.johansen(s.df, w, _by(s))[0], "vecm": lambda s, w, o: timeseries.vecm(s.df, w, _by(s)),
     "garch": lambda s, w, o: timeseries.garch(s.df, w[0], _by(s)), "arch": lambda s, w, o: timeseries.garch(s.df, w[0], _by(s), q=0), "stl": lambda s, w, o: timeseries.stl(s.df, w[0], _by(s), int(o.get("period", 12))), "changepoint": lambda s, w, o: timeseries.changepoints(s.df, w[0], _by(s), int(o.get("n", 5))),
     "joinpoint": lambda s, w, o: timeseries.joinpoint(s.df, w[0], w[1]),

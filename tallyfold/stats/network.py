@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.functions.exprs import col
+from tallyfold.storage import discard, written
 
 
 def build(df: DataFrame, source: str, target: str, weight: str | None = None, directed: bool = False) -> DataFrame:
@@ -90,6 +91,102 @@ def communities(edges: DataFrame, steps: int = 5) -> DataFrame:
     return labels
 
 
+def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """modularity of the communities in `labels` (node, community): the share of weight inside less what the strengths alone would put there. Loops count."""
+    named = lambda end: labels.select(F.col("node").alias(end), F.col("community").alias(f"c_{end}"))
+    found = edges.join(named("src"), "src").join(named("dst"), "dst")
+    ends = found.select(F.col("c_src").alias("c"), "weight", F.when(F.col("c_src") == F.col("c_dst"), 2 * F.col("weight")).otherwise(0.0).alias("inside"))
+    ends = ends.unionByName(found.select(F.col("c_dst").alias("c"), "weight", F.lit(0.0).alias("inside")))
+    per = ends.groupBy("c").agg(F.sum("weight").alias("k"), F.sum("inside").alias("inside"))
+    whole = per.agg(F.sum("k").alias("m2"))
+    return per.crossJoin(F.broadcast(whole)).agg(F.sum(F.col("inside") / F.col("m2") - (F.col("k") / F.col("m2")) ** 2).alias("modularity"))
+
+
+def _strengths(edges: DataFrame) -> DataFrame:
+    """node and strength; a loop counts at both of its ends."""
+    return edges.select(F.col("src").alias("node"), "weight").unionByName(edges.select(F.col("dst").alias("node"), "weight")).groupBy("node").agg(F.sum("weight").alias("k"))
+
+
+def _local_moves(edges: DataFrame, total: float, seed: int, steps: int, least: float) -> tuple[DataFrame, float]:
+    """Labels of the nodes of `edges` after steps in which a share of the nodes, drawn by a hash, go to the community around with the greatest gain.
+
+    Nodes that gain by themselves may lose together: a step that does not raise the
+    modularity is taken back and a quarter of the share is drawn next, down to the one
+    node with the greatest gain, which always raises it. No node that gains, or a step that
+    raises it by less than `least`, ends the moves.
+    """
+    both = written(_both(edges))
+    strengths = written(_strengths(edges))
+    labels = written(strengths.select("node", F.col("node").alias("community")))
+    score, share, moves = modularity(edges, labels).first()[0] or 0.0, 2, None
+    for step in range(steps):
+        if moves is None:
+            own = labels.join(strengths, "node")
+            sums = own.groupBy("community").agg(F.sum("k").alias("all"))
+            around = both.join(labels.select(F.col("node").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("node"), "community").agg(F.sum("weight").alias("w"))
+            asks = own.withColumnRenamed("community", "now")
+            options = around.join(asks, "node").select("node", "now", "k", "community", "w")
+            options = options.unionByName(asks.select("node", "now", "k", F.col("now").alias("community"), F.lit(0.0).alias("w")))
+            options = options.groupBy("node", "now", "k", "community").agg(F.sum("w").alias("w")).join(sums, "community")
+            stays = F.col("community") == F.col("now")
+            gain = F.round((F.col("w") - F.col("k") * (F.col("all") - F.when(stays, F.col("k")).otherwise(0.0)) / F.lit(2 * total)) / F.lit(total), 12)
+            best = options.groupBy("node", "now").agg(F.min(F.struct((-gain).alias("g"), (~stays).alias("moves"), "community")).alias("b"), F.max(F.when(stays, gain)).alias("here"))
+            moves = written(best.where("b.moves").select("node", F.col("b.community").alias("to"), (-F.col("b.g") - F.col("here")).alias("gain")).where("gain > 0"))
+            found = moves.count()
+        if not found:
+            break
+        alone = share >= found
+        drawn = moves.orderBy(F.desc("gain"), "node").limit(1) if alone else moves.where(F.pmod(F.xxhash64(F.lit(seed + step), "node"), F.lit(share)) == 0)
+        new = written(labels.join(drawn.select("node", "to"), "node", "left").select("node", F.coalesce("to", "community").alias("community")))
+        reached = modularity(edges, new).first()[0] or 0.0
+        if reached > score + 1e-12:
+            discard(labels, moves)
+            small = reached - score < least
+            labels, score, share, moves = new, reached, max(2, share // 2), None
+            if small:
+                break
+        else:
+            discard(new)
+            if alone:
+                break
+            share *= 4
+    discard(both, strengths)
+    return labels, score
+
+
+def louvain(edges: DataFrame, seed: int = 42, steps: int = 20, levels: int = 10, least: float = 1e-4) -> DataFrame:
+    """node and community of greatest modularity by distributed Louvain: local moves by aggregated gains, then the same on the graph of the communities.
+
+    A community is named by its least node. Gains come from joins and aggregates on the
+    edges; each step is written to the shared folder, and the modularity never falls.
+    Direction is ignored and parallel edges add up.
+    """
+    level = written(build(edges.where("src is not null and dst is not null"), "src", "dst", "weight"))
+    total = level.agg(F.sum("weight")).first()[0]
+    found = _strengths(level).select("node", F.col("node").alias("community"))
+    if not total:
+        return found
+    score, held = -1.0, None
+    for _ in range(levels):
+        labels, reached = _local_moves(level, total, seed, steps, least)
+        if reached <= score + 1e-9:
+            discard(labels)
+            break
+        score = reached
+        inner = labels.select(F.col("node").alias("community"), F.col("community").alias("__wider"))
+        new = written(found.join(inner, "community").select("node", F.col("__wider").alias("community")))
+        if held is not None:
+            discard(held)
+        found = held = new
+        name = lambda end: labels.select(F.col("node").alias(end), F.col("community").alias(f"c_{end}"))  # noqa: E731, B023
+        wider = level.join(name("src"), "src").join(name("dst"), "dst").select(F.col("c_src").alias("src"), F.col("c_dst").alias("dst"), "weight")
+        wider = written(build(wider, "src", "dst", "weight"))
+        discard(level, labels)
+        level = wider
+    least = found.groupBy("community").agg(F.min("node").alias("__least"))
+    return written(found.join(least, "community").select("node", F.col("__least").alias("community")))
+
+
 def distances(edges: DataFrame, sources: DataFrame, most: int = 6) -> DataFrame:
     """source, node and hops from each of `sources` (a column node), by frontier joins up to `most` hops."""
     both = _both(edges).select("src", "dst").persist()
