@@ -38,7 +38,7 @@ GRAMS = LENGTH - GRAM + 1
 #: Input bytes of a block (as the files hold them), and bytes of the segments that one suffix array takes.
 BLOCK_BYTES, ARRAY_BYTES = 4 << 20, 4 << 20
 #: Strings whose anchors are sought at once.
-CHUNK = 1 << 19
+CHUNK = 1 << 16
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _ANCHORS = "shard long, block long, anchors binary, several binary"
