@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyfold.llm import boosting, decontaminate, line_dedup, packing, quality_classifier, quality_rules, queries, sharding, suffix_dedup, toxicity, voronoi
+from tallyfold.llm.common import table
 from tallyfold.llm.docstats import COLUMNS, RATIOS, measure, ratios
 
 SF = "/root/testdata/sf0.001"
@@ -202,9 +203,43 @@ def test_discriminant_against_densities():
         gap = z - z[y == k].mean(axis=0)
         logs.append(math.log((y == k).mean()) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * np.einsum("ij,jk,ik->i", gap, np.linalg.inv(c), gap))
     assert np.allclose(model.score(x), 1 / (1 + np.exp(logs[0] - logs[1])))
+    assert np.allclose(model.log_ratio(x), logs[1] - logs[0])
     assert quality_classifier.fit(x, np.ones(140)).score(x[:3]).tolist() == [1.0] * 3  # one class only
 
 
+def test_scores_are_calibrated_and_untied():
+    rng = np.random.default_rng(9)
+    for gap in (0.4, 6.0):  # classes that overlap, and classes that are far apart
+        x = np.concatenate((rng.normal(0, 1, (900, 6)), rng.normal(gap, 1.5, (900, 6))))
+        y = np.repeat([0.0, 1.0], 900)
+        order = rng.permutation(1800)
+        x, y = x[order], y[order]
+        model = quality_classifier.tuned(x[:1200], y[:1200])
+        score, rest = model.score(x[1200:]), y[1200:]
+        assert len(np.unique(score)) == 600 and (0 < score).all() and (score < 1).all()
+        assert (np.argsort(score) == np.argsort(model.log_ratio(x[1200:]))).all()
+        plain = quality_classifier.fit(x[:1200], y[:1200]).score(x[1200:])
+        loss = [-np.mean(np.where(rest == 1, np.log(p), np.log1p(-p))) for p in (score, np.clip(plain, 1e-12, 1 - 1e-12))]
+        assert loss[0] < loss[1] + 0.02
+        for low in (0.0, 0.25, 0.5, 0.75):
+            part = (score >= low) & (score < low + 0.25)
+            assert part.sum() < 30 or abs(score[part].mean() - rest[part].mean()) < 0.15
+    few = quality_classifier.tuned(x[:12], y[:12])
+    assert few.line is None and quality_classifier.tuned(x[:5], np.ones(5)).score(x[:2]).tolist() == [1.0, 1.0]
+
+
+def test_quality_scores_of_documents_differ(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = quality_classifier.fit_classifier(docs, labels)
+    scores = quality_classifier.quality_scores(docs, model).toPandas()
+    per_text = docs.select("doc_id", "text").dropDuplicates(["text"]).select("doc_id").toPandas().merge(scores, on="doc_id")
+    assert per_text.score.duplicated(keep=False).mean() <= 0.01
+    held = scores.merge(labels.toPandas(), on="doc_id").query("held_out")
+    p = held.score.clip(1e-12, 1 - 1e-12)
+    assert -np.mean(np.where(held.quality == 1, np.log(p), np.log1p(-p))) < 0.05 and (held.predicted == held.quality).mean() > 0.98
+
+
 # 8
 
 
