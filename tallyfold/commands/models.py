@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from tallyfold.operators import aggregate as A
 from tallyfold.operators import sets as S
 from tallyfold.registry import command, options, report, table
-from tallyfold.stats import causal, designs, explain, imputation, learning, likelihood, multivariate, network, regression, structural, timeseries
+from tallyfold.stats import boot, causal, designs, explain, imputation, learning, likelihood, multivariate, network, regression, smooth, structural, timeseries
 from tallyfold.stats import tests as H
 from tallyfold.stats.frames import frame
 from tallyfold.stats.regression import Fit
@@ -72,6 +72,20 @@ report("anova2", lambda s, w, o: designs.anova2(s.df, *w[:3], interaction="noint
 report("power", lambda s, w, o: frame(s.spark, [H.power(w[0], float(o.pop("alpha", 0.05)), **{k: float(v) for k, v in o.items()})], "n double, power double"))
 report("sampsi", lambda s, w, o: frame(s.spark, [H.sampsi(float(w[0]), float(w[1]), float(o.get("sd", 1)), float(o.get("alpha", 0.05)), float(o.get("power", 0.8)))], "n double, power double"))
 
+def _bootstrap(s, words: Sequence[str], o: dict[str, str]) -> DataFrame:
+    """`bootstrap x [by(g)] [stat(mean)] [n(2000)] [ci(0.95)]`; without a column, the coefficients of the last ols, logit, probit or poisson fit."""
+    ci, seed = float(o.get("ci", 0.95)), int(s.settings["seed"])
+    if words:
+        return H.bootstrap(s.df, words[0], o.get("stat", "mean"), int(o.get("n", 2000)), ci, seed, o.get("by"))
+    if s.fit is None:
+        raise ValueError("bootstrap needs a column, or a model fit before it")
+    if s.fit.kind not in ("ols", "logit", "probit", "poisson"):
+        raise ValueError("the bootstrap of a model takes ols, logit, probit and poisson")
+    return boot.model_bootstrap(s.df, s.fit.formula, s.fit.kind, int(o.get("n", 500)), ci, seed)
+
+
+report("bootstrap", _bootstrap)
+
 # regressions
 
 command("nls")(lambda s, t: (lambda w, o: _fit(s, likelihood.nls(s.df, w[0], w[1], o.get("fn", "power"), [float(x) for x in o["p0"].split()] if "p0" in o else ())))(*options(t)))
@@ -155,6 +169,29 @@ def _shap(s, text: str) -> DataFrame:
     return s.report(explain.shap_trees(s.df, w[0], w[1:], kind, seed=int(s.settings["seed"]), **more))
 
 
+@command("spline")
+def _spline(s, text: str) -> DataFrame:
+    """spline y x1 [x2 ...] [--type=natural|bs] [--knots=n or a,b,c]; --type=loess [--frac=0.3] [--rounds=3] [--vertices=n]. --summary reports the fit, --gen=name adds the curve to the table."""
+    given = re.search(r"--knots=(\S+)", text)
+    words, o = options(re.sub(r"--knots=\S+", "", text))
+    kind, new = o.get("type", "natural"), o.get("gen")
+    if kind == "loess":
+        shape = (float(o.get("frac", 0.3)), int(o.get("rounds", 3)), int(o.get("vertices", smooth.VERTICES)))
+        run = (smooth.loess, smooth.loess_summary, smooth.loess_values)
+        args: tuple = (words[0], words[1], *shape)
+    elif kind in ("natural", "bs"):
+        at = given[1].split(",") if given else ["4"]
+        run = (smooth.spline, smooth.spline_summary, smooth.spline_values)
+        args = (words[0], words[1:], int(at[0]) if len(at) == 1 and at[0].isdigit() else [float(k) for k in at], kind)
+    else:
+        raise ValueError("spline --type=natural, bs or loess")
+    summary = "summary" in o
+    o.check()
+    if new:
+        return s.use(run[2](s.df, *args, new=new))
+    return s.report(run[1 if summary else 0](s.df, *args))
+
+
 # survey designs
 
 

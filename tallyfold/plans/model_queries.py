@@ -17,6 +17,7 @@ from tallyfold.stats import learning as L
 from tallyfold.stats import likelihood as K
 from tallyfold.stats import multivariate as M
 from tallyfold.stats import regression as R
+from tallyfold.stats import smooth as SM
 from tallyfold.stats import structural as SE
 from tallyfold.stats import timeseries as Z
 
@@ -168,7 +169,7 @@ register("cate", lambda s, d: rounded(C.cate(_B(s, d), "x", "y", ["z"], "drlearn
     f"WITH {_SCORE}, r AS (SELECT regr_slope(x, z) FILTER (y = 1) AS b1, regr_intercept(x, z) FILTER (y = 1) AS a1, regr_slope(x, z) FILTER (y = 0) AS b0, regr_intercept(x, z) FILTER (y = 0) AS a0 FROM p), e AS (SELECT y, a1 + b1 * z - a0 - b0 * z + CASE WHEN y = 1 THEN (x - a1 - b1 * z) / least(greatest(p, 0.01), 0.99) ELSE -(x - a0 - b0 * z) / (1 - least(greatest(p, 0.01), 0.99)) END AS e FROM p, r) SELECT round(avg(e), 4) AS ate, round(avg(e) FILTER (y = 1), 4) AS att, round(avg(e) FILTER (y = 0), 4) AS atc FROM e")
 register("mi_impute", lambda s, d: I.mice(_LI(s, d).selectExpr("l_extendedprice as y", "case when l_orderkey % 9 = 0 then null else l_quantity end as x"), ["y", "x"], 2, 2).groupBy("_mi").agg(F.count("*").alias("n"), F.count("x").alias("filled")).selectExpr("cast(_mi as bigint) mi", "n", "filled"), "SELECT CAST(m AS BIGINT) AS mi, count(*) AS n, count(*) AS filled FROM lineitem, (VALUES (1), (2)) t(m) GROUP BY 1")
 register("mi_estimate", lambda s, d: C.rubin(I.mice(_LI(s, d).selectExpr("l_extendedprice as y", "case when l_orderkey % 9 = 0 then null else l_quantity end as x"), ["y", "x"], 2, 1), "y ~ x"))
-register("spline", lambda s, d: rounded(C.spline(_LI(s, d), "l_extendedprice", "l_quantity"), 4))
+register("spline", lambda s, d: rounded(SM.spline(_LI(s, d), "l_extendedprice", "l_quantity"), 4))
 
 # multivariate and learning
 _V3 = ["l_quantity", "l_extendedprice", "l_discount"]

@@ -259,7 +259,7 @@ for _n, _f in {
     "chi2": lambda s, w, o: H.chi2(s.df, *w[:2]), "anova": lambda s, w, o: H.anova(s.df, w[0], w[2] if len(w) > 2 else o["by"]), "ranksum": lambda s, w, o: H.ranksum(s.df, w[0], o["by"]), "signrank": lambda s, w, o: H.signrank(s.df, *w[:2], mu=float(o.get("mu", 0))),
     "kwallis": lambda s, w, o: H.kruskal(s.df, w[0], o["by"]), "posthoc": lambda s, w, o: H.posthoc(s.df, w[0], o["by"], next((m for m in ("bonferroni", "scheffe") if m in o), "tukey")), "cs": lambda s, w, o: H.cohort(s.df, *w[:2]), "cc": lambda s, w, o: H.case_control(s.df, *w[:2]),
     "ir": lambda s, w, o: H.incidence(s.df, *w[:2]), "tost": lambda s, w, o: H.tost(s.df, w[0], o.get("by"), float(o.get("mu", 0)), float(o.get("delta", 0.5))), "meta": lambda s, w, o: H.meta(s.df, *w[:2], random="fe" not in o), "manova": lambda s, w, o: H.manova(s.df, w[:-1], w[-1]),
-    "bootstrap": lambda s, w, o: H.bootstrap(s.df, w[0], o.get("stat", "mean"), int(o.get("n", 2000))), "permtest": lambda s, w, o: H.permutation(s.df, w[0], o["by"], int(o.get("n", 2000))), "jackknife": lambda s, w, o: H.jackknife(s.df, w[0], o.get("stat", "mean")),
+    "permtest": lambda s, w, o: H.permutation(s.df, w[0], o["by"], int(o.get("n", 2000))), "jackknife": lambda s, w, o: H.jackknife(s.df, w[0], o.get("stat", "mean")),
     "roc": lambda s, w, o: evaluation.auc(s.df, *w[:2]), "confmatrix": lambda s, w, o: evaluation.confusion(s.df, *w[:2], float(o.get("threshold", 0.5))), "calibration": lambda s, w, o: evaluation.calibration(s.df, *w[:2], int(o.get("bins", 10))),
     "pca": lambda s, w, o: multivariate.pca(s.df, w, int(o["n"]) if "n" in o else None), "factor": lambda s, w, o: multivariate.factor(s.df, w, int(o.get("n", 2)), o.get("method", "pc")), "mds": lambda s, w, o: multivariate.mds(s.df, w), "tsne": lambda s, w, o: multivariate.tsne(s.df, w),
     "cluster": lambda s, w, o: (multivariate.kmeans if w[0] == "kmeans" else multivariate.hierarchical)(s.df, w[1:], int(o.get("k", 3))), "discriminant": lambda s, w, o: multivariate.discriminant(s.df, w[0], w[1:], o.get("method", "lda")), "mixture": lambda s, w, o: multivariate.mixture(s.df, w[0], int(o.get("k", 3))),
@@ -268,7 +268,7 @@ for _n, _f in {
     "cart": lambda s, w, o: learning.train(s.df, w[0], w[1:], "cart", o.get("task", "regression"))[1], "randomforest": lambda s, w, o: learning.train(s.df, w[0], w[1:], "rf", o.get("task", "regression"))[1], "gbm": lambda s, w, o: learning.train(s.df, w[0], w[1:], "gbm", o.get("task", "regression"))[1],
     "svm": lambda s, w, o: kernel.svm(s.df, w[0], w[1:], o.get("kernel", "rbf"), o.get("task", "classification"), c=float(o.get("C", 1)), gamma=o["gamma"] if o.get("gamma", "scale") in ("scale", "auto") and "gamma" in o else float(o["gamma"]) if "gamma" in o else "scale", degree=int(o.get("degree", 3)), size=int(o.get("features", kernel.FEATURES)), seed=int(s.settings["seed"])), "crossval": lambda s, w, o: learning.cross_validate(s.df, w[0], w[1:], int(o.get("folds", 5))), "arules": lambda s, w, o: learning.association_rules(s.df, w[0], w[1]),
     "mediate": lambda s, w, o: regression.mediation(s.df, *w[:3]), "modmediate": lambda s, w, o: regression.mod_mediation(s.df, *w[:4]),
-    "iptw": lambda s, w, o: causal.iptw(s.df, w[0], o["treatment"], [x for x in w[1:] if x not in "~+"], "att" in o), "cate": lambda s, w, o: causal.cate(s.df, w[0], w[1], w[2:], o.get("method", "tlearner")), "spline": lambda s, w, o: causal.spline(s.df, w[0], w[1]),
+    "iptw": lambda s, w, o: causal.iptw(s.df, w[0], o["treatment"], [x for x in w[1:] if x not in "~+"], "att" in o), "cate": lambda s, w, o: causal.cate(s.df, w[0], w[1], w[2:], o.get("method", "tlearner")),
     "sts": lambda s, w, o: survival.logrank(s.df, s.settings["time"], s.settings["failure"], w[1]) if w[0] == "test" else survival.kaplan_meier(s.df, s.settings["time"], s.settings["failure"], o.get("by")), "competing": lambda s, w, o: survival.subdistributions(s.df, *w[:3], w[3:]) if w[3:] else survival.competing(s.df, *w[:3]),
     "dfuller": lambda s, w, o: timeseries.dickey_fuller(s.df, w[0], _by(s)), "granger": lambda s, w, o: timeseries.granger(s.df, w[0], w[1], _by(s), int(o.get("maxlag", 4))), "johansen": lambda s, w, o: timeseries.johansen(s.df, w, _by(s))[0], "vecm": lambda s, w, o: timeseries.vecm(s.df, w, _by(s)),
     "garch": lambda s, w, o: timeseries.garch(s.df, w[0], _by(s)), "arch": lambda s, w, o: timeseries.garch(s.df, w[0], _by(s), q=0), "stl": lambda s, w, o: timeseries.stl(s.df, w[0], _by(s), int(o.get("period", 12))), "changepoint": lambda s, w, o: timeseries.changepoints(s.df, w[0], _by(s), int(o.get("n", 5))),

@@ -215,17 +215,3 @@ def mixed_slopes(df: DataFrame, spec: str, group: str, slopes: Sequence[str], st
     out += [{"term": f"cov_{names[j]}_{names[i]}", "coef": d[i, j] * s2, "se": None} for i in range(q) for j in range(i)]
     out += [{"term": "var_residual", "coef": s2, "se": None}, {"term": "icc", "coef": d[0, 0] / (1 + d[0, 0]), "se": None}]
     return frame(df.sparkSession, out, "term string, coef double, se double")
-
-
-def spline(df: DataFrame, y: str, x: str, knots: int = 4) -> DataFrame:
-    """term, coef and se of a natural cubic spline; the knots are quantiles and the basis is made of Column expressions."""
-    from tallyfold.operators.ordered import order_statistics
-
-    qs = [i / (knots + 1) for i in range(1, knots + 1)]
-    at = [r["value"] for r in order_statistics(df, x, [0.0, *qs, 1.0], "linear").orderBy("q").collect()]
-    u = col(x).cast("double")
-    cube = lambda k: F.when(u > F.lit(k), (u - F.lit(k)) ** 3).otherwise(0.0)
-    d = lambda k: (cube(k) - cube(at[-1])) / F.lit(at[-1] - k)
-    names = [f"s{i + 1}" for i in range(len(at) - 2)]
-    rows = df.withColumns({n: d(at[i]) - d(at[-2]) for i, n in enumerate(names)})
-    return ols(rows, Formula(y, ((x,), *((n,) for n in names)))).tidy(df)

@@ -273,44 +273,65 @@ def _counts_drawn(k: np.ndarray, u: np.ndarray, p: float | None = None) -> np.nd
     return out
 
 
-def bootstrap(df: DataFrame, value: str, stat: str = "mean", n: int = 2000, ci: float = 0.95, seed: int = 42) -> DataFrame:
+def bootstrap(df: DataFrame, value: str, stat: str = "mean", n: int = 2000, ci: float = 0.95, seed: int = 42, by: str | None = None) -> DataFrame:
     """Percentile limits, error and bias from n resamples.
 
     The rows of each distinct value have a Poisson number in each resample, drawn from a
     hash of the value and the resample, so that one distributed pass makes all of them.
     The median of a resample takes a second pass: the ranges' weights tell in which range
-    of the values it lies.
+    of the values it lies. With `by`, the difference of its two groups (the smaller key
+    first), each resampled on its own, and p: the share of differences, taken around their
+    mean, as far from zero as the one found.
     """
+    p = None
+    if by is None:
+        theta, values = _resampled(df, value, stat, n, seed)
+    else:
+        a, b = [r["k"] for r in _two_keys(df, value, by)]
+        (theta, values), (theta_b, values_b) = (_resampled(df.where(col(by).eqNullSafe(F.lit(k))), value, stat, n, seed + i) for i, k in enumerate((a, b)))
+        theta, values = theta - theta_b, values - values_b
+        p = float(np.nanmean(np.abs(values - np.nanmean(values)) >= abs(theta)))
+    low, high = np.nanquantile(values, [(1 - ci) / 2, (1 + ci) / 2])
+    row = {"estimate": theta, "se": float(np.nanstd(values, ddof=1)), "bias": float(np.nanmean(values) - theta), "low": low, "high": high, "resamples": n}
+    return frame(df.sparkSession, [row | ({"p": p} if by else {})])
+
+
+def _two_keys(df: DataFrame, value: str, by: str) -> list:
+    """The two groups of rows with a value; another number of groups raises before more than three are read."""
+    found = df.where(col(value).isNotNull() & col(by).isNotNull()).select(col(by).alias("k")).distinct().limit(3).collect()
+    if len(found) != 2:
+        raise ValueError(f"{by} must have two groups")
+    return sorted(found, key=lambda r: r["k"])
+
+
+def _resampled(df: DataFrame, value: str, stat: str, n: int, seed: int) -> tuple[float, np.ndarray]:
+    """The statistic of all rows and of each resample."""
     from tallyfold.operators.ordered import BUCKET, bucketed
 
     x = col(value).cast("double")
     counts = df.where(x.isNotNull()).groupBy(x.alias("x")).agg(F.count("*").alias("k"))
-    spark = df.sparkSession
     if stat == "median":
         values = _medians(bucketed(counts, ["x"]).withColumnRenamed(BUCKET, "bucket"), n, seed)
-        theta = df.agg(F.median(x)).first()[0]
-    else:
+        return df.agg(F.median(x)).first()[0], values
 
-        def draw(it):
-            import pandas as pd
-
-            for pdf in it:
-                xs, ks = pdf["x"].to_numpy(), pdf["k"].to_numpy()
-                out = []
-                for b in range(n):
-                    w = _counts_drawn(ks, _uniform(xs, b, seed))
-                    hit = xs[w > 0]
-                    out.append((b, float(w.sum()), float(w @ xs), float(w @ (xs * xs)), float(hit.min()) if len(hit) else None, float(hit.max()) if len(hit) else None))
-                yield pd.DataFrame(out, columns=["b", "w", "wx", "wxx", "low", "high"])
-
-        parts = counts.mapInPandas(draw, "b int, w double, wx double, wxx double, low double, high double")
-        sums = parts.groupBy("b").agg(F.sum("w").alias("w"), F.sum("wx").alias("wx"), F.sum("wxx").alias("wxx"), F.min("low").alias("low"), F.max("high").alias("high")).orderBy("b").toPandas()
-        mean = sums.wx / sums.w
-        var = (sums.wxx - sums.w * mean**2) / (sums.w - 1)
-        values = {"mean": mean, "var": var, "std": var.pow(0.5), "min": sums.low, "max": sums.high}[stat].to_numpy()
-        theta = df.agg({"mean": F.avg, "min": F.min, "max": F.max, "var": F.var_samp, "std": F.stddev_samp}[stat](x)).first()[0]
-    low, high = np.nanquantile(values, [(1 - ci) / 2, (1 + ci) / 2])
-    return frame(spark, [{"estimate": theta, "se": float(np.nanstd(values, ddof=1)), "bias": float(np.nanmean(values) - theta), "low": low, "high": high, "resamples": n}])
+    def draw(it):
+        import pandas as pd
+
+        for pdf in it:
+            xs, ks = pdf["x"].to_numpy(), pdf["k"].to_numpy()
+            out = []
+            for b in range(n):
+                w = _counts_drawn(ks, _uniform(xs, b, seed))
+                hit = xs[w > 0]
+                out.append((b, float(w.sum()), float(w @ xs), float(w @ (xs * xs)), float(hit.min()) if len(hit) else None, float(hit.max()) if len(hit) else None))
+            yield pd.DataFrame(out, columns=["b", "w", "wx", "wxx", "low", "high"])
+
+    parts = counts.mapInPandas(draw, "b int, w double, wx double, wxx double, low double, high double")
+    sums = parts.groupBy("b").agg(F.sum("w").alias("w"), F.sum("wx").alias("wx"), F.sum("wxx").alias("wxx"), F.min("low").alias("low"), F.max("high").alias("high")).orderBy("b").toPandas()
+    mean = sums.wx / sums.w
+    var = (sums.wxx - sums.w * mean**2) / (sums.w - 1)
+    values = {"mean": mean, "var": var, "std": var.pow(0.5), "min": sums.low, "max": sums.high}[stat].to_numpy()
+    return df.agg({"mean": F.avg, "min": F.min, "max": F.max, "var": F.var_samp, "std": F.stddev_samp}[stat](x)).first()[0], values
 
 
 def _medians(counts: DataFrame, n: int, seed: int) -> np.ndarray:
