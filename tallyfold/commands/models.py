@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame
 
 from tallyfold.operators import aggregate as A
 from tallyfold.operators import sets as S
+from tallyfold.operators import sketches
 from tallyfold.registry import command, options, report, table
 from tallyfold.stats import boot, causal, designs, explain, imputation, learning, likelihood, multivariate, network, regression, smooth, structural, timeseries
 from tallyfold.stats import tests as H
 from tallyfold.stats.frames import frame
 from tallyfold.stats.regression import Fit
+from tallyfold.streaming import runs, windows
 
 
 def _fit(s, fit: Fit) -> DataFrame:
@@ -169,6 +171,39 @@ def _shap(s, text: str) -> DataFrame:
     return s.report(explain.shap_trees(s.df, w[0], w[1:], kind, seed=int(s.settings["seed"]), **more))
 
 
+@command("sketch")
+def _sketch(s, text: str) -> DataFrame:
+    """sketch distinct(a b) quantiles(x) [by(g)] [lg(12)] [k(200)] makes the table of sketches active; sketch merge [by(g)] merges it; sketch estimate [at(0.25 0.5)] reports."""
+    words, o = options(text)
+    by = o.get("by", "").split()
+    if words[:1] == ["estimate"]:
+        out = sketches.estimated(s.df, [float(q) for q in o.get("at", "0.25 0.5 0.75").split()])
+        o.check()
+        return s.report(out)
+    if words[:1] == ["merge"]:
+        out = sketches.merged(s.df, by)
+    else:
+        out = sketches.sketched(s.df, by, o.get("distinct", "").split(), o.get("quantiles", "").split(), int(o.get("lg", 12)), int(o.get("k", 200)))
+    o.check()
+    return s.use(out)
+
+
+@command("stream")
+def _stream(s, text: str) -> DataFrame:
+    """stream path time(ts) width(1 hour) [slide(..)] late(10 minutes) value(x) [by(g)], or gap(..) for sessions; sink(..) and checkpoint(..) let a later run go on. The final windows become the active table."""
+    words, o = options(text)
+    time, late, by = o["time"], o.get("late", "0 seconds"), o.get("by", "").split()
+    if "gap" in o:
+        gap = o["gap"]
+        make = lambda r: windows.sessions(r, time, gap, late, by)
+    else:
+        width, slide, value = o["width"], o.get("slide"), o["value"]
+        make = lambda r: windows.tumbling(r, time, width, late, by, value, slide)
+    sink, checkpoint, files = o.get("sink"), o.get("checkpoint"), int(o["files"]) if "files" in o else None
+    o.check()
+    return s.use(runs.over(s.spark, words[0], time, make, sink, checkpoint, files))
+
+
 @command("spline")
 def _spline(s, text: str) -> DataFrame:
     """spline y x1 [x2 ...] [--type=natural|bs] [--knots=n or a,b,c]; --type=loess [--frac=0.3] [--rounds=3] [--vertices=n]. --summary reports the fit, --gen=name adds the curve to the table."""

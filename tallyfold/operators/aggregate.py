@@ -20,6 +20,7 @@ def aggregator(how: str, c: Column, order: Sequence[str] = ()) -> Column:
         "mean": lambda: F.avg(c), "sum": lambda: F.coalesce(F.sum(c), F.lit(0)), "min": lambda: F.min(c), "max": lambda: F.max(c),
         "std": lambda: F.stddev_samp(c), "sd": lambda: F.stddev_samp(c), "var": lambda: F.var_samp(c), "median": lambda: F.median(c), "p50": lambda: F.median(c),
         "count": lambda: F.count(c), "n": lambda: F.count(c), "nunique": lambda: n_unique(c),
+        "approx_nunique": lambda: F.approx_count_distinct(c), "approx_median": lambda: F.percentile_approx(c, F.lit(0.5)),
         "first": lambda: F.min_by(F.struct(c.alias("v")), key).getField("v"), "last": lambda: F.max_by(F.struct(c.alias("v")), key).getField("v"),
     }[how]()
 

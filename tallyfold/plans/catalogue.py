@@ -56,4 +56,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from tallyfold.plans import model_queries, relational_queries, report_queries  # noqa: F401
+    from tallyfold.plans import curve_queries, model_queries, relational_queries, report_queries, stream_queries  # noqa: F401
