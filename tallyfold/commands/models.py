@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from tallyfold.operators import aggregate as A
 from tallyfold.operators import sets as S
 from tallyfold.operators import sketches
-from tallyfold.registry import command, options, report, table
+from tallyfold.registry import command, options, report, table, trailing
 from tallyfold.stats import boot, causal, designs, explain, imputation, learning, likelihood, multivariate, network, regression, smooth, structural, timeseries
 from tallyfold.stats import tests as H
 from tallyfold.stats.frames import frame
@@ -27,7 +27,7 @@ def _fit(s, fit: Fit) -> DataFrame:
 def _spec(text: str) -> tuple[str, dict[str, str]]:
     """A formula and the options behind it."""
     spec, *rest = re.split(r"\s--|,", text, maxsplit=1)
-    return spec.strip(), options("--" + rest[0] if rest else "")[1]
+    return spec.strip(), trailing(rest[0] if rest else "")
 
 
 def _sums(words: Sequence[str]) -> str:
@@ -383,7 +383,18 @@ def _irf(s, text: str) -> DataFrame:
 # learning, latent variables, networks
 
 report("hyperopt", lambda s, w, o: learning.hyperopt(s.df, w[0], w[1:], {"gb": "gbm"}.get(o.get("model", "rf"), o.get("model", "rf")), o.get("task", "regression"), int(o.get("cv", 5)), int(o.get("draws", 20)), int(s.settings["seed"])))
-report("learncurve", lambda s, w, o: learning.learning_curve(s.df, w[0], w[1:]))
+@command("learncurve")
+def _learncurve(s, text: str) -> DataFrame:
+    """learncurve y x1 x2 [--model=ols|logit|rf|gb|cart] [--steps=10] [--cv=5] [--task=classification] [--n=100]"""
+    w, o = options(text)
+    kind, steps, folds, task = o.get("model", "ols"), int(o.get("steps", 10)), int(o.get("cv", 5)), o.get("task")
+    more = {"n": int(o["n"])} if "n" in o else {}
+    o.check()
+    if kind in ("ols", "linear"):
+        return s.report(learning.learning_curve(s.df, w[0], w[1:], [0.1 + 0.9 * i / max(steps - 1, 1) for i in range(steps)], folds=folds))
+    return s.report(learning.model_curve(s.df, w[0], w[1:], kind, steps, folds, task, int(s.settings["seed"]), **more))
+
+
 report("umap", lambda s, w, o: multivariate.umap(s.df, w, int(o.get("n", 2)), int(o.get("neighbors", 15)), seed=int(s.settings["seed"])))
 report("screeplot", lambda s, w, o: multivariate.pca(s.df, w))
 

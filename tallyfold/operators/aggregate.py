@@ -11,6 +11,10 @@ from tallyfold.functions import dsl
 from tallyfold.functions.exprs import col, count_if, n_unique
 from tallyfold.operators.ordered import RN, numbered, quantiles
 from tallyfold.operators.transform import need, numeric_columns
+from tallyfold.stats.frames import few
+
+#: Columns that a wide table may get from the levels of one.
+MOST_COLUMNS = 10_000
 
 
 def aggregator(how: str, c: Column, order: Sequence[str] = ()) -> Column:
@@ -43,7 +47,7 @@ def pivot(df: DataFrame, value: str, by: str, over: Sequence[str] = (), how: str
     """Long to wide. Without `over` all other columns are the index. count counts rows, null values included."""
     need(df, value, by, *over)
     index = list(over) or [c for c in df.columns if c not in (value, by)]
-    values = [r[0] for r in df.select(col(by)).distinct().orderBy(col(by).asc_nulls_first()).collect()]
+    values = [r[0] for r in few(df.select(col(by)).distinct().orderBy(col(by).asc_nulls_first()), f"levels of {by}", MOST_COLUMNS)]
     agg = F.count(F.lit(1)) if how == "count" else aggregator(how, col(value), order or [value])
     return df.groupBy(*map(col, index)).pivot(by, values).agg(agg)
 
@@ -67,7 +71,7 @@ def reshape_long(df: DataFrame, stub: str, i: Sequence[str], j: str) -> DataFram
 def reshape_wide(df: DataFrame, values: Sequence[str], i: Sequence[str], j: str, order: Sequence[str] = ()) -> DataFrame:
     """A column `<value><j>` (several values: `<value>_<j>`) for each level of j; of several rows the first."""
     need(df, *values, *i, j)
-    levels = [r[0] for r in df.select(col(j)).distinct().orderBy(col(j).asc_nulls_first()).collect()]
+    levels = [r[0] for r in few(df.select(col(j)).distinct().orderBy(col(j).asc_nulls_first()), f"levels of {j}", MOST_COLUMNS)]
     sep = "_" if len(values) > 1 else ""
     key = F.struct(*(col(o) for o in order)) if order else None
 

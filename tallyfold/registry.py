@@ -82,6 +82,14 @@ def options(text: str) -> tuple[list[str], Options]:
     return words, found
 
 
+def trailing(text: str) -> Options:
+    """The options behind a formula's comma or first `--`: words without a value are options that are on."""
+    words, found = options(text)
+    for w in words:
+        found[w] = "true"
+    return found
+
+
 def command(*names: str) -> Callable[[Command], Command]:
     """Registers a function of the session and the rest of the line."""
 

@@ -17,7 +17,7 @@ from tallyfold.operators import joins as J
 from tallyfold.operators import sets as S
 from tallyfold.operators import text as W
 from tallyfold.operators import transform as X
-from tallyfold.registry import COMMANDS, command, options as _options, report as _report, table as _table
+from tallyfold.registry import COMMANDS, command, options as _options, report as _report, table as _table, trailing
 from tallyfold.sources import files, sql
 from tallyfold.stats import causal, evaluation, kernel, learning, likelihood, multivariate, regression, survival, timeseries
 from tallyfold.stats import tests as H
@@ -280,7 +280,7 @@ for _n, _f in {
 def _model(name: str, fit: Callable[..., regression.Fit]) -> None:
     def run(s: Session, text: str) -> DataFrame:
         spec, *rest = re.split(r"\s--|,", text, maxsplit=1)
-        _, o = _options("--" + rest[0] if rest else "")
+        o = trailing(rest[0] if rest else "")
         fitted = fit(s.df, spec.strip(), o)
         o.check()
         s.fit = fitted
@@ -295,9 +295,9 @@ for _k in ("logit", "probit", "poisson"):
 _model("quantreg", lambda df, f, o: regression.quantreg(df, f, float(o.get("tau", 0.5))))
 _model("stepwise", lambda df, f, o: regression.stepwise(df, f, "backward" in o))
 for _k, _g in {"negbin": likelihood.negbin, "zip": likelihood.zip_model, "zinb": likelihood.zinb, "betareg": likelihood.betareg, "mlogit": likelihood.mlogit, "tobit": likelihood.tobit}.items():
-    _model(_k, lambda df, f, o, g=_g: g(df, f))
-_model("ologit", lambda df, f, o: likelihood.ordered(df, f))
-_model("oprobit", lambda df, f, o: likelihood.ordered(df, f, "probit"))
+    _model(_k, lambda df, f, o, g=_g: g(df, f, robust="robust" in o, cluster=o.get("cluster")))
+for _k in ("logit", "probit"):
+    _model(f"o{_k}", lambda df, f, o, k=_k: likelihood.ordered(df, f, k, "robust" in o, o.get("cluster")))
 command("predict")(lambda s, t: s.use(regression.predict(s.df, s.fit, t.strip() or "yhat")))
 command("residuals")(lambda s, t: s.use(regression.residuals(s.df, s.fit, t.strip() or "resid")))
 command("margins")(lambda s, t: s.report(regression.margins(s.df, s.fit, _options(t)[1].get("at", "means"))))

@@ -36,6 +36,14 @@ def frame(spark: SparkSession, rows: Sequence[Mapping[str, object]], schema: str
     return spark.createDataFrame([tuple(fit.get(k, lambda x: x)(r[n]) if r.get(n) is not None else None for n, k in kinds.items()) for r in rows], schema)
 
 
+def few(df: DataFrame, what: str, most: int) -> list:
+    """The rows of a table that must be small; more than `most` raise, and no more than one above is read."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{what}: more than {most}")
+    return rows
+
+
 @dataclass(frozen=True)
 class Moments:
     """Weighted cross-products of named columns (the first is the constant), over rows without null or NaN."""

@@ -123,7 +123,55 @@ def shap_linear(df: DataFrame, y: str, columns: Sequence[str]) -> DataFrame:
     return frame(df.sparkSession, [{"variable": c, "shap": v} for c, v in ranked], "variable string, shap double")
 
 
-def learning_curve(df: DataFrame, y: str, columns: Sequence[str], sizes: Sequence[float] = (0.1, 0.3, 0.5, 1.0), key: Sequence[str] = ()) -> DataFrame:
+def scored(model: object, rows: DataFrame, task: str) -> float:
+    """R2 or accuracy of a model on rows of `features`."""
+    done = model.transform(rows)
+    if task == "classification":
+        return done.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
+    rss, tss = done.agg(F.sum((F.col("label") - F.col("prediction")) ** 2), F.var_pop("label") * F.count("*")).first()
+    return 1 - rss / tss if tss else float("nan")
+
+
+#: Models of a learning curve: the estimator and its task (None: that of the outcome).
+CURVES = {"logit": ("logit", "classification"), "rf": ("rf", None), "gb": ("gbm", "regression"), "cart": ("cart", None)}
+
+
+def model_curve(df: DataFrame, y: str, columns: Sequence[str], kind: str = "rf", steps: int = 10, folds: int = 5, task: str | None = None, seed: int = 42, **options) -> DataFrame:
+    """share, n, train, train_sd, cv and cv_sd: mean scores over the folds (R2, or accuracy) of models fitted on growing shares.
+
+    Rows are dealt to folds, and ordered for the shares, by two hashes of their values: a
+    larger share holds the smaller ones, equal rows stay together, and any partitioning
+    gives the same curve. The score of a fold is taken on all its rows. A fold without
+    rows, or whose training rows hold one class, is left out of the means.
+    """
+    if kind not in CURVES:
+        raise ValueError(f"a learning curve takes {', '.join(CURVES)} or ols")
+    kind, own = CURVES[kind]
+    task = own or task or "regression"
+    rows = complete(df, {c: col(c) for c in columns}).where(col(y).isNotNull())
+    every = features(rows, y, columns, task)
+    values = F.struct("label", F.col("features").cast("string"))
+    place = lambda n: F.pmod(F.xxhash64(F.lit(n), values), F.lit(1_000_000))
+    dealt = every.withColumn("__fold", F.pmod(F.xxhash64(F.lit(seed), values), F.lit(folds))).withColumn("__at", place(seed + 1) / 1_000_000).persist()
+    out = []
+    for s in np.linspace(0.1, 1.0, steps):
+        got = []
+        for f in range(folds):
+            train_rows = dealt.where((F.col("__fold") != f) & (F.col("__at") < float(s)))
+            test = dealt.where(F.col("__fold") == f)
+            n, classes = train_rows.agg(F.count("*"), F.count_distinct("label")).first()
+            if not n or not test.take(1) or (task == "classification" and classes < 2):
+                continue
+            model = _estimator(kind, task, seed=seed, **options).fit(train_rows)
+            got.append((n, scored(model, train_rows, task), scored(model, test, task)))
+        if got:
+            a = np.array(got)
+            out.append({"share": float(s), "n": int(a[:, 0].mean()), "train": a[:, 1].mean(), "train_sd": a[:, 1].std(), "cv": a[:, 2].mean(), "cv_sd": a[:, 2].std()})
+    dealt.unpersist()
+    return frame(df.sparkSession, out, "share double, n long, train double, train_sd double, cv double, cv_sd double")
+
+
+def learning_curve(df: DataFrame, y: str, columns: Sequence[str], sizes: Sequence[float] = (0.1, 0.3, 0.5, 1.0), key: Sequence[str] = (), folds: int = 5) -> DataFrame:
     """share, n, train and cross-validated R2 of least squares on hashed shares of the rows."""
     from tallyfold.functions.dsl import Formula
     from tallyfold.stats.regression import ols
@@ -133,7 +181,7 @@ def learning_curve(df: DataFrame, y: str, columns: Sequence[str], sizes: Sequenc
     for s in sizes:
         part = df.where(u < s)
         fit = ols(part, Formula(y, tuple((c,) for c in columns)))
-        cv = cross_validate(part, y, columns, key=key).agg(F.avg("r2")).first()[0]
+        cv = cross_validate(part, y, columns, folds, key=key).agg(F.avg("r2")).first()[0]
         out.append({"share": s, "n": fit.n, "train_r2": fit.stats["r2"], "cv_r2": cv})
     return frame(df.sparkSession, out)
 

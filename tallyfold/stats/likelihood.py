@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.functions.exprs import col
-from tallyfold.stats.frames import complete
+from tallyfold.stats.frames import complete, cross_products, few
 from tallyfold.stats.regression import Fit, glm, ols, parse, regressors
 
 LogLik = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
@@ -80,17 +80,61 @@ def maximise(rows: DataFrame, ll: LogLik, start: Sequence[float], steps: int = 4
     return b, vectors @ np.diag(1 / values) @ vectors.T, float(v[0])
 
 
-def _rows(df: DataFrame, y: str, x: Mapping[str, Column]) -> DataFrame:
-    t = col(y).cast("double")
-    return complete(df, {**x, "y": t}).select(t.alias("y"), *(c.cast("double").alias(f"x{i}") for i, c in enumerate(x.values()))).persist()
+#: The cluster of a row, beside y and the regressors.
+GROUP = "__cluster"
 
 
-def _fit(df: DataFrame, spec: str, kind: str, ll: LogLik, start: Callable[[DataFrame, int], Sequence[float]], names: Callable[[list[str]], list[str]]) -> Fit:
+def _rows(df: DataFrame, y: str, x: Mapping[str, Column], cluster: str | None = None) -> DataFrame:
+    t = col(y).cast("double")
+    rows = complete(df, {**x, "y": t})
+    if cluster:
+        rows = rows.where(col(cluster).isNotNull())
+    return rows.select(t.alias("y"), *(c.cast("double").alias(f"x{i}") for i, c in enumerate(x.values())), *([F.xxhash64(col(cluster)).alias(GROUP)] if cluster else [])).persist()
+
+
+def _meat(rows: DataFrame, ll: LogLik, b: np.ndarray, cluster: bool) -> tuple[np.ndarray, int]:
+    """The sum over rows, or over clusters' sums, of the scores' products, and the rows or clusters.
+
+    Scores are central differences of a row's log likelihood. A task adds up its rows of a
+    cluster before they are shuffled.
+    """
+    k, step = len(b), 1e-5 * np.maximum(1, np.abs(b))
+    own = [f"s{i}" for i in range(k)]
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pandas as pd
+
+        for batch in batches:
+            group = batch.column(GROUP).to_pandas() if cluster else None
+            a = np.column_stack([c.to_numpy(zero_copy_only=False) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != GROUP])
+            y, x = a[:, 0], np.column_stack((np.ones(len(a)), a[:, 1:]))
+            with np.errstate(all="ignore"):
+                s = np.column_stack([(ll(b + e, x, y) - ll(b - e, x, y)) / (2 * e[i]) for i, e in enumerate(np.diag(step))])
+            out = pd.DataFrame(s, columns=own)
+            if cluster:
+                out = out.groupby(group.to_numpy()).sum().rename_axis(GROUP).reset_index()
+            yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+
+    made = rows.mapInArrow(scores, (f"{GROUP} long, " if cluster else "") + ", ".join(f"{c} double" for c in own))
+    if cluster:
+        made = made.groupBy(GROUP).agg(*(F.sum(c).alias(c) for c in own))
+    row = made.agg(F.count("*"), *cross_products({c: F.col(c) for c in own}, None)).first()
+    out = np.zeros((k, k))
+    out[np.triu_indices(k)] = row[1:]
+    return out + np.triu(out, 1).T, int(row[0])
+
+
+def _fit(df: DataFrame, spec: str, kind: str, ll: LogLik, start: Callable[[DataFrame, int], Sequence[float]], names: Callable[[list[str]], list[str]], robust: bool = False, cluster: str | None = None) -> Fit:
+    """The fit of all complete rows; `robust` and `cluster` give sandwich errors, with n / (n - 1) or G / (G - 1)."""
     f = parse(spec)
     x = regressors(f)
-    rows = _rows(df, f.y, x)
-    b, cov, value = maximise(rows, ll, start(rows, len(x)))
-    n = rows.count()
+    rows = _rows(df, f.y, x, cluster)
+    plain = rows.drop(GROUP)
+    b, cov, value = maximise(plain, ll, start(plain, len(x)))
+    n = plain.count()
+    if robust or cluster:
+        meat, g = _meat(rows, ll, b, bool(cluster))
+        cov = cov @ meat @ cov * g / (g - 1)
     rows.unpersist()
     own = names(list(x))
     return Fit(kind, own, b, cov, n, n - len(b), {"ll": value, "aic": 2 * len(b) - 2 * value, "bic": len(b) * math.log(n) - 2 * value}, f, normal=True)
@@ -116,9 +160,9 @@ def _log_mean(rows: DataFrame) -> float:
     return math.log(max(rows.agg(F.avg("y")).first()[0], 1e-6))
 
 
-def negbin(df: DataFrame, spec: str) -> Fit:
+def negbin(df: DataFrame, spec: str, robust: bool = False, cluster: str | None = None) -> Fit:
     """Negative binomial with variance m + alpha * m^2; the last parameter is ln alpha."""
-    return _fit(df, spec, "negbin", lambda p, x, y: _nb_ll(np.exp(x @ p[:-1]), y, math.exp(min(p[-1], 20))), lambda r, k: [_log_mean(r), *[0.0] * k, -1.0], lambda x: ["const", *x, "ln_alpha"])
+    return _fit(df, spec, "negbin", lambda p, x, y: _nb_ll(np.exp(x @ p[:-1]), y, math.exp(min(p[-1], 20))), lambda r, k: [_log_mean(r), *[0.0] * k, -1.0], lambda x: ["const", *x, "ln_alpha"], robust, cluster)
 
 
 def _inflated(p: np.ndarray, base: np.ndarray, base0: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -126,22 +170,22 @@ def _inflated(p: np.ndarray, base: np.ndarray, base0: np.ndarray, y: np.ndarray)
     return np.where(y == 0, np.log(q + (1 - q) * np.exp(base0)), math.log(max(1 - q, 1e-300)) + base)
 
 
-def zip_model(df: DataFrame, spec: str) -> Fit:
+def zip_model(df: DataFrame, spec: str, robust: bool = False, cluster: str | None = None) -> Fit:
     """Poisson with a constant share of extra zeros; the last parameter is that share's logit."""
 
     def ll(p: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         mu = np.exp(x @ p[:-1])
         return _inflated(p[-1], _poisson_ll(mu, y), -mu, y)
 
-    return _fit(df, spec, "zip", ll, lambda r, k: [_log_mean(r), *[0.0] * k, -1.0], lambda x: ["const", *x, "inflate"])
+    return _fit(df, spec, "zip", ll, lambda r, k: [_log_mean(r), *[0.0] * k, -1.0], lambda x: ["const", *x, "inflate"], robust, cluster)
 
 
-def zinb(df: DataFrame, spec: str) -> Fit:
+def zinb(df: DataFrame, spec: str, robust: bool = False, cluster: str | None = None) -> Fit:
     def ll(p: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         mu, a = np.exp(x @ p[:-2]), math.exp(min(p[-2], 20))
         return _inflated(p[-1], _nb_ll(mu, y, a), -np.log1p(a * mu) / a, y)
 
-    return _fit(df, spec, "zinb", ll, lambda r, k: [_log_mean(r), *[0.0] * k, -1.0, -1.0], lambda x: ["const", *x, "ln_alpha", "inflate"])
+    return _fit(df, spec, "zinb", ll, lambda r, k: [_log_mean(r), *[0.0] * k, -1.0, -1.0], lambda x: ["const", *x, "ln_alpha", "inflate"], robust, cluster)
 
 
 def hurdle(df: DataFrame, spec: str) -> tuple[Fit, Fit]:
@@ -151,12 +195,12 @@ def hurdle(df: DataFrame, spec: str) -> tuple[Fit, Fit]:
     return first, glm(df.where(col(f.y) > 0), f, "poisson")
 
 
-def betareg(df: DataFrame, spec: str) -> Fit:
+def betareg(df: DataFrame, spec: str, robust: bool = False, cluster: str | None = None) -> Fit:
     """Fractional logit: the binomial likelihood of a share."""
-    return glm(df, spec, "logit")
+    return glm(df, spec, "logit", robust, cluster)
 
 
-def tobit(df: DataFrame, spec: str, lower: float | None = 0.0, upper: float | None = None) -> Fit:
+def tobit(df: DataFrame, spec: str, lower: float | None = 0.0, upper: float | None = None, robust: bool = False, cluster: str | None = None) -> Fit:
     """Normal regression censored at lower and upper; the last parameter is ln sigma."""
 
     def ll(p: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -172,14 +216,18 @@ def tobit(df: DataFrame, spec: str, lower: float | None = 0.0, upper: float | No
         return out
 
     base = ols(df, spec)
-    return _fit(df, spec, "tobit", ll, lambda r, k: [*base.params, math.log(base.stats["rmse"])], lambda x: ["const", *x, "ln_sigma"])
+    return _fit(df, spec, "tobit", ll, lambda r, k: [*base.params, math.log(base.stats["rmse"])], lambda x: ["const", *x, "ln_sigma"], robust, cluster)
+
+
+#: Levels of an ordered or multinomial outcome.
+MOST_LEVELS = 200
 
 
-def ordered(df: DataFrame, spec: str, link: str = "logit") -> Fit:
+def ordered(df: DataFrame, spec: str, link: str = "logit", robust: bool = False, cluster: str | None = None) -> Fit:
     """Ordered logit or probit; the cut points are reported as they are, cut1 < cut2 < ..."""
     f = parse(spec)
-    levels = [r[0] for r in df.where(col(f.y).isNotNull()).groupBy(col(f.y).cast("double").alias("y")).count().orderBy("y").select("y").collect()]
-    shares = {r["y"]: r["count"] for r in df.where(col(f.y).isNotNull()).groupBy(col(f.y).cast("double").alias("y")).count().collect()}
+    shares = {r["y"]: r["count"] for r in few(df.where(col(f.y).isNotNull()).groupBy(col(f.y).cast("double").alias("y")).count().orderBy("y"), f"levels of {f.y}", MOST_LEVELS)}
+    levels = list(shares)
     k, n = len(levels), sum(shares.values())
     dist = (lambda z: 1 / (1 + np.exp(-z))) if link == "logit" else _Phi
     codes = np.array(levels)
@@ -196,7 +244,7 @@ def ordered(df: DataFrame, spec: str, link: str = "logit") -> Fit:
     upto = np.cumsum([shares[v] for v in levels])[:-1] / n
     first = [math.log(u / (1 - u)) for u in np.clip(upto, 1e-4, 1 - 1e-4)]
     start = [first[0], *(math.log(max(b - a, 1e-3)) for a, b in zip(first, first[1:], strict=False))]
-    fit = _fit(df, spec, f"o{link}", ll, lambda r, m: [*start, *[0.0] * m], lambda x: [*(f"cut{i + 1}" for i in range(k - 1)), *x])
+    fit = _fit(df, spec, f"o{link}", ll, lambda r, m: [*start, *[0.0] * m], lambda x: [*(f"cut{i + 1}" for i in range(k - 1)), *x], robust, cluster)
     jac = np.eye(len(fit.params))
     jac[: k - 1, : k - 1] = np.tril(np.ones((k - 1, k - 1))) * np.concatenate(([1.0], np.exp(fit.params[1 : k - 1])))
     fit.params = np.concatenate((cuts(fit.params[: k - 1]), fit.params[k - 1 :]))
@@ -204,10 +252,10 @@ def ordered(df: DataFrame, spec: str, link: str = "logit") -> Fit:
     return fit
 
 
-def mlogit(df: DataFrame, spec: str) -> Fit:
+def mlogit(df: DataFrame, spec: str, robust: bool = False, cluster: str | None = None) -> Fit:
     """Multinomial logit against the smallest category; names are `x (y=k)`."""
     f = parse(spec)
-    levels = np.array([r[0] for r in df.where(col(f.y).isNotNull()).select(col(f.y).cast("double").alias("y")).distinct().orderBy("y").collect()])
+    levels = np.array([r[0] for r in few(df.where(col(f.y).isNotNull()).select(col(f.y).cast("double").alias("y")).distinct().orderBy("y"), f"levels of {f.y}", MOST_LEVELS)])
     k = len(levels) - 1
 
     def ll(p: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -216,7 +264,7 @@ def mlogit(df: DataFrame, spec: str) -> Fit:
         return eta[np.arange(len(x)), np.searchsorted(levels, y)] - top - np.log(np.exp(eta - top[:, None]).sum(axis=1))
 
     label = lambda v: f"{v:g}"
-    return _fit(df, spec, "mlogit", ll, lambda r, m: [0.0] * (k * (m + 1)), lambda x: [f"{n} (y={label(v)})" for v in levels[1:] for n in ("const", *x)])
+    return _fit(df, spec, "mlogit", ll, lambda r, m: [0.0] * (k * (m + 1)), lambda x: [f"{n} (y={label(v)})" for v in levels[1:] for n in ("const", *x)], robust, cluster)
 
 
 def nls(df: DataFrame, y: str, x: str, form: str = "power", start: Sequence[float] = ()) -> Fit:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyfold.functions.exprs import col
 from tallyfold.operators.ordered import BUCKET, bucketed
 from tallyfold.stats import dist
-from tallyfold.stats.frames import complete, frame
+from tallyfold.stats.frames import complete, few, frame
 from tallyfold.stats.regression import Fit
 
 
@@ -42,12 +42,16 @@ def median_survival(df: DataFrame, time: str, event: str, by: str | None = None)
     return km.groupBy("grp").agg(F.sum("d").alias("events"), F.sum("c").alias("censored"), F.min(F.when(F.col("survival") <= 0.5, F.col("time"))).alias("median"))
 
 
+#: Groups that the log-rank test compares.
+MOST_GROUPS = 200
+
+
 def logrank(df: DataFrame, time: str, event: str, by: str) -> DataFrame:
     """Chi-square over all groups from observed and expected events."""
     rows = df.where(col(by).isNotNull())
     every = _risk(rows, time, event, None).where("d > 0").select("time", F.col("d").alias("dt"), F.col("at_risk").alias("nt"))
     own = _risk(rows, time, event, by)
-    groups = [r[0] for r in own.select("grp").distinct().orderBy("grp").collect()]
+    groups = [r[0] for r in few(own.select("grp").distinct().orderBy("grp"), f"groups of {by}", MOST_GROUPS)]
     grid = every.crossJoin(F.broadcast(df.sparkSession.createDataFrame([(g,) for g in groups], own.select("grp").schema)))
     both = grid.join(own, ["grp", "time"], "full")
     after = Window.partitionBy("grp").orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)

@@ -13,14 +13,18 @@ from tallyfold.functions.exprs import col, count_if
 from tallyfold.operators.aggregate import average_rank
 from tallyfold.operators.transform import need
 from tallyfold.stats import dist
-from tallyfold.stats.frames import frame
+from tallyfold.stats.frames import few, frame
+
+
+#: Groups whose means come to the driver.
+MOST_GROUPS = 100_000
 
 
 def _groups(df: DataFrame, value: str, by: str, two: bool = False) -> list:
     """group, n, mean and variance of each group, in the groups' order."""
     need(df, value, by)
     rows = df.where(col(value).isNotNull() & col(by).isNotNull())
-    found = rows.groupBy(col(by).alias("g")).agg(F.count("*").alias("n"), F.avg(col(value)).alias("mean"), F.var_samp(col(value)).alias("var")).orderBy("g").collect()
+    found = few(rows.groupBy(col(by).alias("g")).agg(F.count("*").alias("n"), F.avg(col(value)).alias("mean"), F.var_samp(col(value)).alias("var")).orderBy("g"), f"groups of {by}", MOST_GROUPS)
     if two and len(found) != 2:
         raise ValueError(f"{by} has {len(found)} groups; two are needed")
     return found
@@ -43,20 +47,31 @@ def ttest(df: DataFrame, value: str, by: str | None = None, mu: float = 0.0, pai
 
 
 def chi2(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Pearson's test of independence, with Yates' correction for 2 x 2, and Cramér's V."""
+    """Pearson's test of independence, with Yates' correction for 2 x 2, and Cramér's V; any number of cells stays in Spark."""
     need(df, a, b)
-    cells = df.where(col(a).isNotNull() & col(b).isNotNull()).groupBy(col(a).alias("a"), col(b).alias("b")).count().collect()
-    rows, cols = sorted({r["a"] for r in cells}), sorted({r["b"] for r in cells})
-    o = np.zeros((len(rows), len(cols)))
-    for r in cells:
-        o[rows.index(r["a"]), cols.index(r["b"])] = r["count"]
-    e = np.outer(o.sum(1), o.sum(0)) / o.sum()
-    gap = np.abs(o - e)
-    if o.shape == (2, 2):
-        gap = np.maximum(gap - np.minimum(0.5, gap), 0)
-    x, d = float((gap**2 / e).sum()), (len(rows) - 1) * (len(cols) - 1)
-    v = math.sqrt(x / (o.sum() * max(1, min(o.shape) - 1)))
-    return frame(df.sparkSession, [{"statistic": x, "df": d, "p": dist.chi2_sf(x, d) if d else 1.0, "cramers_v": v, "n": int(o.sum())}])
+    cells = df.where(col(a).isNotNull() & col(b).isNotNull()).groupBy(col(a).alias("a"), col(b).alias("b")).agg(F.count("*").alias("o")).persist()
+    rows, cols = (cells.groupBy(k).agg(F.sum("o").alias(f"n{k}")) for k in "ab")
+    n, r, c = cells.agg(F.sum("o"), F.count_distinct("a"), F.count_distinct("b")).first()
+    if not n:
+        cells.unpersist()
+        raise ValueError(f"no rows with {a} and {b}")
+    both = cells.join(rows, "a").join(cols, "b").withColumn("e", F.col("na") * F.col("nb") / F.lit(float(n)))
+    if r == c == 2:
+        o = np.zeros((2, 2))
+        found = both.select("a", "b", "o").collect()  # four cells at most
+        keys = [sorted({x[i] for x in found}) for i in range(2)]
+        for x in found:
+            o[keys[0].index(x["a"]), keys[1].index(x["b"])] = x["o"]
+        e = np.outer(o.sum(1), o.sum(0)) / n
+        gap = np.abs(o - e)
+        x = float(((gap - np.minimum(0.5, gap)) ** 2 / e).sum())
+    else:
+        seen, expected = both.agg(F.sum((F.col("o") - F.col("e")) ** 2 / F.col("e")), F.sum("e")).first()
+        x = float(seen) + max(n - float(expected), 0.0)  # a cell without rows adds what it expects
+    cells.unpersist()
+    d = (r - 1) * (c - 1)
+    v = math.sqrt(x / (n * max(1, min(r, c) - 1)))
+    return frame(df.sparkSession, [{"statistic": x, "df": d, "p": dist.chi2_sf(x, d) if d else 1.0, "cramers_v": v, "n": int(n)}])
 
 
 def anova(df: DataFrame, value: str, by: str) -> DataFrame:
@@ -435,7 +450,7 @@ def group_outer(df: DataFrame, columns: Sequence[str], by: str) -> tuple[list, l
     for c in x.values():
         rows = rows.where(c.isNotNull())
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    got = rows.groupBy(col(by).alias("g")).agg(F.count("*").alias("n"), *(F.avg(x[c]) for c in columns), *(F.covar_samp(x[a], x[b]) for a, b in pairs)).orderBy("g").collect()
+    got = few(rows.groupBy(col(by).alias("g")).agg(F.count("*").alias("n"), *(F.avg(x[c]) for c in columns), *(F.covar_samp(x[a], x[b]) for a, b in pairs)).orderBy("g"), f"groups of {by}", MOST_GROUPS // 100)
     k = len(columns)
     means, within = np.array([r[2 : 2 + k] for r in got], float), np.zeros((k, k))
     for r in got:
