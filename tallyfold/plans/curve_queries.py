@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyfold.plans import closed_forms as CF
 from tallyfold.plans.catalogue import Tables, register, rounded
 from tallyfold.stats import boot
+from tallyfold.stats import likelihood as K
 from tallyfold.stats import regression as R
 from tallyfold.stats import smooth as S
 from tallyfold.stats import tests as H
@@ -73,3 +74,20 @@ register("bootstrap_by", lambda s, d: rounded(H.bootstrap(_LI(s, d), "l_extended
 def _welch(s, d) -> DataFrame:
     """The error of a difference of two means."""
     return _LI(s, d).groupBy("l_linestatus").agg((F.var_samp("l_extendedprice") / F.count("*")).alias("v")).agg(F.sqrt(F.sum("v")).alias("plain"))
+
+
+# an ordered or multinomial model of two levels is the binary one
+
+
+def _two_levels(fit, binary, df: DataFrame) -> DataFrame:
+    """Coefficients, and whether the sandwich errors are those of the binary model."""
+    want = {t: float(e) for t, e in zip(binary.names, binary.se, strict=True)}
+    near = F.abs(F.col("se") / F.create_map(*(F.lit(x) for t in want.items() for x in t))[F.regexp_replace(F.col("term"), r"^cut1$| \(y=1\)$", "")] - 1) < 0.01
+    return rounded(fit.tidy(df).where("term not in ('const (y=1)', 'cut1')").select("term", "coef", near.alias("near")), 3)
+
+
+_STATUS = lambda s, d: Tables(s, d).orders.selectExpr("int(o_orderstatus = 'F') as y", "o_totalprice / 100000 as x", "o_custkey % 25 as g")
+register("ologit_robust", lambda s, d: (lambda df: _two_levels(K.ordered(df, "y ~ x", robust=True), R.glm(df, "y ~ x", "logit", robust=True), df))(_STATUS(s, d)),
+    f"WITH {CF.newton('m', _ORDERS, 'y', ['x'], 'logit', 'ln(avg(y) / (1 - avg(y)))')} SELECT 'x' AS term, round(b_1, 3) + 0.0 AS coef, TRUE AS near FROM m")
+register("mlogit_cluster", lambda s, d: (lambda df: _two_levels(K.mlogit(df, "y ~ x", cluster="g"), R.glm(df, "y ~ x", "logit", cluster="g"), df))(_STATUS(s, d)),
+    f"WITH {CF.newton('m', _ORDERS, 'y', ['x'], 'logit', 'ln(avg(y) / (1 - avg(y)))')} SELECT 'x (y=1)' AS term, round(b_1, 3) + 0.0 AS coef, TRUE AS near FROM m")

@@ -32,11 +32,11 @@ register("approx_aggregates", lambda s, d: A.group_by(Tables(s, d).orders, ["o_o
 # a stream writes the windows that its watermark has passed
 
 _FINAL = '"end" <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE'
-_SUMS = "count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 4) AS mean"
+_SUMS = "count(*) AS n, round(sum(value), 8) AS total, round(avg(value), 8) AS mean"
 _path = lambda d: f"{d}/events.parquet"
-register("stream_tumbling", lambda s, d: rounded(runs.over(s, _path(d), "ts", lambda r: W.tumbling(r, "ts", "1 hour", "10 minutes", ["event_type"], "value")), 4),
+register("stream_tumbling", lambda s, d: rounded(runs.over(s, _path(d), "ts", lambda r: W.tumbling(r, "ts", "1 hour", "10 minutes", ["event_type"], "value")), 8),
     f"""SELECT start, start + INTERVAL 1 HOUR AS "end", event_type, {_SUMS} FROM (SELECT *, date_trunc('hour', ts) AS start FROM events) GROUP BY ALL HAVING {_FINAL}""")
-register("stream_sliding", lambda s, d: rounded(runs.over(s, _path(d), "ts", lambda r: W.tumbling(r, "ts", "2 hours", "10 minutes", ["event_type"], "value", "1 hour")), 4),
+register("stream_sliding", lambda s, d: rounded(runs.over(s, _path(d), "ts", lambda r: W.tumbling(r, "ts", "2 hours", "10 minutes", ["event_type"], "value", "1 hour")), 8),
     f"""SELECT start, start + INTERVAL 2 HOUR AS "end", event_type, {_SUMS} FROM (SELECT *, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS start FROM events) GROUP BY ALL HAVING {_FINAL}""")
 register("stream_sessions", lambda s, d: runs.over(s, _path(d), "ts", lambda r: W.sessions(r, "ts", "3 hours", "10 minutes", ["user_id"])),
     f"""SELECT min(ts) AS start, max(ts) + INTERVAL 3 HOUR AS "end", user_id, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT ts, user_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 3 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, run HAVING {_FINAL}""")
