@@ -385,13 +385,14 @@ def _irf(s, text: str) -> DataFrame:
 report("hyperopt", lambda s, w, o: learning.hyperopt(s.df, w[0], w[1:], {"gb": "gbm"}.get(o.get("model", "rf"), o.get("model", "rf")), o.get("task", "regression"), int(o.get("cv", 5)), int(o.get("draws", 20)), int(s.settings["seed"])))
 @command("learncurve")
 def _learncurve(s, text: str) -> DataFrame:
-    """learncurve y x1 x2 [--model=ols|logit|rf|gb|cart] [--steps=10] [--cv=5] [--task=classification] [--n=100]"""
+    """learncurve y x1 x2 [--model=ols|logit|rf|gb|cart] [--steps=10] [--cv=5] [--task=classification] [--n=100]; ols without --steps takes four sizes."""
     w, o = options(text)
+    given = "steps" in o
     kind, steps, folds, task = o.get("model", "ols"), int(o.get("steps", 10)), int(o.get("cv", 5)), o.get("task")
     more = {"n": int(o["n"])} if "n" in o else {}
     o.check()
     if kind in ("ols", "linear"):
-        return s.report(learning.learning_curve(s.df, w[0], w[1:], [0.1 + 0.9 * i / max(steps - 1, 1) for i in range(steps)], folds=folds))
+        return s.report(learning.learning_curve(s.df, w[0], w[1:], **({"sizes": [0.1 + 0.9 * i / max(steps - 1, 1) for i in range(steps)]} if given else {}), folds=folds))
     return s.report(learning.model_curve(s.df, w[0], w[1:], kind, steps, folds, task, int(s.settings["seed"]), **more))
 
 
