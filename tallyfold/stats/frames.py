@@ -46,11 +46,13 @@ def few(df: DataFrame, what: str, most: int) -> list:
 
 @dataclass(frozen=True)
 class Moments:
-    """Weighted cross-products of named columns (the first is the constant), over rows without null or NaN."""
+    """Weighted cross-products of named columns (the first is the constant), over rows without null or NaN; `centred` are those around `shift`."""
 
     names: tuple[str, ...]
     n: int
     xx: np.ndarray
+    centred: np.ndarray | None = None
+    shift: tuple[float, ...] = ()
 
     def block(self, rows: Sequence[str], columns: Sequence[str]) -> np.ndarray:
         i, j = ([self.names.index(x) for x in part] for part in (rows, columns))
@@ -100,4 +102,4 @@ def moments(df: DataFrame, columns: Mapping[str, Column], weight: Column | None
     back = np.eye(len(names))
     back[:, 0] = [0.0 if n == CONST else shift[n] for n in names]
     back[0, 0] = 1.0
-    return Moments(names, int(row[0]), back @ centred @ back.T)
+    return Moments(names, int(row[0]), back @ centred @ back.T, centred, tuple(float(v) for v in back[:, 0]))

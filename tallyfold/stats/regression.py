@@ -76,7 +76,38 @@ def _inverse(a: np.ndarray) -> np.ndarray:
     return np.linalg.pinv(a / np.outer(d, d), rcond=1e-12, hermitian=True) / np.outer(d, d)
 
 
+def _solve_centred(m: Moments, names: Sequence[str], y: str) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """As `_solve`, with the constant taken out of the products around the means; None where columns are collinear.
+
+    Products around zero would cost the digits in which nearly collinear columns differ.
+    """
+    at = [m.names.index(x) for x in names if x != CONST]
+    every, c = [*at, m.names.index(y)], m.centred
+    zero = m.names.index(CONST)
+    if not at or c[zero, zero] <= 0:
+        return None
+    off = c[every, zero] / c[zero, zero]
+    s = c[np.ix_(every, every)] - np.outer(off, off) * c[zero, zero]
+    d = np.sqrt(np.maximum(np.diag(s)[:-1], 1e-300))
+    scaled = s[:-1, :-1] / np.outer(d, d)
+    if not np.isfinite(scaled).all():
+        return None
+    values, vectors = np.linalg.eigh(scaled)
+    if values[0] <= 1e-12 * values[-1] or (d * d <= 1e-12 * np.diag(m.xx)[at]).any():
+        return None
+    v = (vectors / values) @ vectors.T / np.outer(d, d)
+    b = v @ s[:-1, -1]
+    mean = np.array(m.shift)[every] + off
+    inv = np.empty((len(names), len(names)))
+    inv[0, 0] = 1 / c[zero, zero] + mean[:-1] @ v @ mean[:-1]
+    inv[0, 1:] = inv[1:, 0] = -(v @ mean[:-1])
+    inv[1:, 1:] = v
+    return np.array([mean[-1] - b @ mean[:-1], *b]), inv, max(float(s[-1, -1] - b @ s[:-1, -1]), 0.0)
+
+
 def _solve(m: Moments, names: Sequence[str], y: str = Y) -> tuple[np.ndarray, np.ndarray, float]:
+    if m.centred is not None and names[0] == CONST and (found := _solve_centred(m, names, y)):
+        return found
     inv = _inverse(m.block(names, names))
     b = inv @ m.block(names, [y])[:, 0]
     rss = float(m.block([y], [y])[0, 0] - b @ m.block(names, [y])[:, 0])
@@ -444,11 +475,14 @@ def endogtest(df: DataFrame, y: str, exog: Sequence[str], endog: Sequence[str],
     """Wu-Hausman: the first-stage residuals in the structural equation."""
     rows = complete(df, {c: col(c) for c in (y, *exog, *endog, *instruments)})
     for i, e in enumerate(endog):
-        rows = residuals(rows, ols(rows, Formula(e, tuple((c,) for c in (*exog, *instruments)))), f"__v{i}")
-    base = ols(rows, Formula(y, tuple((c,) for c in (*exog, *endog))))
+        first = ols(rows, Formula(e, tuple((c,) for c in (*exog, *instruments))))
+        # beside e, fitted values test what residuals do; the one that is less like e keeps more digits
+        rows = (residuals if first.stats["r2"] > 0.5 else predict)(rows, first, f"__v{i}")
     wide = ols(rows, Formula(y, tuple((c,) for c in (*exog, *endog, *(f"__v{i}" for i in range(len(endog)))))))
     q = len(endog)
-    f = (base.stats["rss"] - wide.stats["rss"]) / q / (wide.stats["rss"] / wide.df_resid)
+    # the same number as the difference of both models' squared residuals, which is lost in their rounding over many rows
+    b = wide.params[-q:]
+    f = float(b @ _inverse(wide.cov[-q:, -q:]) @ b) / q
     return frame(df.sparkSession, [{"statistic": f, "df1": q, "df2": float(wide.df_resid), "p": dist.f_sf(f, q, wide.df_resid)}])
 
 
