@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions.exprs import col
 from tallyfold.stats.frames import complete, frame
+from tallyfold.storage import discard, written
 
 KERNELS = ("linear", "rbf", "poly")
 #: Random features of the Gaussian kernel; monomials of the polynomial kernel, at most.
@@ -84,10 +85,21 @@ class Machine:
         return made.withColumn(new, value).select(*df.columns, new)
 
 
+#: Copies of a row among those that `_counted` makes.
+COPIES = "__copies"
+
+
+def _counted(df: DataFrame, y: str, columns: Sequence[str]) -> DataFrame:
+    """The different complete rows of y and columns, with the number of their copies: all that a fit and its score depend on."""
+    rows = complete(df, {x: col(x) for x in columns}).where(col(y).isNotNull())
+    return rows.groupBy(*(col(x).alias(x) for x in dict.fromkeys((y, *columns)))).agg(F.count("*").alias(COPIES))
+
+
 def fit_machine(df: DataFrame, y: str, columns: Sequence[str], kernel: str = "rbf", c: float = 1.0, gamma: str | float = "scale", task: str = "classification", degree: int = 3, size: int = FEATURES, seed: int = 42) -> Machine:
     """Hinge loss (two classes) or Huber's loss (task regression) plus half the squared weights over n c, on the kernel's features.
 
     gamma is a number, `auto` for 1 / columns, or `scale` for 1 / (columns x their variance, taken over all values together).
+    Copies of a row are one row with a weight. The solver keeps its blocks of features; they are kept nowhere else.
     """
     from pyspark.ml.classification import LinearSVC
     from pyspark.ml.regression import LinearRegression
@@ -96,8 +108,8 @@ def fit_machine(df: DataFrame, y: str, columns: Sequence[str], kernel: str = "rb
         raise ValueError(f"there are the kernels {', '.join(KERNELS)}")
     if kernel == "poly" and math.comb(len(columns) + degree, degree) > MOST_MONOMIALS:
         raise ValueError(f"the kernel has more than {MOST_MONOMIALS} monomials")
-    rows = complete(df, {x: col(x) for x in columns}).where(col(y).isNotNull())
-    stats = rows.agg(F.count("*"), *(f(col(x).cast("double")) for x in columns for f in (F.avg, F.var_pop))).first()
+    complete_rows = complete(df, {x: col(x) for x in columns}).where(col(y).isNotNull())
+    stats = complete_rows.agg(F.count("*"), *(f(col(x).cast("double")) for x in columns for f in (F.avg, F.var_pop))).first()
     n, means, spread = stats[0], list(stats[1::2]), list(stats[2::2])
     if not n:
         raise ValueError("no complete rows")
@@ -108,28 +120,31 @@ def fit_machine(df: DataFrame, y: str, columns: Sequence[str], kernel: str = "rb
     levels: list = []
     label = col(y).cast("double")
     if task == "classification":
-        levels = sorted(r[0] for r in rows.select(col(y)).distinct().limit(3).collect())
+        levels = sorted(r[0] for r in complete_rows.select(col(y)).distinct().limit(3).collect())
         if len(levels) != 2:
             raise ValueError("two classes are told apart")
         label = (col(y) == F.lit(levels[1])).cast("double")
     machine = Machine(None, list(columns), kernel, float(gamma), degree, size, seed, means, levels)
-    data = rows.select(label.alias("label"), machine.features().alias("features")).persist()
+    rows = written(_counted(df, y, columns))
+    data = rows.select(label.alias("label"), F.col(COPIES).cast("double").alias("weight"), machine.features().alias("features"))
     weight = 1 / (n * max(c, 1e-12))
-    solver = LinearSVC(regParam=weight, maxIter=100, tol=1e-6, standardization=False) if levels else LinearRegression(loss="huber", regParam=weight, maxIter=200, standardization=False)
+    solver = LinearSVC(regParam=weight, maxIter=100, tol=1e-6, standardization=False, weightCol="weight") if levels else LinearRegression(loss="huber", regParam=weight, maxIter=200, standardization=False, weightCol="weight")
     machine.model = solver.fit(data)
-    data.unpersist()
+    discard(rows)
     return machine
 
 
 def svm(df: DataFrame, y: str, columns: Sequence[str], kernel: str = "rbf", task: str = "classification", **options) -> DataFrame:
     """measure and value: rows, features, gamma, and accuracy (or r2) on the rows that were fitted."""
     machine = fit_machine(df, y, columns, kernel, task=task, **options)
-    done = machine.predict(df.where(col(y).isNotNull()), "__hat")
+    done, w = machine.predict(_counted(df, y, columns), "__hat"), F.col(COPIES)
     if machine.levels:
-        n, score = done.agg(F.count("*"), F.avg((col(y) == F.col("__hat")).cast("double"))).first()
+        n, hits = done.agg(F.sum(w), F.sum(F.when(col(y) == F.col("__hat"), w).otherwise(0))).first()
+        score = hits / n
         name = "accuracy"
     else:
-        n, rss, tss = done.agg(F.count("*"), F.sum((col(y) - F.col("__hat")) ** 2), F.var_pop(col(y)) * F.count("*")).first()
+        n, mean = done.agg(F.sum(w), F.sum(w * col(y)) / F.sum(w)).first()
+        rss, tss = done.agg(F.sum(w * (col(y) - F.col("__hat")) ** 2), F.sum(w * (col(y) - F.lit(mean)) ** 2)).first()
         score, name = 1 - rss / tss, "r2"
     size = {"linear": len(columns), "rbf": machine.size, "poly": math.comb(len(columns) + machine.degree, machine.degree) - 1}[kernel]
     rows = [{"measure": "n", "value": n}, {"measure": "features", "value": size}, {"measure": "gamma", "value": machine.gamma}, {"measure": name, "value": score}]
