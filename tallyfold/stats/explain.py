@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.functions.exprs import col
@@ -27,6 +27,8 @@ from tallyfold.storage import new_path, remove
 
 #: Rows of a batch that a tree is walked for at once.
 ROWS = 2_000
+#: Different rows of features that are explained first and then joined; where there are about more, every row is explained.
+FEW_ROWS = 50_000
 
 
 @dataclass(frozen=True)
@@ -140,8 +142,20 @@ def ensemble(model) -> Ensemble:
 
 
 def attribute(df: DataFrame, columns: Sequence[str], trees: Ensemble) -> DataFrame:
-    """df's complete rows with `shap`, an array of a value for each of `columns`, and `prediction`."""
+    """df's complete rows with `shap`, an array of a value for each of `columns`, and `prediction`. Rows with equal features share their values."""
     rows = complete(df, {c: col(c) for c in columns})
+    names = [f"v{i}" for i in range(len(columns))]
+    keys = [(col(c).cast("double") + 0.0).alias(f"__{v}") for c, v in zip(columns, names, strict=True)]
+    if rows.agg(F.approx_count_distinct(F.struct(*keys))).first()[0] <= FEW_ROWS:
+        asked = rows.select(*keys).distinct().withColumn("__e", _explained(df, [F.col(f"__{v}").alias(v) for v in names], trees))
+        found = rows.withColumns({f"__k{v}": k for v, k in zip(names, keys, strict=True)}).join(F.broadcast(asked), [F.col(f"__k{v}") == F.col(f"__{v}") for v in names])
+    else:
+        found = rows.withColumn("__e", _explained(df, [col(c).cast("double").alias(v) for c, v in zip(columns, names, strict=True)], trees))
+    return found.select(*(F.col(f"`{c}`") for c in rows.columns), "__e.shap", "__e.prediction")
+
+
+def _explained(df: DataFrame, inputs: Sequence[Column], trees: Ensemble) -> Column:
+    """shap and prediction of the features in `inputs`."""
     held = df.sparkSession.sparkContext.broadcast(trees)
 
     @F.pandas_udf("shap array<double>, prediction double")
@@ -152,17 +166,23 @@ def attribute(df: DataFrame, columns: Sequence[str], trees: Ensemble) -> DataFra
             shap = np.concatenate(found) if found else np.zeros(x.shape)
             yield pd.DataFrame({"shap": list(shap), "prediction": held.value.predict(x)})
 
-    inputs = F.struct(*(col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)))
-    return rows.withColumn("__e", explain(inputs)).select(*rows.columns, "__e.shap", "__e.prediction")
+    return explain(F.struct(*inputs))
 
 
 def fit_trees(df: DataFrame, y: str, columns: Sequence[str], kind: str = "rf", **options) -> Ensemble:
-    """A forest (rf), boosting (gbm) or single tree (cart) of regression on complete rows."""
+    """A forest (rf), boosting (gbm) or single tree (cart) of regression on complete rows.
+
+    Boosting by squares sees rows with equal features as one: their mean with their number as its weight gives the same splits and values.
+    """
     from tallyfold.stats.learning import _estimator, features
 
-    rows = features(df, y, columns).persist()
+    rows, estimator = features(df, y, columns), _estimator(kind, "regression", **options)
+    if kind == "gbm":
+        rows = rows.groupBy("features").agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("weight"))
+        estimator = estimator.setWeightCol("weight")
+    rows = rows.persist()
     try:
-        return ensemble(_estimator(kind, "regression", **options).fit(rows))
+        return ensemble(estimator.fit(rows))
     finally:
         rows.unpersist()
 
