@@ -6,13 +6,16 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.functions.exprs import col
+from tallyfold.operators.ordered import RN, numbered
 from tallyfold.stats.frames import CONST, complete, frame, moments
 from tallyfold.stats.tests import group_outer
+from tallyfold.storage import discard, written
 
 #: Rows that a method on all pairs takes to one task.
 MOST_ROWS = 5_000
@@ -102,8 +105,115 @@ def _gather(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
     return (x - x.mean(axis=0)) / np.maximum(x.std(axis=0), 1e-12)
 
 
+#: Clusters of a block that are compared at once, and clusters that are joined on the driver at the end.
+WARD_BLOCK = 1_000
+
+
+def _ward_gaps(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+    """Ward's distances of two tables of clusters (id, n, x); a cluster is infinitely far from itself."""
+    x, y = np.array(a.x.tolist()), np.array(b.x.tolist())
+    d = sum((x[:, [i]] - y[:, i]) ** 2 for i in range(x.shape[1]))
+    n, m = a.n.to_numpy(np.float64)[:, None], b.n.to_numpy(np.float64)
+    d = d * (2 * n * m / (n + m))
+    return np.where(a.id.to_numpy()[:, None] == b.id.to_numpy(), np.inf, d)
+
+
+def _ward_mates(a: pd.DataFrame, b: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
+    """The nearest of b for each row of a; of equal distances the least hash of both ids, which is one order of all pairs."""
+    low = d.min(axis=1)
+    mix = (a.id.to_numpy(np.uint64)[:, None] ^ b.id.to_numpy(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(2)
+    at = np.where(d == low[:, None], mix, np.uint64(1 << 63)).argmin(axis=1)
+    found = pd.DataFrame({"id": a.id.to_numpy(), "d": low, "t": mix[np.arange(len(a)), at].astype(np.int64), "mate": b.id.to_numpy()[at]})
+    return found[np.isfinite(low)]
+
+
+def _ward_local(part: pd.DataFrame) -> pd.DataFrame:
+    """The stretch of x[0] outside of which no cluster can be nearer than the nearest of the block."""
+    part = part.sort_values("id")
+    r = np.sqrt(_ward_gaps(part, part).min(axis=1) * (part.n + 1) / (2 * part.n)) * (1 + 1e-9)
+    return pd.DataFrame({"block": [part.block.iloc[0]], "low": [part.x0.min()], "high": [part.x0.max()], "lo": [(part.x0 - r).min()], "hi": [(part.x0 + r).max()]})
+
+
+def _ward_pair(part: pd.DataFrame) -> pd.DataFrame:
+    """Nearest clusters, both ways, of two blocks (or of one and itself)."""
+    a, b = part[part.side == 0], part[part.side == 1]
+    if not len(b):
+        return _ward_mates(a, a, _ward_gaps(a, a))
+    d = _ward_gaps(a, b)
+    return pd.concat([_ward_mates(a, b, d), _ward_mates(b, a, d.T)])
+
+
+def _ward_round(rows: DataFrame, step: int) -> DataFrame:
+    """Clusters (id, n, x, h, born) and, beside joined ones, both parts: all pairs that are each other's nearest are joined.
+
+    Ward's distance never falls by a join, so that these joins are in the whole tree in whatever order they come.
+    """
+    held = written(numbered(rows.withColumn("x0", F.col("x")[0]), ["x0", "id"]).withColumn("block", F.floor(F.col(RN) / WARD_BLOCK).cast("long")).drop(RN))
+    spans = written(held.groupBy("block").applyInPandas(_ward_local, "block long, low double, high double, lo double, hi double"))
+    a, b = spans.alias("a"), spans.alias("b")
+    pairs = a.join(b, F.expr("a.block <= b.block and (a.hi >= b.low and a.lo <= b.high or b.hi >= a.low and b.lo <= a.high)")).select(F.col("a.block").alias("p"), F.col("b.block").alias("q"))
+    pairs = written(pairs)
+    sides = held.join(pairs.withColumn("block", F.col("p")), "block").withColumn("side", F.lit(0)).unionByName(held.join(pairs.where("p < q").withColumn("block", F.col("q")), "block").withColumn("side", F.lit(1)))
+    mates = sides.select("p", "q", "side", "id", "n", "x").groupBy("p", "q").applyInPandas(_ward_pair, "id long, d double, t long, mate long")
+    mates = written(mates.groupBy("id").agg(F.min(F.struct("d", "t", "mate")).alias("m")).select("id", "m.d", "m.mate"))
+    other = mates.select(F.col("id").alias("mate"), F.col("mate").alias("back"))
+    joins = mates.join(other, "mate").where("back = id and id < mate").select("id", "mate", "d")
+    right = held.select(F.col("id").alias("mate"), *(F.col(c).alias(f"r_{c}") for c in ("n", "x", "h", "born")))
+    both = written(joins.join(right, "mate").join(held.select("id", F.col("n").alias("l_n"), "x", "h", "born"), "id"))
+    whole = F.col("l_n") + F.col("r_n")
+    node = lambda i, born, n: F.struct(F.col(i).alias("id"), F.col(born).alias("born"), F.col(n).alias("n"))
+    made = both.select("id", whole.alias("n"), F.zip_with("x", "r_x", lambda u, v: (u * F.col("l_n") + v * F.col("r_n")) / whole).alias("x"), F.greatest("d", "h", "r_h").alias("h"), F.lit(step).alias("born"), node("id", "born", "l_n").alias("left"), node("mate", "r_born", "r_n").alias("right"))
+    gone = both.select(F.explode(F.array("id", "mate")).alias("id"))
+    kept = held.join(gone, "id", "left_anti").select("id", "n", "x", "h", "born").withColumns({"left": F.lit(None).cast(made.schema["left"].dataType), "right": F.lit(None).cast(made.schema["right"].dataType)})
+    out = written(made.unionByName(kept))
+    discard(held, spans, pairs, mates, both)
+    return out
+
+
+def _ward(rows: DataFrame, k: int) -> list[int]:
+    """Sizes of the k clusters of Ward's tree on standardised rows `x`: rounds in Spark until WARD_BLOCK clusters are left, then one by one."""
+    now = written(rows.groupBy("x").agg(F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()).withColumns({"h": F.lit(0.0), "born": F.lit(0)}))
+    step, tops = 0, []
+    while now.count() > max(WARD_BLOCK, k):
+        step += 1
+        new = _ward_round(now.select("id", "n", "x", "h", "born"), step)
+        tops += [(r["h"], step, tuple(r["left"]), tuple(r["right"]), (r["id"], step)) for r in new.where(F.col("born") == step).orderBy(F.desc("h")).limit(k - 1).collect()]
+        discard(now)
+        now = new
+    left = now.select("id", "n", "x", "h", "born").toPandas()
+    discard(now)
+    d, size, h = _ward_gaps(left, left), left.n.to_numpy(np.float64), left.h.to_numpy(np.float64)
+    nodes = [(int(i), int(b), int(n)) for i, b, n in zip(left.id, left.born, left.n, strict=True)]
+    for _ in range(len(left) - 1):
+        step += 1
+        i, j = sorted(divmod(int(d.argmin()), len(left)))
+        a, b, found = size[i], size[j], d[i, j]
+        row = ((a + size) * d[i] + (b + size) * d[j] - size * found) / (a + b + size)
+        row[~np.isfinite(d[i]) | ~np.isfinite(d[j])] = np.inf
+        d[i], d[:, i] = row, row
+        d[j], d[:, j] = np.inf, np.inf
+        size[i], h[i] = a + b, max(found, h[i], h[j])
+        new = (nodes[i][0], step, int(a + b))
+        tops.append((h[i], step, nodes[i], nodes[j], new[:2]))
+        nodes[i] = new
+    cut = sorted(tops, key=lambda t: t[:2], reverse=True)[: k - 1]
+    inner = {t[4] for t in cut}
+    sizes = [n[2] for t in cut for n in t[2:4] if n[:2] not in inner] or [int(left.n.sum())]
+    while len(sizes) < k:  # fewer different rows than clusters: copies are parted
+        sizes.sort()
+        sizes[-1:] = [sizes[-1] - 1, 1]
+    return sorted(sizes, reverse=True)
+
+
 def hierarchical(df: DataFrame, columns: Sequence[str], k: int = 3, linkage: str = "ward") -> DataFrame:
-    """cluster and size after joining the nearest clusters (Lance and Williams) down to k; a bounded number of rows."""
+    """cluster and size after joining the nearest clusters (Lance and Williams) down to k. Ward's take any number of rows, other linkages a bounded one."""
+    if linkage == "ward":
+        rows = complete(df, {c: col(c) for c in columns})
+        xs = [col(c).cast("double") for c in columns]
+        n, *stats = rows.agg(F.count("*"), *(f(x) for x in xs for f in (F.avg, F.stddev_pop))).first()
+        if n > MOST_ROWS:
+            scaled = F.array(*((x - F.lit(m)) / F.lit(max(v, 1e-12)) for x, m, v in zip(xs, stats[::2], stats[1::2], strict=True)))
+            return frame(df.sparkSession, [{"cluster": i, "size": v} for i, v in enumerate(_ward(rows.select(scaled.alias("x")), k))])
     x = _gather(df, columns)
     n = len(x)
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
