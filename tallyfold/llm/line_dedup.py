@@ -28,7 +28,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import cut, narrow, release
+from tallyfold.llm.common import cut, discard, narrow, release
 from tallyfold.llm.components import joined
 
 SHINGLE = 12
@@ -178,14 +178,23 @@ def _masks(docs: DataFrame) -> DataFrame:
     signatures = cut(_signatures(_lines(rows, clashes)))
     release(docs.sparkSession)
     wanted, members = _candidates(signatures)
-    pairs = cut(_agreeing(cut(wanted), signatures))
+    wanted = cut(wanted)
+    pairs = cut(_agreeing(wanted, signatures))
+    discard(wanted)
     release(docs.sparkSession)
     near = cut(pairs.select(F.explode(F.array("a", "b")).alias("h")).unionByName(members.select("h")).distinct())
     spots = places.join(narrow(near), "h").join(groups.select("h", F.col("at").alias("first")), "h").where("at = first").select("h", *_KEY, "pos")
     found = cut(_texts(rows, spots))
-    parts = joined(None, cut(_verified(pairs, found)))
+    discard(near)
+    links = cut(_verified(pairs, found))
+    parts = joined(None, links)
+    discard(pairs, links)
     release(docs.sparkSession)
-    more = cut(_verified(cut(_agreeing(cut(_rest(members, found, parts)), signatures)), found))
+    rest = cut(_rest(members, found, parts))
+    agreeing = cut(_agreeing(rest, signatures))
+    discard(rest, signatures)
+    more = cut(_verified(agreeing, found))
+    discard(agreeing, found)
     release(docs.sparkSession)
     parts = joined(parts, more)
     of = groups.join(narrow(parts), F.col("h") == F.col("node"), "left").select("h", "at", "n", "component")
