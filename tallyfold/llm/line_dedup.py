@@ -5,11 +5,13 @@ SHINGLE bytes (a shorter line is its own shingle). Equal lines are one node. Six
 min-hashes of one 64-bit shingle hash (least and greatest, under three XOR masks) are
 banded in pairs around a ring: a pair is a candidate if it shares a band and AGREE
 min-hashes. At a Jaccard similarity of 0.8 that are 97 % of the pairs, at 0.9 over 99 %.
-A bucket's nodes are first compared with its least node by the exact Jaccard similarity
-of their shingles; links of at least 0.8 are joined by a distributed union-find. Nodes
-of larger buckets that are not one component then meet by a prefix filter, which leaves
-out only pairs below 0.8: so all candidates are compared, in one component, or too far
-apart. Of each component the first line, by (doc_id, text, place), stays.
+The candidates of a bucket's nodes with some of them are compared by the exact Jaccard
+similarity of their shingles; links of at least 0.8 are joined by a distributed
+union-find. Then all nodes of larger buckets that are not in one component meet. A pair
+of a larger bucket leaves the join only if parities of its shingle sets, which bound
+their symmetric difference from below, do not put it under 0.8: so all candidates are
+compared, in one component, or too far apart. Of each component the first line, by
+(doc_id, text, place), stays.
 
 Shingles are hashed inside generated code, STEP to a row, so that a line's row meets the
 aggregation once for STEP shingles.
@@ -25,7 +27,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.llm.common import cut, discard, narrow, release
@@ -40,6 +42,12 @@ SIMILAR = 80
 MASKS = (0, 0x1234567890ABCDEF, 0x5BD1E9955BD1E995)
 #: Min-hashes of six that a candidate pair has in common.
 AGREE = 3
+#: Numbers of 64 bits that hold a shingle set's parities.
+PARITIES = 16
+#: Nodes of a larger bucket that all its nodes are compared with first.
+PIVOTS = 4
+#: Nodes of a larger bucket that meet the others in one task.
+CHUNK = 1_000
 #: 64-bit names that several of the different lines may share; random names of 10^10 lines share about three.
 CLASHES = 10_000
 _LAST = (1 << 63) - 1
@@ -93,10 +101,9 @@ def _signatures(lines: DataFrame) -> DataFrame:
 
 
 def _candidates(signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """First pairs (a, b) of a bucket's nodes, and the nodes (band, h) of buckets of more than three.
+    """The pairs (a, b) of nodes of buckets of two or three, and the crowds: the nodes h of buckets of more, by their least node p.
 
-    Each node is paired with the least one. Buckets of two or three need no second look:
-    all their nodes are paired; they follow from the least, the greatest and the XOR of all.
+    Pairs of small buckets follow from the least, the greatest and the XOR of all.
     """
     n = 2 * len(MASKS)
     bands = F.array(*(F.xxhash64(F.lit(i), F.col(f"v{i}"), F.col(f"v{(i + 1) % n}")) for i in range(n)))
@@ -105,9 +112,10 @@ def _candidates(signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
     middle = F.col("x").bitwiseXOR(F.col("a")).bitwiseXOR(F.col("b"))
     three = buckets.where("n = 3").select("a", "b", middle.alias("c"))
     small = buckets.where("n < 4").select("a", "b").unionByName(three.select("a", F.col("c").alias("b"))).unionByName(three.select(F.col("c").alias("a"), "b"))
-    members = cut(rows.join(narrow(buckets.where("n > 3").select("band", "b")), "band"))
-    pairs = small.unionByName(members.select(F.col("h").alias("a"), "b").where("a <> b"))
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), members.select("band", "h")
+    pairs = cut(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    crowds = cut(rows.join(narrow(buckets.where("n > 3").select("band", F.col("b").alias("p"))), "band").select("p", "h").distinct())
+    discard(buckets)
+    return pairs, crowds
 
 
 def _agreeing(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -140,31 +148,44 @@ def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return sets.select("a", "b", F.inline(F.array(sizes))).where(f"100 * both >= {SIMILAR} * either").select("a", "b")
 
 
-def _rest(members: DataFrame, found: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs of nodes of different components that may be similar, among the nodes of buckets that hold several components.
+def _members(crowds: DataFrame, found: DataFrame, signatures: DataFrame) -> DataFrame:
+    """The rows (p, h) of `crowds` with n, the size of h's shingle set, its parities s0, s1, ... and its min-hashes.
 
-    Shingles are put in one order, those that are frequent in every eighth node last; any
-    order gives the same links, this one few pairs. Of sets of sizes n >= m with a
-    Jaccard similarity of 0.8 or more, 9 * shared >= 4 * (n + m): so they have their first
-    common shingle at places i and j with 9 * min(n - i, m - j) >= 4 * (n + m), which is
-    among the first n // 5 + 1 of the larger and the first m // 9 + 1 of the smaller.
+    A shingle's hash names one of 64 * PARITIES bits; a bit is 1 if it is named an odd number
+    of times. Bits that differ between two sets are named by shingles that only one of
+    them holds, each by another one.
     """
-    of = members.join(narrow(parts), F.col("h") == F.col("node"), "left").select("band", "h", F.coalesce("component", "h").alias("part"))
-    several = of.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("band")
-    live = cut(of.join(several, "band").select("h", "part").distinct())
-    held = cut(found.join(narrow(live), "h").select("h", "part", F.array_distinct(_shingles("line")).alias("gs")))
-    spread = cut(held.where("pmod(h, 8) = 0").select(F.explode("gs").alias("g")).groupBy("g").agg(F.count("*").alias("f")).where("f > 1"))
-    least = (spread.agg(F.sum("f")).first()[0] or 0) >> 20
-    places = held.select("h", "part", F.size("gs").alias("n"), F.explode("gs").alias("g")).join(narrow(spread.where(F.col("f") > least)), "g", "left")
-    ordered = places.groupBy("h", "part", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "g"))).alias("gs"))
-    prefix = ordered.select("h", "part", "n", F.posexplode(F.slice("gs", F.lit(1), F.floor(F.col("n") / 5).cast("int") + 1)).alias("i", "e"))
-    prefix = cut(prefix.select("h", "part", "n", "i", F.col("e.g").alias("g")))
-    release(found.sparkSession)
-    x, y = prefix.alias("x"), prefix.where("9 * i <= n").alias("y")
-    met = x.join(y, F.expr("x.g = y.g and x.part <> y.part and (x.n > y.n or (x.n = y.n and x.h > y.h)) and 9 * least(x.n - x.i, y.n - y.i) >= 4 * (x.n + y.n)"))
+    nodes = crowds.select("h").distinct()
+    sets = found.join(narrow(nodes), "h").select("h", F.array_distinct(_shingles("line")).alias("gs"))
+    bits = sets.select("h", F.explode("gs").alias("g")).select("h", F.expr("g & 63").cast("int").alias("bit"), F.expr(f"pmod(shiftright(g, 6), {PARITIES})").alias("slot"))
+    parities = [F.expr(f"bit_xor(case when slot = {k} then shiftleft(1L, bit) else 0L end)").alias(f"s{k}") for k in range(PARITIES)]
+    told = bits.groupBy("h").agg(F.count("*").alias("n"), *parities).join(signatures, "h")
+    return crowds.join(told, "h")
+
+
+def _meeting(rows: DataFrame, others: DataFrame, once: bool = False) -> DataFrame:
+    """The pairs (a, b) of `rows` and `others` of one crowd and different components, with AGREE min-hashes in common, whose shingle sets may be similar; `once`: both are the same rows.
+
+    Sets of sizes n and m are similar if 9 * their symmetric difference <= n + m. Rows of a
+    large crowd are dealt to tasks of CHUNK, and the others sent to each of them.
+    """
+    # without checks for nulls the condition is short enough to be compiled to machine code
+    x, y = (df.select(*(F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in df.columns)) for df in (rows, others))
+    x = x.withColumn("chunk", F.expr("pmod(xxhash64(h), chunks)")).alias("x")
+    y = y.withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)"))).alias("y")
+    same = " + ".join(f"int(x.v{i} = y.v{i})" for i in range(2 * len(MASKS)))
+    differ = " + ".join(f"bit_count(x.s{k} ^ y.s{k})" for k in range(PARITIES))
+    met = x.join(y, F.expr(f"x.p = y.p and x.chunk = y.chunk and x.part <> y.part and {'x.h > y.h and ' if once else ''}{same} >= {AGREE} and 9 * ({differ}) <= x.n + y.n"))
     return met.select(F.greatest("x.h", "y.h").alias("a"), F.least("x.h", "y.h").alias("b")).distinct()
 
 
+def _live(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """The members of crowds of several components, with their component `part` and the `chunks` of their crowd."""
+    of = members.select("p", "h").join(narrow(parts), F.col("h") == F.col("node"), "left").select("p", "h", F.coalesce("component", "h").alias("part"))
+    several = of.groupBy("p").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.expr(f"(count(*) - 1) div {CHUNK} + 1").alias("chunks")).where("low < high")
+    return cut(members.join(of.join(several.select("p", "chunks"), "p"), ["p", "h"]))
+
+
 def _masks(docs: DataFrame) -> DataFrame:
     """key, key2, of every line of its text that is not white space the place and whether it stays, and whether rows repeat; for texts that lose lines."""
     rows = _keyed(docs)
@@ -177,24 +198,31 @@ def _masks(docs: DataFrame) -> DataFrame:
     places, groups = _renamed(places, clashes), _renamed(groups, clashes)
     signatures = cut(_signatures(_lines(rows, clashes)))
     release(docs.sparkSession)
-    wanted, members = _candidates(signatures)
-    wanted = cut(wanted)
+    wanted, crowds = _candidates(signatures)
     pairs = cut(_agreeing(wanted, signatures))
     discard(wanted)
     release(docs.sparkSession)
-    near = cut(pairs.select(F.explode(F.array("a", "b")).alias("h")).unionByName(members.select("h")).distinct())
+    near = cut(pairs.select(F.explode(F.array("a", "b")).alias("h")).unionByName(crowds.select("h")).distinct())
     spots = places.join(narrow(near), "h").join(groups.select("h", F.col("at").alias("first")), "h").where("at = first").select("h", *_KEY, "pos")
     found = cut(_texts(rows, spots))
     discard(near)
-    links = cut(_verified(pairs, found))
+    members = cut(_members(crowds, found, signatures))
+    discard(crowds, signatures)
+    # with a few nodes of each crowd first, so that most of a crowd is one component when all meet
+    every = members.withColumn("part", F.col("h")).withColumn("chunks", F.lit(1).cast("long"))
+    some = every.withColumn("i", F.row_number().over(Window.partitionBy("p").orderBy(F.xxhash64("h"), "h"))).where(F.col("i") <= PIVOTS).drop("i")
+    first = cut(pairs.unionByName(_meeting(every, some)).distinct())
+    discard(pairs)
+    release(docs.sparkSession)
+    links = cut(_verified(first, found))
     parts = joined(None, links)
-    discard(pairs, links)
+    discard(first, links)
     release(docs.sparkSession)
-    rest = cut(_rest(members, found, parts))
-    agreeing = cut(_agreeing(rest, signatures))
-    discard(rest, signatures)
-    more = cut(_verified(agreeing, found))
-    discard(agreeing, found)
+    live = _live(members, parts)
+    discard(members)
+    rest = cut(_meeting(live, live, once=True))
+    more = cut(_verified(rest, found))
+    discard(live, rest, found)
     release(docs.sparkSession)
     parts = joined(parts, more)
     of = groups.join(narrow(parts), F.col("h") == F.col("node"), "left").select("h", "at", "n", "component")
