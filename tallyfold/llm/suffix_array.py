@@ -1,21 +1,16 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, in numpy.
 
 Suffixes are classified as S or L type; the leftmost S-type (LMS) substrings are sorted
-by one induction and named, and the shortened string of names is sorted by the same
-function in turn. Induction is done bucket by bucket: what a bucket's suffixes induce is
-one vector operation, and runs of one symbol inside a bucket take one more for each
-symbol of the run. So that buckets stay few at every depth, names above DIRECT are
-written as two digits, which keeps the order of suffixes; names that occur once already
-tell their suffixes apart and stay only as ends of what precedes them.
+by one induction and named, and the shortened string of names is sorted by doubling, which
+looks again only at names that tie: a name that occurs once already tells its suffix
+apart. Induction is done bucket by bucket: what a bucket's suffixes induce is one vector
+operation, and runs of one symbol inside a bucket take one more for each symbol of the run.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Names up to which the shortened string has one symbol for each; above, a name is two digits.
-DIRECT = 1024
-
 
 def s_types(t: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one; the end of the text is smaller than any byte."""
@@ -107,25 +102,25 @@ class _Buckets:
 
 
 def _order_names(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of the string of LMS names, sorted by induction in turn."""
-    tied = np.bincount(names)[names] > 1
-    kept = tied.copy()
-    kept[1:] |= tied[:-1]  # no comparison goes beyond a name that occurs once
-    places = np.flatnonzero(kept)
-    used = np.zeros(names.max() + 1, bool)
-    used[names[places]] = True
-    number = np.cumsum(used) - 1
-    short, count = number[names[places]], int(number[-1]) + 1
-    if count <= DIRECT:
-        order = suffix_array(short.astype(np.uint16), count)
-    else:
-        base = int(np.ceil(np.sqrt(count)))
-        digits = np.column_stack((short // base, short % base)).astype(np.uint16).reshape(-1)
-        order = suffix_array(digits, base + 1)
-        order = order[order % 2 == 0] // 2
-    rank = np.zeros(len(names), np.int64)
-    rank[places[order]] = np.arange(len(order))
-    return np.argsort(names * len(names) + rank)
+    """Order of the suffixes of the string of LMS names, by doubling: a rank is that of a suffix's first `step` names, and only tied ones are sorted again."""
+    n = len(names)
+    counts = np.bincount(names)
+    rank = (np.cumsum(counts) - counts)[names]
+    live, step = np.flatnonzero(counts[names] > 1), 1
+    while len(live):
+        after = live + step
+        key = rank[live] * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        order = np.argsort(key)
+        live, key = live[order], key[order]
+        old, at = rank[live], np.arange(len(live))
+        new, group = np.ones(len(live), bool), np.ones(len(live), bool)
+        new[1:], group[1:] = key[1:] != key[:-1], old[1:] != old[:-1]
+        rank[live] = old + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(group, at, 0))
+        live = live[~(new & np.append(new[1:], True))]
+        step *= 2
+    out = np.empty(n, np.int64)
+    out[rank] = np.arange(n)
+    return out
 
 
 def suffix_array(t: np.ndarray, size: int = 256, joined: bool = False) -> np.ndarray:
