@@ -14,7 +14,8 @@ compared, in one component, or too far apart. Of each component the first line,
 (doc_id, text, place), stays.
 
 Shingles are hashed inside generated code, STEP to a row, so that a line's row meets the
-aggregation once for STEP shingles.
+aggregation once for STEP shingles. Arrays that are never empty are exploded by the outer
+form: for the inner one Spark makes each array a second time to drop empty ones.
 
 Cases: a null text stays null and an empty one empty; lines of white space only are
 always kept; of repeated rows (one id and text) one is judged and the others lose all
@@ -68,7 +69,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _lines(rows: DataFrame, clashes: list[int] = ()) -> DataFrame:
     """Every line that is not only white space, with its place and a 128-bit name (h, h2); `clashes`: values of h that several lines have."""
-    lines = rows.select(*_KEY, "ord", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.col("line").rlike(r"\S"))
+    lines = rows.select(*_KEY, "ord", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line")).where(F.col("line").rlike(r"\S"))
     return _renamed(lines.select("*", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2")), clashes)
 
 
@@ -83,6 +84,14 @@ def _at() -> Column:
     return (F.col("ord").cast("decimal(19,0)") * F.lit(Decimal(1 << 63)).cast("decimal(19,0)") + tail.cast("decimal(19,0)")).cast("decimal(38,0)")
 
 
+def _place(at: str) -> list[Column]:
+    """ord, the half of the text's name and pos of a place."""
+    wide = F.lit(Decimal(1 << 63)).cast("decimal(19,0)")
+    tail = F.pmod(at, wide)
+    split = F.struct(F.expr(f"({at} - pmod({at}, {1 << 63}BD)) div {1 << 63}BD").alias("ord"), tail.cast("long").alias("tail"))
+    return [split["ord"].alias("ord"), F.shiftright(split["tail"], 31).alias("half"), split["tail"].bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("pos")]
+
+
 def _last_start(b: Column) -> Column:
     return F.greatest(F.octet_length(b) - (SHINGLE - 1), F.lit(1))
 
@@ -90,7 +99,7 @@ def _last_start(b: Column) -> Column:
 def _signatures(lines: DataFrame) -> DataFrame:
     """h and the six min-hashes v0 .. v5 of every different line, over all its shingles."""
     rows = lines.select("h", F.col("line").cast("binary").alias("b")).withColumn("last", _last_start(F.col("b")))
-    steps = rows.select("h", "b", "last", F.explode(F.sequence(F.lit(1), "last", F.lit(STEP))).alias("i"))
+    steps = rows.select("h", "b", "last", F.explode_outer(F.sequence(F.lit(1), "last", F.lit(STEP))).alias("i"))
     # a line's last step repeats its last shingle
     hashes = [F.xxhash64(F.substring("b", F.least(F.col("i") + k, F.col("last")), F.lit(SHINGLE))).alias(f"s{k}") for k in range(STEP)]
     found = []
@@ -132,11 +141,13 @@ def _shingles(line: str) -> Column:
     return F.element_at(held, 1)
 
 
-def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """h and line of the wanted (h, key, key2, pos): only texts that hold one are split."""
-    by_text = cut(wanted.groupBy(*_KEY).agg(F.collect_list(F.struct("h", "pos")).alias("wanted")))
-    found = rows.join(narrow(by_text), _KEY).select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
-    return found.select("w.h", F.get("lines", F.col("w.pos")).cast("binary").alias("line")).dropDuplicates(["h"])
+def _texts(rows: DataFrame, wanted: DataFrame, clashes: list[int] = ()) -> DataFrame:
+    """h and line of the wanted (h, at): only texts that may hold one are split. Texts of one id and half a name are told apart by the line's hash."""
+    by_text = cut(wanted.select("h", *_place("at")).groupBy("ord", "half").agg(F.collect_list(F.struct("h", "pos")).alias("wanted")))
+    texts = rows.select("ord", F.shiftrightunsigned("key", 32).alias("half"), "text").join(narrow(by_text), ["ord", "half"])
+    found = texts.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w")).select(F.col("w.h").alias("want"), F.get("lines", F.col("w.pos")).alias("line"))
+    named = _renamed(found.select("want", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2")), clashes)
+    return named.where("h = want").select("h", F.col("line").cast("binary").alias("line")).dropDuplicates(["h"])
 
 
 def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -149,34 +160,34 @@ def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _members(crowds: DataFrame, found: DataFrame, signatures: DataFrame) -> DataFrame:
-    """The rows (p, h) of `crowds` with n, the size of h's shingle set, its parities s0, s1, ... and its min-hashes.
+    """The rows (p, h) of `crowds` with all crowds of h, n, the size of h's shingle set, its parities s0, s1, ... and its min-hashes.
 
     A shingle's hash names one of 64 * PARITIES bits; a bit is 1 if it is named an odd number
     of times. Bits that differ between two sets are named by shingles that only one of
     them holds, each by another one.
     """
     nodes = crowds.select("h").distinct()
-    sets = found.join(narrow(nodes), "h").select("h", F.array_distinct(_shingles("line")).alias("gs"))
-    bits = sets.select("h", F.explode("gs").alias("g")).select("h", F.expr("g & 63").cast("int").alias("bit"), F.expr(f"pmod(shiftright(g, 6), {PARITIES})").alias("slot"))
+    sets = found.join(narrow(nodes), "h").select("h", F.inline(F.array(F.struct(_shingles("line").alias("gs")))))
+    bits = sets.select("h", F.explode_outer(F.array_distinct("gs")).alias("g")).select("h", F.expr("g & 63").cast("int").alias("bit"), F.expr(f"pmod(shiftright(g, 6), {PARITIES})").alias("slot"))
     parities = [F.expr(f"bit_xor(case when slot = {k} then shiftleft(1L, bit) else 0L end)").alias(f"s{k}") for k in range(PARITIES)]
     told = bits.groupBy("h").agg(F.count("*").alias("n"), *parities).join(signatures, "h")
-    return crowds.join(told, "h")
+    return crowds.join(told.join(crowds.groupBy("h").agg(F.collect_list("p").alias("ps")), "h"), "h")
 
 
 def _meeting(rows: DataFrame, others: DataFrame, once: bool = False) -> DataFrame:
-    """The pairs (a, b) of `rows` and `others` of one crowd and different components, with AGREE min-hashes in common, whose shingle sets may be similar; `once`: both are the same rows.
+    """The pairs (a, b) of `rows` and `others` of one crowd and different components, with AGREE min-hashes in common, whose shingle sets may be similar; `once`: both are the same rows, and a pair meets in the first of the crowds that both are in.
 
     Sets of sizes n and m are similar if 9 * their symmetric difference <= n + m. Rows of a
     large crowd are dealt to tasks of CHUNK, and the others sent to each of them.
     """
     # without checks for nulls the condition is short enough to be compiled to machine code
-    x, y = (df.select(*(F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in df.columns)) for df in (rows, others))
+    x, y = (df.select("ps", *(F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in df.columns if c != "ps")) for df in (rows, others))
     x = x.withColumn("chunk", F.expr("pmod(xxhash64(h), chunks)")).alias("x")
     y = y.withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)"))).alias("y")
     same = " + ".join(f"int(x.v{i} = y.v{i})" for i in range(2 * len(MASKS)))
     differ = " + ".join(f"bit_count(x.s{k} ^ y.s{k})" for k in range(PARITIES))
-    met = x.join(y, F.expr(f"x.p = y.p and x.chunk = y.chunk and x.part <> y.part and {'x.h > y.h and ' if once else ''}{same} >= {AGREE} and 9 * ({differ}) <= x.n + y.n"))
-    return met.select(F.greatest("x.h", "y.h").alias("a"), F.least("x.h", "y.h").alias("b")).distinct()
+    met = x.join(y, F.expr(f"x.p = y.p and x.chunk = y.chunk and x.part <> y.part and {'x.h > y.h and ' if once else ''}{same} >= {AGREE} and 9 * ({differ}) <= x.n + y.n{' and array_min(array_intersect(x.ps, y.ps)) = x.p' if once else ''}"))
+    return met.select(F.greatest("x.h", "y.h").alias("a"), F.least("x.h", "y.h").alias("b"))
 
 
 def _live(members: DataFrame, parts: DataFrame) -> DataFrame:
@@ -187,15 +198,19 @@ def _live(members: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def _masks(docs: DataFrame) -> DataFrame:
-    """key, key2, of every line of its text that is not white space the place and whether it stays, and whether rows repeat; for texts that lose lines."""
+    """key, key2, of every line of its text that is not white space twice the place, and one more if it stays, and whether rows repeat; for texts that lose lines."""
     rows = _keyed(docs)
     places = cut(_lines(rows).select(*_KEY, "pos", _at().alias("at"), "h", "h2"))
     # the first place of each different line, from which its text is fetched
-    groups = cut(places.groupBy("h", "h2").agg(F.min("at").alias("at"), F.count("*").alias("n")))
-    clashes = [r["h"] for r in groups.groupBy("h").count().where("count > 1").limit(CLASHES + 1).collect()]
+    grouped = lambda df: cut(df.groupBy("h").agg(F.min("at").alias("at"), F.count("*").alias("n"), F.min("h2").alias("low"), F.max("h2").alias("high")))
+    groups = grouped(places)
+    clashes = [r["h"] for r in groups.where("low <> high").select("h").limit(CLASHES + 1).collect()]
     if len(clashes) > CLASHES:
         raise ValueError("too many lines share a hash")
-    places, groups = _renamed(places, clashes), _renamed(groups, clashes)
+    if clashes:
+        discard(groups)
+        places = _renamed(places, clashes)
+        groups = grouped(places)
     signatures = cut(_signatures(_lines(rows, clashes)))
     release(docs.sparkSession)
     wanted, crowds = _candidates(signatures)
@@ -203,8 +218,7 @@ def _masks(docs: DataFrame) -> DataFrame:
     discard(wanted)
     release(docs.sparkSession)
     near = cut(pairs.select(F.explode(F.array("a", "b")).alias("h")).unionByName(crowds.select("h")).distinct())
-    spots = places.join(narrow(near), "h").join(groups.select("h", F.col("at").alias("first")), "h").where("at = first").select("h", *_KEY, "pos")
-    found = cut(_texts(rows, spots))
+    found = cut(_texts(rows, groups.select("h", "at").join(narrow(near), "h"), clashes))
     discard(near)
     members = cut(_members(crowds, found, signatures))
     discard(crowds, signatures)
@@ -229,8 +243,9 @@ def _masks(docs: DataFrame) -> DataFrame:
     several = of.where("component is not null")
     firsts = several.groupBy("component").agg(F.min("at").alias("keep"))
     fates = cut(several.join(firsts, "component").select("h", "keep").unionByName(of.where("component is null and n > 1").select("h", F.col("at").alias("keep"))))
-    told = places.join(narrow(fates), "h", "left").select(*_KEY, "pos", (F.col("keep").isNull() | (F.col("keep") == F.col("at"))).alias("stays"))
-    masks = told.groupBy(*_KEY).agg(F.array_sort(F.collect_set(F.struct("pos", "stays"))).alias("mask"), F.min("stays").alias("whole"), F.count("*").alias("n"))
+    stays = F.col("keep").isNull() | (F.col("keep") == F.col("at"))
+    told = places.join(narrow(fates), "h", "left").select(*_KEY, (2 * F.col("pos").cast("long") + stays.cast("long")).alias("code"), stays.alias("stays"))
+    masks = told.groupBy(*_KEY).agg(F.array_sort(F.collect_set("code")).alias("mask"), F.min("stays").alias("whole"), F.count("*").alias("n"))
     return masks.select(*_KEY, "mask", (F.col("n") > F.size("mask")).alias("repeats"), "whole").where("repeats or not whole").drop("whole")
 
 
@@ -239,12 +254,13 @@ def _apply(docs: DataFrame) -> DataFrame:
     masks = cut(_masks(docs))
     release(docs.sparkSession)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *_key()).join(masks, _KEY, "left")
-    gone = F.transform(F.filter("mask", lambda m: ~m["stays"]), lambda m: m["pos"])
+    places = lambda codes: F.transform(codes, lambda m: F.shiftright(m, 1).cast("int"))
+    gone = places(F.filter("mask", lambda m: m % 2 == 0))
     if masks.where("repeats").limit(1).count():
         # of rows with one id and text the first that is written is judged; the others lose what it holds
         repeated = cut(rows.where("repeats").withColumn("i", F.monotonically_increasing_id()))
         firsts = cut(repeated.groupBy(*_KEY).agg(F.min("i").alias("first")))
-        told = repeated.join(narrow(firsts), _KEY).select("row", F.when(F.col("i") == F.col("first"), gone).otherwise(F.transform("mask", lambda m: m["pos"])).alias("gone"))
+        told = repeated.join(narrow(firsts), _KEY).select("row", F.when(F.col("i") == F.col("first"), gone).otherwise(places("mask")).alias("gone"))
         rows = rows.where("repeats is null or not repeats").select("row", gone.alias("gone")).unionByName(told)
     else:
         rows = rows.select("row", gone.alias("gone"))

@@ -68,3 +68,36 @@ def test_few_pairs_below_the_threshold_leave_the_join(spark):
     live = line_dedup.cut(members.withColumn("part", F.col("h")).withColumn("chunks", F.lit(3).cast("long")))
     pairs = line_dedup._meeting(live, live, once=True)
     assert pairs.count() < links + 0.1 * len(lines) * (len(lines) - 1) / 2
+
+
+def test_a_pair_of_several_crowds_leaves_the_join_once(spark):
+    lines = _crowd(60)
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    rows = line_dedup._lines(line_dedup._keyed(docs))
+    found = rows.select("h", F.col("line").cast("binary").alias("line"))
+    crowds = rows.select(F.explode(F.array(*(F.lit(p).cast("long") for p in range(3)))).alias("p"), "h")
+    members = line_dedup._members(crowds, found, line_dedup._signatures(rows))
+    live = line_dedup.cut(members.withColumn("part", F.col("h")).withColumn("chunks", F.lit(2).cast("long")))
+    alone = line_dedup.cut(live.where("p = 0").withColumn("ps", F.array(F.lit(0).cast("long"))))
+    pairs = line_dedup._meeting(live, live, once=True)
+    assert "Aggregate" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted(map(tuple, line_dedup._meeting(alone, alone, once=True).collect()))
+    assert sorted(map(tuple, pairs.collect())) == want and want
+
+
+def test_texts_are_split_and_sets_made_once(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    rows = line_dedup._lines(line_dedup._keyed(docs))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(rows).count("split(") == 1
+    found = line_dedup.cut(rows.select("h", F.col("line").cast("binary").alias("line")))
+    members = line_dedup._members(rows.select(F.lit(0).cast("long").alias("p"), "h"), found, line_dedup._signatures(rows))
+    assert plan(members).count("array_distinct(") == 1
+
+
+def test_places_are_read_back(spark):
+    ids = [-(1 << 63), -5, -1, 0, 7, (1 << 63) - 1]
+    keys = [-(1 << 63), -1, 0, 1 << 40, (1 << 63) - 1]
+    rows = spark.createDataFrame([(o, k, p) for o in ids for k in keys for p in (0, 3, (1 << 31) - 1)], "ord long, key long, pos int")
+    got = rows.select("*", line_dedup._at().alias("at")).select("ord", "key", "pos", F.struct(*line_dedup._place("at")).alias("x"))
+    assert all(tuple(r.x) == (r.ord, (r.key % (1 << 64)) >> 32, r.pos) for r in got.collect())
