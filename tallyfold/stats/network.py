@@ -107,8 +107,28 @@ def _strengths(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node"), "weight").unionByName(edges.select(F.col("dst").alias("node"), "weight")).groupBy("node").agg(F.sum("weight").alias("k"))
 
 
+def _weighed(both: DataFrame, labels: DataFrame, total: float, loops: float) -> tuple[DataFrame, float, int]:
+    """Of each of `labels` (node, community, k) the weight `inside` to others of its community, the community `to` of the greatest gain and that gain over staying; the modularity; the nodes that gain.
+
+    One pass over the edges gives all of it: what the nodes have inside adds up to the modularity.
+    """
+    ends = both.join(labels.select(F.col("node").alias("dst"), "community"), "dst").select(F.col("src").alias("node"), "community", "weight")
+    around = ends.unionByName(labels.select("node", "community", F.lit(0.0).alias("weight"))).groupBy("node", "community").agg(F.sum("weight").alias("w"))
+    sums = labels.groupBy("community").agg(F.sum("k").alias("all"))
+    options = around.join(sums, "community").join(labels.select("node", F.col("community").alias("now"), "k"), "node")
+    stays = F.col("community") == F.col("now")
+    gain = F.round((F.col("w") - F.col("k") * (F.col("all") - F.when(stays, F.col("k")).otherwise(0.0)) / F.lit(2 * total)) / F.lit(total), 12)
+    best = options.groupBy("node", "now", "k").agg(F.min(F.struct((-gain).alias("g"), (~stays).alias("moves"), "community")).alias("b"), F.max(F.when(stays, gain)).alias("here"), F.max(F.when(stays, F.col("w"))).alias("inside"))
+    over = F.when(F.col("b.moves"), -F.col("b.g") - F.col("here")).otherwise(0.0)
+    out = written(best.select("node", "now", "k", "inside", F.col("b.community").alias("to"), over.alias("gain")))
+    m2 = F.lit(2 * total)
+    per = out.groupBy("now").agg(F.sum("inside").alias("inside"), F.sum("k").alias("k"), F.sum((F.col("gain") > 0).cast("long")).alias("gain"))
+    reached, found = per.agg(F.sum(F.col("inside") / m2 - (F.col("k") / m2) ** 2), F.sum("gain")).first()
+    return out, (reached or 0.0) + loops / total, found or 0
+
+
 def _local_moves(edges: DataFrame, total: float, seed: int, steps: int, least: float) -> tuple[DataFrame, float]:
-    """Labels of the nodes of `edges` after steps in which a share of the nodes, drawn by a hash, go to the community around with the greatest gain.
+    """Labels (node, community, k) of the nodes of `edges` after steps in which a share of the nodes, drawn by a hash, go to the community around with the greatest gain.
 
     Nodes that gain by themselves may lose together: a step that does not raise the
     modularity is taken back and a quarter of the share is drawn next, down to the one
@@ -116,41 +136,30 @@ def _local_moves(edges: DataFrame, total: float, seed: int, steps: int, least: f
     raises it by less than `least`, ends the moves.
     """
     both = written(_both(edges))
-    strengths = written(_strengths(edges))
-    labels = written(strengths.select("node", F.col("node").alias("community")))
-    score, share, moves = modularity(edges, labels).first()[0] or 0.0, 2, None
+    loops = edges.where("src = dst").agg(F.sum("weight")).first()[0] or 0.0
+    labels = written(_strengths(edges).select("node", F.col("node").alias("community"), "k"))
+    (asks, score, found), share = _weighed(both, labels, total, loops), 2
     for step in range(steps):
-        if moves is None:
-            own = labels.join(strengths, "node")
-            sums = own.groupBy("community").agg(F.sum("k").alias("all"))
-            around = both.join(labels.select(F.col("node").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("node"), "community").agg(F.sum("weight").alias("w"))
-            asks = own.withColumnRenamed("community", "now")
-            options = around.join(asks, "node").select("node", "now", "k", "community", "w")
-            options = options.unionByName(asks.select("node", "now", "k", F.col("now").alias("community"), F.lit(0.0).alias("w")))
-            options = options.groupBy("node", "now", "k", "community").agg(F.sum("w").alias("w")).join(sums, "community")
-            stays = F.col("community") == F.col("now")
-            gain = F.round((F.col("w") - F.col("k") * (F.col("all") - F.when(stays, F.col("k")).otherwise(0.0)) / F.lit(2 * total)) / F.lit(total), 12)
-            best = options.groupBy("node", "now").agg(F.min(F.struct((-gain).alias("g"), (~stays).alias("moves"), "community")).alias("b"), F.max(F.when(stays, gain)).alias("here"))
-            moves = written(best.where("b.moves").select("node", F.col("b.community").alias("to"), (-F.col("b.g") - F.col("here")).alias("gain")).where("gain > 0"))
-            found = moves.count()
         if not found:
             break
         alone = share >= found
-        drawn = moves.orderBy(F.desc("gain"), "node").limit(1) if alone else moves.where(F.pmod(F.xxhash64(F.lit(seed + step), "node"), F.lit(share)) == 0)
-        new = written(labels.join(drawn.select("node", "to"), "node", "left").select("node", F.coalesce("to", "community").alias("community")))
-        reached = modularity(edges, new).first()[0] or 0.0
+        moves = asks.where("gain > 0")
+        first = moves.orderBy(F.desc("gain"), "node").first()["node"] if alone else None
+        drawn = F.col("node") == F.lit(first) if alone else F.pmod(F.xxhash64(F.lit(seed + step), "node"), F.lit(share)) == 0
+        new = written(asks.select("node", F.when((F.col("gain") > 0) & drawn, F.col("to")).otherwise(F.col("now")).alias("community"), "k"))
+        asked, reached, gaining = _weighed(both, new, total, loops)
         if reached > score + 1e-12:
-            discard(labels, moves)
+            discard(labels, asks)
             small = reached - score < least
-            labels, score, share, moves = new, reached, max(2, share // 2), None
+            labels, asks, score, found, share = new, asked, reached, gaining, max(2, share // 2)
             if small:
                 break
         else:
-            discard(new)
+            discard(new, asked)
             if alone:
                 break
             share *= 4
-    discard(both, strengths)
+    discard(both, asks)
     return labels, score
 
 
